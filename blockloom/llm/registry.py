@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup
+from . import exact_dedup, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
-    return {"op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op5_warc_archive": warc_archive.op5_warc_archive,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {
+        "op2_url_filter": url_filter.OP2_SQL,
+        "op5_warc_archive": warc_archive.OP5_SQL,
+        "op6_exact_dedup": exact_dedup.OP6_SQL,
+    }
