@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, url_filter, warc_archive
+from . import exact_dedup, jaccard_join, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_warc_archive": warc_archive.op5_warc_archive,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     }
