@@ -65,7 +65,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
     firsts = meta.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
     # A payload is stored by the row that is the first of its digest; only ids and digests are shuffled to find it.
     holders = firsts.select(F.col("first_id").alias("page_id"), F.col("sha256"))
-    stored = rows.join(holders, ["page_id", "sha256"], "left_semi").select("sha256", "payload").dropDuplicates(["page_id", "sha256"])
+    stored = rows.join(holders, ["page_id", "sha256"], "left_semi").dropDuplicates(["page_id", "sha256"])
     stored.select("sha256", base32(F.sha1("payload")).alias("sha1"), "payload").write.mode("overwrite").parquet(f"{path}/payloads")
 
     numbered = meta.groupBy("page_id", "url", "sha256", "payload_bytes", "sha1").agg(F.count(F.lit(1)).alias("copies"))
