@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, jaccard_join, url_filter, warc_archive
+from . import exact_dedup, jaccard_join, packing, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_warc_archive": warc_archive.op5_warc_archive,
