@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, jaccard_join, packing, url_filter, warc_archive
+from . import exact_dedup, jaccard_join, packing, token_file, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_warc_archive": warc_archive.op5_warc_archive,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_token_file": token_file.op7_token_file,
     }
 
 
