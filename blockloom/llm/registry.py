@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import exact_dedup, jaccard_join, packing, token_file, url_filter, warc_archive
+from . import decontamination, exact_dedup, jaccard_join, packing, token_file, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op5_warc_archive": warc_archive.op5_warc_archive,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_token_file": token_file.op7_token_file,
+        "op8_decontamination": decontamination.op8_decontamination,
     }
 
 

@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators for words of letters and digits: every other ASCII character.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _FACTORS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)
@@ -43,10 +45,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _block(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words of a block, and where they start."""
     buf = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf], [True])).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], separators[buf], [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64), starts
@@ -69,8 +71,8 @@ def _cut(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
-    """For each text the fingerprints of its words in order; none for null."""
+def word_hashes(texts: Sequence[str | None], separators: np.ndarray = _SPACE) -> list[np.ndarray]:
+    """For each text the fingerprints of its words in order; none for null. The separators must include the space."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
     held: list[tuple[int, bytes]] = []
     size = 0
@@ -78,7 +80,7 @@ def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
     def flush() -> None:
         nonlocal held, size
         if held:
-            hashes, starts = _block(b" ".join(d for _, d in held))
+            hashes, starts = _block(b" ".join(d for _, d in held), separators)
             bounds = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for _, d in held]))
             for (i, _), a, b in zip(held, bounds[:-1], bounds[1:], strict=True):
                 out[i] = hashes[a:b]
@@ -87,7 +89,7 @@ def word_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         if len(data) > BLOCK_BYTES:
-            out[i] = np.concatenate([_block(piece)[0] for piece in _cut(data)])
+            out[i] = np.concatenate([_block(piece, separators)[0] for piece in _cut(data)])
         elif data:
             held.append((i, data))
             size += len(data)
