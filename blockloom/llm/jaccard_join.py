@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -45,14 +46,14 @@ from .components import connected_components
 from .textwords import mix64, shingle_set, word_hashes
 
 #: Counters in each of the sketch's two rows.
-SKETCH = 1 << 18
-_CHUNK = 1024
+SKETCH = 1 << 20
+_CHUNK = 4096
 #: Longs of the parity bitmap.
 PARITY = 16
 #: No set of more shingles is light, whatever the cost.
 LIGHT_MOST = 24
-#: Star rounds at most, and the pairs a posting at which none is needed.
-STARS, DENSE = 4, 8
+#: Star rounds at most, and the length of list from which they are worth it.
+STARS, LONG = 3, 48
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -103,21 +104,21 @@ def _count(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame
                     total[row] += np.bincount(slots, minlength=SKETCH)
     if total.any():
         cells = total.astype(np.uint32).reshape(-1, _CHUNK)
-        yield pd.DataFrame({"chunk": np.arange(len(cells)), "counts": [x.tobytes() for x in cells]})
+        yield pd.DataFrame({"chunk": np.arange(len(cells)), "counts": [zlib.compress(x.tobytes(), 1) for x in cells]})
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[int, np.ndarray] = {}
     for pdf in batches:
         for chunk, counts in zip(pdf["chunk"], pdf["counts"], strict=True):
-            x = np.frombuffer(counts, np.uint32).astype(np.int64)
+            x = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
             total[chunk] = total[chunk] + x if chunk in total else x
     if total:
         yield pd.DataFrame({"chunk": list(total), "counts": [x.tobytes() for x in total.values()]})
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of all shingles of all documents in a sketch of fixed size (two rows of ``SKETCH`` counters, 4 MB on the driver)."""
+    """Counts of all shingles of all documents in a sketch of fixed size (two rows of ``SKETCH`` counters)."""
     parts = docs.select("text").mapInPandas(partial(_count, width=width), "chunk long, counts binary")
     rows = parts.repartition("chunk").mapInPandas(_add, "chunk long, counts binary").collect()
     total = np.zeros((2 * SKETCH // _CHUNK, _CHUNK), np.int64)
@@ -126,6 +127,16 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
     return total.reshape(2, SKETCH)
 
 
+def prefix_list_length(sketch: np.ndarray, percent: int) -> float:
+    """Entries in the list of a prefix shingle: the frequency that 1 - t of all occurrences stay below, less what chance puts in a counter."""
+    cells = np.sort(sketch[0])
+    below = np.cumsum(cells)
+    if not below[-1]:
+        return 1.0
+    at = int(np.searchsorted(below, below[-1] * (100 - percent) / 100))
+    return float(max(1.0, cells[min(at, SKETCH - 1)] - below[-1] / SKETCH))
+
+
 def _estimate(sketch: np.ndarray, s: np.ndarray) -> np.ndarray:
     a, b = _slots(s)
     return np.minimum(sketch[0][a], sketch[1][b])
@@ -147,7 +158,7 @@ def _keys(s: np.ndarray, sketch: np.ndarray, boundary: int, percent: int) -> tup
             folded = np.full(len(subsets), c, np.uint64)
             for column in subsets.T:
                 folded = mix64(folded * np.uint64(0x9E3779B97F4A7C15) + column)
-            keys.append(folded)
+            keys.append(mix64(folded))
             at.append(np.full(len(folded), -1, np.int32))
     if partner_sizes(n, percent)[-1] > boundary:
         order = np.lexsort((s, _estimate(sketch, s)))[: prefix_length(n, percent)]
@@ -207,11 +218,8 @@ class JaccardJoin:
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.scratch = Scratch(self.spark, "jaccard")
         sketch = frequency_sketch(self.docs, width)
-        used = sketch[0].sum()
-        # Entries in the list of a random entry, less what chance puts in a counter.
-        self.list_length = float((sketch[0].astype(float) ** 2).sum() / used - used / SKETCH) if used else 1.0
-        self.boundary = choose_boundary(self.list_length, percent)
-        shared = self.spark.sparkContext.broadcast(sketch)
+        self.boundary = choose_boundary(prefix_list_length(sketch, percent), percent)
+        shared = self.spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
         described = self.docs.mapInPandas(
             partial(_describe, sketch=shared, boundary=self.boundary, percent=percent, width=width),
             "doc_id long, n long, set_key binary, keys array<long>, at array<int>, parity array<long>",
@@ -226,10 +234,12 @@ class JaccardJoin:
         one = self.classes.select("set_key", F.col("id").alias("doc_id"))
         reps = self.sets.where("n > 0").join(one, ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
         entries = self.scratch.keep(reps.select("doc_id", "n", "parity", F.arrays_zip("keys", "at").alias("entry")), "reps")
-        flat = entries.select(F.col("doc_id").alias("id"), "n", F.explode("entry").alias("e")).select(F.col("e.keys").alias("key"), (F.col("e.at") < 0).alias("light"), F.col("e.at").alias("at"), "id", "n")
-        shared = flat.groupBy("key", "light").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "light")
-        few = flat.join(shared, ["key", "light"], "left_semi")
-        return self.scratch.keep(few.join(entries.select(F.col("doc_id").alias("id"), F.col("n"), "parity"), ["id", "n"]), "lists")
+        flat = entries.select(F.col("doc_id").alias("id"), F.explode("entry").alias("e")).select(F.col("e.keys").alias("key"), F.col("e.at").alias("at"), "id")
+        shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        few = flat.join(shared, "key").join(entries.select(F.col("doc_id").alias("id"), "n", "parity"), "id")
+        lists = self.scratch.keep(few, "lists")
+        self.scratch.drop("reps")
+        return lists
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) that link, tested on the sets of the whole texts."""
@@ -243,36 +253,35 @@ class JaccardJoin:
         """Links (a, b) between class representatives: enough of them to connect all that link."""
         if self._found:
             return self._found[-1]
-        lists = self._lists()
-        links, done = self.spark.createDataFrame([], "a long, b long"), False
-        for k in range(STARS + 1):
-            if k:
-                labels = connected_components(links, self.scratch, f"round{k}")
-                live = lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            else:
-                live = lists.withColumn("comp", F.col("id"))
-            sizes = live.groupBy("key", "light", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key", "light").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-            total = sizes.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()
-            if not total[0]:
-                done = True
+        lists, links = self._lists(), self.spark.createDataFrame([], "a long, b long")
+        long = lists.where(F.col("c") > LONG)
+        for k in range(STARS):
+            live = self._with_components(long, links, f"round{k}")
+            if k:  # again only where the last round linked something
+                some = live.groupBy("key").agg(F.count_distinct("comp").alias("comps"), F.max("c").alias("c")).where("comps > 1 and 10 * comps < 9 * c")
+                live = live.join(some.select("key"), "key", "left_semi")
+            if not live.take(1):
                 break
-            live = live.join(sizes.select("key", "light"), ["key", "light"], "left_semi")
-            if k == STARS or total[1] <= DENSE * total[0]:
-                break
-            pivots = live.groupBy("key", "light").agg(F.min_by("id", F.xxhash64("id", F.lit(k))).alias("pivot"))
-            pivot_rows = live.join(pivots, ["key", "light"]).where("id = pivot").dropDuplicates(["key", "light"])
+            # Pivots differ by list, so a set meets as many as it is in long lists.
+            pivots = live.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id", F.lit(k))).alias("id"))
+            pivot_rows = live.join(pivots, ["key", "id"], "left_semi")
             pairs = self._pairs(live, pivot_rows, F.col("x.id") != F.col("y.id"))
             links = self.scratch.keep(links.union(self._verify(pairs, f"star{k}")), f"found{k}")
-        if not done:
-            live = self.scratch.keep(live, "rest")
-            links = self.scratch.keep(links.union(self._verify(self._pairs(live, live, F.col("x.id") < F.col("y.id")), "rest")), "found")
+        live = self._with_components(lists, links, "rest")
+        links = self.scratch.keep(links.union(self._verify(self._pairs(live, live, F.col("x.id") < F.col("y.id")), "rest")), "found")
         self._found.append(links)
         return links
 
+    def _with_components(self, lists: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        if not links.take(1):
+            return lists.withColumn("comp", F.col("id"))
+        labels = connected_components(links, self.scratch, name)
+        return lists.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
     def _pairs(self, left: DataFrame, right: DataFrame, which: Column) -> DataFrame:
         """Pairs of different components that a common key and the bounds allow."""
         x, y = left.alias("x"), right.alias("y")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.light") == F.col("y.light")) & which & (F.col("x.comp") != F.col("y.comp")) & _may_link(self.percent)
+        on = (F.col("x.key") == F.col("y.key")) & which & (F.col("x.comp") != F.col("y.comp")) & _may_link(self.percent)
         return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
     def components(self) -> DataFrame:
