@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, exact_dedup, jaccard_join, packing, token_file, url_filter, warc_archive
+from . import decontamination, exact_dedup, jaccard_join, language_id, packing, token_file, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op2_url_filter": url_filter.op2_url_filter,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
