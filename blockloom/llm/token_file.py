@@ -94,7 +94,10 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int, bits: int) -> np
 
 
 def _tokenize(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterator[pd.DataFrame]:
-    """Each document's ids, deflated; and, under a null blob, how often each id came up in this task."""
+    """Each document's ids, compressed; and, under a null blob, how often each id came up in this task."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     counts = np.zeros(0, np.int64)
     for pdf in batches:
@@ -104,7 +107,7 @@ def _tokenize(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterat
             seen = np.bincount(np.frombuffer(b"".join(held), "<u4"))
             counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
             counts[: len(seen)] += seen
-            out = pd.DataFrame({"doc_id": chunk["doc_id"].astype("Int64").to_numpy(), "n": [len(x) // 4 for x in held], "blob": [zlib.compress(_narrow(x), 1) for x in held], "counts": None})
+            out = pd.DataFrame({"doc_id": chunk["doc_id"].astype("Int64").to_numpy(), "n": [len(x) // 4 for x in held], "blob": [pack(_narrow(x)) for x in held], "counts": None})
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
     if len(counts):
@@ -112,13 +115,15 @@ def _tokenize(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterat
 
 
 def _narrow(ids: bytes) -> bytes:
-    """Low halves, then high halves: the latter are all zero and deflate to nothing for most vocabularies."""
+    """Low halves, then high halves: the latter are all zero and compress to nothing for most vocabularies."""
     v = np.frombuffer(ids, "<u2")
     return v[0::2].tobytes() + v[1::2].tobytes()
 
 
 def _wide(blob: bytes) -> np.ndarray:
-    halves = np.frombuffer(zlib.decompress(blob), "<u2").reshape(2, -1).astype(np.uint32)
+    import zstandard
+
+    halves = np.frombuffer(zstandard.decompress(blob), "<u2").reshape(2, -1).astype(np.uint32)
     return halves[0] | halves[1] << np.uint32(16)
 
 

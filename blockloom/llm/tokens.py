@@ -21,7 +21,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Words that a worker remembers at most.
-REMEMBER = 500_000
+REMEMBER = 1_000_000
 #: New words are encoded together, so many to a string.
 _TOGETHER = 48
 
