@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, packing, token_file, url_filter, warc_archive
+from . import decontamination, exact_dedup, jaccard_join, language_id, license_scan, packing, token_file, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable]:
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_token_file": token_file.op7_token_file,
         "op8_decontamination": decontamination.op8_decontamination,
+        "op9_license_scan": license_scan.op9_license_scan,
     }
 
 
