@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, license_scan, packing, token_file, url_filter, warc_archive
+from . import decontamination, exact_dedup, jaccard_join, language_id, license_scan, packing, secret_scan, token_file, url_filter, warc_archive
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_language_id": language_id.op1_language_id,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_warc_archive": warc_archive.op5_warc_archive,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
