@@ -95,6 +95,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return index.ingest(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one with the largest doc_id; columns as they are.
+
+    Rows that repeat doc_id and text are alike in what the operator reads; one of them stays.
+    """
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    kept = exact_dedup(docs, index).where("kept").select(name(F.col("doc_id")).alias("kept_name"), F.unhex("text_sha256").alias("kept_digest"))
+    rows = docs.withColumns({"kept_name": name(docs["doc_id"]), "kept_digest": text_digest(docs["text"])})
+    # Repeats go by the keys of the join, so they cost no shuffle of their own.
+    return rows.join(kept, ["kept_name", "kept_digest"], "left_semi").dropDuplicates(["kept_name", "kept_digest"]).select(docs.columns)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

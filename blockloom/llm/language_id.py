@@ -165,15 +165,14 @@ def reject_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE) ->
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        for pdf in batches:
-            found = [scorer.predict(t) for t in pdf["text"]]
-            yield pd.DataFrame({"text_key": pdf["text_key"], "known": [x != "und" and score >= least for x, score in found]})
+        for texts in batches:
+            found = [scorer.predict(t) for t in texts]
+            yield pd.Series([x != "und" and score >= least for x, score in found], dtype=bool)
 
-    judged = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInPandas(keep, "text_key long, known boolean")
-    rejected = judged.where(~F.col("known")).select("text_key").distinct()
-    return docs.join(rejected, F.xxhash64(docs["text"]) == F.col("text_key"), "left_anti")
+    return docs.where(known(docs["text"].cast("string")))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
