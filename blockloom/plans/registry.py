@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import decode_queries
+from . import decode_queries, rollup_queries, store_queries
 
-MODULES = (decode_queries,)
+MODULES = (decode_queries, store_queries, rollup_queries)
 
 
 def queries() -> dict[str, Callable]:
