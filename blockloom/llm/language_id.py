@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .batches import small_batches
 
 #: Bound of the sample of labelled rows that the model is fitted on.
@@ -36,7 +37,7 @@ TRAIN_ROWS = 12_000
 #: Sizes of the model.
 MOST_WORDS, MOST_GRAMS, ORDERS = 50_000, 15_000, (4, 3, 2, 1)
 #: Words that a worker keeps the scores of.
-REMEMBER = 300_000
+REMEMBER = 800_000
 #: A prediction below this is rejected by ``reject_unknown``.
 LEAST_SCORE = 0.5
 
@@ -130,6 +131,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < share)
     counted = labelled.where("text IS NOT NULL").select("lang", "text").mapInPandas(_count, "lang string, order int, gram string, n long")
     by_gram = counted.groupBy("order", "gram", "lang").agg(F.sum("n").alias("n")).groupBy("order", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
+    by_gram = Scratch(docs.sparkSession, "language").keep(by_gram, "grams")
     found = []
     for order in (0, *ORDERS):  # a top-k of each, so nothing is sorted as a whole
         found += by_gram.where(F.col("order") == order).orderBy(F.desc("total"), "gram").limit(MOST_GRAMS if order else MOST_WORDS).collect()
