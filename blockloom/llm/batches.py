@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch where the session keeps Spark's own default.
-ROWS = 1000
+#: Spark's own defaults, and what takes their place where the session keeps them: rows and bytes of a batch.
+_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b"),
+}
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ROWS))
+    """Bounds what a Python worker holds at once; a longer text is a batch of its own."""
+    for key, (default, small) in _LIMITS.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)

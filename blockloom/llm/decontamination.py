@@ -149,8 +149,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without those that contain an item of ``benchmark``."""
-    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("found_id")) & (F.xxhash64(docs["text"]) == F.col("found_key"))
+    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__found_id"), F.col("text_key").alias("__found_key")).distinct()
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__found_id")) & (F.xxhash64(docs["text"]) == F.col("__found_key"))
     return docs.join(found, on, "left_anti")
 
 

@@ -101,10 +101,10 @@ def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Rows that repeat doc_id and text are alike in what the operator reads; one of them stays.
     """
     name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
-    kept = exact_dedup(docs, index).where("kept").select(name(F.col("doc_id")).alias("kept_name"), F.unhex("text_sha256").alias("kept_digest"))
-    rows = docs.withColumns({"kept_name": name(docs["doc_id"]), "kept_digest": text_digest(docs["text"])})
+    kept = exact_dedup(docs, index).where("kept").select(name(F.col("doc_id")).alias("__kept_name"), F.unhex("text_sha256").alias("__kept_digest"))
+    rows = docs.withColumns({"__kept_name": name(docs["doc_id"]), "__kept_digest": text_digest(docs["text"])})
     # Repeats go by the keys of the join, so they cost no shuffle of their own.
-    return rows.join(kept, ["kept_name", "kept_digest"], "left_semi").dropDuplicates(["kept_name", "kept_digest"]).select(docs.columns)
+    return rows.join(kept, ["__kept_name", "__kept_digest"], "left_semi").dropDuplicates(["__kept_name", "__kept_digest"]).select(docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

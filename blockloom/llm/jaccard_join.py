@@ -300,8 +300,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id; columns as they are."""
     groups = near_duplicates(docs, percent, width)
-    dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_id"), "left_anti")
+    dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped_id"), "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

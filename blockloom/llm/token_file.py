@@ -165,6 +165,8 @@ def _write_shards(batches: Iterator[pd.DataFrame], folder: str, rank_of, bits: i
         name = f"{root}/part-{part:06d}-{made:06d}.rkvb"
         with files.open_output_stream(f"{name}.{attempt}") as f:
             f.write(body)
+        if files.get_file_info(name).is_file:  # of an earlier run of this task; some stores do not rename onto a file
+            files.delete_file(name)
         files.move(f"{name}.{attempt}", name)
         row = {"part": part, "shard": made, "docs": len(held), "ids": len(ids), "bytes": len(body)}
         made, before, held = made + 1, before + len(ids), []
