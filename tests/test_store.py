@@ -149,3 +149,33 @@ def test_pending_heights_wait_for_the_head(spark, tmp_path):
 
     assert run(1, [(1, 5, 0, None), (1, 20, 0, None), (1, None, None, 20)]) == [5]
     assert run(2, [(1, None, None, 32)]) == [5, 20]
+
+
+def test_layout_prunes_buckets(spark, tmp_path):
+    evolve.lay_out(logs(spark, 1, range(0, 100, 3)), f"{tmp_path}/laid", 10, ["value"])
+    rows = evolve.in_bucket(spark.read.parquet(f"{tmp_path}/laid"), 10, 25, 44)
+    assert sorted(r["height"] for r in rows.collect()) == [27, 30, 33, 36, 39, 42]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hb" in plan and "GreaterThanOrEqual(height,25)" in plan
+    assert len({f.split("hb=")[1].split("/")[0] for f in rows.inputFiles()}) == 10
+
+
+def test_wide_filter_pushes_bit_lengths(spark, tmp_path):
+    from blockloom.functions import words as w
+    from blockloom.operators import reads
+
+    rows = spark.range(100).select(F.lit(1).cast("bigint").alias("chain_id"), F.col("id").alias("height"), F.lit(0).cast("bigint").alias("idx"), w.word(F.col("id") * 1000).alias("v"))
+    evolve.with_bits(rows, ["v"]).write.parquet(f"{tmp_path}/wide")
+    table = spark.read.parquet(f"{tmp_path}/wide")
+    found = reads.select_events(table, QuerySpec("t", (Filter("v", "GTE", "64000"),)), reads.META_COLUMNS | {"v": "uint:256"})
+    assert found.count() == 36
+    assert "GreaterThanOrEqual(v_bits,16)" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_finalized_saturates_at_zero(spark):
+    from blockloom.operators import reads
+
+    heads = spark.createDataFrame([(1, 5), (2, 50)], "chain_id long, head long")
+    waits = spark.createDataFrame([(1, 12), (2, 12)], "chain_id long, confirmations long")
+    rows = logs(spark, 1, [0, 1]).unionByName(logs(spark, 2, [38, 39]))
+    assert sorted((r["chain_id"], r["height"]) for r in reads.finalized(rows, heads, waits).collect()) == [(1, 0), (2, 38)]
