@@ -19,19 +19,50 @@ def fetch_target(safe: Column, next_height: Column, step: int, concurrency: int,
     return F.when(must_fetch, F.least(safe, next_height + step * concurrency - 1)).otherwise(safe)
 
 
+#: Heights of a prefix-sum bucket: what a lookup reads at most.
+_BUCKET = 64
+
+
+def _prefix_sums(heights: DataFrame, spans: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Running counts inside buckets of heights, and every bucket with the count before it.
+
+    No window holds more than a bucket's heights or a chain's buckets.
+    """
+    hb = F.floor(F.col("height") / _BUCKET).cast("bigint").alias("hb")
+    counts = heights.select("chain_id", hb, "height", F.col("n").cast("bigint").alias("n"))
+    inside = Window.partitionBy("chain_id", "hb").orderBy("height").rowsBetween(Window.unboundedPreceding, 0)
+    sums = scratch.keep(counts.withColumn("upto", F.sum("n").over(inside)), "sums")
+    totals = sums.groupBy("chain_id", "hb").agg(F.sum("n").alias("n"))
+    edges = spans.select("chain_id", F.floor((F.col("lo") - 1) / _BUCKET).cast("bigint").alias("first"), F.floor(F.col("hi") / _BUCKET).cast("bigint").alias("last"))
+    known = totals.select("chain_id", F.col("hb").alias("first"), F.col("hb").alias("last"))
+    every = edges.unionByName(known).groupBy("chain_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("chain_id", F.explode(F.sequence("first", "last")).alias("hb"))
+    before = Window.partitionBy("chain_id").orderBy("hb").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = every.join(totals, ["chain_id", "hb"], "left").select("chain_id", "hb", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("before"))
+    return sums, scratch.keep(buckets, "buckets")
+
+
+def _span_counts(spans: DataFrame, sums: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Adds n, the records of each span: the running count at hi less that below lo."""
+    ends = F.array(F.struct((F.col("lo") - 1).alias("x"), F.lit(-1).alias("sign")), F.struct(F.col("hi").alias("x"), F.lit(1).alias("sign")))
+    points = spans.select("chain_id", "lo", "hi", F.explode(ends).alias("e")).select("chain_id", "lo", "hi", "e.x", "e.sign", F.floor(F.col("e.x") / _BUCKET).cast("bigint").alias("hb"))
+    below = sums.select("chain_id", "hb", F.col("height").alias("h"), "upto")
+    near = points.join(below, ["chain_id", "hb"], "left").groupBy("chain_id", "hb", "lo", "hi", "x", "sign").agg(F.max(F.when(F.col("h") <= F.col("x"), F.col("upto"))).alias("upto"))
+    at = near.join(buckets, ["chain_id", "hb"]).select("chain_id", "lo", "hi", (F.col("sign") * (F.col("before") + F.coalesce("upto", F.lit(0).cast("bigint")))).alias("n"))
+    return at.groupBy("chain_id", "lo", "hi").agg(F.sum("n").alias("n"))
+
+
 def cap_ranges(heights: DataFrame, spans: DataFrame, cap: int) -> DataFrame:
     """(chain_id, lo, hi, n): spans halved until each has fewer than ``cap`` records or is one block.
 
-    ``heights`` is (chain_id, height, n). The halving is a recursion over spans,
-    at most log2 of the longest, each pass one join of spans to prefix sums.
+    ``heights`` is (chain_id, height, n), each height once. The halving is a
+    recursion over spans, at most log2 of the longest; each pass looks prefix
+    sums up by joins on buckets of heights.
     """
     scratch = Scratch(heights.sparkSession, "ranges")
-    counts = scratch.keep(heights.select("chain_id", "height", F.col("n").cast("bigint").alias("n")), "counts")
-    open_, done, k = spans.select("chain_id", F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).where("lo <= hi"), None, 0
+    open_, done, k = spans.select("chain_id", F.col("lo").cast("bigint"), F.col("hi").cast("bigint")).where("lo <= hi").distinct(), None, 0
+    sums, buckets = _prefix_sums(heights, open_, scratch)
     while True:
-        inside = (counts["chain_id"] == open_["chain_id"]) & (counts["height"] >= open_["lo"]) & (counts["height"] <= open_["hi"])
-        counted = open_.join(counts, inside, "left").groupBy(open_["chain_id"], "lo", "hi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-        counted = scratch.keep(counted, f"pass-{k}")
+        counted = scratch.keep(_span_counts(open_, sums, buckets), f"pass-{k}")
         ready = counted.where((F.col("n") < cap) | (F.col("lo") == F.col("hi")))
         done = ready if done is None else done.unionByName(ready)
         over = counted.where((F.col("n") >= cap) & (F.col("lo") < F.col("hi")))
