@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .batches import small_batches
 from .textwords import NOT_ALNUM, windows, word_hashes
+from .workers import clear
 
 #: Positions that each mask reads: five words; each leaves some residue modulo five free.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7))
@@ -76,6 +77,7 @@ def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _hits(batches: Iterator[pd.DataFrame], masks, bitmap) -> Iterator[pd.DataFrame]:
+    clear()
     known = np.unpackbits(bitmap.value).view(np.bool_)
     for pdf in batches:
         for lo in range(0, len(pdf), 256):

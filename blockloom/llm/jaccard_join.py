@@ -44,6 +44,7 @@ from ..scratch import Scratch
 from .batches import small_batches
 from .components import connected_components
 from .textwords import mix64, shingle_set, word_hashes
+from .workers import clear
 
 #: Counters in each of the sketch's two rows.
 SKETCH = 1 << 20
@@ -95,6 +96,7 @@ def _slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    clear()
     total = np.zeros((2, SKETCH), np.int64)
     for pdf in batches:
         for lo in range(0, len(pdf), 256):
@@ -170,6 +172,7 @@ def _keys(s: np.ndarray, sketch: np.ndarray, boundary: int, percent: int) -> tup
 def _describe(batches: Iterator[pd.DataFrame], sketch, boundary: int, percent: int, width: int) -> Iterator[pd.DataFrame]:
     import hashlib
 
+    clear()
     for pdf in batches:
         out = []
         for doc_id, s in zip(pdf["doc_id"], _sets(pdf, width), strict=True):
@@ -189,6 +192,7 @@ def _exact_sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.Data
 
 
 def _linked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    clear()
     for pdf in batches:
         keep = []
         for x, y in zip(pdf["sa"], pdf["sb"], strict=True):

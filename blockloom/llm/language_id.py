@@ -20,6 +20,7 @@ learned from. Repeated rows are rows of their own. Other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .batches import small_batches
+from .workers import clear, keep
 
 #: Bound of the sample of labelled rows that the model is fitted on.
 TRAIN_ROWS = 12_000
 #: Sizes of the model.
 MOST_WORDS, MOST_GRAMS, ORDERS = 50_000, 15_000, (4, 3, 2, 1)
 #: Words that a worker keeps the scores of.
-REMEMBER = 800_000
+REMEMBER = 400_000
 #: A prediction below this is rejected by ``reject_unknown``.
 LEAST_SCORE = 0.5
 
@@ -56,6 +58,7 @@ def grams(word: str, order: int) -> list[str]:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words (order 0) and n-grams by language, as far as this task has seen."""
+    clear()
     for pdf in batches:
         seen: dict[tuple[str, int], Counter] = defaultdict(Counter)
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -73,7 +76,7 @@ class Model:
     """Log frequencies by language of known words and n-grams; smoothed by half an occurrence."""
 
     def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.tables = langs, {}
+        self.langs, self.tables, self.key = langs, {}, uuid.uuid4().hex
         for order, counts in tables.items():
             total = sum(counts.values(), np.zeros(len(langs))) + 0.5 * (len(counts) + 1)
             self.tables[order] = {g: np.log((c + 0.5) / total).astype(np.float32) for g, c in counts.items()}
@@ -103,15 +106,17 @@ class Scorer:
         if not self.model.langs or not any(w.isalpha() or any(c.isalpha() for c in w) for w in words):
             return "und", 0.0
         index = self.index
-        if len(index) > self.remember:
-            index.clear()
-        for w in set(words).difference(index):
+        new = [*set(words).difference(index)]
+        for w in new:
             if len(index) == len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
             self.rows[len(index)] = self.model.word(w)
             index[w] = len(index)
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         total = self.rows[at].sum(axis=0, dtype=np.float64)
+        if len(index) > self.remember:  # full: the last ones go again
+            for w in new:
+                del index[w]
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -145,8 +150,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(langs, tables)
 
 
-def _predict(batches: Iterator[pd.DataFrame], model, columns: list[str]) -> Iterator[pd.DataFrame]:
-    scorer = Scorer(model.value)
+def _predict(batches: Iterator[pd.DataFrame], model, key: str, columns: list[str]) -> Iterator[pd.DataFrame]:
+    scorer = keep(("language", key), lambda: Scorer(model.value))
     for pdf in batches:
         found = [scorer.predict(t) for t in pdf["text"]]
         yield pdf[columns].assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
@@ -158,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # a null id stays null on its way through pandas
-    out = rows.mapInPandas(partial(_predict, model=shared, columns=["doc_id", "held_out"]), "doc_id string, held_out boolean, lang_pred string, score double")
+    out = rows.mapInPandas(partial(_predict, model=shared, key=model.key, columns=["doc_id", "held_out"]), "doc_id string, held_out boolean, lang_pred string, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -167,9 +172,11 @@ def reject_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE) ->
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    key = model.key
+
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = keep(("language", key), lambda: Scorer(shared.value))
         for texts in batches:
             found = [scorer.predict(t) for t in texts]
             yield pd.Series([x != "und" and score >= least for x, score in found], dtype=bool)

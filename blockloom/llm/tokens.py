@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .workers import keep
+
 #: Words that a worker remembers at most.
 REMEMBER = 1_000_000
 #: New words are encoded together, so many to a string.
@@ -143,14 +145,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder; workers are used again, and keep it."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return keep(("encoder", path), lambda: Encoder(path))
