@@ -137,16 +137,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     counted = labelled.where("text IS NOT NULL").select("lang", "text").mapInPandas(_count, "lang string, order int, gram string, n long")
     by_gram = counted.groupBy("order", "gram", "lang").agg(F.sum("n").alias("n")).groupBy("order", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
     by_gram = Scratch(docs.sparkSession, "language").keep(by_gram, "grams")
-    found = []
-    for order in (0, *ORDERS):  # a top-k of each, so nothing is sorted as a whole
-        found += by_gram.where(F.col("order") == order).orderBy(F.desc("total"), "gram").limit(MOST_GRAMS if order else MOST_WORDS).collect()
-    langs = sorted({x["lang"] for r in found for x in r["by_lang"]})
+    langs = sorted(r[0] for r in by_gram.select(F.explode("by_lang.lang")).distinct().collect())
     place = {lang: k for k, lang in enumerate(langs)}
     tables: dict[int, dict[str, np.ndarray]] = {order: {} for order in (0, *ORDERS)}
-    for r in found:
-        counts = tables[r["order"]][r["gram"]] = np.zeros(len(langs))
-        for x in r["by_lang"]:
-            counts[place[x["lang"]]] = x["n"]
+    for order in (0, *ORDERS):  # a top-k of each, so nothing is sorted as a whole and one is on the driver at a time
+        for r in by_gram.where(F.col("order") == order).orderBy(F.desc("total"), "gram").limit(MOST_GRAMS if order else MOST_WORDS).select("gram", "by_lang").toLocalIterator():
+            counts = tables[order][r["gram"]] = np.zeros(len(langs), np.float32)
+            for x in r["by_lang"]:
+                counts[place[x["lang"]]] = x["n"]
     return Model(langs, tables)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .batches import small_batches
-from .tokens import encoder
+from .tokens import REMEMBER, encoder
 
 SIZE = 1024
 #: Appended to each document.
@@ -53,11 +53,11 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, size) for s in range(head, n, size))]
 
 
-def _pieces(batches: Iterator[pd.DataFrame], path: str, end_id: int, size: int, with_ids: bool) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pd.DataFrame], path: str, end_id: int, size: int, with_ids: bool, remember: int) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
     part, numbers = TaskContext.get().partitionId(), Counter()
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    enc, end = encoder(path, remember), np.array([end_id], "<u4").tobytes()
     for pdf in batches:
         for lo in range(0, len(pdf), 250):
             chunk = pdf.iloc[lo : lo + 250]
@@ -73,14 +73,14 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, end_id: int, size: int,
             yield out
 
 
-def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and ids (unsigned 32-bit, little-endian) on request.
 
     part and number tell pieces of one length apart: the task and the place in it.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(partial(_pieces, path=path, end_id=end_id, size=size, with_ids=with_ids), _PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInPandas(partial(_pieces, path=path, end_id=end_id, size=size, with_ids=with_ids, remember=remember), _PIECES + (", ids binary" if with_ids else ""))
 
 
 class _Lengths:
@@ -226,11 +226,11 @@ def _place(batches: Iterator[pd.DataFrame], slots) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="number").assign(sequence_id=sequence, offset=offset)
 
 
-def best_fit_packing(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.keep(token_pieces(docs, path, end_id, size, with_ids), "pieces")
+    pieces = scratch.keep(token_pieces(docs, path, end_id, size, with_ids, remember), "pieces")
     each = scratch.keep(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
     slots = spark.sparkContext.broadcast(_slots(plan(counts, size)))

@@ -40,7 +40,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs, tokenizer_path())
+    # Executors still hold what earlier stages needed, so fewer words are remembered here.
+    return best_fit_packing(docs, tokenizer_path(), remember=250_000)
 
 
 STAGES = [
