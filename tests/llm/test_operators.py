@@ -357,6 +357,24 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.license_scan(odd).count() == license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_does_not_depend_on_line_length():
+    rng = random.Random(3)
+    scanner = license_scan.Scanner()
+    odd_word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice([4, 16, 300])))
+    around = lambda n: " ".join(odd_word() for _ in range(n))
+    for name, templates in license_scan.TEMPLATES.items():
+        for template in templates:
+            for n in (0, 20, 40, 160, 1000):  # other words on the line, and no line feed at all
+                assert {(r[0], r[6]) for r in scanner.scan(f"{around(n)} {template} {around(n)}")} == {(name, True)}, (template, n)
+            words = template.split()
+            for k in range(license_scan.most_edits(license_scan.words_of(template))):
+                words.insert(rng.randrange(1, len(words)), odd_word())
+                assert [(r[0], r[4] + r[5] <= k + 1) for r in scanner.scan(f"{around(40)} {' '.join(words)} {around(40)}")] == [(name, True)], words
+    # Many licenses in one place are all reported, not those of the three best templates.
+    several = [license_scan.TEMPLATES[x][0] for x in ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0")]
+    assert {r[0] for r in scanner.scan(" ".join(several))} == {"Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0"}
+
+
 # pipeline ---------------------------------------------------------------------
 
 
