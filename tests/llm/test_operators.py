@@ -375,6 +375,21 @@ def test_license_scan_does_not_depend_on_line_length():
     assert {r[0] for r in scanner.scan(" ".join(several))} == {"Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0"}
 
 
+def test_license_scan_of_wrapped_and_standard_headers():
+    scanner = license_scan.Scanner()
+    free = "/*\n * This {} is free software{} you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as\n * published by the Free Software Foundation, either version {} of the\n * License, or (at your option) any later version.\n */"
+    cases = [
+        ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy", "MPL-2.0", 0, 1),
+        ("x\nDedicated to the public\ndomain under CC0 1.0.", "CC0-1.0", 1, 2),
+        (free.format("program", ":", "Affero ", 3), "AGPL-3.0", 1, 4), (free.format("library", ";", "Lesser ", 3), "LGPL-3.0", 1, 4),
+        (free.format("program", ":", "", 3), "GPL-3.0", 1, 4), (free.format("program", ";", "", 2), "GPL-2.0", 1, 4),
+    ]
+    for text, name, first, last in cases:
+        assert [r[:3] for r in scanner.scan(text)] == [(name, first, last)], text
+        assert [r[0] for r in scanner.scan(" ".join(text.split()))] == [name]
+    assert scanner.scan(free.format("library", ";", "Lesser ", "2.1")) == []  # no template of this version
+
+
 # pipeline ---------------------------------------------------------------------
 
 
