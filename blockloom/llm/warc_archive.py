@@ -9,10 +9,13 @@ the closing line breaks, byte for byte as WARC/1.1 lays it out.
 Of the records with equal payloads of at least ``min_bytes`` bytes, that with
 the smallest page_id is the response and the others revisit it; smaller ones
 are all responses. A null html is an empty payload, a null url becomes
-``about:blank``. Rows with a null page_id cannot be named and are refused; of
-rows that repeat a page_id each gets a record, the repeats of a response
-being revisits of it. Other columns are not read. An empty table makes an
-empty archive.
+``about:blank``. Pages with a null page_id get a record under an id made from
+their url and digest, and come back with a null page_id; they are the response
+only where no page with an id has the payload (that with the smallest hash of
+its url, ties by url), and its revisits then refer to a null page. Of rows that
+repeat a page_id each gets a record, the repeats of a response being revisits
+of it; so do rows without one that repeat a url and payload. Other columns are
+not read. An empty table makes an empty archive.
 
 Payloads are grouped by SHA-256 and length, and ``read_archive`` verifies the
 stored bytes against the header's SHA-1 and length, so a damaged or mixed-up
@@ -30,6 +33,8 @@ from ..scratch import Scratch
 MIN_BYTES = 0
 #: Record ids are made from the page's number under this fixed prefix.
 RECORD_ID = "urn:page:"
+#: Ids of pages without a number go on with this and a hash of url and digest.
+UNNUMBERED = "unnumbered:"
 #: Date of records whose pages come without one: fixed, so that archives are reproducible.
 DATE = "1970-01-01T00:00:00Z"
 _LINE = "\r\n"
@@ -46,7 +51,9 @@ def _payloads(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     return (
         pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-        .withColumn("page_id", F.when(F.col("page_id").isNotNull(), F.col("page_id")).otherwise(F.raise_error(F.lit("page_id is null")).cast("long")))
+        .withColumn("numbered", F.col("page_id").isNotNull())
+        # Pages without a number are told apart by their url.
+        .withColumn("page_key", F.coalesce("page_id", F.xxhash64(F.coalesce("url", F.lit("")))))
         .withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     )
 
@@ -59,34 +66,35 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
     """
     spark = pages.sparkSession
     rows = _payloads(pages)
-    meta = rows.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("sha1"))
+    meta = rows.select("page_id", "numbered", "page_key", "url", "sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("sha1"))
     meta.write.mode("overwrite").parquet(f"{path}/_meta")
     meta = spark.read.schema(meta.schema).parquet(f"{path}/_meta")
-    firsts = meta.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
+    least = lambda numbered: F.min(F.when(F.col("numbered") == numbered, F.col("page_key")))
+    firsts = meta.groupBy("sha256").agg(least(True).alias("first_id"), least(False).alias("first_key"))
+    firsts = firsts.select("sha256", F.col("first_id").isNotNull().alias("numbered"), F.coalesce("first_id", "first_key").alias("page_key"))
     # A payload is stored by the row that is the first of its digest; only ids and digests are shuffled to find it.
-    holders = firsts.select(F.col("first_id").alias("page_id"), F.col("sha256"))
-    stored = rows.join(holders, ["page_id", "sha256"], "left_semi").dropDuplicates(["page_id", "sha256"])
+    key = ["page_key", "numbered", "sha256"]
+    stored = rows.join(firsts, key, "left_semi").dropDuplicates(key)
     stored.select("sha256", base32(F.sha1("payload")).alias("sha1"), "payload").write.mode("overwrite").parquet(f"{path}/payloads")
 
-    numbered = meta.groupBy("page_id", "url", "sha256", "payload_bytes", "sha1").agg(F.count(F.lit(1)).alias("copies"))
-    numbered = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    counted = meta.groupBy("page_id", *key, "url", "payload_bytes", "sha1").agg(F.count(F.lit(1)).alias("copies"))
+    counted = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     # Ties of page_id with one digest but different urls: the smallest url is the response.
-    tie = firsts.alias("f").join(meta, (F.col("first_id") == meta["page_id"]) & (F.col("f.sha256") == meta["sha256"])).groupBy("f.sha256").agg(F.min(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first"))
-    records = numbered.join(tie, "sha256").select(
-        "page_id", "url", "copy", "sha256", "sha1", "payload_bytes", F.col("first.page_id").alias("first_id"),
-        ((F.col("payload_bytes") >= min_bytes) & ((F.col("page_id") != F.col("first.page_id")) | (F.coalesce("url", F.lit("")) != F.col("first.url")) | (F.col("copy") > 1))).alias("revisit"),
-    )
+    tie = meta.join(firsts, key, "left_semi").groupBy("sha256").agg(F.min(F.struct("page_id", "page_key", "numbered", F.coalesce("url", F.lit("")).alias("url"))).alias("first"))
+    same = (F.col("page_key") == F.col("first.page_key")) & (F.col("numbered") == F.col("first.numbered")) & (F.coalesce("url", F.lit("")) == F.col("first.url")) & (F.col("copy") == 1)
+    records = counted.join(tie, "sha256").select("page_id", "url", "sha256", "sha1", "payload_bytes", "first", ((F.col("payload_bytes") >= min_bytes) & ~same).alias("revisit"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_LINE))
-    name = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), c.cast("string"), F.lit(">"))
+    unnumbered = lambda url: F.concat(F.lit(UNNUMBERED), F.sha2(F.concat_ws(" ", F.hex("sha256"), F.coalesce(url, F.lit(""))).cast("binary"), 256))
+    name = lambda page_id, url: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(page_id.cast("string"), unnumbered(url)), F.lit(">"))
     uri = F.regexp_replace(F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.lit("about:blank")), r"[\r\n]", "%0A")
     header = F.concat(
         F.lit("WARC/1.1" + _LINE),
         field("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
-        field("WARC-Record-ID", name(F.col("page_id"))),
+        field("WARC-Record-ID", name(F.col("page_id"), F.col("url"))),
         field("WARC-Date", F.lit(DATE)),
         field("WARC-Target-URI", uri),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(F.col("revisit"), F.concat(field("WARC-Refers-To", name(F.col("first_id"))), field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
+        F.when(F.col("revisit"), F.concat(field("WARC-Refers-To", name(F.col("first.page_id"), F.col("first.url"))), field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
         field("Content-Type", F.lit("text/html; charset=utf-8")),
         field("Content-Length", F.when(F.col("revisit"), F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
         F.lit(_LINE),
@@ -101,12 +109,13 @@ def _field(name: str) -> Column:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """A row per record, from the archive alone.
 
-    Columns: page_id, record_type, target_uri, payload_digest, refers_to,
-    payload (of the response for a revisit), header. Raises where the payload
+    Columns: page_id, record_type, target_uri, payload_digest, refers_to (null
+    for a response, or where that has no page_id), payload (of the response for
+    a revisit), header. Raises where the payload
     does not have the digest or length that the header states.
     """
     headers = spark.read.parquet(f"{path}/headers").withColumn("text", F.decode("header", "UTF-8"))
-    number = lambda c: F.regexp_extract(c, rf"<{RECORD_ID}(-?\d+)>", 1).cast("long")
+    number = lambda c: F.nullif(F.regexp_extract(c, rf"<{RECORD_ID}(-?\d+)>", 1), F.lit("")).cast("long")
     records = headers.select(
         number(_field("WARC-Record-ID")).alias("page_id"),
         _field("WARC-Type").alias("record_type"),
@@ -120,7 +129,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("sound") & (F.col("found") == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.octet_length("payload") == F.col("block_bytes")))
     return records.join(stored, "sha256", "left").select(
         "page_id", "record_type", "target_uri", "payload_digest", "refers_to",
-        F.when(F.coalesce(whole, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of page "), F.col("page_id").cast("string"))).cast("binary")).alias("payload"),
+        F.when(F.coalesce(whole, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without an id")))).cast("binary")).alias("payload"),
         "header",
     )
 

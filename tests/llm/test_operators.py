@@ -208,6 +208,21 @@ def test_warc_round_trip(spark):
         warc_archive.read_archive(spark, scratch.path("d")).collect()
 
 
+def test_warc_keeps_pages_without_an_id(spark):
+    pages = [(None, "http://a/", "x"), (7, "http://b/", "x"), (None, "http://c/", "y"), (None, None, "y"), (None, None, "y"), (-3, None, None), (None, None, None)]
+    path = Scratch(spark, "warc").path("n")
+    warc_archive.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), path)
+    rows = warc_archive.read_archive(spark, path).collect()
+    assert collections.Counter((r["page_id"], bytes(r["payload"])) for r in rows) == collections.Counter((d, (h or "").encode()) for d, _, h in pages)
+    assert sorted((r["page_id"], r["refers_to"], r["record_type"], bytes(r["payload"])) for r in rows if bytes(r["payload"]) != b"y" and r["page_id"] is not None) == [(-3, None, "response", b""), (7, None, "response", b"x")]
+    assert {(r["record_type"], r["refers_to"]) for r in rows if r["page_id"] is None and bytes(r["payload"]) != b"y"} == {("revisit", -3), ("revisit", 7)}
+    assert sorted(r["record_type"] for r in rows if bytes(r["payload"]) == b"y") == ["response", "revisit", "revisit"]
+    field = lambda r, name: re.search(rf"{name}: <([^>]*)>", bytes(r["header"]).decode())[1]
+    named = {field(r, "WARC-Record-ID") for r in rows if r["record_type"] == "response"}
+    assert {field(r, "WARC-Refers-To") for r in rows if r["record_type"] == "revisit"} == named
+    assert len({field(r, "WARC-Record-ID") for r in rows}) == 6 and spark.read.parquet(f"{path}/payloads").count() == 3
+
+
 # 6 ---------------------------------------------------------------------------
 
 
