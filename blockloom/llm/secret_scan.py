@@ -1,18 +1,23 @@
 """Secrets in text: three plain patterns, and a battery of randomness tests.
 
 Everything is DataFrame work on the JVM. Patterns find assignments to password
-words, access keys and runs of hex digits. Beside them, long runs of encoding
-characters with a digit are tested for randomness under the encoding that
+words, access keys and runs of hex digits. Beside them, all long runs of encoding
+characters are tested for randomness under the encoding that
 their characters suggest (hex, base32, base62, base64, base64url): chi-squared
 uniformity over the alphabet, a runs test about its middle, and the correlation
-of neighbours, combined by Fisher's method.
+of neighbours, combined by Fisher's method. Runs that lie within a span of a
+pattern count in what follows, but are not found twice.
 
 A run counts as a secret if randomness cannot be rejected, and how much that
-means depends on its length: short runs of words and numbers often pass. So
-the level is set by length and encoding over the whole corpus: p-values of
-random runs are uniform, hence twice those above one half tells how many there
-are, and the least level is taken at which the runs beyond that number are at
-most ``FALSE_SHARE`` of what passes.
+means depends on its class: encoding, length, and whether it has a digit (words
+and names have none). So the level is set by class over the whole corpus:
+p-values of random runs are uniform, hence twice those above one half (and a
+standard deviation for chance) tells how many there are, and the least level is
+taken at which the runs beyond that number are at most ``FALSE_SHARE`` of what
+passes; at one half that always holds. A class of fewer than ``ENOUGH`` runs that
+may be random (p of ``FALLBACK`` at least) borrows those of the next lengths of
+its encoding, then of all encodings; where all are too few the level is
+``FALLBACK``. No class is without a level.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans;
 rows keep doc_id, null or repeated, as it is; ties are ordered by start, then
@@ -33,8 +38,8 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Runs that are tested: 20 encoding characters or more, one of them a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+#: Runs that are tested: 20 encoding characters or more.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = (*(k for k, *_ in PATTERNS), "random")
 #: Encodings by the first pattern that fits, and their alphabets in order.
 ENCODINGS = (
@@ -46,7 +51,9 @@ ENCODINGS = (
 )
 #: Lengths from which a new level is set.
 LENGTHS = (20, 24, 32, 48, 64, 128)
-FALSE_SHARE, BINS = 0.1, 20
+#: Levels that may be set.
+LEVELS = (0.001, 0.01, 0.02, *(k / 20 for k in range(1, 11)))
+FALSE_SHARE, FALLBACK, ENOUGH = 0.1, 0.05, 100
 
 
 def found_spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -138,21 +145,41 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def levels(tested: DataFrame) -> DataFrame:
-    """(encoding, length, level): a row per encoding and length class; random runs have p of at least the level."""
-    at = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = tested.where("encoding <> 'other'").groupBy("encoding", length_class(F.col("n")).alias("length"), at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    # One row per class with its counts by bin: a table of fixed size.
-    bins = F.array(*(F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("c"))), F.lit(0)) for b in range(BINS)))
-    held = counts.groupBy("encoding", "length").agg(bins.alias("bins"))
-    above = lambda b: F.aggregate(F.slice("bins", b + 1, BINS), F.lit(0).cast("bigint"), lambda t, c: t + c).cast("double")
-    random = 2 * above(BINS // 2)
-    level = F.lit(None).cast("double")
-    for b in range(BINS - 1, 0, -1):
-        passing = above(b)
-        false = F.greatest(F.lit(0.0), passing - random * (1 - b / BINS))
-        level = F.when((passing > 0) & (false <= FALSE_SHARE * passing), F.lit(b / BINS)).otherwise(level)
-    return held.select("encoding", "length", level.alias("level")).where("level IS NOT NULL")
+def level_of(counts: list[int]) -> float:
+    """The least level that keeps the share of false runs; counts[k] runs have p from LEVELS[k - 1] on and below LEVELS[k]."""
+    random = 2 * counts[-1]
+    random = min(sum(counts), random + random**0.5)
+    for k, level in enumerate(LEVELS[:-1]):
+        passing = sum(counts[k + 1 :])
+        if passing - random * (1 - level) <= FALSE_SHARE * passing:
+            return level
+    return LEVELS[-1]
+
+
+def class_levels(counts: dict[tuple[str, bool, int], list[int]]) -> dict[tuple[str, bool, int], float]:
+    """A level for each class (encoding, with a digit, length) of ``counts``."""
+    possible = LEVELS.index(FALLBACK) + 1
+    out = {}
+    for encoding, digit, length in counts:
+        like = {c: v for c, v in counts.items() if c[1] == digit}
+        apart = lambda c: abs(LENGTHS.index(c[2]) - LENGTHS.index(length))  # noqa: B023, E731
+        pools = [[v for c, v in like.items() if c[0] == encoding and apart(c) <= k] for k in range(len(LENGTHS))] + [list(like.values())]
+        sums = ([sum(bins) for bins in zip(*pool, strict=True)] for pool in pools)
+        out[encoding, digit, length] = next((level_of(held) for held in sums if sum(held[possible:]) >= ENOUGH), FALLBACK)
+    return out
+
+
+def levels(tested: DataFrame) -> Column:
+    """The level of a run's class; random runs have p of at least the level. Null for other encodings, which are not tested."""
+    at = sum((F.when(F.col("p") >= level, 1).otherwise(0) for level in LEVELS), F.lit(0))
+    grouped = tested.where("encoding <> 'other'").groupBy("encoding", "digit", length_class(F.col("n")).alias("length"), at.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    counts: dict[tuple[str, bool, int], list[int]] = {}
+    for r in grouped.collect():  # a row per class and bin: 840 at most
+        counts.setdefault((r["encoding"], r["digit"], r["length"]), [0] * (len(LEVELS) + 1))[r["bin"]] = r["c"]
+    out = F.lit(None).cast("double")
+    for (encoding, digit, length), level in class_levels(counts).items():
+        out = F.when((F.col("encoding") == encoding) & (F.col("digit") == digit) & (F.col("length") == length), level).otherwise(out)
+    return out
 
 
 def _joined(spans: Column) -> Column:
@@ -173,14 +200,14 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     )
     base = F.array_sort(F.concat(*(F.col(kind) for kind, *_ in PATTERNS)))
     found = found.select("doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in PATTERNS), base.alias("base"), F.arrays_zip("runs", F.col("strings")).alias("runs"))
-    clear = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["runs"]["end"]) & (r["runs"]["start"] < b["end"])))
-    found = scratch.keep(found.withColumn("runs", clear).withColumn("row_key", F.monotonically_increasing_id()), "found")
+    # Runs within a span count for the levels only; those that reach beyond one may be secrets of their own.
+    inside = lambda r: F.exists("base", lambda b: (b["start"] <= r["runs"]["start"]) & (r["runs"]["end"] <= b["end"]))
+    marked = F.transform("runs", lambda r: F.struct(r["runs"].alias("span"), r["strings"].alias("run"), inside(r).alias("inside")))
+    found = scratch.keep(found.withColumn("runs", marked).withColumn("row_key", F.monotonically_increasing_id()), "found")
 
-    runs = found.where(F.size("runs") > 0).select("row_key", F.explode("runs").alias("r")).select("row_key", F.col("r.runs").alias("span"), F.col("r.strings").alias("run"))
+    runs = found.where(F.size("runs") > 0).select("row_key", F.explode("runs").alias("r")).select("row_key", "r.*").withColumn("digit", F.col("run").rlike("[0-9]"))
     tested = scratch.keep(random_p(runs).drop("run"), "tested")
-    # A level per encoding and length: thirty rows at most.
-    level = F.broadcast(levels(tested))
-    tested = tested.withColumn("length", length_class(F.col("n"))).join(level, ["encoding", "length"]).where("p >= level")
+    tested = tested.withColumn("length", length_class(F.col("n"))).withColumn("level", levels(tested)).where("p >= level AND NOT inside")
     added = tested.groupBy("row_key").agg(F.collect_list(F.struct("span.start", "span.kind", "span.end", "p")).alias("added"))  # of one document
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int,p:double>>")
     out = found.drop("runs").join(added, "row_key", "left").withColumn("added", F.coalesce("added", nothing))

@@ -122,6 +122,39 @@ def test_secret_scan_matches_python(spark, odd, empty):
     assert secret_scan.secret_scan(empty).count() == 0
 
 
+def test_secret_levels_keep_recall_in_classes_of_any_size():
+    rng = random.Random(5)
+    bin_of = lambda p: sum(p >= level for level in secret_scan.LEVELS)
+    for n, rounds in ((1, 400), (2, 200), (5, 100), (20, 50), (100, 30), (1000, 10), (10_000, 2)):
+        caught = 0
+        for _ in range(rounds):
+            ps = [rng.random() for _ in range(n)]
+            counts = [0] * (len(secret_scan.LEVELS) + 1)
+            for p in ps:
+                counts[bin_of(p)] += 1
+            level = secret_scan.class_levels({("base62", True, 32): counts})["base62", True, 32]
+            caught += sum(p >= level for p in ps)
+        assert caught >= (0.92 if n < 1000 else 0.98) * n * rounds, (n, caught / n / rounds)
+    # A small class borrows from its neighbours; junk alone raises the level, not above one half.
+    junk, few = [0] * 4 + [500, 300] + [0] * (len(secret_scan.LEVELS) - 5), [1] + [0] * len(secret_scan.LEVELS)
+    found = secret_scan.class_levels({("base62", True, 32): junk, ("base62", True, 48): few, ("hex", False, 20): few})
+    assert found["base62", True, 48] == found["base62", True, 32] > secret_scan.FALLBACK == found["hex", False, 20]
+    assert max(found.values()) <= 0.5
+
+
+def test_lone_secrets_and_those_without_a_digit_or_beyond_a_span(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lone, beyond = draw(letters + "0123456789", 40), draw(letters + "0123456789", 40) + "0123456789abcdef" + draw(letters + "0123456789", 20)
+    rows = [(0, f"key {lone} end", None), (1, f"key {beyond} end", None), (2, "a chpfheitschverheiten word, token=abcdef0123456789abcdef0123", None)]
+    found = {r["doc_id"]: (r["n_hex"], r["n_random"]) for r in secret_scan.secret_scan(documents(spark, rows)).collect()}
+    assert found == {0: (0, 1), 1: (1, 1), 2: (1, 0)}
+    # Without a digit, in a class too small to estimate from.
+    bare = [(k, f"key {draw(letters, 21)} end", None) for k in range(40)]
+    assert sum(r["n_random"] for r in secret_scan.secret_scan(documents(spark, bare)).collect()) >= 32
+
+
 # 4 ---------------------------------------------------------------------------
 
 
