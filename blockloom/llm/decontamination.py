@@ -7,12 +7,14 @@ Spark. Each hit proposes an alignment of an item and a document, which is then
 verified word by word: an item is found where in some stretch of ``window``
 aligned words (or in the whole of a shorter item) at least ``share`` agree.
 
-Words are runs of letters and digits, lower-cased; other characters between
-them do not matter. A bitmap of fixed size of all test hashes keeps words that
+Words are runs of letters and digits of any script, lower-cased; other
+characters between them do not matter. In scripts without spaces each character
+is a word. A bitmap of fixed size of all test hashes keeps words that
 no item has out of the join; it drops no hit.
 
 Rules. Null or empty texts and items contain nothing. An item of fewer words
-than the widest mask is too short to tell and is never reported. Rows with a
+than the widest mask is found where all its words stand in a row, by a hash of
+them at its own length. Rows with a
 null doc_id are judged like others; repeated rows each give their rows; items
 that repeat an item_id are told apart by their words. Other columns are not
 read. Without items, or documents, the result is empty.
@@ -20,6 +22,7 @@ read. Without items, or documents, the result is empty.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,34 +36,52 @@ from .batches import small_batches
 from .textwords import NOT_ALNUM, windows, word_hashes
 from .workers import clear
 
-#: Positions that each mask reads: five words; each leaves some residue modulo five free.
-MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7))
+#: Positions that each mask reads: five words. The first three leave some residue modulo five free; with the
+#: last, some mask fits somewhere however the words that may differ fall in 8 to 20.
+MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7), (0, 1, 5, 6, 7))
 WINDOW, SHARE = 20, 0.8
 #: Bits of the bitmap, and bits in one of its rows.
 BITMAP, _ROW = 1 << 24, 1 << 15
 
 
+#: Beyond ASCII: what is no letter or digit, and letters of scripts without spaces.
+_APART = re.compile(r"[^\x00-\x7f\w]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def _spaced(text: str) -> str:
+    """Words beyond ASCII set apart by spaces."""
+    if text.isascii():
+        return text
+    return _UNSPACED.sub(r" \g<0> ", _APART.sub(" ", text))
+
+
 def _words(texts) -> list[np.ndarray]:
-    return word_hashes([t.lower() if isinstance(t, str) else "" for t in texts], NOT_ALNUM)
+    return word_hashes([_spaced(t.lower()) if isinstance(t, str) else "" for t in texts], NOT_ALNUM)
 
 
-def _seeds(words: np.ndarray, masks) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all masks at all positions, and the positions."""
+def _seeds(words: np.ndarray, masks, lengths=()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all masks, and of as many words as the lengths say, at all positions; and the positions."""
     hashes = [windows(words, m) ^ np.uint64(k) for k, m in enumerate(masks)]
+    hashes += [windows(words, range(n)) ^ np.uint64(len(masks) + n) for n in lengths]
     return np.concatenate(hashes), np.concatenate([np.arange(len(h)) for h in hashes])
 
 
-def _items(batches: Iterator[pd.DataFrame], widest: int) -> Iterator[pd.DataFrame]:
+def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         words = _words(pdf["text"])
-        keep = [len(w) >= widest for w in words]
+        keep = [len(w) > 0 for w in words]
         yield pd.DataFrame({"item_id": pdf["item_id"][keep], "words": [w.tobytes() for w, k in zip(words, keep, strict=True) if k]})
 
 
-def _item_seeds(batches: Iterator[pd.DataFrame], masks) -> Iterator[pd.DataFrame]:
+def _item_seeds(batches: Iterator[pd.DataFrame], masks, widest: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for item_key, held in zip(pdf["item_key"], pdf["words"], strict=True):
-            hashes, at = _seeds(np.frombuffer(held, np.uint64), masks)
+            words = np.frombuffer(held, np.uint64)
+            hashes, at = _seeds(words, masks) if len(words) >= widest else _seeds(words, masks, [len(words)])
+            # Masks that fit into a shorter item would propose it where some words differ.
+            if len(words) < widest:
+                hashes, at = hashes[-1:], at[-1:]
             yield pd.DataFrame({"hash": hashes.view(np.int64), "item_key": item_key, "item_at": at})
 
 
@@ -76,14 +97,14 @@ def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": list(rows), "bits": [np.packbits(b).tobytes() for b in rows.values()]})
 
 
-def _hits(batches: Iterator[pd.DataFrame], masks, bitmap) -> Iterator[pd.DataFrame]:
+def _hits(batches: Iterator[pd.DataFrame], masks, lengths, bitmap) -> Iterator[pd.DataFrame]:
     clear()
     known = np.unpackbits(bitmap.value).view(np.bool_)
     for pdf in batches:
         for lo in range(0, len(pdf), 256):
             part = pdf.iloc[lo : lo + 256]
             for key, words in zip(part["row_key"], _words(part["text"]), strict=True):
-                hashes, at = _seeds(words, masks)
+                hashes, at = _seeds(words, masks, lengths)
                 found = known[(hashes & np.uint64(BITMAP - 1)).astype(np.int64)]
                 if found.any():
                     yield pd.DataFrame({"hash": hashes[found].view(np.int64), "row_key": key, "at": at[found]})
@@ -130,15 +151,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
     small_batches(spark)
     scratch = Scratch(spark, "decontamination")
     widest = max(map(max, masks)) + 1
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInPandas(partial(_items, widest=widest), "item_id long, words binary")
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInPandas(_items, "item_id long, words binary")
     items = scratch.keep(items.distinct().withColumn("item_key", F.xxhash64("item_id", "words")), "items")
-    seeds = scratch.keep(items.select("item_key", "words").mapInPandas(partial(_item_seeds, masks=masks), "hash long, item_key long, item_at long"), "seeds")
+    seeds = scratch.keep(items.select("item_key", "words").mapInPandas(partial(_item_seeds, masks=masks, widest=widest), "hash long, item_key long, item_at long"), "seeds")
+    length = (F.octet_length("words") / 8).cast("int").alias("n")
+    lengths = sorted(r["n"] for r in items.select(length).where(F.col("n") < widest).distinct().collect())  # of items below the widest mask
     bitmap = np.zeros(BITMAP // 8, np.uint8)
     for r in seeds.select("hash").repartition((F.col("hash").bitwiseAND(BITMAP - 1) / _ROW).cast("int")).mapInPandas(_bits, "row long, bits binary").collect():  # BITMAP bits at most
         bitmap[r["row"] * _ROW // 8 : (r["row"] + 1) * _ROW // 8] |= np.frombuffer(r["bits"], np.uint8)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.coalesce("doc_id", "text_key"))
-    hits = rows.select("row_key", "text").mapInPandas(partial(_hits, masks=masks, bitmap=spark.sparkContext.broadcast(bitmap)), "hash long, row_key long, at long")
+    hits = rows.select("row_key", "text").mapInPandas(partial(_hits, masks=masks, lengths=lengths, bitmap=spark.sparkContext.broadcast(bitmap)), "hash long, row_key long, at long")
     aligned = hits.join(seeds, "hash").select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = aligned.groupBy("row_key", "item_key").agg(F.collect_list("shift").alias("shifts")).join(items, "item_key")
     candidates = scratch.keep(pairs.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates")

@@ -3,6 +3,8 @@
 import base64
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -390,6 +392,26 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.contaminated(empty, bench).count() == decontamination.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items_and_other_scripts(spark):
+    rng = random.Random(12)
+    chinese = "这是一个关于河流和山脉的问题请写出答案"
+    items = [(0, "Who wrote seven letters?"), (1, chinese), (2, "Thé"), (3, prose(rng, 12)), (4, "one two three four five six seven")]
+    rows = [
+        (0, "x. who  wrote\nSeven LETTERS y"), (1, "前文。" + chinese[:9] + "，" + chinese[9:] + "后文"), (2, "un\u00a0thé\u2014noir"), (3, "a\u00a0b \u201c" + items[3][1].replace(" ", "\u00a0") + "\u201d"),
+        (4, "who wrote seven"), (5, "one two three four five six eight"), (6, "théâtre"), (7, "河流和山脉"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, [(d, t, None) for d, t in rows]), bench).collect()}
+    assert found == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_masks_miss_no_substitutions():
+    for n in range(8, 21):
+        reads = [{p + o for o in m} for m in decontamination.MASKS for p in range(n - max(m))]
+        for changed in itertools.combinations(range(n), n - math.ceil(decontamination.SHARE * n - 1e-9)):
+            assert any(r.isdisjoint(changed) for r in reads), (n, changed)
+
+
 # 9 ---------------------------------------------------------------------------
 
 
