@@ -98,7 +98,7 @@ META = T.StructType([
 
 @dataclass(frozen=True)
 class Entry:
-    """An event (with topic0) or a function (with selector and contract)."""
+    """An event (with its first topic) or a function (with selector and contract)."""
 
     kind: str
     name: str

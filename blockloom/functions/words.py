@@ -93,8 +93,8 @@ def _u64(w: Column, at: int) -> Column:
 
 
 def to_long(w: Column) -> Column:
-    """A word whose value fits a signed 64-bit integer; null if it does not."""
-    return _u64(w, 25).try_cast("bigint")
+    """The low 64 bits where they fit a signed integer; null if they do not."""
+    return F.conv(F.hex(F.substring(w, 25, 8)), 16, 10).try_cast("bigint")
 
 
 def to_decimal(w: Column) -> Column:
@@ -148,16 +148,42 @@ def limbs_text(parts: Column, digits: int = 9) -> Column:
     return F.regexp_replace(text, "^0+(?=[0-9])", "")
 
 
+def _long_division_text(w: Column) -> Column:
+    """Decimal text of any word: four 64-bit limbs divided by 10**18 in decimals, five times."""
+    wide, none = "decimal(38,0)", F.array().cast("array<decimal(38,0)>")
+    power, base = F.lit(str(1 << 64)).cast("decimal(20,0)"), F.lit(str(10**18)).cast("decimal(19,0)")
+    parts = F.array(*(F.conv(F.hex(F.substring(w, 8 * k + 1, 8)), 16, 10).cast(wide) for k in range(4)))
+
+    def divide(acc: Column, _: Column) -> Column:
+        start = F.struct(none.alias("q"), F.lit(0).cast(wide).alias("r"))
+
+        def step(a: Column, x: Column) -> Column:
+            whole = (a["r"].cast("decimal(18,0)") * power).cast(wide) + x
+            low = (whole % base).cast(wide)
+            return F.struct(F.concat(a["q"], F.array(((whole.cast(wide) - low) / base).cast(wide))).alias("q"), low.alias("r"))
+
+        return F.element_at(F.transform(F.array(F.aggregate(acc["x"], start, step)), lambda d: F.struct(d["q"].alias("x"), F.concat(F.array(d["r"]), acc["out"]).alias("out"))), 1)
+
+    places = F.aggregate(F.array(*map(F.lit, range(5))), F.struct(parts.alias("x"), none.alias("out")), divide, lambda acc: acc["out"])
+    text = F.array_join(F.transform(places, lambda d: F.lpad(d.cast("string"), 18, "0")), "")
+    return F.regexp_replace(text, "^0+(?=[0-9])", "")
+
+
 def uint256_text(w: Column) -> Column:
-    return limbs_text(limbs(w))
+    """Exact decimal text. Most values have 64 or 120 bits and need one conversion or one product; only larger ones are divided."""
+    zeros = lambda n: F.substring(w, 1, n) == F.lit(bytes(n))
+    return F.when(zeros(24), F.conv(F.hex(F.substring(w, 25, 8)), 16, 10)).when(zeros(17), to_decimal(w).cast("string")).otherwise(_long_division_text(w))
 
 
 def int256_text(w: Column) -> Column:
-    """Signed: the limbs of a negative word are inverted and one is added with carry."""
+    """Signed: short negative words by their low half, others with the limbs inverted and one added with carry."""
+    low = F.lit(str(1 << 64)).cast("decimal(20,0)") - _u64(w, 25)
     start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(1).cast("bigint").alias("carry"))
     step = lambda a, x: F.struct(F.concat(F.array((LIMB - 1 - x + a["carry"]) % LIMB), a["out"]).alias("out"), _div(LIMB - 1 - x + a["carry"], LIMB).alias("carry"))
     negated = F.aggregate(F.reverse(limbs(w)), start, step, lambda a: a["out"])
-    return F.when(is_negative(w), F.concat(F.lit("-"), limbs_text(negated))).otherwise(uint256_text(w))
+    # Twenty-four bytes of ones over a low half of zero stand for -2**64, which the short way gives too.
+    short = F.when(F.substring(w, 1, 24) == F.lit(b"\xff" * 24), low.cast("string")).otherwise(limbs_text(negated))
+    return F.when(is_negative(w), F.concat(F.lit("-"), short)).otherwise(uint256_text(w))
 
 
 def limb_sums(w: Column) -> list[Column]:

@@ -26,14 +26,23 @@ def selector0() -> Column:
     return F.try_element_at("selectors", F.lit(1))
 
 
+def layouts(entries: Sequence[Entry]) -> dict[tuple[Param, ...], str]:
+    """A name for each distinct list of event parameters; events that share one are decoded by the same expressions."""
+    out: dict[tuple[Param, ...], str] = {}
+    for e in entries:
+        if e.kind == "event":
+            out.setdefault(e.params, f"v{len(out)}")
+    return out
+
+
 def routes(logs: DataFrame, entries: Sequence[Entry]) -> DataFrame:
-    """(key, table) of the events, one a topic (the later entry wins), small enough to broadcast: it grows with interfaces, not with data."""
-    held = {e.key: e for e in entries if e.kind == "event"}
-    return logs.sparkSession.createDataFrame([(bytearray(k), e.table, e.name) for k, e in held.items()], "key binary, table string, event string")
+    """(key, table, event, layout) of the events, one a topic (the later entry wins), small enough to broadcast: it grows with interfaces, not with data."""
+    held, named = {e.key: e for e in entries if e.kind == "event"}, layouts(entries)
+    return logs.sparkSession.createDataFrame([(bytearray(k), e.table, e.name, named[e.params]) for k, e in held.items()], "key binary, table string, event string, layout string")
 
 
 def route_events(logs: DataFrame, entries: Sequence[Entry]) -> DataFrame:
-    """Logs of known events with table and event; no selector, one of another length than 32 or an unknown one is skipped."""
+    """Logs of known events with table, event and layout; no selector, one of another length than 32 or an unknown one is skipped."""
     known = logs.where(F.octet_length(selector0()) == 32).withColumn("key", selector0())
     return known.join(F.broadcast(routes(logs, entries)), "key").drop("key")
 
@@ -78,16 +87,21 @@ def text_value(word: Column, kind: str) -> Column:
 
 
 def _small(word: Column) -> Column:
-    """An offset or length of up to 31 bits; null beyond, so that the row is quarantined."""
-    return F.when(F.hex(F.substring(word, 1, 28)) == "0" * 56, F.conv(F.hex(F.substring(word, 29, 4)), 16, 10).try_cast("int"))
+    """An offset, length or count of up to 32 bits as a long, so that sums of them cannot overflow; null beyond, so that the row is quarantined."""
+    return F.when(F.hex(F.substring(word, 1, 28)) == "0" * 56, F.conv(F.hex(F.substring(word, 29, 4)), 16, 10).try_cast("bigint"))
+
+
+def _cut(data: Column, at: Column, size: Column | int) -> Column:
+    """``size`` bytes from the ``at``-th on; null where a long goes beyond what bytes can have."""
+    return F.substring(data, (at + 1).try_cast("int"), F.lit(size) if isinstance(size, int) else size.try_cast("int"))
 
 
 def payload(data: Column, head: int) -> tuple[Column, Column]:
     """(bytes, whether they are all there) of a dynamic value whose offset is the head-th word."""
     at = _small(w.word_at(data, head))
-    size = _small(F.substring(data, at + 1, F.lit(32)))
+    size = _small(_cut(data, at, 32))
     whole = (F.octet_length(w.word_at(data, head)) == 32) & (at + 32 <= F.octet_length(data)) & (at + 32 + size <= F.octet_length(data))
-    return F.substring(data, at + 33, size), F.coalesce(whole, F.lit(False))
+    return _cut(data, at + 32, size), F.coalesce(whole, F.lit(False))
 
 
 def head_words(p: Param) -> int:
@@ -129,7 +143,7 @@ def _decode_json(data: bytes, at: int, p: Param, base: int):
         inner = Param("", p.type[: p.type.rindex("[")], components=p.components)
         held = p.type[p.type.rindex("[") + 1 : -1]
         n = int(held) if held else int.from_bytes(word(at))
-        if n * 32 > len(data) and head_words(inner):
+        if n > len(data) or n * 32 > len(data) and head_words(inner):
             raise ValueError("out of data")
         return sequence([inner] * n, at if held else at + 32)
     if p.type.startswith("("):
@@ -161,7 +175,7 @@ def json_udf(p: Param, head: int):
                 try:
                     start = int.from_bytes(data[32 * head : 32 * head + 32]) if is_dynamic(p) else 32 * head
                     out.append(json.dumps(_decode_json(bytes(data), start, p, 0), separators=(",", ":"), ensure_ascii=False))
-                except (ValueError, TypeError):
+                except (ValueError, TypeError, OverflowError):
                     out.append(None)
             yield pd.Series(out, dtype=object)
 
@@ -172,14 +186,14 @@ def array_value(data: Column, p: Param, head: int) -> tuple[Column, Column]:
     """JSON text of a one-level array of static elements, and whether it is all there."""
     kind, _, held = p.type[:-1].rpartition("[")
     if held:
-        n, start = F.lit(int(held)), F.lit(32 * head)
+        n, start = F.lit(int(held)).cast("bigint"), F.lit(32 * head).cast("bigint")
     else:
         at = _small(w.word_at(data, head))
-        n, start = _small(F.substring(data, at + 1, F.lit(32))), at + 32
+        n, start = _small(_cut(data, at, 32)), at + 32
     whole = F.coalesce(start + n * 32 <= F.octet_length(data), F.lit(False))
-    element = lambda k: text_value(F.substring(data, start + k * 32 + 1, F.lit(32)), kind)
+    element = lambda k: text_value(_cut(data, start + k * 32, 32), kind)
     # sequence(0, -1) counts down, so an empty array is a case of its own.
-    items = F.when(whole & (n > 0), F.transform(F.sequence(F.lit(0), n - 1), element))
+    items = F.when(whole & (n > 0), F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), element))
     return F.when(n == 0, F.lit("[]")).otherwise(F.to_json(items)), whole
 
 
@@ -243,6 +257,33 @@ def quarantine(logs: DataFrame, entry: Entry) -> DataFrame:
     return logs.where((selector0() == F.lit(entry.key)) & ~fits).withColumn("table", F.lit(entry.table)).withColumn("reason", reason)
 
 
+META = ["chain_id", "height", "block_hash", "block_time", "tx_id", "idx", "address"]
+
+
+def decode_all(logs: DataFrame, entries: Sequence[Entry]) -> DataFrame:
+    """All events in one pass over the logs: meta columns, table, reason (null where the log fits) and a struct of values for each layout, null but for the log's own."""
+    routed, named = route_events(logs, entries), layouts(entries)
+    reason, values = F.lit(None).cast("string"), []
+    for params, name in named.items():
+        mine = F.col("layout") == name
+        entry = next(e for e in entries if e.params == params and e.kind == "event")
+        # A Python function is called for every row, so it gets no bytes of other layouts.
+        data = F.when(mine, F.col("data")) if any(p.logical == "json" for p in params) else F.col("data")
+        columns, fits = columns_of(entry, data, F.col("selectors"))
+        why = F.when(F.size("selectors") != 1 + sum(p.indexed for p in params), "topic count").otherwise("data")
+        reason = F.when(mine, F.when(~fits, why)).otherwise(reason)
+        if columns:
+            values.append(F.when(mine & fits, F.struct(*columns)).alias(name))
+    meta = [F.lit(None).cast("timestamp").alias(c) if c == "block_time" else c for c in META]
+    return routed.select(*meta, "table", reason.alias("reason"), *values)
+
+
+def typed_rows(decoded: DataFrame, entries: Sequence[Entry], entry: Entry) -> DataFrame:
+    """One event's rows of ``decode_all`` under its own columns."""
+    held = decoded.where((F.col("table") == entry.table) & F.col("reason").isNull())
+    return held.select(*META, *([f"{layouts(entries)[entry.params]}.*"] if entry.params else []))
+
+
 def decode_calls(transactions: DataFrame, entry: Entry) -> DataFrame:
     """Typed rows of one function's direct calls: routed on (to_addr, first four bytes), a row per transaction."""
     values, fits = columns_of(entry, F.expr("substring(input, 5)"), None)

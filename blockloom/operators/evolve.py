@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..catalog import Entry
 from ..functions import words as w
 
 
@@ -46,23 +48,66 @@ def evolve_read(table: DataFrame, wanted: T.StructType, allow_destructive: bool
     return table.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted))
 
 
-def with_bits(rows: DataFrame, wide: list[str]) -> DataFrame:
+def additions(stored: T.StructType | None, written: T.StructType) -> list[T.StructField]:
+    """Columns that a write adds to a table; a changed type is refused. A column that the write lacks is null in its rows."""
+    bad = [c for c in diff(stored, written) if c.kind == "retype"] if stored is not None else []
+    if bad:
+        raise DestructiveChange(", ".join(f"{c.kind} {c.column}" for c in bad))
+    have = set(stored.names) if stored is not None else set()
+    return [T.StructField(f.name, f.dataType) for f in written if f.name not in have]
+
+
+def wide_columns(entry: Entry) -> list[str]:
+    """Unsigned columns of more than 120 bits, which are stored as words."""
+    return [p.column for p in entry.params if p.logical.startswith("uint:") and int(p.logical[5:]) > 120]
+
+
+def stored_schema(entry: Entry) -> T.StructType:
+    """The entry's columns as the store writes them."""
+    return T.StructType([*entry.schema().fields, *(T.StructField(f"{c}_bits", T.LongType()) for c in wide_columns(entry))])
+
+
+def is_bits(column: str, schema: T.StructType) -> bool:
+    """Whether a column is the bit length of another one."""
+    base = column.removesuffix("_bits")
+    return base != column and base in schema.names and isinstance(schema[base].dataType, T.BinaryType) and isinstance(schema[column].dataType, T.LongType)
+
+
+def with_bits(rows: DataFrame, wide: Sequence[str]) -> DataFrame:
     """Adds ``<column>_bits`` of wide unsigned columns, which Parquet can filter by range."""
-    return rows.withColumns({f"{c}_bits": w.bit_length(F.col(c)) for c in wide})
+    return rows.withColumns({f"{c}_bits": w.bit_length(F.col(c)) for c in wide}) if wide else rows
+
+
+#: Slices of a bucket that may be written by tasks of their own.
+SLICES = 64
+
 
+def lay_out(rows: DataFrame, path: str, bucket: int, indexed: Sequence[str] = (), below: Sequence[str] = (), mode: str = "overwrite") -> None:
+    """Writes by chain and height bucket, in order of height, with bloom filters on the join key and indexed columns.
 
-def lay_out(rows: DataFrame, path: str, bucket: int, indexed: list[str] = ()) -> None:
-    """Writes by chain and height bucket, in order of height, with bloom filters on the join key and indexed columns."""
-    writer = rows.withColumn("hb", F.floor(F.col("height") / bucket).cast("bigint")).repartition("chain_id", "hb").sortWithinPartitions("height", "idx").write.mode("overwrite").partitionBy("chain_id", "hb")
+    ``below`` are columns whose folders lie under the bucket's. A busy bucket is
+    dealt by slices of its heights, which Spark joins where they are small.
+    """
+    by_key = [c for c in ("height", "idx") if c in rows.columns]
+    slices = F.floor(F.col("height") / max(1, bucket // SLICES))
+    laid = rows.withColumn("hb", F.floor(F.col("height") / bucket).cast("bigint")).repartition("chain_id", slices).sortWithinPartitions("chain_id", "hb", *by_key)
+    writer = laid.write.mode(mode).partitionBy("chain_id", "hb", *below)
     for c in ("tx_id", *indexed):
-        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        if c in rows.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
     writer.parquet(path)
 
 
-def in_bucket(rows: DataFrame, bucket: int, lo: int | None, hi: int | None) -> DataFrame:
-    """The rows of a height range; the bucket predicate comes with it, so files are pruned."""
+def bucket_filter(bucket: int, lo: int | None, hi: int | None) -> Column:
+    """Heights of a range; the bucket predicate comes with it, so files are pruned."""
+    out = F.lit(True)
     if lo is not None:
-        rows = rows.where((F.col("hb") >= lo // bucket) & (F.col("height") >= lo))
+        out &= (F.col("hb") >= lo // bucket) & (F.col("height") >= lo)
     if hi is not None:
-        rows = rows.where((F.col("hb") <= hi // bucket) & (F.col("height") <= hi))
-    return rows
+        out &= (F.col("hb") <= hi // bucket) & (F.col("height") <= hi)
+    return out
+
+
+def in_bucket(rows: DataFrame, bucket: int, lo: int | None, hi: int | None) -> DataFrame:
+    """The rows of a height range of a laid out table."""
+    return rows.where(bucket_filter(bucket, lo, hi))

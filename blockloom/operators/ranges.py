@@ -110,7 +110,3 @@ def density_ewma(ranges: DataFrame) -> DataFrame:
 
 def height_counts(logs: DataFrame) -> DataFrame:
     return logs.groupBy("chain_id", "height").agg(F.count(F.lit(1)).alias("n"))
-
-
-def running(by: str, *order: str):
-    return Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -52,14 +53,19 @@ class Page:
     end_cursor: str | None = None
 
 
-def format_cursor(height: Column, idx: Column) -> Column:
-    return F.concat_ws(":", height, idx)
+def format_cursor(height: Column, idx: Column, chain_id: Column | None = None) -> Column:
+    """``h:i`` within a chain, ``h:i:c`` over several."""
+    return F.concat_ws(":", height, idx, *(() if chain_id is None else (chain_id,)))
 
 
-def parse_cursor(cursor: str) -> tuple[int, int]:
-    if not (m := re.fullmatch(r"([+-]?\d+):([+-]?\d+)", cursor)):
+def parse_cursor(cursor: str) -> tuple[int, int, int | None]:
+    """Height, place and, where the cursor is over several chains, chain."""
+    if not (m := re.fullmatch(r"([+-]?\d+):([+-]?\d+)(?::([+-]?\d+))?", cursor)):
         raise BadQuery(f"bad cursor: {cursor}")
-    return int(m[1]), int(m[2])
+    found = tuple(int(x) if x is not None else None for x in m.groups())
+    if any(x is not None and not -(1 << 63) <= x < 1 << 63 for x in found):
+        raise BadQuery(f"bad cursor: {cursor}")
+    return found
 
 
 def parse_cursor_column(c: Column) -> Column:
@@ -107,6 +113,10 @@ def literal(value: str, logical: str) -> Column:
     if kind in ("address", "bytes"):
         return F.lit(_hex(value))
     if kind == "timestamp":
+        try:
+            datetime.fromisoformat(value)
+        except ValueError as bad:
+            raise BadQuery(f"bad timestamp: {value}") from bad
         return F.lit(value).cast("timestamp")
     return F.lit(value)
 
@@ -125,7 +135,8 @@ def bits_prefilter(f: Filter, columns: dict[str, str]) -> Column | None:
     if not columns.get(f.column, "").startswith("uint") or int(columns[f.column].split(":")[1]) <= 120:
         return None
     bits, c = int(f.value).bit_length(), F.col(f"{f.column}_bits")
-    return {"EQ": c == bits, "GT": c >= bits, "GTE": c >= bits, "LT": c <= bits, "LTE": c <= bits}.get(f.op)
+    found = {"EQ": c == bits, "GT": c >= bits, "GTE": c >= bits, "LT": c <= bits, "LTE": c <= bits}.get(f.op)
+    return None if found is None else c.isNull() | found  # rows from before the table had bit lengths
 
 
 def columns_of(entry: Entry) -> dict[str, str]:
@@ -143,10 +154,31 @@ def predicate(spec: QuerySpec, columns: dict[str, str], stored: list[str] = ())
 
 
 def keyset(after: str, descending: bool) -> Column:
-    """Rows beyond a cursor, spelt out so that height reaches the Parquet scan."""
-    height, idx = parse_cursor(after)
-    h, i = F.col("height"), F.col("idx")
-    return (h <= height) & ((h < height) | (i < idx)) if descending else (h >= height) & ((h > height) | (i > idx))
+    """Rows beyond a cursor in order of (height, idx, chain_id), spelt out so that height reaches the Parquet scan.
+
+    A cursor without a chain is one within a single chain.
+    """
+    height, idx, chain = parse_cursor(after)
+    beyond = (lambda c, x: F.col(c) < x) if descending else (lambda c, x: F.col(c) > x)
+    tie = beyond("idx", idx)
+    if chain is not None:
+        tie |= (F.col("idx") == idx) & beyond("chain_id", chain)
+    reached = F.col("height") <= height if descending else F.col("height") >= height
+    return reached & (beyond("height", height) | tie)
+
+
+def height_bounds(spec: QuerySpec) -> tuple[int | None, int | None]:
+    """Lowest and highest height that a request can read, its cursor included."""
+    lo, hi = spec.from_height, spec.to_height
+    if spec.after is not None:
+        height = parse_cursor(spec.after)[0]
+        lo, hi = (lo, min(height, hi if hi is not None else height)) if spec.descending else (max(height, lo if lo is not None else height), hi)
+    return lo, hi
+
+
+def end_cursor(row: T.Row, spec: QuerySpec) -> str:
+    """Where the next page goes on: with the chain, unless the request has a single one."""
+    return ":".join(str(row[c]) for c in (("height", "idx") if spec.chain_id is not None else ("height", "idx", "chain_id")))
 
 
 def select_events(table: DataFrame, spec: QuerySpec, columns: dict[str, str]) -> DataFrame:
@@ -158,16 +190,29 @@ def select_events(table: DataFrame, spec: QuerySpec, columns: dict[str, str]) ->
 def page_rows(table: DataFrame, spec: QuerySpec, columns: dict[str, str]) -> DataFrame:
     """The rows of a page and one more, in order; ties across chains are ordered by chain."""
     rows = select_events(table, spec, columns)
+    if spec.after is not None and spec.chain_id is None and parse_cursor(spec.after)[2] is None:
+        raise BadQuery("a cursor over several chains names its chain")
     if spec.after is not None:
         rows = rows.where(keyset(spec.after, spec.descending))
     order = [F.col(c).desc() if spec.descending else F.col(c).asc() for c in ("height", "idx", "chain_id")]
     return rows.orderBy(*order).limit(clamp_first(spec.first) + 1)
 
 
+def take_page(rows: DataFrame) -> DataFrame:
+    """A page as a table of its own. It is read once, and has ``MOST_FIRST`` rows and one at most."""
+    held = rows.collect()
+    if len(held) > MOST_FIRST + 1:
+        raise ValueError("not a page")
+    return rows.sparkSession.createDataFrame(held, rows.schema)
+
+
 def nest(page: DataFrame, other: DataFrame, name: str) -> DataFrame:
-    """``other`` joined on (chain_id, tx_id) as one nested column, null where there is no row. The page is small: it is the side to broadcast."""
+    """``other`` joined on (chain_id, tx_id) as one nested column, null where there is no row.
+
+    The page is one that ``take_page`` made, so broadcasting it is safe; what it matches is as small.
+    """
     key = ["chain_id", "tx_id"]
-    held = [c for c in other.columns if c not in ("commit_seq", "hb", "batch_id")]
+    held = [c for c in other.columns if c not in ("hb", "write_id")]
     side = other.select(*key, F.struct(*held).alias(name))
     wanted = side.join(F.broadcast(page.select(*key).distinct()), key, "left_semi")
     return page.join(wanted, key, "left").select(*page.columns, name)
@@ -178,15 +223,17 @@ def read_page(table: DataFrame, spec: QuerySpec, columns: dict[str, str], transa
     if spec.table == "receipts":
         raise BadQuery("receipts are read through their transactions")
     rows = page_rows(table, spec, columns)
-    for other, name, wanted in ((transactions, "transaction", spec.with_transaction), (receipts, "receipt", spec.with_receipt)):
-        if wanted and other is not None:
+    sides = [(o, name) for o, name, wanted in ((transactions, "transaction", spec.with_transaction), (receipts, "receipt", spec.with_receipt)) if wanted and o is not None]
+    if sides:
+        rows = take_page(rows)
+        for other, name in sides:
             rows = nest(rows, other, name)
     order = [F.col(c).desc() if spec.descending else F.col(c).asc() for c in ("height", "idx", "chain_id")]
     held = rows.orderBy(*order).collect()
     first = clamp_first(spec.first)
     more = len(held) > first
     held = held[:first]
-    return Page(held, more, f"{held[-1]['height']}:{held[-1]['idx']}" if more else None)
+    return Page(held, more, end_cursor(held[-1], spec) if more else None)
 
 
 def total_count(table: DataFrame, spec: QuerySpec, columns: dict[str, str]) -> int:

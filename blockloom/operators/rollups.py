@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,17 @@ def call_cost(calls: DataFrame) -> DataFrame:
     return priced.drop("unit", "by_count", "num", "den")
 
 
+#: What a message must name for each class of error, the first that fits, and for an error of too many results.
+ERROR_WORDS = {"429": ("429", "too many requests", "limit"), "timeout": ("timeout", "timed out"), "5xx": ("503", "502"), "connection": ("connection",)}
+RANGE_CAP_WORDS = ("more than", "too large", "response size", "range is too", "query timeout")
+
+
 def error_class(message: Column) -> Column:
     """429, timeout, 5xx, connection or other: the first that the message names."""
-    m = F.lower(message)
-    named = lambda *words: F.greatest(*(m.contains(x) for x in words)) if len(words) > 1 else m.contains(words[0])
-    return F.when(named("429", "too many requests", "limit"), "429").when(named("timeout", "timed out"), "timeout").when(named("503", "502"), "5xx").when(named("connection"), "connection").otherwise("other")
+    m, out = F.lower(message), F.lit("other")
+    for name, words in reversed(ERROR_WORDS.items()):
+        out = F.when(reduce(or_, (m.contains(x) for x in words)), name).otherwise(out)
+    return out
 
 
 def is_transient(message: Column) -> Column:
@@ -46,7 +55,7 @@ def is_transient(message: Column) -> Column:
 
 def is_range_cap(message: Column) -> Column:
     """Whether an error says that a range had too many results, so that it should be split."""
-    return F.lower(message).rlike("more than|too large|response size|range is too|query timeout")
+    return F.lower(message).rlike("|".join(RANGE_CAP_WORDS))
 
 
 def error_counts(calls: DataFrame) -> DataFrame:

@@ -1,25 +1,42 @@
 """An append-only store of raw and typed tables with one visibility log.
 
-Tables are Parquet, partitioned by chain, height bucket and batch. Nothing is
-updated in place: a row of the ``commits`` log makes a batch visible, or hides
-all rows of a chain (and table) from a height upward that came before it. The
-log grows with batches, not rows. One writer per chain; a batch is written
-first and its marker last, so a reader sees whole batches or none, and a batch
-that is written again under its id replaces itself.
+Tables are Parquet, partitioned by chain, height bucket and write. Nothing is
+updated in place. Each attempt to write a batch has a ``write_id`` of its own,
+and a row of the commit log names it: files of attempts that died are named by
+no row and stay invisible, whatever numbers later batches get. Other rows of
+the log hide what came before them: a rollback all rows of a chain from a
+height upward, a replace or a compaction those of one table in a range. A
+batch's rows of the log are one file that appears at once, after its data, so
+a reader sees whole batches or none.
+
+The log grows with batches, not rows, and is joined by ``write_id`` only. One
+writer per chain. Schemas of tables are rows of the log too, so that no file
+is opened to learn them.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import time
+import uuid
+from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..catalog import Entry
+from ..files import Files
+from . import evolve, reads
+
 #: Heights of a bucket.
 BUCKET = 100_000
-COMMITS = "commit_seq long, kind string, batch_id string, table string, chain_id long, from_height long, to_height long, last_height long, last_hash binary, rows long"
+LOG = "commit_seq long, kind string, batch_id string, write_id string, table string, chain_id long, from_height long, to_height long, last_height long, last_hash binary, rows long, detail string"
 KEY = ["chain_id", "height", "idx"]
+Range = tuple[int, int, int]  # chain_id, from_height, to_height
 
 
 # --- rules over tables ------------------------------------------------------
@@ -48,18 +65,40 @@ def union_optional(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def hides(commits: DataFrame) -> DataFrame:
-    """What rollbacks and replaces hide: (chain_id, table, lo, hi, seq); table null means all, hi null means upward."""
-    return commits.where("kind IN ('rollback', 'replace')").select("chain_id", "table", F.col("from_height").alias("lo"), F.when(F.col("kind") == "replace", F.col("to_height")).alias("hi"), F.col("commit_seq").alias("seq"))
+def with_cut(entries: DataFrame, commits: DataFrame) -> DataFrame:
+    """Adds cut to rows of the log: the lowest height that a later rollback of their chain took away; null if none.
+
+    A window over rows of the log of one chain.
+    """
+    later = Window.partitionBy("chain_id").orderBy(F.desc("commit_seq")).rangeBetween(Window.unboundedPreceding, -1)
+    back = commits.where("kind = 'rollback'").select("chain_id", "commit_seq", F.col("from_height").alias("_f"))
+    both = entries.withColumn("_own", F.lit(True)).unionByName(back, allowMissingColumns=True)
+    return both.withColumn("cut", F.min("_f").over(later)).where("_own").drop("_f", "_own")
+
+
+def live_writes(commits: DataFrame, table: str) -> DataFrame:
+    """(chain_id, write_id, seq, cut, gone) of the committed writes of a table.
+
+    From cut upward its rows were rolled back; gone are the ranges that later replaces or compactions hold instead.
+    """
+    own = F.col("table").isNull() | (F.col("table") == table)
+    named = commits.where(F.col("kind").isin("ingest", "decode", "replace", "compact") & F.col("write_id").isNotNull() & own)
+    writes = named.groupBy("chain_id", "write_id").agg(F.max("commit_seq").alias("commit_seq"), F.min("from_height").alias("lo"), F.max("to_height").alias("hi"))
+    writes = with_cut(writes, commits).where("cut IS NULL OR lo < cut")
+    # A compaction holds what was there up to its own number, a replace what was there before it.
+    over = commits.where(F.col("kind").isin("replace", "compact") & (F.col("table") == table))
+    over = over.select("chain_id", F.col("write_id").alias("by"), F.col("from_height").alias("o_lo"), F.col("to_height").alias("o_hi"), F.when(F.col("kind") == "compact", F.col("commit_seq")).otherwise(F.col("commit_seq") - 1).alias("upto"))
+    covered = (writes["chain_id"] == over["chain_id"]) & (writes["write_id"] != over["by"]) & (writes["commit_seq"] <= over["upto"]) & (writes["lo"] <= over["o_hi"]) & (writes["hi"] >= over["o_lo"])
+    whole = F.max((F.col("o_lo") <= writes["lo"]) & (F.col("o_hi") >= writes["hi"]))
+    gone = writes.join(over, covered).groupBy(writes["chain_id"], writes["write_id"]).agg(F.collect_list(F.struct("o_lo", "o_hi")).alias("gone"), whole.alias("whole"))
+    return writes.join(gone, ["chain_id", "write_id"], "left").where("whole IS NULL OR NOT whole").select("chain_id", "write_id", F.col("commit_seq").alias("seq"), "cut", "gone")
 
 
 def visible(rows: DataFrame, commits: DataFrame, table: str) -> DataFrame:
-    """Rows of committed batches that no later rollback or replace covers. ``rows`` have chain_id, height, commit_seq."""
-    committed = commits.where("kind IN ('ingest', 'decode', 'replace')").select("commit_seq").distinct()
-    out = rows.join(F.broadcast(committed), "commit_seq", "left_semi")
-    h = hides(commits).where(F.col("table").isNull() | (F.col("table") == table))
-    covered = (out["chain_id"] == h["chain_id"]) & (out["height"] >= h["lo"]) & (h["hi"].isNull() | (out["height"] <= h["hi"])) & (out["commit_seq"] < h["seq"])
-    return out.join(F.broadcast(h), covered, "left_anti")
+    """Rows of committed writes that nothing later hides, with the write's seq. ``rows`` have chain_id, height and write_id."""
+    hidden = F.exists("gone", lambda g: F.col("height").between(g["o_lo"], g["o_hi"]))
+    shown = (F.col("cut").isNull() | (F.col("height") < F.col("cut"))) & ~F.coalesce(hidden, F.lit(False))
+    return rows.join(live_writes(commits, table), ["chain_id", "write_id"]).where(shown).select(*rows.columns, "seq")
 
 
 def delete_from_height(rows: DataFrame, chain_id: int, from_height: int) -> DataFrame:
@@ -69,22 +108,20 @@ def delete_from_height(rows: DataFrame, chain_id: int, from_height: int) -> Data
 
 def clip_ranges(commits: DataFrame) -> DataFrame:
     """Ingested ranges with what later rollbacks took off their ends; those that they took whole are gone."""
-    ranges = commits.where("kind = 'ingest'").select("chain_id", "commit_seq", F.col("from_height").alias("lo"), F.col("to_height").alias("hi"), F.col("last_height").alias("best_height"), F.col("last_hash").alias("best_hash"))
-    back = commits.where("kind = 'rollback'").select("chain_id", F.col("from_height").alias("f"), F.col("commit_seq").alias("seq"))
-    cut = ranges.join(back, (ranges["chain_id"] == back["chain_id"]) & (back["seq"] > ranges["commit_seq"]), "left").groupBy(ranges["chain_id"], "commit_seq", "lo", "hi", "best_height", "best_hash").agg(F.min("f").alias("f"))
-    cut = cut.withColumn("hi", F.least("hi", F.coalesce(F.col("f") - 1, F.col("hi")))).where("lo <= hi")
+    ranges = commits.where("kind = 'ingest'").select("chain_id", "commit_seq", F.col("from_height").alias("lo"), F.col("to_height").alias("hi"), F.col("last_height").alias("best_height"), F.col("last_hash").alias("best_hash"), "rows")
+    cut = with_cut(ranges, commits).withColumn("hi", F.least("hi", F.coalesce(F.col("cut") - 1, F.col("hi")))).where("lo <= hi")
     above = F.col("best_height") > F.col("hi")
-    return cut.select("chain_id", "lo", "hi", F.when(~above, F.col("best_height")).alias("best_height"), F.when(~above, F.col("best_hash")).alias("best_hash"))
+    return cut.select("chain_id", "commit_seq", "lo", "hi", F.when(~above, F.col("best_height")).alias("best_height"), F.when(~above, F.col("best_hash")).alias("best_hash"), "rows")
 
 
 def _reach(ranges: DataFrame, start: DataFrame | None) -> DataFrame:
     """Ranges in order with the end of what comes before them in their chain."""
     if start is not None:
-        ranges = ranges.join(F.broadcast(start), "chain_id")
+        ranges = ranges.join(start, "chain_id")
     else:
         ranges = ranges.withColumn("start", F.min("lo").over(Window.partitionBy("chain_id")))
     before = Window.partitionBy("chain_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("reach", F.coalesce(F.max("hi").over(before), F.col("start") - 1))
+    return ranges.withColumn("reach", F.greatest(F.coalesce(F.max("hi").over(before), F.col("start") - 1), F.col("start") - 1))
 
 
 def contiguous_prefix(ranges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -107,11 +144,30 @@ def range_gaps(ranges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return _reach(ranges, start).where("lo > reach + 1").select("chain_id", (F.col("reach") + 1).alias("gap_lo"), (F.col("lo") - 1).alias("gap_hi"))
 
 
+def uncovered(ranges: DataFrame, spans: DataFrame) -> DataFrame:
+    """(chain_id, lo, hi): what of the spans (chain_id, next, target) no range covers."""
+    starts = spans.select("chain_id", F.col("next").alias("start"))
+    ends = spans.select("chain_id", (F.col("target") + 1).alias("lo"), (F.col("target") + 1).alias("hi"))
+    gaps = range_gaps(ranges.select("chain_id", "lo", "hi").unionByName(ends), starts)
+    within = gaps.join(spans, "chain_id").where("gap_lo <= target")
+    return within.select("chain_id", F.col("gap_lo").alias("lo"), F.least("gap_hi", "target").alias("hi"))
+
+
 def decode_backlog(commits: DataFrame) -> DataFrame:
-    """Ingested ranges with rows that were not decoded: (chain_id, from_height, to_height), each once."""
+    """Ingested ranges with rows that were not decoded: (chain_id, from_height, to_height, commit_seq, latest), each once.
+
+    commit_seq is the number of the first ingest of the range, latest that of the last.
+
+    A range ends where a later rollback cut it. Only the marker of table ``*``
+    says that a range is decoded, and only if it came after the last ingest of
+    the range: rows that were landed again are decoded again.
+    """
     key = ["chain_id", "from_height", "to_height"]
-    ingested = commits.where("kind = 'ingest' AND rows > 0").select(*key, "commit_seq").groupBy(*key).agg(F.min("commit_seq").alias("commit_seq"))
-    return ingested.join(commits.where("kind = 'decode'").select(*key), key, "left_anti")
+    ranges = clip_ranges(commits).where("rows > 0").select("chain_id", F.col("lo").alias("from_height"), F.col("hi").alias("to_height"), "commit_seq")
+    ranges = ranges.groupBy(*key).agg(F.min("commit_seq").alias("commit_seq"), F.max("commit_seq").alias("latest"))
+    done = commits.where("kind = 'decode' AND table = '*'").select("chain_id", "from_height", F.col("to_height").alias("d_to"), F.col("commit_seq").alias("d_seq"))
+    found = (ranges["chain_id"] == done["chain_id"]) & (ranges["from_height"] == done["from_height"]) & (done["d_to"] >= ranges["to_height"]) & (done["d_seq"] > ranges["latest"])
+    return ranges.join(done, found, "left_anti")
 
 
 def oldest_pending(backlog: DataFrame) -> DataFrame:
@@ -120,6 +176,11 @@ def oldest_pending(backlog: DataFrame) -> DataFrame:
     return backlog.groupBy("chain_id").agg(F.count(F.lit(1)).alias("depth"), oldest.alias("o")).select("chain_id", "depth", "o.from_height", "o.to_height")
 
 
+def highest(blocks: DataFrame) -> DataFrame:
+    """(chain_id, height, hash) of each chain's highest block."""
+    return blocks.groupBy("chain_id").agg(F.max_by(F.struct("height", "hash"), "height").alias("b")).select("chain_id", "b.height", "b.hash")
+
+
 def fanout_counts(rows: DataFrame) -> DataFrame:
     """Decoded rows by chain and target table."""
     return rows.groupBy("chain_id", "table").agg(F.count(F.lit(1)).alias("n"))
@@ -135,6 +196,14 @@ def first_tx_location(logs: DataFrame) -> DataFrame:
     return logs.groupBy("chain_id", "tx_id").agg(first.alias("at")).select("chain_id", "tx_id", "at.height", "at.idx")
 
 
+def _hull(ranges: Sequence[Range]) -> list[Range]:
+    """One range a chain that holds all of its."""
+    chains: dict[int, list[int]] = {}
+    for c, lo, hi in ranges:
+        chains.setdefault(c, []).extend((lo, hi))
+    return [(c, min(ends), max(ends)) for c, ends in chains.items()]
+
+
 # --- the store on disk ------------------------------------------------------
 
 
@@ -143,104 +212,288 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, bucket: int = BUCKET):
         self.spark, self.root, self.bucket = spark, root.rstrip("/"), bucket
+        self.files = Files(spark)
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    # the log
 
     def commits(self) -> DataFrame:
-        path = f"{self.root}/commits"
-        return self.spark.read.schema(COMMITS).json(path) if self._exists(path) else self.spark.createDataFrame([], COMMITS)
-
-    def next_seq(self) -> int:
-        return (self.commits().agg(F.max("commit_seq")).first()[0] or 0) + 1
-
-    def write(self, table: str, rows: DataFrame, batch_id: str, seq: int) -> None:
-        """The files of a batch; they stay invisible until its marker is there. Writing a batch again replaces it."""
-        laid = rows.withColumns({"commit_seq": F.lit(seq).cast("bigint"), "hb": F.floor(F.col("height") / self.bucket).cast("bigint"), "batch_id": F.lit(batch_id)})
-        by_key = [c for c in ("height", "idx") if c in laid.columns]
-        (
-            laid.repartition("chain_id", "hb").sortWithinPartitions("chain_id", "hb", *by_key)
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "chain_id", "hb").parquet(f"{self.root}/{table}")
-        )
-
-    def mark(self, seq: int, kind: str, batch_id: str, table: str | None, chain_id: int, lo: int, hi: int | None, last: tuple[int, bytes] | None = None, rows: int = 0) -> None:
-        """One row of the log, in a file named by its batch so that a retry replaces it."""
-        row = (seq, kind, batch_id, table, chain_id, lo, hi, last and last[0], last and bytearray(last[1]), rows)
-        self.spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("overwrite").json(f"{self.root}/commits/batch={batch_id}")
-
-    def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
-        """Visible rows."""
-        path = f"{self.root}/{table}"
-        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("commit_seq", T.LongType()), T.StructField("hb", T.LongType()), T.StructField("batch_id", T.StringType())])) if schema else self.spark.read.option("mergeSchema", "true")
-        return visible(reader.parquet(path), self.commits(), table).drop("commit_seq", "hb", "batch_id")
+        """The log: the latest packed part and the files since."""
+        frames = []
+        packed = sorted(p for p, _ in self.files.glob(f"{self.root}/packed/*/_SUCCESS"))
+        if packed:
+            frames.append(self.spark.read.schema(LOG).parquet(packed[-1].rpartition("/")[0]))
+        if self.files.glob(f"{self.root}/log/*.json"):
+            frames.append(self.spark.read.schema(LOG).json(f"{self.root}/log/*.json"))
+        if not frames:
+            return self.spark.createDataFrame([], LOG)
+        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1]).distinct()
+
+    def pack_log(self) -> None:
+        """Rewrites the log as one table; its files stay until the next time, for those who are reading them."""
+        old = sorted(p for p, _ in self.files.glob(f"{self.root}/packed/*"))
+        held = [p for p, _ in self.files.glob(f"{self.root}/log/*.json")]
+        had = {r[0] for r in self.spark.read.schema(LOG).parquet(old[-1]).select("batch_id").distinct().collect()} if old and held else set()
+        n = int(old[-1].rpartition("/")[2]) + 1 if old else 0
+        self.commits().coalesce(1).write.parquet(f"{self.root}/packed/{n:08d}")
+        for path in held:
+            if self._batch_of(path) in had:
+                self.files.delete(path)
+        for path in old[:-1]:
+            self.files.delete(path)
+
+    @staticmethod
+    def _name(batch_id: str) -> str:
+        return base64.urlsafe_b64encode(batch_id.encode()).decode().rstrip("=")
+
+    @staticmethod
+    def _batch_of(path: str) -> str:
+        name = path.rpartition("/")[2].removesuffix(".json")
+        return base64.urlsafe_b64decode(name + "=" * (-len(name) % 4)).decode()
+
+    def commit(self, batch_id: str, rows: Sequence[dict]) -> None:
+        """Rows of the log in one file that appears at once; a retry of the batch replaces it."""
+        encoded = lambda v: base64.b64encode(v).decode() if isinstance(v, (bytes, bytearray)) else v
+        lines = (json.dumps({k: encoded(v) for k, v in {"batch_id": batch_id, **row}.items() if v is not None}) for row in rows)
+        self.files.put(f"{self.root}/log/{self._name(batch_id)}.json", "\n".join(lines) + "\n")
+
+    def _state(self, commits: DataFrame, batch_id: str) -> tuple[int, int | None, dict[str, T.StructType]]:
+        """The next number, that of the batch if it is committed, and the tables' schemas."""
+        held = commits.where((F.col("kind") == "schema") | (F.col("batch_id") == batch_id)).orderBy("commit_seq").collect()  # a row a change of a table
+        last = commits.agg(F.max("commit_seq")).first()[0] or 0
+        done = next((r["commit_seq"] for r in held if r["batch_id"] == batch_id), None)
+        return last + 1, done, self._schemas(held)
+
+    @staticmethod
+    def _schemas(rows) -> dict[str, T.StructType]:
+        out: dict[str, T.StructType] = {}
+        for r in rows:
+            if r["kind"] == "schema":
+                have = out.get(r["table"], T.StructType())
+                more = T.StructType.fromJson(json.loads(r["detail"]))
+                out[r["table"]] = T.StructType([*have.fields, *(f for f in more.fields if f.name not in have.names)])
+        return out
+
+    def schemas(self) -> dict[str, T.StructType]:
+        """Tables and their columns, without those of the layout."""
+        return self._schemas(self.commits().where("kind = 'schema'").orderBy("commit_seq").collect())
 
     def has(self, table: str) -> bool:
-        return self._exists(f"{self.root}/{table}")
+        return self.commits().where((F.col("kind") == "schema") & (F.col("table") == table)).limit(1).count() > 0
 
-    def ingest(self, batch_id: str, chain_id: int, lo: int, hi: int, logs: DataFrame, blocks: DataFrame, aux: dict[str, DataFrame] | None = None) -> int:
-        """Raw logs (first wins), blocks (last wins on read) and transactions, receipts last, then the marker - with or without rows."""
-        done = self.commits().where((F.col("batch_id") == batch_id) & (F.col("kind") == "ingest")).first()
-        seq = done["commit_seq"] if done else self.next_seq()
-        fresh = first_wins(logs, KEY, ["tx_id"])
-        if self.has("raw_records"):
-            held = self.read("raw_records").where((F.col("chain_id") == chain_id) & F.col("height").between(lo, hi))
-            fresh = fresh if done else fresh.join(held.select(*KEY), KEY, "left_anti")
-        if not done:
-            self.write("raw_records", fresh, batch_id, seq)
-            self.write("blocks", blocks.dropDuplicates(["chain_id", "height"]), batch_id, seq)
-            for name in ("transactions", "receipts"):
-                if aux and name in aux:
-                    self.write(name, aux[name].dropDuplicates(["chain_id", "tx_id"]), batch_id, seq)
-            best = blocks.where(F.col("height").between(lo, hi)).agg(F.max_by(F.struct("height", "hash"), "height").alias("b")).first()["b"]
-            n = self.read_raw_count(batch_id)
-            self.mark(seq, "ingest", batch_id, None, chain_id, lo, hi, (best["height"], bytes(best["hash"])) if best else None, n)
+    # tables
+
+    def _write(self, table: str, rows: DataFrame, write_id: str, schemas: dict[str, T.StructType], entry: Entry | None = None) -> list[dict]:
+        """The files of a write; returns rows of the log for columns that the table gets with it. A changed type is refused."""
+        if entry is not None:
+            rows = evolve.with_bits(rows, evolve.wide_columns(entry))
+        added = evolve.additions(schemas.get(table), rows.schema)
+        evolve.lay_out(rows.withColumn("write_id", F.lit(write_id)), f"{self.root}/{table}", self.bucket, [p.column for p in entry.params if p.indexed] if entry else (), ["write_id"], "append")
+        schemas[table] = T.StructType([*schemas.get(table, T.StructType()).fields, *added])
+        return [{"kind": "schema", "table": table, "detail": T.StructType(added).json()}] if added else []
+
+    def _scan(self, table: str, schema: T.StructType, spans: Sequence[tuple[int, int | None, int | None]] = ()) -> DataFrame:
+        """All rows of a table's files with write_id; of the spans (chain_id, lo, hi) only, if given, by folder and bucket."""
+        path = f"{self.root}/{table}"
+        full = T.StructType([*schema.fields, T.StructField("hb", T.LongType()), T.StructField("write_id", T.StringType())])
+        paths = [f"{path}/chain_id={c}" for c in {c for c, _, _ in spans}] if spans else [path]
+        paths = [p for p in paths if self.files.exists(p)]
+        if not paths:
+            return self.spark.createDataFrame([], full)
+        rows = self.spark.read.schema(full).option("basePath", path).parquet(*paths).select(full.names)
+        if spans:
+            rows = rows.where(reduce(or_, ((F.col("chain_id") == c) & evolve.bucket_filter(self.bucket, lo, hi) for c, lo, hi in spans)))
+        return rows
+
+    def read(self, table: str, chain_id: int | None = None, lo: int | None = None, hi: int | None = None, bits: bool = False) -> DataFrame:
+        """Visible rows, of a chain and heights if given; ``bits`` keeps the columns that help filters on wide integers."""
+        commits = self.commits()
+        schema = self._schemas(commits.where((F.col("kind") == "schema") & (F.col("table") == table)).orderBy("commit_seq").collect()).get(table)
+        if schema is None:
+            raise ValueError(f"no table {table}")
+        rows = self._scan(table, schema, [(chain_id, lo, hi)] if chain_id is not None else ())
+        if chain_id is None:
+            rows = rows.where(evolve.bucket_filter(self.bucket, lo, hi))
+        return visible(rows, commits, table).select([c for c in schema.names if bits or not evolve.is_bits(c, schema)])
+
+    def evolve(self, entry: Entry, dry_run: bool = False) -> list[evolve.Change]:
+        """What brings a typed table to its catalog entry; additions take effect at once, anything else is refused.
+
+        Rows written before have null in added columns until a resync replaces them.
+        """
+        wanted = evolve.stored_schema(entry)
+        seq, _, schemas = self._state(self.commits(), "")
+        changes = evolve.diff(schemas.get(entry.table), wanted)
+        if not dry_run and changes:
+            added = evolve.additions(schemas.get(entry.table), wanted)
+            self.commit(f"schema-{entry.table}-{seq}", [{"commit_seq": seq, "kind": "schema", "table": entry.table, "detail": T.StructType(added).json()}])
+        return changes
+
+    def _ranges(self, ranges: Sequence[Range]) -> DataFrame:
+        """The ranges by height bucket: (chain_id, hb, lo, hi)."""
+        frame = self.spark.createDataFrame([tuple(r) for r in ranges], "chain_id long, lo long, hi long")
+        buckets = F.sequence(F.floor(F.col("lo") / self.bucket), F.floor(F.col("hi") / self.bucket))
+        return frame.select("chain_id", F.explode(buckets).alias("hb"), "lo", "hi")
+
+    def _inside(self, rows: DataFrame, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
+        keyed = rows.withColumn("_hb", F.floor(F.col("height") / self.bucket))
+        on = (keyed["chain_id"] == ranges["chain_id"]) & (keyed["_hb"] == ranges["hb"]) & keyed["height"].between(ranges["lo"], ranges["hi"])
+        if how == "left_semi":
+            return keyed.join(ranges, on, how).drop("_hb")
+        return keyed.join(ranges, on, how).select(*(keyed[c] for c in rows.columns), ranges["lo"], ranges["hi"])
+
+    def ingest_ranges(self, batch_id: str, ranges: Sequence[Range], logs: DataFrame, blocks: DataFrame, aux: dict[str, DataFrame] | None = None, settles: str | None = None) -> int:
+        """Lands disjoint ranges in one write: raw logs (first wins), blocks (last wins on read), transactions, receipts last.
+
+        The log gets a row a range, with or without rows of data, so that the
+        cursor moves over ranges in which nothing matched. Rows outside the
+        ranges are left. A batch that is committed is not landed again. Rows of
+        the ranges in the table that it ``settles`` are hidden from then on.
+        """
+        commits = self.commits()
+        seq, done, schemas = self._state(commits, batch_id)
+        if done is not None:
+            return done
+        write_id, spans = f"{self._name(batch_id)}.{uuid.uuid4().hex}", self._ranges(ranges)
+        fresh = first_wins(self._inside(logs, spans), KEY, ["tx_id"])
+        if "raw_records" in schemas:
+            held = visible(self._scan("raw_records", schemas["raw_records"], _hull(ranges)), commits, "raw_records")
+            fresh = fresh.join(held.select(*KEY), KEY, "left_anti")
+        frames = {"raw_records": fresh, "blocks": self._inside(blocks, spans).dropDuplicates(["chain_id", "height"])}
+        frames |= {name: self._inside(aux[name], spans).dropDuplicates(["chain_id", "tx_id"]) for name in ("transactions", "receipts") if aux and name in aux}
+        log = [row for name, rows in frames.items() for row in self._write(name, rows, write_id, schemas)]
+        counts = self._written("raw_records", write_id, schemas).groupBy("chain_id", "height").agg(F.count(F.lit(1)).alias("n"))
+        n = {(r["chain_id"], r["lo"]): r["n"] for r in self._inside(counts, spans, "inner").groupBy("chain_id", "lo").agg(F.sum("n").alias("n")).collect()}  # a row a range
+        tops = self._inside(self._written("blocks", write_id, schemas).select("chain_id", "height", "hash"), spans, "inner")
+        best = {(r["chain_id"], r["lo"]): r["b"] for r in tops.groupBy("chain_id", "lo").agg(F.max_by(F.struct("height", "hash"), "height").alias("b")).collect()}
+        for c, lo, hi in ranges:
+            b = best.get((c, lo))
+            log.append({"kind": "ingest", "write_id": write_id, "chain_id": c, "from_height": lo, "to_height": hi, "last_height": b and b["height"], "last_hash": b and bytes(b["hash"]), "rows": n.get((c, lo), 0)})
+            if settles is not None:
+                log.append({"kind": "replace", "write_id": write_id, "table": settles, "chain_id": c, "from_height": lo, "to_height": hi})
+        self.commit(batch_id, [{"commit_seq": seq, **row} for row in log])
         return seq
 
-    def read_raw_count(self, batch_id: str) -> int:
-        path = f"{self.root}/raw_records/batch_id={batch_id}"
-        return self.spark.read.parquet(path).count() if self._exists(path) else 0
+    def ingest(self, batch_id: str, chain_id: int, lo: int, hi: int, logs: DataFrame, blocks: DataFrame, aux: dict[str, DataFrame] | None = None) -> int:
+        """``ingest_ranges`` of one range."""
+        return self.ingest_ranges(batch_id, [(chain_id, lo, hi)], logs, blocks, aux)
+
+    def _written(self, table: str, write_id: str, schemas: dict[str, T.StructType]) -> DataFrame:
+        """The rows of one write."""
+        path = f"{self.root}/{table}"
+        paths = f"{path}/chain_id=*/hb=*/write_id={write_id}"
+        schema = schemas[table]
+        return self.spark.read.schema(schema).option("basePath", path).parquet(paths).select(schema.names) if self.files.glob(paths) else self.spark.createDataFrame([], schema)
 
-    def blocks(self) -> DataFrame:
+    def blocks(self, chain_id: int | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """Visible blocks, the last write of each height."""
-        rows = visible(self.spark.read.parquet(f"{self.root}/blocks"), self.commits(), "blocks")
-        return last_wins(rows, ["chain_id", "height"], ["commit_seq"]).drop("commit_seq", "hb", "batch_id")
+        commits = self.commits()
+        schema = self._schemas(commits.where("kind = 'schema' AND table = 'blocks'").orderBy("commit_seq").collect())["blocks"]
+        rows = self._scan("blocks", schema, [(chain_id, lo, hi)] if chain_id is not None else ())
+        return last_wins(visible(rows, commits, "blocks"), ["chain_id", "height"], ["seq"]).select(schema.names)
 
     def raw_range(self, chain_id: int, lo: int, hi: int) -> DataFrame:
         """Visible raw records of a chain and range, in order; the bucket prunes files."""
-        rows = visible(self.spark.read.parquet(f"{self.root}/raw_records"), self.commits(), "raw_records")
-        return rows.where((F.col("chain_id") == chain_id) & F.col("hb").between(lo // self.bucket, hi // self.bucket) & F.col("height").between(lo, hi)).drop("commit_seq", "hb", "batch_id").orderBy("height", "idx")
+        return self.read("raw_records", chain_id, lo, hi).orderBy("height", "idx")
+
+    def read_ranges(self, table: str, ranges: Sequence[Range], bits: bool = False) -> DataFrame:
+        """Visible rows of disjoint ranges, in one scan of the folders that they touch."""
+        commits = self.commits()
+        schema = self._schemas(commits.where((F.col("kind") == "schema") & (F.col("table") == table)).orderBy("commit_seq").collect()).get(table)
+        if schema is None:
+            raise ValueError(f"no table {table}")
+        rows = visible(self._scan(table, schema, _hull(ranges)), commits, table).select([c for c in schema.names if bits or not evolve.is_bits(c, schema)])
+        return rows if len(ranges) == len({c for c, _, _ in ranges}) else self._inside(rows, self._ranges(ranges))
+
+    def put_tables(self, batch_id: str, ranges: Sequence[Range], tables: dict[str, tuple[DataFrame, Entry | None]], mode: str = "insert_missing", whole: bool = False) -> dict[str, int]:
+        """Decoded rows of disjoint ranges, several tables at once: ``insert_missing`` keeps what is stored, ``replace`` hides it.
 
-    def put_typed(self, table: str, rows: DataFrame, batch_id: str, chain_id: int, lo: int, hi: int, mode: str = "insert_missing") -> int:
-        """Decoded rows of a range: ``insert_missing`` keeps what is stored, ``replace`` hides it."""
+        ``whole`` marks the ranges as decoded (table ``*``). Returns the rows added by table.
+        """
         if mode not in ("insert_missing", "replace"):
             raise ValueError(mode)
-        seq = self.next_seq()
-        rows = first_wins(rows, KEY, ["tx_id"])
-        if mode == "insert_missing" and self.has(table):
-            rows = rows.join(self.read(table).where((F.col("chain_id") == chain_id) & F.col("height").between(lo, hi)).select(*KEY), KEY, "left_anti")
-        self.write(table, rows, batch_id, seq)
-        self.mark(seq, "replace" if mode == "replace" else "decode", batch_id, table, chain_id, lo, hi)
-        return seq
+        commits = self.commits()
+        seq, done, schemas = self._state(commits, batch_id)
+        if done is not None:
+            return {r["table"]: r["rows"] for r in commits.where((F.col("batch_id") == batch_id) & F.col("rows").isNotNull()).select("table", "rows").collect()}
+        write_id, log, added = f"{self._name(batch_id)}.{uuid.uuid4().hex}", [], {}
+        for table, (rows, entry) in tables.items():
+            rows = first_wins(rows, KEY, ["tx_id"])
+            if mode == "insert_missing" and table in schemas:
+                held = visible(self._scan(table, schemas[table], _hull(ranges)), commits, table)
+                rows = rows.join(held.select(*KEY), KEY, "left_anti")
+            log += self._write(table, rows, write_id, schemas, entry)
+            added[table] = self._written(table, write_id, schemas).count()  # from the footers
+            of_all = {"rows": added[table]}  # said once
+            for c, lo, hi in ranges:
+                log.append({"kind": "replace" if mode == "replace" else "decode", "write_id": write_id, "table": table, "chain_id": c, "from_height": lo, "to_height": hi, **of_all})
+                of_all = {}
+        for c, lo, hi in ranges if whole else ():
+            log.append({"kind": "decode", "table": "*", "chain_id": c, "from_height": lo, "to_height": hi})
+        self.commit(batch_id, [{"commit_seq": seq, **row} for row in log])
+        return added
+
+    def put_pending(self, batch_id: str, logs: DataFrame) -> None:
+        """Raw logs that wait for their height in ``pending_logs``; a rollback hides them like others."""
+        spans = logs.groupBy("chain_id").agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()  # a row a chain
+        seq, done, schemas = self._state(self.commits(), batch_id)
+        if done is None and spans:
+            write_id = f"{self._name(batch_id)}.{uuid.uuid4().hex}"
+            log = self._write("pending_logs", logs, write_id, schemas)
+            log += [{"kind": "decode", "write_id": write_id, "table": "pending_logs", "chain_id": r["chain_id"], "from_height": r["lo"], "to_height": r["hi"]} for r in spans]
+            self.commit(batch_id, [{"commit_seq": seq, **row} for row in log])
+
+    def put_typed(self, table: str, rows: DataFrame, batch_id: str, chain_id: int, lo: int, hi: int, mode: str = "insert_missing", entry: Entry | None = None) -> int:
+        """``put_tables`` of one table; the range does not count as decoded."""
+        return self.put_tables(batch_id, [(chain_id, lo, hi)], {table: (rows, entry)}, mode)[table]
+
+    def events(self, entry: Entry, spec: reads.QuerySpec) -> DataFrame:
+        """The page that a request asks of a stored table, and one row more; heights and wide integers prune the scan."""
+        lo, hi = reads.height_bounds(spec)
+        return reads.page_rows(self.read(entry.table, spec.chain_id, lo, hi, bits=True), spec, reads.columns_of(entry))
 
     def rollback(self, batch_id: str, chain_id: int, from_height: int) -> int:
         """Hides all rows of a chain from a height upward in every table; rows landed later are visible again."""
-        seq = self.next_seq()
-        self.mark(seq, "rollback", batch_id, None, chain_id, from_height, None)
-        return seq
+        seq, done, _ = self._state(self.commits(), batch_id)
+        if done is None:
+            self.commit(batch_id, [{"commit_seq": seq, "kind": "rollback", "chain_id": chain_id, "from_height": from_height}])
+        return done or seq
 
     def cursor(self, start: DataFrame | None = None) -> DataFrame:
         return contiguous_prefix(clip_ranges(self.commits()), start)
 
-    def compact(self, table: str, batch_id: str) -> None:
-        """Rewrites a table's visible rows as one batch that keeps each row's place in the log, and drops the rest.
+    # maintenance
+
+    def compact(self, table: str, chain_id: int, batch_id: str) -> None:
+        """Rewrites a chain's visible rows of a table as one write, which from its row of the log on stands for all before it.
 
-        The new files are written beside the table and moved into its place.
+        Nothing is deleted here, so a crash at any point loses nothing; ``vacuum`` removes what is no longer shown.
         """
-        rows = visible(self.spark.read.parquet(f"{self.root}/{table}"), self.commits(), table)
-        new, old = f"{self.root}/_{table}-{batch_id}", f"{self.root}/{table}"
-        rows.withColumn("batch_id", F.lit(batch_id)).repartition("chain_id", "hb").sortWithinPartitions("height").write.mode("overwrite").partitionBy("batch_id", "chain_id", "hb").parquet(new)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        files = path(old).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(path(old), True)
-        files.rename(path(new), path(old))
+        commits = self.commits().where((F.col("chain_id") == chain_id) | F.col("chain_id").isNull())
+        _, done, schemas = self._state(commits, batch_id)
+        last = commits.agg(F.max("commit_seq")).first()[0]
+        again = commits.where((F.col("kind") == "compact") & (F.col("table") == table) & (F.col("commit_seq") == last)).limit(1).count()
+        if done is not None or last is None or again or table not in schemas:
+            return  # done, or nothing came since the last time
+        rows = visible(self._scan(table, schemas[table], [(chain_id, None, None)]), commits, table)
+        if table == "blocks":
+            rows = last_wins(rows, ["chain_id", "height"], ["seq"])
+        write_id = f"{self._name(batch_id)}.{uuid.uuid4().hex}"
+        self._write(table, rows.select(schemas[table].names), write_id, schemas)
+        span = self._written(table, write_id, schemas).agg(F.min("height").alias("lo"), F.max("height").alias("hi")).first()
+        ends = commits.where("kind <> 'schema'").agg(F.min("from_height"), F.greatest(F.max("to_height"), F.max("last_height"))).first()
+        lo, hi = min(x for x in (span["lo"], ends[0]) if x is not None), max(x for x in (span["hi"], ends[1]) if x is not None)
+        self.commit(batch_id, [{"commit_seq": last, "kind": "compact", "write_id": write_id, "table": table, "chain_id": chain_id, "from_height": lo, "to_height": hi}])
+
+    def vacuum(self, table: str, older_than: float = 7 * 86400) -> int:
+        """Deletes folders of writes that show no row any more, and of attempts that no row of the log names, if they are old enough for no job to be at them."""
+        commits = self.commits()
+        packed = commits.where((F.col("kind") == "compact") & (F.col("table") == table)).groupBy("chain_id").agg(F.max("commit_seq").alias("upto"), F.max_by("write_id", "commit_seq").alias("by"))
+        live = live_writes(commits, table).join(packed, "chain_id", "left").where("upto IS NULL OR seq > upto OR write_id = by")
+        shown = {(r["chain_id"], r["write_id"]) for r in live.select("chain_id", "write_id").collect()}  # a row a write
+        removed = 0
+        for path, changed in self.files.glob(f"{self.root}/{table}/chain_id=*/hb=*/write_id=*"):
+            held = int(path.split("/chain_id=")[1].split("/")[0]), path.rpartition("write_id=")[2]
+            if held not in shown and time.time() - changed > older_than:
+                self.files.delete(path)
+                removed += 1
+        return removed

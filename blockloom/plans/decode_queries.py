@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import catalog_frame, read_abi, union_catalogs
 from ..functions import words as w
 from ..operators import decode, reads
+from ..scratch import Scratch
 from ..sources import landing
 from . import sample as s
 from .sample import BLOCKS, EVENTS, ORDERS, hex_of
@@ -127,9 +126,9 @@ def unrouted_logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, d: str) -> DataFrame:
-    """All events of the shop in one frame, with their table."""
-    raw = s.logs(spark, d)
-    return reduce(DataFrame.unionByName, (decode.decode_events(raw, e).withColumn("table", F.lit(e.table)) for e in s.SHOP))
+    """All events of the shop in one frame, with their table: one pass over the logs, one layout."""
+    (layout,) = decode.layouts(s.SHOP).values()
+    return decode.decode_all(s.logs(spark, d), s.SHOP).where("reason IS NULL").select(*decode.META, "table", f"{layout}.*")
 
 
 @query("decode_static_events", f"WITH {EVENTS} SELECT 'evt_shop_' || event_type AS table_name, chain_id, height, idx, CAST(user_id AS VARCHAR) AS user_id, CAST(cents AS VARCHAR) AS cents FROM ev WHERE event_type <> 'error'")
@@ -142,15 +141,35 @@ def decode_dynamic_string(spark: SparkSession, d: str) -> DataFrame:
     return decoded(spark, d).select("chain_id", "height", "idx", "props")
 
 
+_MOST = 2**31 - 1
+
+
 @query("decode_quarantine", f"""WITH {EVENTS}
-SELECT chain_id, height, idx, CASE WHEN event_id % 5 = 0 THEN 'topic count' ELSE 'data' END AS reason FROM ev WHERE event_type = 'purchase' AND (event_id % 5 = 0 OR event_id % 7 = 0)""")
+SELECT chain_id, height, idx, CASE WHEN event_id % 5 = 0 THEN 'topic count' ELSE 'data' END AS reason FROM ev WHERE event_type = 'purchase' AND (event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 IN (0, 1))""")
 def decode_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    """Of the purchases every fifth has a topic too many and every seventh has its data cut short."""
+    """Of the purchases every fifth has a topic too many, every seventh has its data cut short, and some an offset or a length of 2**31 - 1."""
     n = F.col("height") * 10 + F.col("idx")
-    raw = s.logs(spark, d).withColumns({"selectors": F.when(n % 5 == 0, F.array_append("selectors", w.word(n))).otherwise(F.col("selectors")), "data": F.when(n % 7 == 0, F.expr("substring(data, 1, length(data) - 32)")).otherwise(F.col("data"))})
+    most = w.word(F.lit(_MOST))
+    odd = F.when(n % 7 == 0, F.expr("substring(data, 1, length(data) - 32)")).when(n % 11 == 0, F.concat(F.expr("substring(data, 1, 32)"), most, F.expr("substring(data, 65)")))
+    odd = odd.when(n % 11 == 1, F.concat(F.expr("substring(data, 1, 64)"), most, F.expr("substring(data, 97)"))).otherwise(F.col("data"))
+    raw = s.logs(spark, d).withColumns({"selectors": F.when(n % 5 == 0, F.array_append("selectors", w.word(n))).otherwise(F.col("selectors")), "data": odd})
+    # Written first, as logs are: else Spark would repeat these expressions wherever data is read.
+    raw = Scratch(spark, "odd").keep(raw, "logs")
     return decode.quarantine(raw, s.SHOP[0]).select("chain_id", "height", "idx", "reason")
 
 
+@query("decode_huge_counts", f"WITH {EVENTS} SELECT chain_id, height, idx, event_id % 4 > 0 AS quarantined, CASE WHEN event_id % 4 = 0 THEN '[\"' || user_id || '\"]' END AS items FROM ev")
+def decode_huge_counts(spark: SparkSession, d: str) -> DataFrame:
+    """An array whose count is right, 2**31 - 1 or 2**32 - 1, or whose offset is 2**31 - 1: all but the first are quarantined, and no job fails."""
+    entry = read_abi([{"type": "event", "name": "Many", "inputs": [{"name": "items", "type": "uint256[]"}]}], "sample")[0]
+    e = s.events(spark, d).withColumn("k", F.col("event_id") % 4)
+    count = F.when(F.col("k") == 1, w.word(F.lit(_MOST))).when(F.col("k") == 2, w.word(F.lit(2**32 - 1))).otherwise(w.word(F.lit(1)))
+    offset = F.when(F.col("k") == 3, w.word(F.lit(_MOST))).otherwise(w.word(F.lit(32)))
+    raw = s.log_of(e, F.array(F.lit(entry.key)), F.concat(offset, count, w.word(F.col("user_id"))))
+    held = decode.decode_all(raw, [entry])
+    return held.select("chain_id", "height", "idx", F.col("reason").isNotNull().alias("quarantined"), F.col("v0.items").alias("items"))
+
+
 _WORDS = read_abi([{"type": "event", "name": "Words", "inputs": [{"name": "who", "type": "address"}, {"name": "flag", "type": "bool"}, {"name": "tag", "type": "bytes4"}, {"name": "delta", "type": "int64"}, {"name": "n", "type": "uint96"}]}], "sample")[0]
 
 
@@ -277,9 +296,9 @@ def row_json(spark: SparkSession, d: str) -> DataFrame:
     return held.select("chain_id", w.hex_encode(F.col("tx_id")).alias("tx_id"), "json")
 
 
-@query("cursor_codec", f"WITH {EVENTS} SELECT event_id, height || ':' || idx AS cursor, CASE WHEN event_id % 3 <> 2 THEN height END AS h, CASE WHEN event_id % 3 <> 2 THEN idx END AS i FROM ev")
+@query("cursor_codec", f"WITH {EVENTS} SELECT event_id, height || ':' || idx AS cursor, height || ':' || idx || ':' || chain_id AS over_chains, CASE WHEN event_id % 3 <> 2 THEN height END AS h, CASE WHEN event_id % 3 <> 2 THEN idx END AS i FROM ev")
 def cursor_codec(spark: SparkSession, d: str) -> DataFrame:
     """Every third cursor is spoilt before it is read back."""
-    e = s.events(spark, d).withColumn("cursor", reads.format_cursor(F.col("height"), F.col("idx")))
+    e = s.events(spark, d).withColumns({"cursor": reads.format_cursor(F.col("height"), F.col("idx")), "over_chains": reads.format_cursor(F.col("height"), F.col("idx"), F.col("chain_id"))})
     back = reads.parse_cursor_column(F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("x"), "cursor")).otherwise(F.col("cursor")))
-    return e.withColumn("p", back).select("event_id", "cursor", F.col("p.height").alias("h"), F.col("p.idx").alias("i"))
+    return e.withColumn("p", back).select("event_id", "cursor", "over_chains", F.col("p.height").alias("h"), F.col("p.idx").alias("i"))

@@ -1,7 +1,8 @@
-"""The batch jobs: backfill of landed payloads, decoding of stored ranges, resync."""
+"""The batch jobs: backfill and reconciling of landed payloads, decoding of stored ranges, resync."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,82 +10,96 @@ from pyspark.sql import functions as F
 
 from ..catalog import Entry
 from ..operators import decode, ranges
-from ..operators.store import Store, decode_backlog
+from ..operators.store import Range, Store, clip_ranges, decode_backlog, uncovered
+from ..scratch import Scratch
 from ..sources import landing
 
 
-def decode_range(store: Store, entries: Sequence[Entry], chain_id: int, lo: int, hi: int, batch_id: str, mode: str = "insert_missing") -> dict[str, int]:
-    """Decodes a stored range into one typed table per event and call; returns the rows written by table.
+#: Ranges that are decoded together: what a job that dies has to do again.
+RANGES_AT_ONCE = 512
 
-    The range is read once and kept for all tables. Calldata is read only if
-    the catalog has functions, and only of the transactions behind the range's
-    logs. The last marker, of the table ``*``, says that the range is decoded.
+
+def decode_ranges(store: Store, entries: Sequence[Entry], wanted: Sequence[Range], batch_id: str, mode: str = "insert_missing") -> dict[str, int]:
+    """Decodes stored ranges into one typed table per event and call; returns the rows decoded by table.
+
+    The ranges are scanned once for all events: the decoded frame is written by
+    table, and each table reads its own part. Calldata is read only if the
+    catalog has functions, and only of the transactions behind the ranges'
+    logs. All tables and the marks that the ranges are decoded appear together.
     """
-    raw = store.raw_range(chain_id, lo, hi).persist()
-    try:
-        blocks = store.blocks().where((F.col("chain_id") == chain_id) & F.col("height").between(lo, hi))
-        known = decode.route_events(raw, entries)
-        tables = {r["table"] for r in known.select("table").distinct().collect()}  # as many as interfaces
-        written = {}
-        for e in entries:
-            if e.kind == "event" and e.table in tables:
-                rows = decode.stamp_block_time(decode.decode_events(raw, e), blocks)
-                written[e.table] = rows.count()
-                store.put_typed(e.table, rows, f"{batch_id}-{e.table}", chain_id, lo, hi, mode)
-        functions = [e for e in entries if e.kind == "call"]
-        if functions and store.has("transactions"):
-            behind = landing.matched_transactions(store.read("transactions"), raw)
-            for e in functions:
-                rows = decode.stamp_block_time(decode.decode_calls(behind, e), blocks)
-                written[e.table] = rows.count()
-                store.put_typed(e.table, rows, f"{batch_id}-{e.table}", chain_id, lo, hi, mode)
-        quarantined = [decode.quarantine(raw, e) for e in entries if e.kind == "event" and e.table in tables]
-        for bad in quarantined:
-            n = bad.count()
-            if n:
-                written["quarantine"] = written.get("quarantine", 0) + n
-                name = bad.first()["table"]
-                store.put_typed("quarantine", bad.select("chain_id", "height", "idx", "tx_id", "table", "reason"), f"{batch_id}-quarantine-{name}", chain_id, lo, hi)
-        store.mark(store.next_seq(), "decode", f"{batch_id}-decoded", "*", chain_id, lo, hi)
-        return written
-    finally:
-        raw.unpersist()
+    scratch = Scratch(store.spark, "decode")
+    raw, blocks = store.read_ranges("raw_records", wanted), store.blocks()
+    staged = scratch.keep(decode.stamp_block_time(decode.decode_all(raw, entries), blocks), "events", "table")
+    found = {(r["table"], r["bad"]): r["n"] for r in staged.groupBy("table", F.col("reason").isNotNull().alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as interfaces
+    tables: dict[str, tuple[DataFrame, Entry | None]] = {e.table: (decode.typed_rows(staged, entries, e), e) for e in entries if e.kind == "event" and (e.table, False) in found}
+    counts = {table: found[table, False] for table in tables}
+    functions = [e for e in entries if e.kind == "call"]
+    if functions and store.has("transactions"):
+        behind = scratch.keep(landing.matched_transactions(store.read_ranges("transactions", wanted), raw), "transactions")
+        for e in functions:
+            rows = scratch.keep(decode.stamp_block_time(decode.decode_calls(behind, e), blocks), e.table)
+            tables[e.table] = (rows, e)
+            counts[e.table] = rows.count()  # from the footers
+    bad = sum(n for (_, quarantined), n in found.items() if quarantined)
+    if bad:
+        tables["quarantine"] = (staged.where("reason IS NOT NULL").select("chain_id", "height", "idx", "tx_id", "table", "reason"), None)
+        counts["quarantine"] = bad
+    store.put_tables(batch_id, wanted, tables, mode, whole=True)
+    scratch.drop("events", "transactions", *(e.table for e in functions))
+    return counts
 
 
 def decode_pending(store: Store, entries: Sequence[Entry]) -> int:
-    """Decodes every ingested range that is not decoded yet, oldest first; a row a range comes to the driver."""
-    pending = decode_backlog(store.commits()).orderBy("commit_seq").collect()
-    for r in pending:
-        decode_range(store, entries, r["chain_id"], r["from_height"], r["to_height"], f"decode-{r['chain_id']}-{r['from_height']}-{r['to_height']}-{r['commit_seq']}")
+    """Decodes every ingested range that is not decoded yet, oldest first, many at once; a row a range comes to the driver."""
+    pending = decode_backlog(store.commits()).orderBy("commit_seq", "chain_id", "from_height").collect()
+    for k in range(0, len(pending), RANGES_AT_ONCE):
+        some = pending[k : k + RANGES_AT_ONCE]
+        named = hashlib.sha256(repr([tuple(r) for r in some]).encode()).hexdigest()[:32]
+        decode_ranges(store, entries, [(r["chain_id"], r["from_height"], r["to_height"]) for r in some], f"decode-{named}")
     return len(pending)
 
 
 def resync(store: Store, entries: Sequence[Entry], chain_id: int, lo: int, hi: int, batch_id: str, mode: str = "insert_missing") -> dict[str, int]:
-    """Decodes a stored range again without fetching: adds what is missing, or replaces what is there."""
-    return decode_range(store, entries, chain_id, lo, hi, batch_id, mode)
+    """Decodes a stored range again without fetching: adds what is missing, or replaces what is there.
 
+    Tables get the columns that their entries have gained first; ``replace`` fills them.
+    """
+    for e in entries:
+        store.evolve(e)
+    return decode_ranges(store, entries, [(chain_id, lo, hi)], batch_id, mode)
 
-def backfill(store: Store, entries: Sequence[Entry], chain_id: int, lo: int, hi: int, step: int, logs: DataFrame, blocks: DataFrame, receipts: DataFrame | None = None) -> int:
-    """Lands payload lines (chain_id, value) of a range in steps, then decodes what is pending; returns the ranges landed.
 
-    Ranges that the store has already are left out, so a job that runs again goes on where it stopped.
+def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks: DataFrame, receipts: DataFrame | None = None) -> int:
+    """Lands what of the spans (chain_id, next, target) the store does not cover, from payload lines (chain_id, value); returns the ranges landed.
+
+    Gaps that outages left, ranges that a rollback took away and what is new at
+    the end are alike: uncovered. They are cut into ranges of ``step`` and landed in one pass
+    over the payloads. A job that runs again goes on where the log says.
     """
-    spark = store.spark
-    raw = landing.land_logs(landing.parse(logs, landing.LOG)).where(f"NOT removed AND chain_id = {chain_id} AND height BETWEEN {lo} AND {hi}").drop("removed")
-    full = landing.parse(blocks, landing.BLOCK).where(F.col("chain_id") == chain_id)
-    headers = landing.land_blocks(full).join(raw.select("chain_id", "height").distinct(), ["chain_id", "height"], "left_semi")
-    txs = landing.matched_transactions(landing.land_transactions(full), raw)
-    span = spark.createDataFrame([(chain_id, lo, hi)], "chain_id long, next long, target long")
-    have = {(r["from_height"], r["to_height"]) for r in store.commits().where((F.col("kind") == "ingest") & (F.col("chain_id") == chain_id)).collect()}
-    landed = 0
-    for r in ranges.plan_ranges(span, step).orderBy("lo").collect():
-        if (r["lo"], r["hi"]) in have:
-            continue
-        inside = F.col("height").between(r["lo"], r["hi"])
-        aux = {"transactions": txs.where(inside)}
-        if receipts is not None:
-            aux["receipts"] = landing.land_receipts(landing.parse(receipts, landing.RECEIPT).where(F.col("chain_id") == chain_id), raw).where(inside)
-        store.ingest(f"backfill-{chain_id}-{r['lo']}-{r['hi']}", chain_id, r["lo"], r["hi"], raw.where(inside), headers.where(inside), aux)
-        landed += 1
+    commits = store.commits()
+    open_ = uncovered(clip_ranges(commits), spans).select("chain_id", F.col("lo").alias("next"), F.col("hi").alias("target"))
+    todo = [tuple(r) for r in ranges.plan_ranges(open_, step).orderBy("chain_id", "lo").collect()]  # a row a range
+    if not todo:
+        return 0
+    wanted = spans.join(open_.groupBy("chain_id").agg(F.min("next").alias("lo"), F.max("target").alias("hi")), "chain_id").select("chain_id", "lo", "hi")
+    scratch = Scratch(store.spark, "landing")
+    raw = landing.land_logs(landing.parse(logs, landing.LOG)).where("NOT removed").drop("removed")
+    raw = scratch.keep(raw.join(wanted, "chain_id").where("height BETWEEN lo AND hi").select(raw.columns), "logs")
+    full = landing.parse(blocks, landing.BLOCK).withColumn("height", landing.height_of("number"))
+    full = scratch.keep(full.join(raw.select("chain_id", "height").distinct(), ["chain_id", "height"], "left_semi"), "blocks")
+    aux = {"transactions": landing.matched_transactions(landing.land_transactions(full), raw)}
+    if receipts is not None:
+        aux["receipts"] = landing.land_receipts(landing.parse(receipts, landing.RECEIPT), raw)
+    first, last = todo[0], todo[-1]
+    seq = commits.agg(F.max("commit_seq")).first()[0] or 0
+    store.ingest_ranges(f"land-{first[0]}-{first[1]}-{last[0]}-{last[2]}-{seq}", todo, raw, landing.land_blocks(full), aux)
+    scratch.drop("logs", "blocks")
+    return len(todo)
+
+
+def backfill(store: Store, entries: Sequence[Entry], chain_id: int, lo: int, hi: int, step: int, logs: DataFrame, blocks: DataFrame, receipts: DataFrame | None = None) -> int:
+    """``reconcile`` of one chain's range, then decoding of what is pending; returns the ranges landed."""
+    spans = store.spark.createDataFrame([(chain_id, lo, hi)], "chain_id long, next long, target long")
+    landed = reconcile(store, spans, step, logs, blocks, receipts)
     decode_pending(store, entries)
     return landed

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..catalog import Entry, keccak256, read_abi
 from ..functions import words as w
 from ..operators import rollups
+from ..operators.store import Store
+from ..scratch import Scratch
 
 _INPUTS = [{"name": "userId", "type": "uint256", "indexed": True}, {"name": "cents", "type": "uint256"}, {"name": "props", "type": "string"}]
 #: The interface of the shop; errors are left out, so their logs are unknown.
@@ -45,7 +47,7 @@ EVENTS = """ev AS (
 )"""
 
 
-def topic0(kind: Column) -> Column:
+def first_topic(kind: Column) -> Column:
     out = F.lit(None).cast("binary")
     for name, key in TOPICS.items():
         out = F.when(kind == name, F.lit(key)).otherwise(out)
@@ -73,7 +75,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw logs of the shop."""
     e = events(spark, sf_dir)
     body = F.concat(w.word(F.col("cents")), w.word(F.lit(64)), padded(F.encode("props", "UTF-8")))
-    return log_of(e, F.array(topic0(F.col("event_type")), w.word(F.col("user_id"))), body)
+    return log_of(e, F.array(first_topic(F.col("event_type")), w.word(F.col("user_id"))), body)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,17 +128,29 @@ def ingests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("hb", F.expr(f"height div {BATCH}"))
     held = e.where("(hb + chain_id) % 11 <> 7").groupBy("chain_id", "hb").agg(F.max("height").alias("last_height"), F.count(F.lit(1)).alias("rows"))
     return held.select(
-        F.expr("hb * 3 + chain_id").alias("commit_seq"), F.lit("ingest").alias("kind"), F.concat_ws("-", F.lit("b"), "chain_id", "hb").alias("batch_id"), F.lit(None).cast("string").alias("table"), "chain_id",
+        F.expr("hb * 3 + chain_id").alias("commit_seq"), F.lit("ingest").alias("kind"), F.concat_ws("-", F.lit("b"), "chain_id", "hb").alias("batch_id"), F.concat_ws("-", F.lit("b"), "chain_id", "hb").alias("write_id"), F.lit(None).cast("string").alias("table"), "chain_id",
         F.expr(f"hb * {BATCH}").alias("from_height"), F.expr(f"hb * {BATCH} + {BATCH - 1}").alias("to_height"), "last_height", block_hash(F.col("last_height")).alias("last_hash"), "rows",
     )
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str) -> Store:
+    """A store of the sample's logs and blocks in a shared folder of its own: all heights of the three chains as one batch of two ranges each."""
+    store = Store(spark, Scratch(spark, name).path("store"), bucket=1000)
+    raw, bl = logs(spark, sf_dir), blocks(spark, sf_dir)
+    top = raw.agg(F.max("height")).first()[0]
+    ranges = [r for c in (1, 2, 3) for r in ((c, 0, top // 2), (c, top // 2 + 1, top)) if r[1] <= r[2]] if top is not None else []
+    if ranges:
+        store.ingest_ranges("all", ranges, raw, bl)
+    return store
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commit log: ingests, the decodes of three in four, and a rollback of chain 2 in the middle of its heights."""
+    """The commit log: ingests, the decodes of three in four (one in four of one table only), and a rollback of chain 2 in the middle of its heights."""
     held = ingests(spark, sf_dir)
-    decodes = held.where(f"(from_height div {BATCH}) % 4 <> 3").withColumns({"kind": F.lit("decode"), "table": F.lit("shop")})
+    decoded = F.when(F.expr(f"(from_height div {BATCH}) % 4 = 3"), F.lit("evt_shop_view")).otherwise(F.lit("*"))
+    decodes = held.withColumns({"kind": F.lit("decode"), "table": decoded, "write_id": F.lit(None).cast("string"), "commit_seq": F.col("commit_seq") + 1})
     back = held.where("chain_id = 2").groupBy("chain_id").agg(F.max("commit_seq").alias("top"), F.expr("max(to_height) div 2").alias("f"))
-    back = back.select(F.expr("top - 5").alias("commit_seq"), F.lit("rollback").alias("kind"), F.lit("back-2").alias("batch_id"), F.lit(None).cast("string").alias("table"), "chain_id", F.col("f").alias("from_height"), F.lit(None).cast("bigint").alias("to_height"), F.lit(None).cast("bigint").alias("last_height"), F.lit(None).cast("binary").alias("last_hash"), F.lit(0).cast("bigint").alias("rows"))
+    back = back.select(F.expr("top - 5").alias("commit_seq"), F.lit("rollback").alias("kind"), F.lit("back-2").alias("batch_id"), F.lit(None).cast("string").alias("write_id"), F.lit(None).cast("string").alias("table"), "chain_id", F.col("f").alias("from_height"), F.lit(None).cast("bigint").alias("to_height"), F.lit(None).cast("bigint").alias("last_height"), F.lit(None).cast("binary").alias("last_hash"), F.lit(0).cast("bigint").alias("rows"))
     return held.unionByName(decodes).unionByName(back)
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..catalog import read_abi
 from ..functions import words as w
 from ..operators import decode, evolve, ranges, reads, store
 from ..operators.reads import Filter, QuerySpec
+from ..scratch import Scratch
 from ..streaming import tip
+from . import jobs
 from . import sample as s
 from .decode_queries import _BIG, decoded, wide_cents
 from .sample import BLOCKS, COMMITS, EVENTS, LINES, ORDERS, hex_of
@@ -39,19 +42,52 @@ def purchases(spark: SparkSession, d: str) -> DataFrame:
 
 @query("raw_range", f"WITH {EVENTS}, m AS (SELECT max(height) AS top FROM ev) SELECT height, idx, {hex_of('tx')} AS tx_id FROM ev, m WHERE chain_id = 2 AND height BETWEEN top // 4 AND top // 2")
 def raw_range(spark: SparkSession, d: str) -> DataFrame:
-    raw = s.logs(spark, d)
-    top = raw.agg(F.max("height")).first()[0]
-    return raw.where((F.col("chain_id") == 2) & F.col("height").between(top // 4, top // 2)).orderBy("height", "idx").select("height", "idx", w.hex_encode(F.col("tx_id")).alias("tx_id"))
+    top = _top(spark, d)
+    return s.landed(spark, d, "raw").raw_range(2, top // 4, top // 2).select("height", "idx", w.hex_encode(F.col("tx_id")).alias("tx_id"))
+
 
+def _top(spark: SparkSession, d: str) -> int:
+    return s.events(spark, d).agg(F.max("height")).first()[0] or 0
 
-@query("block_lookup", f"WITH {EVENTS}, {BLOCKS} SELECT chain_id, height, '0x' || sha256(CAST(height AS VARCHAR)) AS hash, time FROM bl WHERE chain_id = 2 AND height = 31")
+
+@query("block_lookup", f"WITH {EVENTS}, {BLOCKS}, m AS (SELECT max(height) AS h FROM bl WHERE chain_id = 2) SELECT chain_id, height, '0x' || sha256(CAST(height AS VARCHAR)) AS hash, time FROM bl, m WHERE chain_id = 2 AND height = h")
 def block_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return s.blocks(spark, d).where((F.col("chain_id") == 2) & (F.col("height") == 31)).select("chain_id", "height", w.hex_encode(F.col("hash")).alias("hash"), "time")
+    """The highest block of a chain, by its height."""
+    held = s.landed(spark, d, "lookup")
+    at = store.highest(held.blocks(2)).first()["height"]
+    return held.blocks(2, at, at).select("chain_id", "height", w.hex_encode(F.col("hash")).alias("hash"), "time")
 
 
-@query("block_times", f"WITH {EVENTS}, {BLOCKS} SELECT height, time FROM bl WHERE chain_id = 1 AND height BETWEEN 10 AND 5000")
+@query("block_times", f"WITH {EVENTS}, {BLOCKS}, m AS (SELECT max(height) AS top FROM ev) SELECT height, time FROM bl, m WHERE chain_id = 1 AND height BETWEEN top // 10 AND top // 2")
 def block_times(spark: SparkSession, d: str) -> DataFrame:
-    return s.blocks(spark, d).where((F.col("chain_id") == 1) & F.col("height").between(10, 5000)).select("height", "time")
+    top = _top(spark, d)
+    return s.landed(spark, d, "times").blocks(1, top // 10, top // 2).select("height", "time")
+
+
+@query("dead_batch_invisible", f"WITH {EVENTS}, m AS (SELECT max(height) AS top FROM ev) SELECT ev.chain_id, height, idx FROM ev, m WHERE chain_id <> 2 OR height <= top // 2")
+def dead_batch_invisible(spark: SparkSession, d: str) -> DataFrame:
+    """The upper half of chain 2 was written by a batch that died before its marker; the next batch of another chain gets its number."""
+    held, raw, bl, top = store.Store(spark, Scratch(spark, "dead").path("store"), bucket=1000), s.logs(spark, d), s.blocks(spark, d), _top(spark, d)
+    half = top // 2
+    held.ingest_ranges("first", [(c, 0, half) for c in (1, 2, 3)], raw, bl)
+    schemas = held.schemas()
+    held._write("raw_records", raw.where((F.col("chain_id") == 2) & (F.col("height") > half)), "dead", schemas)
+    held.ingest_ranges("second", [(c, half + 1, top + 1) for c in (1, 3)], raw, bl)
+    return held.read("raw_records").select(*store.KEY)
+
+
+@query("relanded_rows", f"""WITH {EVENTS}, m AS (SELECT max(height) AS top FROM ev)
+SELECT ev.chain_id, height, idx, CASE WHEN chain_id = 2 AND height > top // 2 THEN 1 ELSE 0 END AS tx_index FROM ev, m""")
+def relanded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Chain 2 is rolled back to the middle of its heights and the same range landed again with other rows."""
+    held, raw, bl, top = store.Store(spark, Scratch(spark, "again").path("store"), bucket=1000), s.logs(spark, d), s.blocks(spark, d), _top(spark, d)
+    held.ingest_ranges("all", [(c, 0, top) for c in (1, 2, 3)], raw.withColumn("tx_index", F.lit(0).cast("bigint")), bl)
+    held.rollback("back", 2, top // 2 + 1)
+    spans = spark.createDataFrame([(2, 0, top)], "chain_id long, next long, target long")
+    gaps = [tuple(r) for r in store.uncovered(store.clip_ranges(held.commits()), spans).collect()]
+    if gaps:
+        held.ingest_ranges("again", gaps, raw.withColumn("tx_index", F.lit(1).cast("bigint")), bl)
+    return held.read("raw_records").select(*store.KEY, "tx_index")
 
 
 # --- writes as they are read back -------------------------------------------
@@ -86,7 +122,11 @@ def insert_optional_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fanout_counts", f"WITH {EVENTS} SELECT chain_id, 'evt_shop_' || event_type AS table_name, count(*) AS n FROM ev WHERE event_type <> 'error' GROUP BY chain_id, event_type")
 def fanout_counts(spark: SparkSession, d: str) -> DataFrame:
-    return store.fanout_counts(decoded(spark, d)).withColumnRenamed("table", "table_name")
+    """Decoded by the batch job, counted in the tables that it wrote."""
+    held = s.landed(spark, d, "fanout")
+    jobs.decode_pending(held, s.SHOP)
+    rows = [held.read(e.table).select("chain_id", F.lit(e.table).alias("table")) for e in s.SHOP if held.has(e.table)]
+    return store.fanout_counts(store.union_optional(rows)).withColumnRenamed("table", "table_name")
 
 
 @query("rows_per_table", f"WITH {EVENTS} SELECT chain_id, coalesce('evt_shop_' || CASE WHEN event_type <> 'error' THEN event_type END, 'skipped') AS table_name, count(*) AS n FROM ev GROUP BY ALL")
@@ -102,7 +142,7 @@ SELECT ev.chain_id, ev.height, ev.idx FROM ev JOIN ing ON ing.chain_id = ev.chai
 LEFT JOIN back ON back.chain_id = ev.chain_id AND ev.height >= f AND ing.commit_seq < seq WHERE back.f IS NULL""")
 def rollback_visible(spark: SparkSession, d: str) -> DataFrame:
     """Logs under the commit log: of missing batches none, of a rolled back chain those below or landed later."""
-    rows = s.logs(spark, d).withColumn("commit_seq", F.expr(f"(height div {s.BATCH}) * 3 + chain_id"))
+    rows = s.logs(spark, d).withColumn("write_id", F.concat_ws("-", F.lit("b"), "chain_id", F.expr(f"height div {s.BATCH}")))
     return store.visible(rows, s.commits(spark, d), "raw_records").select(*store.KEY)
 
 
@@ -122,25 +162,28 @@ def empty_checkpoint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resync(spark: SparkSession, d: str, mode: str) -> DataFrame:
-    """A stored decode that lacks odd places and has wrong amounts, decoded again over chain 1."""
-    e = decode.decode_events(s.logs(spark, d), PURCHASE)
-    stored = e.where("idx % 2 = 0").withColumn("cents", w.word(F.lit(7)))
-    again = e.where("chain_id = 1")
-    if mode == "replace":
-        rows = stored.where("chain_id <> 1").unionByName(again)
-    else:
-        rows = stored.unionByName(store.insert_if_absent(again, stored, store.KEY, ["tx_id"]))
-    return rows.select("chain_id", "height", "idx", w.uint256_text(F.col("cents")).alias("cents"))
+    """A stored decode that lacks odd places, has wrong amounts and no props, decoded again over chain 1."""
+    held = s.landed(spark, d, "resync")
+    older = replace(PURCHASE, params=PURCHASE.params[:2])
+    rows = decode.decode_events(s.logs(spark, d), PURCHASE).where("idx % 2 = 0").withColumn("cents", w.word(F.lit(7))).drop("props")
+    held.put_tables("older", [(c, 0, _top(spark, d)) for c in (1, 2, 3)], {PURCHASE.table: (rows, older)})
+    jobs.resync(held, s.SHOP[:1], 1, 0, _top(spark, d), "again", mode)
+    return held.read(PURCHASE.table).select("chain_id", "height", "idx", w.uint256_text(F.col("cents")).alias("cents"), "props")
 
 
-query("resync_insert_missing", f"WITH {EVENTS} SELECT chain_id, height, idx, CASE WHEN idx % 2 = 0 THEN '7' ELSE CAST(cents AS VARCHAR) END AS cents FROM ev WHERE event_type = 'purchase' AND (idx % 2 = 0 OR chain_id = 1)")(partial(_resync, mode="insert_missing"))
-query("resync_replace", f"WITH {EVENTS} SELECT chain_id, height, idx, CASE WHEN chain_id <> 1 THEN '7' ELSE CAST(cents AS VARCHAR) END AS cents FROM ev WHERE event_type = 'purchase' AND (idx % 2 = 0 OR chain_id = 1)")(partial(_resync, mode="replace"))
+_PROPS = "CASE WHEN chain_id = 1 AND {} THEN props END AS props"
+query("resync_insert_missing", f"WITH {EVENTS} SELECT chain_id, height, idx, CASE WHEN idx % 2 = 0 THEN '7' ELSE CAST(cents AS VARCHAR) END AS cents, {_PROPS.format('idx % 2 = 1')} FROM ev WHERE event_type = 'purchase' AND (idx % 2 = 0 OR chain_id = 1)")(partial(_resync, mode="insert_missing"))
+query("resync_replace", f"WITH {EVENTS} SELECT chain_id, height, idx, CASE WHEN chain_id <> 1 THEN '7' ELSE CAST(cents AS VARCHAR) END AS cents, {_PROPS.format('true')} FROM ev WHERE event_type = 'purchase' AND (idx % 2 = 0 OR chain_id = 1)")(partial(_resync, mode="replace"))
 
 
 @query("evolve_read", f"WITH {EVENTS} SELECT chain_id, height, idx, CAST(cents AS VARCHAR) AS cents, CAST(NULL AS VARCHAR) AS props FROM ev WHERE event_type = 'purchase'")
 def evolve_read(spark: SparkSession, d: str) -> DataFrame:
-    """A table from before a column was added."""
-    old = decode.decode_events(s.logs(spark, d), PURCHASE).drop("props")
+    """A stored table from before a column was added to its entry."""
+    held = store.Store(spark, Scratch(spark, "evolve").path("store"), bucket=1000)
+    rows = decode.decode_events(s.logs(spark, d), PURCHASE).drop("props")
+    held.put_tables("old", [(c, 0, _top(spark, d)) for c in (1, 2, 3)], {PURCHASE.table: (rows, None)})
+    held.evolve(PURCHASE)
+    old = held.read(PURCHASE.table)
     return evolve.evolve_read(old, PURCHASE.schema()).select("chain_id", "height", "idx", w.uint256_text(F.col("cents")).alias("cents"), "props")
 
 
@@ -168,12 +211,25 @@ def range_gaps(spark: SparkSession, d: str) -> DataFrame:
     return store.range_gaps(store.clip_ranges(s.commits(spark, d)))
 
 
-_BACKLOG = f"bk AS (SELECT chain_id, lo AS from_height, hi AS to_height, commit_seq FROM ing WHERE hb % 4 = 3)"
+_BACKLOG = f"{_CLIPPED}, bk AS (SELECT chain_id, lo AS from_height, hi AS to_height FROM cl WHERE (lo // {s.BATCH}) % 4 = 3)"
 
 
 @query("decode_backlog", f"WITH {EVENTS}, {COMMITS}, {_BACKLOG} SELECT chain_id, from_height, to_height FROM bk")
 def decode_backlog(spark: SparkSession, d: str) -> DataFrame:
-    return store.decode_backlog(s.commits(spark, d)).drop("commit_seq")
+    """Of a range of which only one table was decoded all is pending; ranges that were rolled back are not, or as far as they were cut."""
+    return store.decode_backlog(s.commits(spark, d)).drop("commit_seq", "latest")
+
+
+@query("backlog_after_rollback", f"WITH {EVENTS}, m AS (SELECT max(height) AS top FROM ev) SELECT CAST(2 AS BIGINT) AS chain_id, top // 2 + 1 AS from_height, top AS to_height, count(*) AS n FROM ev, m WHERE chain_id = 2 AND height > top // 2 GROUP BY top")
+def backlog_after_rollback(spark: SparkSession, d: str) -> DataFrame:
+    """Everything was decoded, half of chain 2 rolled back and landed again: only that is pending, with the rows that it holds."""
+    held, raw, bl, top = s.landed(spark, d, "pending"), s.logs(spark, d), s.blocks(spark, d), _top(spark, d)
+    jobs.decode_pending(held, s.SHOP[:1])
+    held.rollback("back", 2, top // 2 + 1)
+    held.ingest("again", 2, top // 2 + 1, top, raw, bl)
+    pending = store.decode_backlog(held.commits()).select("chain_id", "from_height", "to_height")
+    rows = held.read("raw_records").join(pending, "chain_id").where("height BETWEEN from_height AND to_height")
+    return rows.groupBy("chain_id", "from_height", "to_height").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("oldest_pending", f"WITH {EVENTS}, {COMMITS}, {_BACKLOG} SELECT chain_id, count(*) AS depth, min(from_height) AS from_height, min(to_height) AS to_height FROM bk GROUP BY chain_id")
@@ -219,18 +275,21 @@ def _selected(spark: SparkSession, d: str, spec: QuerySpec) -> DataFrame:
 query("filter_conj", f"WITH {EVENTS} SELECT chain_id, height, idx, CAST(cents AS VARCHAR) AS cents FROM ev WHERE event_type = 'purchase' AND cents >= 1000 AND user_id < 50 AND props <> '{{\"k\": 5}}'")(
     lambda spark, d: _selected(spark, d, QuerySpec(PURCHASE.table, (Filter("cents", "GTE", "1000"), Filter("user_id", "LT", "50"), Filter("props", "NEQ", '{"k": 5}'))))
 )
-query("height_window", f"WITH {EVENTS} SELECT chain_id, height, idx, CAST(cents AS VARCHAR) AS cents FROM ev WHERE event_type = 'purchase' AND chain_id = 2 AND height BETWEEN 20 AND 700")(
-    lambda spark, d: _selected(spark, d, QuerySpec(PURCHASE.table, chain_id=2, from_height=20, to_height=700))
+query("height_window", f"WITH {EVENTS}, m AS (SELECT max(height) AS top FROM ev) SELECT chain_id, height, idx, CAST(cents AS VARCHAR) AS cents FROM ev, m WHERE event_type = 'purchase' AND chain_id = 2 AND height BETWEEN top // 5 AND top // 2")(
+    lambda spark, d: _selected(spark, d, QuerySpec(PURCHASE.table, chain_id=2, from_height=_top(spark, d) // 5, to_height=_top(spark, d) // 2))
 )
 
+WIDE = read_abi([{"type": "event", "name": "Wide", "inputs": [{"name": "value", "type": "uint"}]}], "sample")[0]
+
 
 @query("filter_uint256", f"WITH {EVENTS} SELECT chain_id, height, idx, CAST({_BIG} AS VARCHAR) AS value FROM ev WHERE cents > 2500")
 def filter_uint256(spark: SparkSession, d: str) -> DataFrame:
-    """A wide comparison at full precision, behind one of bit lengths that Parquet can push down."""
-    rows = evolve.with_bits(wide_cents(spark, d).select(*store.KEY, F.col("big").alias("value")), ["value"])
-    columns = reads.META_COLUMNS | {"value": "uint:256"}
-    spec = QuerySpec("wide", (Filter("value", "GT", str(2500 << 96)),))
-    return reads.select_events(rows, spec, columns).select(*store.KEY, w.uint256_text(F.col("value")).alias("value"))
+    """A wide comparison at full precision on a stored table, behind one of bit lengths that the scan is given."""
+    held = store.Store(spark, Scratch(spark, "wide").path("store"))
+    rows = decode.decode_events(s.log_of(wide_cents(spark, d), F.array(F.lit(WIDE.key)), F.col("big")), WIDE)
+    held.put_tables("all", [(c, 0, _top(spark, d)) for c in (1, 2, 3)], {WIDE.table: (rows, WIDE)})
+    spec = QuerySpec(WIDE.table, (Filter("value", "GT", str(2500 << 96)),))
+    return reads.select_events(held.read(WIDE.table, bits=True), spec, reads.columns_of(WIDE)).select(*store.KEY, w.uint256_text(F.col("value")).alias("value"))
 
 
 @query("finalized_only", f"WITH {EVENTS}, h AS (SELECT chain_id, greatest(max(height) - 12 * chain_id, 0) AS lim FROM ev GROUP BY chain_id) SELECT ev.chain_id, height, idx FROM ev JOIN h ON h.chain_id = ev.chain_id AND height <= lim WHERE event_type = 'purchase'")
@@ -250,7 +309,24 @@ def _page(spark: SparkSession, d: str, spec: QuerySpec) -> DataFrame:
 
 
 query("page_asc", f"WITH {EVENTS} {_PAGE} ORDER BY height, idx, chain_id LIMIT 101")(lambda spark, d: _page(spark, d, QuerySpec(PURCHASE.table)))
-query("page_after", f"WITH {EVENTS} {_PAGE} AND (height > 25 OR height = 25 AND idx > 4) ORDER BY height, idx, chain_id LIMIT 51")(lambda spark, d: _page(spark, d, QuerySpec(PURCHASE.table, after="25:4", first=50)))
+query("page_after", f"WITH {EVENTS} {_PAGE} AND chain_id = 2 AND (height > 25 OR height = 25 AND idx > 4) ORDER BY height, idx LIMIT 51")(lambda spark, d: _page(spark, d, QuerySpec(PURCHASE.table, chain_id=2, after="25:4", first=50)))
+
+
+@query("page_over_chains", f"WITH {EVENTS}, t AS (SELECT chain_id, height // 3 AS height, idx, event_type, user_id FROM ev) SELECT chain_id, height, idx, CAST(user_id AS VARCHAR) AS user_id FROM t WHERE event_type = 'purchase' AND (height, idx, chain_id) > (8, 4, 1) ORDER BY height, idx, chain_id LIMIT 201")
+def page_over_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Heights and places tie over three chains, and the cursor stands between rows that tie."""
+    tied = decode.decode_events(s.logs(spark, d), PURCHASE).withColumn("height", F.expr("height div 3"))
+    page = reads.page_rows(tied, QuerySpec(PURCHASE.table, after="8:4:1", first=200), COLUMNS)
+    return page.select(*store.KEY, w.uint256_text(F.col("user_id")).alias("user_id"))
+
+
+@query("stored_page", f"WITH {EVENTS}, m AS (SELECT max(height) AS top FROM ev), t AS (SELECT ev.*, top FROM ev, m) SELECT chain_id, height, idx, CAST(cents AS VARCHAR) AS cents FROM t WHERE event_type = 'purchase' AND chain_id = 1 AND cents >= 1000 AND height <= top // 2 ORDER BY height DESC, idx DESC LIMIT 101")
+def stored_page(spark: SparkSession, d: str) -> DataFrame:
+    """Landed, decoded by the batch job, and read back as a page below a cursor."""
+    held, top = s.landed(spark, d, "page"), _top(spark, d)
+    jobs.decode_ranges(held, s.SHOP, [(1, 0, top)], "decode")
+    spec = QuerySpec(PURCHASE.table, (Filter("cents", "GTE", "1000"),), chain_id=1, after=f"{top // 2 + 1}:0", descending=True)
+    return held.events(PURCHASE, spec).select(*store.KEY, w.uint256_text(F.col("cents")).alias("cents"))
 
 
 @query("page_desc", f"WITH {EVENTS}, {BLOCKS} SELECT ev.chain_id, ev.height, ev.idx, time AS block_time, CAST(user_id AS VARCHAR) AS user_id, CAST(cents AS VARCHAR) AS cents, props FROM ev JOIN bl ON bl.chain_id = ev.chain_id AND bl.height = ev.height WHERE event_type = 'purchase' ORDER BY ev.height DESC, ev.idx DESC LIMIT 101")
@@ -272,7 +348,7 @@ _JOINED = "FROM p LEFT JOIN tx ON tx.chain_id = p.chain_id AND o_orderkey = p.tx
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
-    return reads.page_rows(decode.decode_events(s.logs(spark, d), PURCHASE), QuerySpec(PURCHASE.table, first=300), COLUMNS)
+    return reads.take_page(reads.page_rows(decode.decode_events(s.logs(spark, d), PURCHASE), QuerySpec(PURCHASE.table, first=300), COLUMNS))
 
 
 @query("events_with_tx", f"WITH {EVENTS}, {ORDERS}, {_NESTED} SELECT p.chain_id, p.height, p.idx, {hex_of('o_custkey', 40)} AS from_addr, CAST(tx.cents AS VARCHAR) AS value {_JOINED}")
@@ -336,12 +412,12 @@ def parent_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("max_height", f"WITH {EVENTS} SELECT chain_id, max(height) AS height FROM ev GROUP BY chain_id")
 def max_height(spark: SparkSession, d: str) -> DataFrame:
-    return s.blocks(spark, d).groupBy("chain_id").agg(F.max("height").alias("height"))
+    return store.highest(s.blocks(spark, d)).select("chain_id", "height")
 
 
 @query("last_block", f"WITH {EVENTS} SELECT chain_id, max(height) AS height, '0x' || sha256(CAST(max(height) AS VARCHAR)) AS hash FROM ev GROUP BY chain_id")
 def last_block(spark: SparkSession, d: str) -> DataFrame:
-    return s.blocks(spark, d).groupBy("chain_id").agg(F.max("height").alias("height"), w.hex_encode(F.max_by("hash", "height")).alias("hash"))
+    return store.highest(s.blocks(spark, d)).select("chain_id", "height", w.hex_encode(F.col("hash")).alias("hash"))
 
 
 # --- the tip, in batch form -------------------------------------------------

@@ -7,11 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import Files
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -27,14 +31,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a written table."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``df`` as a written table, in folders by the columns named."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name)).select(df.columns)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            Files(self.spark).delete(self.path(name))

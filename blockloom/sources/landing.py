@@ -24,12 +24,20 @@ def quantity(c: str):
     return F.unhex(F.lpad(F.regexp_replace(c, "^0x", ""), 64, "0"))
 
 
-def parse(lines: DataFrame, schema: str) -> DataFrame:
-    """Columns of JSON lines (chain_id, value); a malformed line has nulls."""
-    return lines.select("chain_id", F.from_json("value", schema).alias("v")).select("chain_id", "v.*")
+def height_of(c: str):
+    return w.hex_long(F.col(c))
 
 
-def _mapped(logs: DataFrame) -> DataFrame:
+def bytes_of(c: str):
+    return w.hex_decode(F.col(c))
+
+
+def parse(lines: DataFrame, schema: str, *more: str) -> DataFrame:
+    """Columns of JSON lines (chain_id, value), and ``more`` of the lines'; a malformed line has nulls."""
+    return lines.select("chain_id", *more, F.from_json("value", schema).alias("v")).select("chain_id", *more, "v.*")
+
+
+def _mapped(logs: DataFrame, *more: str) -> DataFrame:
     return logs.select(
         "chain_id",
         w.hex_long(F.col("blockNumber")).alias("height"),
@@ -42,12 +50,13 @@ def _mapped(logs: DataFrame) -> DataFrame:
         F.coalesce(w.hex_long(F.col("transactionIndex")), F.lit(0)).alias("tx_index"),
         F.lit(None).cast("bigint").alias("inner_index"),
         F.coalesce("removed", F.lit(False)).alias("removed"),
+        *more,
     )
 
 
-def land_logs(logs: DataFrame) -> DataFrame:
-    """Raw records, with ``removed``; logs lacking a required field are left to ``refused_logs``."""
-    return _mapped(logs).where(" AND ".join(f"{c} IS NOT NULL" for c in REQUIRED))
+def land_logs(logs: DataFrame, *more: str) -> DataFrame:
+    """Raw records, with ``removed`` and ``more`` columns; logs lacking a required field are left to ``refused_logs``."""
+    return _mapped(logs, *more).where(" AND ".join(f"{c} IS NOT NULL" for c in REQUIRED))
 
 
 def refused_logs(logs: DataFrame) -> DataFrame:

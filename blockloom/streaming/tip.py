@@ -9,6 +9,7 @@ again replaces itself. Removed logs are a sign of a reorganisation.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,9 @@ NDJSON = "chain_id long, value string"
 
 
 def landed_logs(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of log lines (chain_id, value) from a folder of NDJSON files."""
-    return spark.readStream.schema(NDJSON).json(path)
+    """A stream of log lines (chain_id, value) from a folder of NDJSON files, with the file in which they arrived."""
+    lines = spark.readStream.schema(NDJSON).json(path)
+    return lines.select("chain_id", "value", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")).alias("arrived"))
 
 
 def removed_signal(tip: DataFrame) -> DataFrame:
@@ -44,42 +46,122 @@ def tip_rate(logs: DataFrame, length: str = "1 minute", late: str | None = None)
     return counted.select("chain_id", F.col("w.start").alias("window_start"), "n")
 
 
-def follow(logs: DataFrame, store: Store, checkpoint: str, canonical: Callable[[], DataFrame] | None = None, chains: DataFrame | None = None, on_rollback: Callable[[int, int], None] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Lands a stream of (chain_id, value) in the store and rolls back where the tip was reorganised.
+def settled(tip: DataFrame) -> DataFrame:
+    """What a batch of tip logs leaves: a log of which the last that was heard is not its removal, and of several of one place the last to arrive.
+
+    ``arrived`` orders the batch; the result has neither it nor ``removed``.
+    """
+    copy = [*KEY, "block_hash", "tx_id"]
+    heard = tip.groupBy(*copy).agg(F.max_by(F.struct(*(c for c in tip.columns if c not in copy)), F.struct("arrived", "removed")).alias("last"))
+    kept = heard.where("NOT last.removed").select(*copy, "last.*")
+    return first_wins(kept, KEY, [F.desc("arrived"), "tx_id"]).select([c for c in tip.columns if c not in ("removed", "arrived")])
+
+
+def _rollbacks(store: Store, rows: DataFrame, canonical: Callable[[], DataFrame] | None, chains: DataFrame | None) -> dict[int, int]:
+    """Where each chain is to be rolled back to: its lowest removed height, or where its highest block is not canonical."""
+    signals = {r["chain_id"]: r["from_height"] for r in removed_signal(rows).collect()}  # a row a chain
+    if canonical is not None and chains is not None and store.has("blocks"):
+        for r in reorg_detect(store.blocks(), canonical(), chains).collect():
+            signals[r["chain_id"]] = min(r["from_height"], signals.get(r["chain_id"], r["from_height"]))
+    return signals
+
+
+def _payloads(wanted: DataFrame, raw: DataFrame, blocks: Callable[[], DataFrame] | None, receipts: Callable[[], DataFrame] | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Headers, transactions and receipts of the logs' heights, from payloads landed so far; without them what the logs say of their blocks."""
+    if blocks is None:
+        said = wanted.groupBy("chain_id", "height").agg(F.first("block_hash").alias("hash"))
+        return said.withColumns({"parent_hash": F.lit(None).cast("binary"), "time": F.lit(None).cast("bigint")}), {}
+    full = landing.parse(blocks(), landing.BLOCK).withColumn("height", landing.height_of("number"))
+    # Of blocks at one height that which the logs are of.
+    full = full.withColumn("block_hash", landing.bytes_of("hash")).join(raw.select("chain_id", "height", "block_hash").distinct(), ["chain_id", "height", "block_hash"], "left_semi")
+    aux = {"transactions": landing.matched_transactions(landing.land_transactions(full), raw)}
+    if receipts is not None:
+        aux["receipts"] = landing.land_receipts(landing.parse(receipts(), landing.RECEIPT), raw)
+    return landing.land_blocks(full), aux
+
+
+def follow(
+    logs: DataFrame,
+    store: Store,
+    checkpoint: str,
+    canonical: Callable[[], DataFrame] | None = None,
+    chains: DataFrame | None = None,
+    on_rollback: Callable[[int, int], None] | None = None,
+    available_now: bool = True,
+    heads: DataFrame | None = None,
+    blocks: Callable[[], DataFrame] | None = None,
+    receipts: Callable[[], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Lands a stream of log lines (chain_id, value) in the store and rolls back where the tip was reorganised.
 
     ``canonical`` gives (chain_id, height, hash) as of now and ``chains`` the
-    confirmations; without them only removed logs roll back. Every batch leaves
-    a marker for each chain it saw.
+    confirmations; without them only removed logs roll back. ``blocks`` and
+    ``receipts`` give payload lines as of now.
+
+    ``heads`` is a stream of (chain_id, head). With it a chain is caught up to
+    head - confirmations: logs above that wait in the table ``pending_logs``,
+    and the range from the cursor (or the chain's ``start``, a column of
+    ``chains``) to there is marked, whether or not a log is in it. A new head alone makes a batch, so the cursor moves while nothing matches.
+    Without ``heads`` every log lands at once, provisional until reads find its
+    height final.
     """
+    known = chains.collect() if chains is not None else []  # a row a chain
+    waits = {r["chain_id"]: (r["confirmations"], r["start"] if "start" in chains.columns else 0) for r in known}
+    feed = logs.select("chain_id", "value", *(["arrived"] if "arrived" in logs.columns else []))
+    if heads is not None:
+        feed = feed.unionByName(heads.select("chain_id", F.col("head").cast("bigint").alias("head")), allowMissingColumns=True)
 
     def land(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = landing.land_logs(landing.parse(batch, landing.LOG)).persist()
+        # Files in the order in which they came, and lines in theirs.
+        batch = batch.withColumn("arrived", F.struct(*(["arrived"] if "arrived" in batch.columns else []), F.monotonically_increasing_id().alias("line"))).persist()
         try:
-            signals = {r["chain_id"]: r["from_height"] for r in removed_signal(rows).collect()}  # a row per chain
-            if canonical is not None and chains is not None and store.has("blocks"):
-                for r in reorg_detect(store.blocks(), canonical(), chains).collect():
-                    signals[r["chain_id"]] = min(r["from_height"], signals.get(r["chain_id"], r["from_height"]))
-            done = {r["batch_id"] for r in store.commits().where(F.col("batch_id").startswith(f"tip-{epoch}-")).select("batch_id").collect()}
-            for chain, height in sorted(signals.items()):
-                if f"tip-{epoch}-{chain}-back" not in done:
-                    store.rollback(f"tip-{epoch}-{chain}-back", chain, height)
+            said = batch.where("value IS NOT NULL") if heads is not None else batch
+            rows = landing.land_logs(landing.parse(said, landing.LOG, "arrived"), "arrived")
+            tag = f"tip-{epoch}"
+            done = {r["batch_id"] for r in store.commits().where(F.col("batch_id").startswith(f"{tag}-")).select("batch_id").collect()}
+            for chain, height in sorted(_rollbacks(store, rows, canonical, chains).items()):
+                if f"{tag}-back-{chain}" not in done and f"{tag}-land" not in done:
+                    store.rollback(f"{tag}-back-{chain}", chain, height)
                     if on_rollback:
                         on_rollback(chain, height)
-            fresh = first_wins(rows.where("NOT removed").drop("removed"), KEY, ["tx_id"])
-            spans = fresh.groupBy("chain_id").agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()
-            blocks = fresh.groupBy("chain_id", "height").agg(F.first("block_hash").alias("hash")).withColumn("parent_hash", F.lit(None).cast("binary")).withColumn("time", F.lit(None).cast("bigint"))
-            for s in spans:
-                mine = F.col("chain_id") == s["chain_id"]
-                store.ingest(f"tip-{epoch}-{s['chain_id']}", s["chain_id"], s["lo"], s["hi"], fresh.where(mine), blocks.where(mine))
-            del spark
+            fresh = settled(rows)
+            if heads is None:
+                spans = [(r["chain_id"], r["lo"], r["hi"]) for r in fresh.groupBy("chain_id").agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()]
+            else:
+                spans, fresh = _due(store, batch, fresh, waits, tag)
+            if spans:
+                headers, aux = _payloads(fresh, fresh, blocks, receipts)
+                store.ingest_ranges(f"{tag}-land", spans, fresh, headers, aux, "pending_logs" if heads is not None else None)
         finally:
-            rows.unpersist()
+            batch.unpersist()
 
-    writer = logs.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    writer = feed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="6 seconds")).start()
 
 
+def _due(store: Store, batch: DataFrame, fresh: DataFrame, waits: dict[int, tuple[int, int]], tag: str) -> tuple[list[tuple[int, int, int]], DataFrame]:
+    """The ranges to land, from what a chain's cursor has not reached to its newly safe height, and the logs that may be in them.
+
+    New logs are put by first, so that those above the safe height are there
+    when it has risen. A log at or below the cursor is late and lands too.
+    """
+    store.put_pending(f"{tag}-wait", fresh)
+    cursor = {r["chain_id"]: r["last_height"] for r in store.cursor().collect()}  # a row a chain
+    safe = {r["chain_id"]: r["head"] - waits.get(r["chain_id"], (0, 0))[0] for r in batch.where("head IS NOT NULL").groupBy("chain_id").agg(F.max("head").alias("head")).collect()}
+    late = {r["chain_id"]: r["h"] for r in fresh.groupBy("chain_id").agg(F.min("height").alias("h")).collect()}
+    spans = []
+    for chain in sorted({*safe, *late}):
+        known = chain in cursor or chain in safe
+        at = cursor.get(chain, waits.get(chain, (0, 0))[1] - 1)
+        upto = max(at, safe.get(chain, at))
+        lo = min(at + 1, late.get(chain, at + 1))
+        if known and lo <= upto:
+            spans.append((chain, lo, upto))
+    if not spans or not store.has("pending_logs"):
+        return spans, fresh
+    return spans, reduce(DataFrame.unionByName, (store.read("pending_logs", *s) for s in spans))
+
+
 class PendingHeights(StatefulProcessor):
     """Holds a chain's logs until their height is at or below head - confirmations.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom.catalog import read_abi
 from blockloom.functions import words as w
+from blockloom.operators.reads import Filter, QuerySpec
 from blockloom.operators.store import Store
 from blockloom.plans import jobs
 
@@ -55,3 +56,25 @@ def test_backfill_decodes_and_resync_repairs(spark, tmp_path):
     assert {r["v"] for r in held.read("evt_token_transfer").where("height = 1").select(w.uint256_text(F.col("value")).alias("v")).collect()} == {"100"}
     held.rollback("back", 1, 20)
     assert held.read("evt_token_transfer").agg(F.max("height")).first()[0] == 19
+    # The chain is rewound, and the same job lands and decodes the range again.
+    assert jobs.backfill(*args) == 1
+    assert held.read("evt_token_transfer").where("height >= 20").count() == 6 and held.cursor().first()["last_height"] == 25
+    assert jobs.backfill(*args) == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = held.events(event, QuerySpec(event.table, (Filter("value", "GT", "2000"),), chain_id=1, from_height=15))
+    assert sorted(r["height"] for r in plan.collect()) == [21, 22, 23, 24, 25]
+    assert "GreaterThanOrEqual(value_bits,11)" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reconcile_fills_gaps_of_an_outage(spark, tmp_path):
+    event = ENTRIES[0]
+    logs = [{"address": "0x33", "topics": [hx(event.key), hx(bytes(32))], "data": hx(h.to_bytes(32)), "blockNumber": hex(h), "blockHash": hx(bytes([h]) * 32), "logIndex": "0x0", "transactionHash": hx(h.to_bytes(32))} for h in range(1, 41)]
+    held, nothing = Store(spark, f"file://{tmp_path}/s", bucket=10), lines(spark, [{"number": "0x0"}])
+    some = lambda *heights: lines(spark, [logs[h - 1] for h in heights])
+    for lo, hi in ((1, 10), (31, 40)):
+        assert jobs.backfill(held, ENTRIES[:1], 1, lo, hi, 100, some(*range(lo, hi + 1)), nothing) == 1
+    assert held.cursor().first()["last_height"] == 10
+    spans = spark.createDataFrame([(1, 1, 40)], "chain_id long, next long, target long")
+    assert jobs.reconcile(held, spans, 15, lines(spark, logs), nothing) == 2
+    assert held.cursor().first()["last_height"] == 40 and jobs.decode_pending(held, ENTRIES[:1]) == 2
+    assert sorted(r["height"] for r in held.read(event.table).collect()) == list(range(1, 41))

@@ -40,12 +40,69 @@ def test_replay_rollback_and_landing_again(spark, tmp_path):
     held.ingest("c", 1, 10, 20, logs(spark, 1, [10, 11], 2), blocks(spark, 1, [11], b"n"))
     assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 2)]
     assert held.read("raw_records").where("chain_id = 2").count() == 1
-    held.compact("raw_records", "packed")
+    held.compact("raw_records", 1, "packed")
+    held.compact("raw_records", 1, "packed-again")  # nothing new
     assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 2)]
+    before = len(held.files.glob(f"{held.root}/raw_records/chain_id=1/*/write_id=*"))
+    assert held.vacuum("raw_records", 0) > 0
+    assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 2)] and held.read("raw_records").where("chain_id = 2").count() == 1
+    assert len(held.files.glob(f"{held.root}/raw_records/chain_id=1/*/write_id=*")) == 2 < before
+    held.rollback("back-again", 1, 11)
+    assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2)]
+    held.ingest("c2", 1, 11, 20, logs(spark, 1, [11], 3), blocks(spark, 1, [11], b"o"))
+    assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 3)]
+    held.pack_log()
+    held.pack_log()
+    assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 3)] and not held.files.glob(f"{held.root}/log/*.json")
     held.ingest("d", 1, 21, 30, logs(spark, 1, []), blocks(spark, 1, []))
     assert held.cursor().where("chain_id = 1").first()["last_height"] == 30
 
 
+def test_a_dead_batch_stays_invisible(spark, tmp_path):
+    """Files without a marker are shown by no later batch, whatever its number, nor is a partition of a failed attempt."""
+    held = Store(spark, f"file://{tmp_path}/s", bucket=10)
+    held.ingest("a", 1, 0, 9, logs(spark, 1, [5]), blocks(spark, 1, [5]))
+    commit = held.commit
+    held.commit = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        held.ingest("dead", 1, 10, 29, logs(spark, 1, [16, 25], 7), blocks(spark, 1, [16, 25]))
+    held.commit = commit
+    assert heights(held.read("raw_records")) == [(5, 1)]
+    held.ingest("b", 1, 30, 39, logs(spark, 1, [31]), blocks(spark, 1, [31]))
+    assert heights(held.read("raw_records")) == [(5, 1), (31, 1)]
+    held.ingest("dead", 1, 10, 29, logs(spark, 1, [16], 8), blocks(spark, 1, [16]))  # the retry finds less
+    assert heights(held.read("raw_records")) == [(5, 1), (16, 8), (31, 1)]
+    held.vacuum("raw_records", 0)
+    assert heights(held.read("raw_records")) == [(5, 1), (16, 8), (31, 1)] and len(held.files.glob(f"{held.root}/raw_records/*/*/*")) == 3
+
+
+def test_backlog_by_marker_and_number(spark, tmp_path):
+    """A marker of one table is no decode of the range, and rows landed again are pending again."""
+    held = Store(spark, f"file://{tmp_path}/s", bucket=10)
+    pending = lambda: sorted((r["from_height"], r["to_height"]) for r in store.decode_backlog(held.commits()).collect())
+    held.ingest("a", 1, 0, 9, logs(spark, 1, [5]), blocks(spark, 1, [5]))
+    held.ingest("b", 1, 10, 19, logs(spark, 1, [15]), blocks(spark, 1, [15]))
+    held.put_tables("one", [(1, 0, 9)], {"t": (logs(spark, 1, [5]), None)})
+    assert pending() == [(0, 9), (10, 19)]
+    for name, lo, hi in (("d", 0, 9), ("e", 10, 19)):
+        held.put_tables(name, [(1, lo, hi)], {"t": (logs(spark, 1, [lo + 5]), None)}, whole=True)
+    assert pending() == []
+    held.rollback("back", 1, 12)
+    assert pending() == []  # what is left of the second range was decoded
+    held.ingest("c", 1, 12, 19, logs(spark, 1, [15], 2), blocks(spark, 1, [15]))
+    assert pending() == [(12, 19)]
+
+
+def test_schema_grows_and_refuses(spark, tmp_path):
+    held = Store(spark, f"file://{tmp_path}/s")
+    held.put_typed("t", logs(spark, 1, [1]), "a", 1, 0, 10)
+    held.put_typed("t", logs(spark, 1, [2]).withColumn("more", F.lit("x")), "b", 1, 0, 10)
+    held.put_typed("t", logs(spark, 1, [3]), "c", 1, 0, 10)
+    assert sorted((r["height"], r["more"]) for r in held.read("t").collect()) == [(1, None), (2, "x"), (3, None)]
+    with pytest.raises(evolve.DestructiveChange):
+        held.put_typed("t", logs(spark, 1, [4]).withColumn("value", F.lit("x")), "d", 1, 0, 10)
+
+
 def test_resync_modes(spark, tmp_path):
     held = Store(spark, f"file://{tmp_path}/s")
     held.put_typed("t", logs(spark, 1, [1, 3], 7), "a", 1, 0, 10)
@@ -135,6 +192,43 @@ def test_tip_stream_lands_and_rolls_back(spark, tmp_path):
     (tmp_path / "in/2.json").write_text("\n".join([line(2, True), line(3, True), line(2, mark="bb"), line(3, mark="bb"), "not json"]))
     assert run() == [(1, "aa01"), (2, "bb02"), (3, "bb03")]
     assert run() == [(1, "aa01"), (2, "bb02"), (3, "bb03")]
+    # A log, its removal and what replaces it in one batch; and one that comes back.
+    (tmp_path / "in/3.json").write_text("\n".join([line(4), line(4, True), line(4, mark="bb"), line(5, mark="cc"), line(5, True, mark="cc"), line(5, mark="dd"), line(5, True, mark="dd"), line(5, mark="cc")]))
+    assert run() == [(1, "aa01"), (2, "bb02"), (3, "bb03"), (4, "bb04"), (5, "cc05")]
+
+
+def test_tip_catches_up_to_the_safe_height(spark, tmp_path):
+    """Logs above head - confirmations wait; a head alone moves the cursor; headers, transactions and receipts land with their logs."""
+    for name in ("in", "heads"):
+        (tmp_path / name).mkdir()
+    held = Store(spark, f"file://{tmp_path}/s")
+    chains = spark.createDataFrame([(1, 2, True, 1)], "chain_id long, confirmations int, supports_reorg boolean, start long")
+    tx = lambda h: {"hash": f"0x{h:04x}", "from": "0x01", "to": "0x02", "value": "0x5", "input": "0x", "gas": "0x1", "nonce": "0x0"}
+    full = [json.dumps({"number": hex(h), "hash": f"0xaa{h:02x}", "parentHash": f"0xaa{h - 1:02x}", "timestamp": hex(1000 + h), "transactions": [tx(h), tx(h + 100)]}) for h in range(1, 30)]
+    bodies = spark.createDataFrame([(1, x) for x in full], "chain_id long, value string")
+    receipts = spark.createDataFrame([(1, json.dumps({"transactionHash": f"0x{h:04x}", "status": "0x1", "gasUsed": "0x1", "effectiveGasPrice": "0x1"})) for h in range(1, 30)], "chain_id long, value string")
+
+    def run():
+        heads = spark.readStream.schema("chain_id long, head long").json(f"file://{tmp_path}/heads")
+        tip.follow(tip.landed_logs(spark, f"file://{tmp_path}/in"), held, f"file://{tmp_path}/cp", chains=chains, heads=heads, blocks=lambda: bodies, receipts=lambda: receipts).awaitTermination(120)
+        cursor = held.cursor().first()
+        return sorted(r["height"] for r in held.read("raw_records").collect()) if held.has("raw_records") else [], cursor and cursor["last_height"]
+
+    (tmp_path / "in/1.json").write_text("\n".join(line(h) for h in (3, 4, 9)))
+    (tmp_path / "heads/1.json").write_text('{"chain_id": 1, "head": 6}')
+    assert run() == ([3, 4], 4)
+    assert [(r["height"], r["time"]) for r in held.blocks().orderBy("height").collect()] == [(3, 1003), (4, 1004)]
+    assert held.read("transactions").count() == held.read("receipts").count() == 2
+    (tmp_path / "heads/2.json").write_text('{"chain_id": 1, "head": 8}')
+    assert run() == ([3, 4], 6)  # no log, and the cursor moves
+    (tmp_path / "in/2.json").write_text("\n".join([line(10), line(5)]))  # one is late
+    assert run() == ([3, 4, 5], 6)
+    (tmp_path / "heads/3.json").write_text('{"chain_id": 1, "head": 11}')
+    assert run() == ([3, 4, 5, 9], 9)
+    (tmp_path / "in/3.json").write_text("\n".join([line(10, True), line(10, mark="bb")]))
+    (tmp_path / "heads/4.json").write_text('{"chain_id": 1, "head": 12}')
+    assert run() == ([3, 4, 5, 9, 10], 10)
+    assert bytes(held.raw_range(1, 10, 10).first()["block_hash"]).hex() == "bb0a" and held.read("pending_logs").count() == 0
 
 
 def test_pending_heights_wait_for_the_head(spark, tmp_path):
@@ -157,7 +251,7 @@ def test_layout_prunes_buckets(spark, tmp_path):
     assert sorted(r["height"] for r in rows.collect()) == [27, 30, 33, 36, 39, 42]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(hb" in plan and "GreaterThanOrEqual(height,25)" in plan
-    assert len({f.split("hb=")[1].split("/")[0] for f in rows.inputFiles()}) == 10
+    assert len({f.split("hb=")[1].split("/")[0] for f in spark.read.parquet(f"{tmp_path}/laid").inputFiles()}) == 10
 
 
 def test_wide_filter_pushes_bit_lengths(spark, tmp_path):

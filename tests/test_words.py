@@ -16,11 +16,11 @@ def column(spark, values, kind):
 
 def test_uint_and_int_text_are_exact(spark):
     rng = random.Random(3)
-    unsigned = [0, 1, 10**9, (1 << 256) - 1, 1 << 255, *(rng.getrandbits(rng.randint(1, 256)) for _ in range(60))]
+    unsigned = [0, 1, 10**9, (1 << 64) - 1, 1 << 64, (1 << 120) - 1, 1 << 120, 10**36, 10**54 - 1, 10**72, (1 << 256) - 1, 1 << 255, *(rng.getrandbits(rng.randint(1, 256)) for _ in range(60))]
     rows = column(spark, [bytearray(n.to_bytes(32)) for n in unsigned], "binary").select(w.uint256_text(F.col("x")), w.bit_length(F.col("x"))).collect()
     assert [r[0] for r in rows] == [str(n) for n in unsigned]
     assert [r[1] for r in rows] == [n.bit_length() for n in unsigned]
-    signed = [0, -1, -(1 << 255), (1 << 255) - 1, *(rng.getrandbits(255) - (1 << 254) for _ in range(60))]
+    signed = [0, -1, -(1 << 64), -(1 << 64) - 1, 1 - (1 << 64), -(1 << 255), (1 << 255) - 1, *(rng.getrandbits(255) - (1 << 254) for _ in range(60))]
     rows = column(spark, [bytearray(n.to_bytes(32, signed=True)) for n in signed], "binary").select(w.int256_text(F.col("x")), w.sort_key(F.col("x"), True)).collect()
     assert [r[0] for r in rows] == [str(n) for n in signed]
     assert sorted(signed) == [n for _, n in sorted((bytes(r[1]), n) for r, n in zip(rows, signed))]
@@ -73,14 +73,14 @@ def test_catalog_names_and_types():
 
 
 def test_cursors_and_pages():
-    assert reads.parse_cursor("123:45") == (123, 45)
-    for bad in ("123", "abc:45", "123:xy", ""):
+    assert reads.parse_cursor("123:45") == (123, 45, None) and reads.parse_cursor("123:45:7") == (123, 45, 7)
+    for bad in ("123", "abc:45", "123:xy", "", "1:2:x", "1:2:3:4", "9" * 20 + ":1"):
         with pytest.raises(reads.BadQuery):
             reads.parse_cursor(bad)
     assert [reads.clamp_first(n) for n in (0, 5000, 50, None)] == [1, 1000, 50, 100]
 
 
-@pytest.mark.parametrize("value, logical", [("notint", "uint:256"), ("maybe", "bool"), ("0xZZ", "bytes"), ("[]", "json"), ("-1", "uint:256"), ("9" * 30, "int64")])
+@pytest.mark.parametrize("value, logical", [("notint", "uint:256"), ("maybe", "bool"), ("0xZZ", "bytes"), ("[]", "json"), ("-1", "uint:256"), ("9" * 30, "int64"), ("yesterday", "timestamp"), ("2024-13-01", "timestamp")])
 def test_bad_literals_are_refused(spark, value, logical):
     with pytest.raises(reads.BadQuery):
         reads.literal(value, logical)
