@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .skew import FEW, lookup, plain
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -15,22 +16,31 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     the paths twice, and goes on with the edges between what is left; written
     tables carry the rounds. A round leaves only vertices that had no smaller
     neighbour, so a star takes one round and a path of n a number that grows
-    with the logarithm of n.
+    with the logarithm of n. A vertex to which many are hooked, or with many
+    edges, is looked up by ``skew.lookup``, so no task gets all of them.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = first = scratch.keep(pairs, f"{name}-edges")
     hooks: list[DataFrame] = []
-    while pairs.take(1):
-        hook = pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up"))
-        for _ in range(2):
+    while n := pairs.count():
+        k, few = len(hooks), n <= FEW
+        # Few edges are joined as they are; otherwise what is looked up by a key is a written table.
+        held = (lambda df, _: df) if few else (lambda df, step: scratch.keep(df, f"{name}-{step}-{k}"))  # noqa: B023
+        find = plain if few else lookup
+        hook = held(pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("up")), "hook")
+        for turn in range(2):
             above = hook.select(F.col("id").alias("up"), F.col("up").alias("top"))
-            hook = hook.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up"))
-        hooks.append(hook := scratch.keep(hook, f"{name}-hook-{len(hooks)}"))
-        for end in ("a", "b"):
-            pairs = pairs.join(hook.select(F.col("id").alias(end), F.col("up")), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
+            hook = held(find(hook, above, "up", "id").select("id", F.coalesce("top", "up").alias("up")), f"hook{turn}")
+        hooks.append(hook := scratch.keep(hook, f"{name}-hooks-{k}"))
+        for end, other in (("a", "b"), ("b", "a")):
+            pairs = held(find(pairs, hook.select(F.col("id").alias(end), "up"), end, other).select(F.coalesce("up", end).alias(end), other), f"moved-{end}")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        pairs = scratch.keep(pairs, f"{name}-edges-{len(hooks)}")
+        pairs = scratch.keep(pairs, f"{name}-edges-{k}")
+        scratch.drop(*(f"{name}-{x}-{k}" for x in ("hook", "hook0", "hook1", "moved-a", "moved-b")))
     labels = first.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("comp"))
-    for hook in hooks:
-        labels = labels.join(hook.select(F.col("id").alias("comp"), "up"), "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+    few = first.count() <= FEW
+    for k, hook in enumerate(hooks):
+        labels = labels if few else scratch.keep(labels, f"{name}-labels-{k}")
+        moved = (plain if few else lookup)(labels, hook.select(F.col("id").alias("comp"), "up"), "comp", "id")
+        labels = moved.select("id", F.coalesce("up", "comp").alias("comp"))
     return scratch.keep(labels, f"{name}-labels")

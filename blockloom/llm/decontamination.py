@@ -12,7 +12,13 @@ characters between them do not matter. In scripts without spaces each character
 is a word. A bitmap of fixed size of all test hashes keeps words that
 no item has out of the join; it drops no hit.
 
-Rules. Null or empty texts and items contain nothing. An item of fewer words
+A seed that a text or an item repeats at more than ``REPEATS`` places stands
+for all alignments of the two, which are then tried in one pass; so no text
+makes more than a bounded number of hits a seed, and none is lost. Items are
+verified ``ITEMS`` at a time for a text, however many it meets.
+
+Rules. Texts are read whole, of any length. Of alignments that agree equally the
+first in the document is reported. Null or empty texts and items contain nothing. An item of fewer words
 than the widest mask is found where all its words stand in a row, by a hash of
 them at its own length. Rows with a
 null doc_id are judged like others; repeated rows each give their rows; items
@@ -28,11 +34,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .batches import small_batches
+from .batches import map_rows, slices, small_batches
 from .textwords import NOT_ALNUM, windows, word_hashes
 from .workers import clear
 
@@ -40,6 +46,8 @@ from .workers import clear
 #: last, some mask fits somewhere however the words that may differ fall in 8 to 20.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 4, 6), (0, 2, 3, 6, 7), (0, 1, 5, 6, 7))
 WINDOW, SHARE = 20, 0.8
+#: Places of a seed in one text from which on alignments are not listed one by one, and items of a text that are verified together.
+REPEATS, ITEMS = 32, 64
 #: Bits of the bitmap, and bits in one of its rows.
 BITMAP, _ROW = 1 << 24, 1 << 15
 
@@ -67,6 +75,18 @@ def _seeds(words: np.ndarray, masks, lengths=()) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate([np.arange(len(h)) for h in hashes])
 
 
+def _listed(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and their places; those with more than ``REPEATS`` once, at -1."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, at = hashes[order], at[order]
+    found, first, count = np.unique(hashes, return_index=True, return_counts=True)
+    many = count > REPEATS
+    if not many.any():
+        return hashes, at
+    few = np.repeat(~many, count)
+    return np.concatenate((hashes[few], found[many])), np.concatenate((at[few], np.full(int(many.sum()), -1)))
+
+
 def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         words = _words(pdf["text"])
@@ -82,6 +102,7 @@ def _item_seeds(batches: Iterator[pd.DataFrame], masks, widest: int) -> Iterator
             # Masks that fit into a shorter item would propose it where some words differ.
             if len(words) < widest:
                 hashes, at = hashes[-1:], at[-1:]
+            hashes, at = _listed(hashes, at)
             yield pd.DataFrame({"hash": hashes.view(np.int64), "item_key": item_key, "item_at": at})
 
 
@@ -100,20 +121,19 @@ def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _hits(batches: Iterator[pd.DataFrame], masks, lengths, bitmap) -> Iterator[pd.DataFrame]:
     clear()
     known = np.unpackbits(bitmap.value).view(np.bool_)
-    for pdf in batches:
-        for lo in range(0, len(pdf), 256):
-            part = pdf.iloc[lo : lo + 256]
-            for key, words in zip(part["row_key"], _words(part["text"]), strict=True):
-                hashes, at = _seeds(words, masks, lengths)
-                found = known[(hashes & np.uint64(BITMAP - 1)).astype(np.int64)]
-                if found.any():
-                    yield pd.DataFrame({"hash": hashes[found].view(np.int64), "row_key": key, "at": at[found]})
+    for part in slices(batches):
+        for key, words in zip(part["row_key"], _words(part["text"]), strict=True):
+            hashes, at = _seeds(words, masks, lengths)
+            found = known[(hashes & np.uint64(BITMAP - 1)).astype(np.int64)]
+            if found.any():
+                hashes, at = _listed(hashes[found], at[found])
+                yield pd.DataFrame({"hash": hashes.view(np.int64), "row_key": key, "at": at})
 
 
 def best_alignment(doc: np.ndarray, item: np.ndarray, shifts, window: int, share: float) -> tuple[int, int, int] | None:
     """(start in the document, words, words that agree) of the alignment with most agreement among those that pass."""
     best = None
-    for shift in sorted(shifts):
+    for shift in sorted(set(shifts)):
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
         same = np.equal(doc[lo + shift : hi + shift], item[lo:hi])
         size = min(window, len(item))
@@ -129,16 +149,28 @@ def best_alignment(doc: np.ndarray, item: np.ndarray, shifts, window: int, share
     return best
 
 
+def every_shift(doc: np.ndarray, item: np.ndarray, window: int, share: float) -> list[int]:
+    """Alignments on which enough words agree for some window of them to pass."""
+    least = int(np.ceil(share * min(window, len(item)) - 1e-9))
+    order = np.argsort(doc, kind="stable")
+    lo, hi = (np.searchsorted(doc[order], item, side=side) for side in ("left", "right"))
+    agree = np.zeros(len(doc) + len(item), np.int64)  # by shift, from -len(item)
+    for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+        agree[order[a:b] - k + len(item)] += 1
+    return (np.flatnonzero(agree >= least) - len(item)).tolist()
+
+
 def _verify(batches: Iterator[pd.DataFrame], window: int, share: float) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in slices(batches, 64):
         rows = []
         for doc_id, text_key, words, items in zip(pdf["doc_id"], pdf["text_key"], _words(pdf["text"]), pdf["items"], strict=True):
-            for item in items:
-                found = best_alignment(words, np.frombuffer(item["words"], np.uint64), [int(s) for s in item["shifts"]], window, share)
+            for held in items:
+                item = np.frombuffer(held["words"], np.uint64)
+                shifts = every_shift(words, item, window, share) if held["every"] else [int(s) for s in held["shifts"]]
+                found = best_alignment(words, item, shifts, window, share)
                 if found:
-                    rows.append((doc_id, text_key, item["item_id"], *found))
-        out = pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "start", "words", "agree"])
-        yield out.astype({"doc_id": "Int64", "item_id": "Int64"})
+                    rows.append((doc_id, text_key, held["item_id"], *found))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "item_id", "start", "words", "agree"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -148,10 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
     the document), words, agree. Documents in which nothing is found have none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "decontamination")
     widest = max(map(max, masks)) + 1
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInPandas(_items, "item_id long, words binary")
+    items = map_rows(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")), _items, "item_id long, words binary", "item_id")
     items = scratch.keep(items.distinct().withColumn("item_key", F.xxhash64("item_id", "words")), "items")
     seeds = scratch.keep(items.select("item_key", "words").mapInPandas(partial(_item_seeds, masks=masks, widest=widest), "hash long, item_key long, item_at long"), "seeds")
     length = (F.octet_length("words") / 8).cast("int").alias("n")
@@ -162,14 +193,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text")).withColumn("row_key", F.coalesce("doc_id", "text_key"))
     hits = rows.select("row_key", "text").mapInPandas(partial(_hits, masks=masks, lengths=lengths, bitmap=spark.sparkContext.broadcast(bitmap)), "hash long, row_key long, at long")
-    aligned = hits.join(seeds, "hash").select("row_key", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    pairs = aligned.groupBy("row_key", "item_key").agg(F.collect_list("shift").alias("shifts")).join(items, "item_key")
-    candidates = scratch.keep(pairs.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "words", "shifts")).alias("items")), "candidates")
-    return (
-        rows.join(candidates, "row_key")
-        .select("doc_id", "text_key", "text", "items")
-        .mapInPandas(partial(_verify, window=window, share=share), "doc_id long, text_key long, item_id long, start long, words long, agree long")
-    )
+    shift = F.when((F.col("at") >= 0) & (F.col("item_at") >= 0), F.col("at") - F.col("item_at"))
+    aligned = hits.join(seeds, "hash").select("row_key", "item_key", shift.alias("shift")).distinct()
+    # The alignments of one text and one item: REPEATS ** 2 a seed of the item at most, and none where all are tried.
+    pairs = aligned.groupBy("row_key", "item_key").agg(F.collect_list("shift").alias("shifts"), F.max(F.col("shift").isNull()).alias("every"))
+    pairs = pairs.withColumn("shifts", F.when(~F.col("every"), F.col("shifts")))
+    part = F.floor((F.row_number().over(Window.partitionBy("row_key").orderBy("item_key")) - 1) / ITEMS)
+    held = F.collect_list(F.struct(F.col("item_id").cast("string").alias("item_id"), "words", "shifts", "every"))  # ITEMS at most
+    with small_batches(spark):
+        candidates = scratch.keep(pairs.withColumn("part", part).join(items, "item_key").groupBy("row_key", "part").agg(held.alias("items")).drop("part"), "candidates")
+    texts = rows.join(candidates, "row_key").select("doc_id", "text_key", "text", "items")
+    return map_rows(texts, partial(_verify, window=window, share=share), "doc_id long, text_key long, item_id long, start long, words long, agree long", "doc_id", "item_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -3,13 +3,16 @@
 The index is a table bucketed and sorted by digest. New rows are reduced to
 one candidate a digest, joined to the index by a sort-merge anti-join that
 moves only the new side, and appended. Everything is DataFrame work on the
-JVM.
+JVM. A digest that many rows share is counted before it is shuffled, and what
+the index says of it is broadcast (``skew.lookup``), so that no task gets all
+of its rows.
 
 Rules. A null text counts as empty. Texts are equal when identical after
 lower-casing A-Z only. Of equal texts of one ingest the row with the largest
 doc_id stays, null doc_ids being the smallest; of rows that repeat both doc_id
 and text, one stays. A digest that the index already holds drops every new
-row. Columns other than doc_id and text are not read, so clashing names are
+row. Texts are read whole, of any length; only their digests are shuffled.
+Columns other than doc_id and text are not read, so clashing names are
 harmless. An empty table adds nothing.
 """
 
@@ -22,10 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .skew import lookup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Buckets of an index; one is one task of the anti-join, so size it to the corpus.
-BUCKETS = 32
+#: Buckets of an index at least, and digests that one of them is to hold; one is one task of the anti-join.
+BUCKETS, BUCKET_ROWS = 32, 4_000_000
+#: Ingests that a whole table is put in, by falling doc_id.
+INGESTS = 2
 
 
 def ascii_lower(text: Column) -> Column:
@@ -39,60 +45,94 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, group_size, batch), bucketed and sorted by digest."""
+    """A table (digest, keep_id, group_size, batch), bucketed and sorted by digest; made empty where it is not there."""
 
     def __init__(self, spark: SparkSession, table: str, buckets: int = BUCKETS):
         if not re.fullmatch(r"\w+(\.\w+)?", table):
             raise ValueError(f"not a table name: {table}")
         self.spark, self.table, self.buckets = spark, table, buckets
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        if not spark.catalog.tableExists(table):
+            self._write(spark.createDataFrame([], "digest binary, keep_id long, group_size long, batch string"))
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def _write(self, entries: DataFrame) -> None:
+        entries.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+
     def append(self, entries: DataFrame) -> None:
         """Adds entries whose digests are new; each bucket is written by the task that holds it."""
-        (
-            entries.select("digest", "keep_id", "group_size", "batch")
-            .repartition(self.buckets, "digest")
-            .write.format("parquet").mode("append")
-            .bucketBy(self.buckets, "digest").sortBy("digest")
-            .saveAsTable(self.table)
-        )
+        self._write(entries.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest"))
 
     def unseen(self, entries: DataFrame) -> DataFrame:
-        """Entries whose digest the index lacks."""
-        return entries.hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti") if self.exists() else entries
+        """Entries whose digest the index lacks: a sort-merge anti-join for which the index is not shuffled."""
+        return entries.repartition(self.buckets, "digest").hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """Appends the new digests of ``rows`` (doc_id, digest). A batch name that is in the index is not added again (a retried job)."""
+        if self.read().where(F.col("batch") == batch).limit(1).count():
+            return
+        entries = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("batch", F.lit(batch))
+        # Written first: the table cannot be read and appended to in one job.
+        self.append(Scratch(self.spark, "digests").keep(self.unseen(entries), "new"))
 
     def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Adds the digests of ``docs`` that are new.
 
-        Returns a row per input row: doc_id, digest, keep_id, group_size and
-        kept; keep_id is null where an earlier batch holds the digest. A batch
-        name that is in the index already is not added again (a retried job).
+        Returns a row per input row: doc_id, digest, keep_id (of the row whose
+        digest the index holds, of whatever batch), group_size (rows of ``docs``
+        with the digest) and kept.
         """
         batch = batch or uuid.uuid4().hex
-        scratch = Scratch(self.spark, "digests")
-        rows = scratch.keep(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "rows")
-        copies = rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        entries = copies.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")).withColumn("batch", F.lit(batch))
-        if not (self.exists() and self.read().where(F.col("batch") == batch).limit(1).count()):
-            self.append(scratch.keep(self.unseen(entries), "new"))
-        mine = self.read().where(F.col("batch") == batch).select("digest", F.lit(True).alias("is_new"))
-        group = entries.join(mine, "digest", "left").select("digest", F.when(F.col("is_new"), F.col("keep_id")).alias("keep_id"), "group_size", F.coalesce("is_new", F.lit(False)).alias("is_new"))
-        return (
-            copies.join(group, "digest")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-            .select("doc_id", "digest", "keep_id", "group_size", (F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"))
-        )
+        rows = digests(docs)
+        self.add(rows, batch)
+        return self.judge(rows, F.col("batch") == batch)
+
+    def judge(self, rows: DataFrame, mine: Column) -> DataFrame:
+        """What the index says of each of ``rows``; those of its entries that are ``mine`` were added by them."""
+        sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        held = self.read().select("digest", "keep_id", mine.alias("mine"))
+        found = lookup(rows, sizes.join(held, "digest").select("digest", "keep_id", "group_size", "mine"), "digest", "doc_id")
+        # Of rows that repeat the kept row's doc_id and text the first stays.
+        named = F.col("mine") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+        return found.withColumn("kept", named & (F.col("copy") == 0)).select("doc_id", "digest", "keep_id", "group_size", "kept")
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, copy) as a written table; copy counts the rows that repeat doc_id and text, from 0."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_digest(F.col("text")).alias("digest"))
+    scratch = Scratch(docs.sparkSession, "digests")
+    counted = scratch.keep(rows, "texts").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.select("doc_id", "digest", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
+    rows = scratch.keep(each, "rows")
+    scratch.drop("texts")
+    return rows
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """A row per document: doc_id, keep_id, group_size, kept, text_sha256. Without an index, a fresh one is filled."""
-    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    return index.ingest(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    """A row per document: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Without an index, one of its own is filled in ``INGESTS`` batches by falling
+    doc_id, so that the row that a later batch meets in the index is that with
+    the larger doc_id, and dropped in the end.
+    """
+    if index is not None:
+        out = index.ingest(docs)
+        return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    spark, rows = docs.sparkSession, digests(docs)
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", max(BUCKETS, -(-rows.count() // BUCKET_ROWS)))
+    shares = [k / INGESTS for k in range(1, INGESTS)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(100))).first()[0] or ()), reverse=True)
+    for k, (upper, lower) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = rows if upper is None else rows.where((F.col("doc_id") < upper) | F.col("doc_id").isNull())
+        index.add(part if lower is None else part.where(F.col("doc_id") >= lower), f"batch-{k}")
+    out = index.judge(rows, F.lit(True)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    out = Scratch(spark, "digests").keep(out, "judged")
+    index.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

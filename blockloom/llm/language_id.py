@@ -6,13 +6,15 @@ the mean of their log frequencies, from 4 characters down to 1. The language
 with the largest sum wins; the score is its share after softmax.
 
 The model is learned from labelled rows: all of them, or about ``TRAIN_ROWS``
-chosen by a hash of doc_id where there are more, and keeps the ``MOST_WORDS``
-most frequent words and ``MOST_GRAMS`` n-grams of each order, so its size does
-not grow with the corpus. doc_id decides which rows may be learned from, and
+chosen by a hash of doc_id where there are more, an equal share of each
+language as far as it has so many. It keeps the ``MOST_WORDS`` most frequent words and ``MOST_GRAMS`` n-grams of
+each order, again an equal share by language, so its size does not grow with the
+corpus and no language crowds another out. doc_id decides which rows may be learned from, and
 is never an input of a prediction; nor are lang and source.
 
 Rules. A text that is null or has no letter is ``und`` with score 0, and so is
-every text if there is nothing to learn from. Whole texts are read. Ties go to
+every text if there is nothing to learn from. Whole texts of any length are
+read. An empty table gives an empty result and a model that knows no language. Ties go to
 the language that sorts first. Rows with a null doc_id are predicted, not
 learned from. Repeated rows are rows of their own. Other columns are not read.
 """
@@ -27,11 +29,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .batches import small_batches
+from .batches import map_rows, slices, small_batches
 from .workers import clear, keep
 
 #: Bound of the sample of labelled rows that the model is fitted on.
@@ -40,8 +42,8 @@ TRAIN_ROWS = 12_000
 MOST_WORDS, MOST_GRAMS, ORDERS = 50_000, 15_000, (4, 3, 2, 1)
 #: Words that a worker keeps the scores of.
 REMEMBER = 400_000
-#: A prediction below this is rejected by ``reject_unknown``.
-LEAST_SCORE = 0.5
+#: A prediction below this is rejected by ``reject_unknown``, for texts of enough words to judge.
+LEAST_SCORE, LEAST_WORDS = 0.5, 10
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -126,58 +128,74 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def _sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows at most, as many of each language as it has and its share allows."""
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as languages
+    if sum(sizes.values()) <= rows:
+        return labelled
+    left, open_, share = rows, sorted(sizes, key=lambda k: (sizes[k], k)), {}
+    for k, lang in enumerate(open_):  # what a small language leaves goes to the larger ones
+        share[lang] = min(sizes[lang], left // (len(open_) - k))
+        left -= share[lang]
+    kept = labelled.sparkSession.createDataFrame([(k, int(1_000_000 * share[k] / sizes[k])) for k in open_], "lang string, share long")
+    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < F.col("share")
+    return labelled.join(kept, "lang").where(chosen).select(labelled.columns)
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """A model of the labelled documents that may be learned from."""
-    small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(learnable(F.col("doc_id")) & F.col("lang").isNotNull())
-    n = labelled.count()
-    if n > rows:
-        share = int(1_000_000 * rows / n)
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < share)
-    counted = labelled.where("text IS NOT NULL").select("lang", "text").mapInPandas(_count, "lang string, order int, gram string, n long")
-    by_gram = counted.groupBy("order", "gram", "lang").agg(F.sum("n").alias("n")).groupBy("order", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    by_gram = Scratch(docs.sparkSession, "language").keep(by_gram, "grams")
-    langs = sorted(r[0] for r in by_gram.select(F.explode("by_lang.lang")).distinct().collect())
+    counted = _sample(labelled, rows).where("text IS NOT NULL").select("lang", "text").mapInPandas(_count, "lang string, order int, gram string, n long")
+    by_lang = counted.groupBy("order", "gram", "lang").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        by_lang = Scratch(docs.sparkSession, "language").keep(by_lang, "grams")
+    langs = sorted(r[0] for r in by_lang.select("lang").distinct().collect())
     place = {lang: k for k, lang in enumerate(langs)}
+    ranked = Window.partitionBy("order", "lang").orderBy(F.desc("n"), "gram")
+    most = F.when(F.col("order") == 0, most_words).otherwise(most_grams)
+    # A top-k of each order and language, so nothing is sorted as a whole, and one order is on the driver at a time.
+    frequent = by_lang.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= F.ceil(most / max(1, len(langs)))).select("order", "gram").distinct()
     tables: dict[int, dict[str, np.ndarray]] = {order: {} for order in (0, *ORDERS)}
-    for order in (0, *ORDERS):  # a top-k of each, so nothing is sorted as a whole and one is on the driver at a time
-        for r in by_gram.where(F.col("order") == order).orderBy(F.desc("total"), "gram").limit(MOST_GRAMS if order else MOST_WORDS).select("gram", "by_lang").toLocalIterator():
-            counts = tables[order][r["gram"]] = np.zeros(len(langs), np.float32)
-            for x in r["by_lang"]:
-                counts[place[x["lang"]]] = x["n"]
+    held = Scratch(docs.sparkSession, "language").keep(by_lang.join(frequent, ["order", "gram"], "left_semi"), "model")
+    for order in (0, *ORDERS):
+        for r in held.where(F.col("order") == order).select("gram", "lang", "n").toLocalIterator():
+            tables[order].setdefault(r["gram"], np.zeros(len(langs), np.float32))[place[r["lang"]]] = r["n"]
     return Model(langs, tables)
 
 
-def _predict(batches: Iterator[pd.DataFrame], model, key: str, columns: list[str]) -> Iterator[pd.DataFrame]:
+def _predict(batches: Iterator[pd.DataFrame], model, key: str) -> Iterator[pd.DataFrame]:
     scorer = keep(("language", key), lambda: Scorer(model.value))
-    for pdf in batches:
+    for pdf in slices(batches):
         found = [scorer.predict(t) for t in pdf["text"]]
-        yield pdf[columns].assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
+        yield pdf[["doc_id", "held_out"]].assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # a null id stays null on its way through pandas
-    out = rows.mapInPandas(partial(_predict, model=shared, key=model.key, columns=["doc_id", "held_out"]), "doc_id string, held_out boolean, lang_pred string, score double")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return map_rows(rows, partial(_predict, model=shared, key=model.key), "doc_id long, held_out boolean, lang_pred string, score double", "doc_id")
 
 
-def reject_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without texts of no language or of none in particular; the columns stay as they are."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def reject_unknown(docs: DataFrame, model: Model, least: float = LEAST_SCORE, words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without texts that have no letter, and those of at least so many words of which no language in particular is likely; the columns stay as they are.
 
-    key = model.key
+    A model that knows no language rejects for want of a letter only.
+    """
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = keep(("language", key), lambda: Scorer(shared.value))
+
+        def passes(text: str | None) -> bool:
+            lang, score = scorer.predict(text)
+            if lang == "und":
+                return not shared.value.langs and bool(words_of(text))
+            return score >= least or len(words_of(text)) < words
+
         for texts in batches:
-            found = [scorer.predict(t) for t in texts]
-            yield pd.Series([x != "und" and score >= least for x, score in found], dtype=bool)
+            yield pd.Series([passes(t) for t in texts], dtype=bool)
 
     return docs.where(known(docs["text"].cast("string")))
 

@@ -19,8 +19,9 @@ global sort, and each finds its sequence and offset by its number.
 
 Rules. A null text counts as empty and is its end id alone. A null doc_id stays
 null in the result; repeated rows are documents of their own, so two pieces of
-one (doc_id, piece) may appear. Other columns are not read. An empty table
-packs to nothing.
+one (doc_id, piece) may appear. Texts of any length are encoded whole. Pieces of
+one length are alike to the plan, so ties cost nothing. Other columns are not
+read. An empty table packs to nothing.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .batches import small_batches
+from .batches import map_rows, slices, small_batches
 from .tokens import REMEMBER, encoder
 
 SIZE = 1024
 #: Appended to each document.
 END_ID = 2
+#: Counts by task and length that are broadcast at most: some 10 MB.
+BROADCAST_ROWS = 300_000
 Pattern = tuple[tuple[int, ...], int]  # lengths, sequences
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, number long"
@@ -58,19 +61,15 @@ def _pieces(batches: Iterator[pd.DataFrame], path: str, end_id: int, size: int,
 
     part, numbers = TaskContext.get().partitionId(), Counter()
     enc, end = encoder(path, remember), np.array([end_id], "<u4").tobytes()
-    for pdf in batches:
-        for lo in range(0, len(pdf), 250):
-            chunk = pdf.iloc[lo : lo + 250]
-            rows = []
-            for doc_id, ids in zip(chunk["doc_id"], enc.encode([t or "" for t in chunk["text"]]), strict=True):
-                ids += end
-                for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
-                    held = ids[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, k, start, length, zlib.crc32(held), part, numbers[length], *((held,) if with_ids else ())))
-                    numbers[length] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number", *(("ids",) if with_ids else ())])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+    for pdf in slices(batches):
+        rows = []
+        for doc_id, ids in zip(pdf["doc_id"], enc.encode([t or "" for t in pdf["text"]]), strict=True):
+            ids += end
+            for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
+                held = ids[4 * start : 4 * (start + length)]
+                rows.append((doc_id, k, start, length, zlib.crc32(held), part, numbers[length], *((held,) if with_ids else ())))
+                numbers[length] += 1
+        yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number", *(("ids",) if with_ids else ())])
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = SIZE, with_ids: bool = False, remember: int = REMEMBER) -> DataFrame:
@@ -78,9 +77,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, size: int = S
 
     part and number tell pieces of one length apart: the task and the place in it.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(partial(_pieces, path=path, end_id=end_id, size=size, with_ids=with_ids, remember=remember), _PIECES + (", ids binary" if with_ids else ""))
+    return map_rows(rows, partial(_pieces, path=path, end_id=end_id, size=size, with_ids=with_ids, remember=remember), _PIECES + (", ids binary" if with_ids else ""), "doc_id")
 
 
 class _Lengths:
@@ -213,7 +211,7 @@ def _slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
 
 
 def _place(batches: Iterator[pd.DataFrame], slots) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in slices(batches, 5000):
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
         lengths, numbers = pdf["length"].to_numpy(), pdf["number"].to_numpy()
         for length in np.unique(lengths):
@@ -230,16 +228,19 @@ def best_fit_packing(docs: DataFrame, path: str, end_id: int = END_ID, size: int
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids on request."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.keep(token_pieces(docs, path, end_id, size, with_ids, remember), "pieces")
+    with small_batches(spark):
+        pieces = scratch.keep(token_pieces(docs, path, end_id, size, with_ids, remember), "pieces")
     each = scratch.keep(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
     slots = spark.sparkContext.broadcast(_slots(plan(counts, size)))
     # Numbers of a task's pieces of a length start after those of the tasks before it; a window over tasks, not pieces.
     earlier = each.selectExpr("length", "part", "cast(coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0) as bigint) as earlier")
+    # A row a task and length: with many tasks too many to broadcast, so both sides are dealt by them.
+    earlier = F.broadcast(earlier) if each.count() <= BROADCAST_ROWS else earlier.hint("merge")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(("ids",) if with_ids else ())]
     numbered = pieces.join(earlier, ["length", "part"]).select(*columns, (F.col("number") + F.col("earlier")).alias("number"))
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
-    return numbered.mapInPandas(partial(_place, slots=slots), schema).withColumn("length", F.col("length").cast("long"))
+    return map_rows(numbered, partial(_place, slots=slots), schema, "doc_id").withColumn("length", F.col("length").cast("long"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

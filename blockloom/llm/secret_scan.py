@@ -21,13 +21,14 @@ its encoding, then of all encodings; where all are too few the level is
 
 Positions are code points, ends exclusive. Null and empty texts have no spans;
 rows keep doc_id, null or repeated, as it is; ties are ordered by start, then
-kind as listed. Whole texts are read; other columns are not. An empty table
+kind as listed. Whole texts of any length are read, in time that grows with the text
+and its matches; other columns are not. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -56,26 +57,44 @@ LEVELS = (0.001, 0.01, 0.02, *(k / 20 for k in range(1, 11)))
 FALSE_SHARE, FALLBACK, ENOUGH = 0.1, 0.05, 100
 
 
+#: Matches that are placed together: appending to an array costs as much as it is long, so a long list goes by parts.
+PART = 256
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
 def found_spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as structs (start, kind, end), failing ones dropped.
 
     The text between matches comes from ``split``; lengths add up to positions.
+    Parts of ``PART`` matches have their lengths summed first, so that each can
+    be placed by itself and no array grows with all matches of a text.
     """
+    none = F.array().cast(_SPANS)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
     counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-    none = F.lit(None).cast("array<struct<start:int,kind:int,end:int>>")
+    each = F.zip_with(F.zip_with(lengths, counted, lambda n, c: F.struct(n.alias("length"), c.alias("counted"))), gaps, lambda x, g: F.struct(x["length"].alias("length"), x["counted"].alias("counted"), g.alias("gap")))
+    # The last gap follows the last match and has no length.
+    each = F.filter(each, lambda x: x["length"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
+    def place(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["length"]).alias("end"))
         return F.struct((start + x["length"]).alias("at"), F.when(x["counted"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
-    each = F.zip_with(F.zip_with(lengths, counted, lambda n, c: F.struct(n.alias("length"), c.alias("counted"))), gaps, lambda x, g: F.struct(x["length"].alias("length"), x["counted"].alias("counted"), g.alias("gap")))
-    # The last gap follows the last match and has no length.
-    folded = F.aggregate(F.filter(each, lambda x: x["length"].isNotNull()), zero, step)["out"]
-    return F.when(text.rlike(pattern), folded).otherwise(F.coalesce(none, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    def placed(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), place)["out"]
+
+    def by_parts(every: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / PART).cast("int")), lambda k: F.slice(every, k * PART + 1, F.lit(PART)))
+        widths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["gap"] + x["length"]))
+        ends = F.aggregate(widths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(parts, F.slice(ends, F.lit(1), F.size(parts)), placed))
+
+    held = lambda every: F.when(F.size(every) <= PART, placed(every, F.lit(0))).otherwise(by_parts(every))
+    # A lambda of one value gives the list a name, so it is made once.
+    spans = F.element_at(F.transform(F.array(each), held), 1)
+    return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
 def normal_tail(z: Column) -> Column:
@@ -188,6 +207,19 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def outside(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with inside: whether a run lies within a span of a pattern of its text.
+
+    Such runs count for the levels only; those that reach beyond a span may be
+    secrets of their own. Spans and runs of a text are merged in order of start,
+    with the furthest end of a span so far: one pass, however many there are.
+    """
+    spans = found.where((F.size("runs") > 0) & (F.size("base") > 0)).select("row_key", F.explode("base").alias("span")).select("row_key", "span", F.lit(None).cast("string").alias("run"))
+    so_far = Window.partitionBy("row_key").orderBy("span.start", F.col("run").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("run").isNull(), F.col("span.end"))).over(so_far)
+    return spans.unionByName(runs).withColumn("inside", F.coalesce(reach >= F.col("span.end"), F.lit(False))).where("run IS NOT NULL")
+
+
 def secret_scan(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, counts by pattern, base_sha256, spans and secrets (array of kind, start, end, p)."""
     scratch = Scratch(docs.sparkSession, "secrets")
@@ -200,13 +232,10 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     )
     base = F.array_sort(F.concat(*(F.col(kind) for kind, *_ in PATTERNS)))
     found = found.select("doc_id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in PATTERNS), base.alias("base"), F.arrays_zip("runs", F.col("strings")).alias("runs"))
-    # Runs within a span count for the levels only; those that reach beyond one may be secrets of their own.
-    inside = lambda r: F.exists("base", lambda b: (b["start"] <= r["runs"]["start"]) & (r["runs"]["end"] <= b["end"]))
-    marked = F.transform("runs", lambda r: F.struct(r["runs"].alias("span"), r["strings"].alias("run"), inside(r).alias("inside")))
-    found = scratch.keep(found.withColumn("runs", marked).withColumn("row_key", F.monotonically_increasing_id()), "found")
+    found = scratch.keep(found.withColumn("row_key", F.monotonically_increasing_id()), "found")
 
-    runs = found.where(F.size("runs") > 0).select("row_key", F.explode("runs").alias("r")).select("row_key", "r.*").withColumn("digit", F.col("run").rlike("[0-9]"))
-    tested = scratch.keep(random_p(runs).drop("run"), "tested")
+    runs = found.where(F.size("runs") > 0).select("row_key", F.explode("runs").alias("r")).select("row_key", F.col("r.runs").alias("span"), F.col("r.strings").alias("run"))
+    tested = scratch.keep(random_p(outside(found, runs).withColumn("digit", F.col("run").rlike("[0-9]"))).drop("run"), "tested")
     tested = tested.withColumn("length", length_class(F.col("n"))).withColumn("level", levels(tested)).where("p >= level AND NOT inside")
     added = tested.groupBy("row_key").agg(F.collect_list(F.struct("span.start", "span.kind", "span.end", "p")).alias("added"))  # of one document
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int,p:double>>")

@@ -16,9 +16,10 @@ then for each document its id (i64), whether it has one (u8) and its ids
 their shards are in ascending order of doc_id. The table of ranks is kept
 beside the shards, once.
 
-Rules. A null text counts as empty and is its end id alone. Null doc_ids come
-first and repeated ones stay, ordered by their ids. Other columns are not
-read. An empty table writes no shard and reads as an empty table. A shard is
+Rules. A null text counts as empty and is its end id alone; texts of any length
+are encoded whole. Null doc_ids come first; rows that repeat a doc_id all stay,
+ordered by their number of ids and then by the bytes of their packed ids, so
+that equal rows are all that can change places. Other columns are not read. An empty table writes no shard and reads as an empty table. A shard is
 written under a name of its own and then moved into place, so a task that runs
 again replaces its own shards.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .batches import small_batches
+from .batches import map_rows, slices, small_batches
 from .tokens import encoder
 
 END_ID = 2
@@ -100,18 +101,14 @@ def _tokenize(batches: Iterator[pd.DataFrame], path: str, end_id: int) -> Iterat
     pack = zstandard.ZstdCompressor(level=1).compress
     enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
     counts = np.zeros(0, np.int64)
-    for pdf in batches:
-        for lo in range(0, len(pdf), 250):
-            chunk = pdf.iloc[lo : lo + 250]
-            held = [x + end for x in enc.encode([t or "" for t in chunk["text"]])]
-            seen = np.bincount(np.frombuffer(b"".join(held), "<u4"))
-            counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
-            counts[: len(seen)] += seen
-            out = pd.DataFrame({"doc_id": chunk["doc_id"].astype("Int64").to_numpy(), "n": [len(x) // 4 for x in held], "blob": [pack(_narrow(x)) for x in held], "counts": None})
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+    for pdf in slices(batches):
+        held = [x + end for x in enc.encode([t or "" for t in pdf["text"]])]
+        seen = np.bincount(np.frombuffer(b"".join(held), "<u4"))
+        counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
+        counts[: len(seen)] += seen
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": [len(x) // 4 for x in held], "blob": [pack(_narrow(x)) for x in held], "counts": None})
     if len(counts):
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [-1], "blob": [None], "counts": [counts.tobytes()]})
+        yield pd.DataFrame({"doc_id": [None], "n": [-1], "blob": [None], "counts": [counts.tobytes()]})
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -179,7 +176,7 @@ def _write_shards(batches: Iterator[pd.DataFrame], folder: str, rank_of, bits: i
             if held and size + len(ids) > most:
                 rows.append(close())
                 size = 0
-            held.append((None if pd.isna(doc_id) else int(doc_id), ids))
+            held.append((None if doc_id is None else int(doc_id), ids))
             size += len(ids)
     if held:
         rows.append(close())
@@ -193,10 +190,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     Returns the manifest that is written too: part, shard, docs, ids, bytes.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    encoded = scratch.keep(rows.mapInPandas(partial(_tokenize, path=tokenizer, end_id=end_id), "doc_id long, n long, blob binary, counts binary"), "encoded")
+    with small_batches(spark):
+        encoded = scratch.keep(map_rows(rows, partial(_tokenize, path=tokenizer, end_id=end_id), "doc_id long, n long, blob binary, counts binary", "doc_id"), "encoded")
     # One row of counts a task, as long as the vocabulary; sums go by a few tasks and then by id.
     sums = encoded.where("n < 0").select("counts").mapInPandas(_sum_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = sums.collect()  # the vocabulary at most
@@ -210,7 +207,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = encoded.where("n >= 0").select("doc_id", "n", "blob").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "blob")
     write = partial(_write_shards, folder=f"{folder}/shards", rank_of=spark.sparkContext.broadcast(rank_of), bits=control_bits(len(by_rank)), most=shard_ids)
-    manifest = ordered.select("doc_id", "blob").mapInPandas(write, "part long, shard long, docs long, ids long, bytes long")
+    # Ids go as text, which keeps them exact beside nulls.
+    manifest = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "blob").mapInPandas(write, "part long, shard long, docs long, ids long, bytes long")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     scratch.drop("encoded")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
@@ -239,8 +237,8 @@ def _read(batches: Iterator[pd.DataFrame], id_of, with_ids: bool) -> Iterator[pd
             ids = id_of.value[ranks].astype("<u4").tobytes()
             ends = np.cumsum(lengths)
             held = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends, lengths, strict=True)]
-            out = pd.DataFrame({"doc_id": pd.array(np.where(known, doc_ids, 0), "Int64"), "part": head["part"], "start": ends - lengths + head["before"], "n_tokens": lengths, "ids_crc32": [zlib.crc32(x) for x in held]})
-            out.loc[~known, "doc_id"] = pd.NA
+            names = [str(d) if k else None for d, k in zip(doc_ids.tolist(), known.tolist(), strict=True)]
+            out = pd.DataFrame({"doc_id": names, "part": head["part"], "start": ends - lengths + head["before"], "n_tokens": lengths, "ids_crc32": [zlib.crc32(x) for x in held]})
             yield out.assign(ids=held) if with_ids else out
 
 
@@ -258,7 +256,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     # Sums over parts, of which there are as many as write tasks; documents are not gathered.
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).selectExpr("part", "cast(coalesce(sum(ids) over (order by part rows between unbounded preceding and 1 preceding), 0) as bigint) as base")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rkvb").load(f"{folder}/shards").select("content")
-    rows = files.mapInPandas(partial(_read, id_of=spark.sparkContext.broadcast(id_of), with_ids=with_ids), schema)
+    rows = map_rows(files, partial(_read, id_of=spark.sparkContext.broadcast(id_of), with_ids=with_ids), schema, "doc_id")
     return rows.join(parts, "part").withColumn("start", F.col("start") + F.col("base")).select(columns)
 
 

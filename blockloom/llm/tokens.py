@@ -10,12 +10,14 @@ text:
   a token of its own.
 - BPE that drops white space: at every space and line feed.
 
-Texts with other runs of white space, and other tokenizers, are encoded whole.
+Texts with other runs of white space, those that hold a special token's string,
+and other tokenizers, are encoded whole: the ids are those of the plain call.
 """
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,6 +26,8 @@ from .workers import keep
 
 #: Words that a worker remembers at most: about 160 MB; a quarter of them about 40 MB, at a third more CPU time.
 REMEMBER = 1_000_000
+#: Stands for a text that must not be cut; no word of a text that was cut.
+_UNSAFE = "\n "
 #: New words are encoded together, so many to a string.
 _TOGETHER = 48
 
@@ -34,17 +38,17 @@ def _open(uri: str) -> bytes:
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
-
-    The strings of special tokens in a text are ordinary text.
-    """
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers, without special tokens added."""
 
     def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
 
         spec = json.loads(_open(path))
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the tokenizer finds before it cuts, and what they all start with.
+        self.special = [t["content"].lower() for t in spec.get("added_tokens") or ()]
+        sign = os.path.commonprefix(self.special)[:1]
+        self.sign = None if not self.special else "" if sign.isalpha() else sign
         self.remember, self.words = remember, {}
         self.mode = self._mode(spec)
         self.mark = {"lead": "\n", "drop": "|"}.get(self.mode, "")
@@ -65,12 +69,20 @@ class Encoder:
             return "drop"
         return "whole"
 
+    def _is_special(self, text: str) -> bool:
+        if self.sign is None or self.sign not in text:
+            return False
+        low = text.lower()
+        return any(t in low for t in self.special)
+
     def _parts(self, text: str) -> list[str]:
         """Cuts a text: a bare word follows a space, one that starts with a line feed follows that, the first word is marked by NUL."""
+        if self._is_special(text):
+            return [_UNSAFE]  # no safe cut
         if self.mode == "drop":
             return text.replace("\n", " ").split(" ")
         if "\0" in text:
-            return ["\n "]  # no safe cut
+            return [_UNSAFE]  # no safe cut
         out: list[str] = []
         first = "\0"
         for line in text.split("\n"):
@@ -87,9 +99,9 @@ class Encoder:
         """Ids of new words; None for a word next to which a cut is not safe."""
         words = self.words
         if self.mode == "drop":
-            together = [w for w in new if w and "|" not in w]
+            together = [w for w in new if w and "|" not in w and w != _UNSAFE]
             alone = [w for w in new if "|" in w]
-            words[""] = b""
+            words[""], words[_UNSAFE] = b"", None
             groups = [(together, "", " | ", b"")]
         else:
             plain, marked = [], {"\0": [], "\n": []}
@@ -147,7 +159,5 @@ class Encoder:
 
 def encoder(path: str, remember: int = REMEMBER) -> Encoder:
     """This worker's encoder; workers are used again, and keep it."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return keep(("encoder", path, remember), lambda: Encoder(path, remember))

@@ -6,10 +6,17 @@ or distinct soft terms whose weights reach ``SOFT_LIMIT``, rejects the url.
 A rule (host, path) fits its host and all subdomains where the path starts with
 the rule's; the longest fitting rule decides before the vocabulary does.
 
+The vocabulary is a parameter: lists of any length, or a table of terms and
+weights (``read_vocabulary``). The standard one is made by a rule from short
+lists of stems: their plurals, and all compounds of two of them, some thousands
+of terms. Its automaton is built once a task.
+
 A null url, or one without ``://``, has an empty host and path and fits no
-rule; the vocabulary still reads what there is of it. Rows keep page_id as it
-is, null or repeated; columns other than page_id and url are not read. An
-empty table gives an empty result.
+rule; the vocabulary still reads what there is of it. Urls are read whole, of
+any length, in one pass. Rows keep page_id as it is, null or repeated; repeated
+rows are judged alike. Of rules that fit with the same length (the same host
+and path twice) the first listed decides. Columns other than page_id and url
+are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import map_rows, slices
+
 Rule = tuple[str, str, str]  # verdict, host, path
 
 #: Fixed values of the query: verdict, host, path.
@@ -30,16 +39,50 @@ RULES: tuple[Rule, ...] = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: One of these rejects.
-STRICT_TERMS = ("adult-x", "casino", "escorts", "free-bets", "hentai", "porn", "pornhub", "spam-farm", "spamfarm", "viagra", "warez", "xxx")
-#: Several of these reject: distinct terms count by weight.
-SOFT_TERMS = {
-    "adult": 1.0, "ads": 0.5, "bet": 1.0, "bets": 1.0, "bonus": 0.5, "cheap": 0.5, "crack": 1.0, "dating": 0.5, "escort": 1.0,
-    "farm": 0.25, "free": 0.5, "keygen": 1.0, "loan": 0.5, "loans": 0.5, "nude": 1.0, "payday": 1.0, "pills": 1.0, "poker": 1.0,
+#: Stems of which one rejects, and those that count by weight.
+STRICT_STEMS = ("casino", "escorts", "hentai", "porn", "pornhub", "spamfarm", "viagra", "warez", "xxx")
+STRICT_EXTRA = ("adult-x", "free-bets", "spam-farm")
+SOFT_STEMS = {
+    "adult": 1.0, "ads": 0.5, "bet": 1.0, "bonus": 0.5, "cheap": 0.5, "crack": 1.0, "dating": 0.5, "escort": 1.0,
+    "farm": 0.25, "free": 0.5, "keygen": 1.0, "loan": 0.5, "nude": 1.0, "payday": 1.0, "pills": 1.0, "poker": 1.0,
     "sex": 1.0, "slots": 1.0, "spam": 1.0, "torrent": 1.0, "track": 0.5, "win": 0.5,
+    "cams": 1.0, "chat": 0.25, "coupon": 0.25, "deals": 0.25, "diet": 0.5, "erotic": 1.0, "fetish": 1.0, "gambling": 1.0,
+    "hookup": 1.0, "jackpot": 1.0, "lottery": 0.5, "milf": 1.0, "naked": 1.0, "roulette": 1.0, "serial": 0.25, "singles": 0.5,
+    "steroids": 1.0, "betting": 1.0,
 }
 SOFT_LIMIT = 1.5
 
+
+def soft_terms(stems: dict[str, float] = SOFT_STEMS) -> dict[str, float]:
+    """Stems, their plurals, and compounds of two, joined or by a hyphen, which weigh as much as both."""
+    out = {}
+    for a, x in stems.items():
+        for b, y in stems.items():
+            if a != b:
+                out |= {f"{a}{b}": x + y, f"{a}-{b}": x + y}
+    out |= {f"{a}s": x for a, x in stems.items() if not a.endswith("s")}
+    return out | stems
+
+
+def strict_terms(stems: Sequence[str] = STRICT_STEMS, extra: Sequence[str] = STRICT_EXTRA) -> tuple[str, ...]:
+    """Stems, their plurals, compounds of two, and what is listed as it is."""
+    plural = [f"{a}s" for a in stems if not a.endswith("s")]
+    return tuple(sorted({*stems, *extra, *plural, *(f"{a}{joint}{b}" for a in stems for b in stems if a != b for joint in ("", "-"))}))
+
+
+#: One of these rejects.
+STRICT_TERMS = strict_terms()
+#: Several of these reject: distinct terms count by weight.
+SOFT_TERMS = {t: w for t, w in soft_terms().items() if t not in set(STRICT_TERMS)}
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict and soft terms of a table (term, weight) in CSV; a term without a weight is strict. A vocabulary fits the driver and each task."""
+    rows = spark.read.schema("term string, weight double").csv(path).where("term IS NOT NULL AND term <> ''").collect()
+    strict = {r["term"].lower() for r in rows if r["weight"] is None}
+    return tuple(sorted(strict)), {r["term"].lower(): r["weight"] for r in rows if r["weight"] is not None and r["term"].lower() not in strict}
+
+
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, soft_weight double"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -102,7 +145,7 @@ def url_filter(
                     found.add(term)
             return found
 
-        for pdf in batches:
+        for pdf in slices(batches):
             rows = []
             for page_id, url in zip(pdf["page_id"], pdf["url"], strict=True):
                 url = url if isinstance(url, str) else ""
@@ -113,11 +156,9 @@ def url_filter(
                 rule = fit_rule(hosts, host, path)
                 verdict = rule[1] if rule else "block" if n_strict or weight >= soft_limit else "allow"
                 rows.append((page_id, host, path, rule and rule[0], verdict, n_strict, len(found) - n_strict, weight))
-            out = pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"])
-            out["page_id"] = out["page_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInPandas(judge, SCHEMA)
+    return map_rows(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")), judge, SCHEMA, "page_id")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,24 +167,39 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    hit = lambda t: f"CAST(regexp_matches(l, '(^|[^\\p{{L}}\\p{{N}}]){t}([^\\p{{L}}\\p{{N}}]|$)') AS INT)"
-    plus = lambda parts: " + ".join(parts) or "0"
     rules = ", ".join(f"({quoted(v)}, {quoted(h)}, {quoted(p)})" for v, h, p in RULES)
-    soft = {t: w for t, w in SOFT_TERMS.items() if t not in STRICT_TERMS}
+    soft = ", ".join(f"({quoted(t)}, {w})" for t, w in SOFT_STEMS.items())
+    strict = ", ".join(f"({quoted(t)})" for t in STRICT_STEMS)
+    extra = ", ".join(f"({quoted(t)})" for t in STRICT_EXTRA)
     return f"""
 WITH rules(r_verdict, r_host, r_path) AS (VALUES {rules}),
+soft_stems(t, w) AS (VALUES {soft}), strict_stems(t) AS (VALUES {strict}), joints(j) AS (VALUES (''), ('-')),
+strict AS (
+  SELECT t FROM strict_stems UNION SELECT t || 's' FROM strict_stems WHERE NOT ends_with(t, 's') UNION SELECT * FROM (VALUES {extra})
+  UNION SELECT a.t || j || b.t FROM strict_stems a, strict_stems b, joints WHERE a.t <> b.t
+), soft AS (
+  SELECT t, max(w) AS w FROM (
+    SELECT t, w, 1 AS k FROM soft_stems UNION ALL SELECT t || 's', w, 2 FROM soft_stems WHERE NOT ends_with(t, 's')
+    UNION ALL SELECT a.t || j || b.t, a.w + b.w, 3 FROM soft_stems a, soft_stems b, joints WHERE a.t <> b.t
+  ) WHERE t NOT IN (SELECT t FROM strict) GROUP BY t
+), vocabulary AS (SELECT t, w, 0 AS strict FROM soft UNION ALL SELECT t, 0, 1 FROM strict),
 u AS (
   SELECT page_id, lower(coalesce(url, '')) AS l,
     CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
   FROM pages
+), runs AS (
+  -- A term between other characters than letters and digits is a whole run of them, or two with a hyphen.
+  SELECT page_id, string_split(unnest(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}]+(?:-[\\p{{L}}\\p{{N}}]+)*')), '-') AS parts FROM u
+), found AS (
+  SELECT page_id, unnest(parts) AS t FROM runs UNION SELECT page_id, unnest([parts[i] || '-' || parts[i + 1] FOR i IN range(1, len(parts))]) FROM runs
+), hits AS (
+  SELECT page_id, sum(strict) AS strict_hits, sum(1 - strict) AS soft_hits, sum(w) AS soft_weight FROM found JOIN vocabulary USING (t) GROUP BY page_id
 ), s AS (
-  SELECT page_id, l,
+  SELECT page_id,
     translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path,
-    {plus(hit(t) for t in STRICT_TERMS)} AS strict_hits,
-    {plus(hit(t) for t in soft)} AS soft_hits,
-    {plus(f"{w} * {hit(t)}" for t, w in soft.items())} AS soft_weight
-  FROM u
+    coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(soft_weight, 0) AS soft_weight
+  FROM u LEFT JOIN hits USING (page_id)
 ), k AS (
   SELECT s.*, r_host || r_path AS rule, r_verdict,
     row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC NULLS LAST) AS rn

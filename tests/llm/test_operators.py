@@ -274,8 +274,7 @@ def test_exact_dedup_and_its_index(spark, odd, empty):
         assert {r["doc_id"] for r in index.ingest(first, "one").where("kept").collect()} == {2}
     assert {r["doc_id"] for r in index.ingest(later, "two").where("kept").collect()} == {5}
     assert index.read().count() == 2
-    plan = index.unseen(index.read().limit(1).selectExpr("digest")).explain
-    assert plan is not None
+    index.drop()
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
@@ -284,7 +283,6 @@ def test_exact_dedup_and_its_index(spark, odd, empty):
 
 def ids_of(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
 
 
