@@ -41,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # Executors still hold what earlier stages needed, so fewer words are remembered here.
-    return best_fit_packing(docs, tokenizer_path(), remember=250_000)
+    return best_fit_packing(docs, tokenizer_path(), with_ids=True, remember=250_000)
 
 
 STAGES = [
