@@ -88,7 +88,7 @@ def quota_crossing(calls: DataFrame, quota: int, order: list[str]) -> DataFrame:
     by_day = Window.partitionBy("chain_id", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     crossing = days.withColumn("upto", F.sum("day_units").over(by_day)).where((F.col("upto") >= quota) & (F.col("upto") - F.col("day_units") < quota)).withColumn("before", F.col("upto") - F.col("day_units")).select("chain_id", "month", "day", "before")
     inside = Window.partitionBy("chain_id", "month").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = priced.join(F.broadcast(crossing), ["chain_id", "month", "day"]).withColumn("running", F.col("before") + F.sum("units").over(inside))
+    running = priced.join(crossing, ["chain_id", "month", "day"]).withColumn("running", F.col("before") + F.sum("units").over(inside))
     return running.where((F.col("running") >= quota) & (F.col("running") - F.col("units") < quota)).select("chain_id", "month", *order, "running")
 
 

@@ -78,6 +78,26 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_of(e, F.array(first_topic(F.col("event_type")), w.word(F.col("user_id"))), body)
 
 
+def hex_text(n: Column) -> Column:
+    return F.concat(F.lit("0x"), F.lower(F.hex(n)))
+
+
+def log_lines(raw: DataFrame) -> DataFrame:
+    """Raw logs as the JSON lines that they land as; ``removed`` is said where there is such a column."""
+    said = [F.col("removed")] if "removed" in raw.columns else []
+    line = F.to_json(F.struct(
+        hex_text(F.col("address")).alias("address"), F.transform("selectors", hex_text).alias("topics"), hex_text(F.col("data")).alias("data"), hex_text(F.col("height")).alias("blockNumber"),
+        hex_text(F.col("block_hash")).alias("blockHash"), hex_text(F.col("idx")).alias("logIndex"), hex_text(F.col("tx_id")).alias("transactionHash"), hex_text(F.col("tx_index")).alias("transactionIndex"), *said,
+    ))
+    return raw.withColumn("value", line)
+
+
+def block_lines(held: DataFrame) -> DataFrame:
+    """Blocks without transactions as JSON lines (chain_id, value)."""
+    none = F.array().cast("array<struct<hash:string>>")
+    return held.select("chain_id", F.to_json(F.struct(hex_text(F.col("height")).alias("number"), hex_text(F.col("hash")).alias("hash"), hex_text(F.col("parent_hash")).alias("parentHash"), hex_text(F.col("time")).alias("timestamp"), none.alias("transactions"))).alias("value"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block a height; its parent is the chain's block before, three heights below."""
     held = events(spark, sf_dir).groupBy("chain_id", "height").agg(F.min(F.unix_timestamp("ts")).alias("time"))

@@ -441,3 +441,54 @@ def late_logs(spark: SparkSession, d: str) -> DataFrame:
 @query("tip_rate", f"WITH {EVENTS} SELECT chain_id, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n FROM ev GROUP BY ALL")
 def tip_rate(spark: SparkSession, d: str) -> DataFrame:
     return tip.tip_rate(s.events(spark, d), "1 hour").withColumn("window_start", F.unix_timestamp("window_start"))
+
+
+# --- jobs and streams, from landed lines to tables --------------------------
+
+
+@query("backfill_decoded", f"WITH {EVENTS}, {BLOCKS} SELECT ev.chain_id, ev.height, ev.idx, CAST(cents AS VARCHAR) AS cents, time AS at FROM ev JOIN bl ON bl.chain_id = ev.chain_id AND bl.height = ev.height WHERE event_type = 'purchase'")
+def backfill_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of logs and blocks, landed in ranges by one job for all chains, and decoded."""
+    held, top = store.Store(spark, Scratch(spark, "backfill").path("store"), bucket=1000), _top(spark, d)
+    lines = s.log_lines(s.logs(spark, d)).select("chain_id", "value"), s.block_lines(s.blocks(spark, d))
+    spans = spark.createDataFrame([(c, 0, top) for c in (1, 2, 3)], "chain_id long, next long, target long")
+    jobs.reconcile(held, spans, max(1, top // 3), *lines)
+    jobs.decode_pending(held, s.SHOP[:1])
+    return held.read(PURCHASE.table).select(*store.KEY, w.uint256_text(F.col("cents")).alias("cents"), F.unix_timestamp("block_time").alias("at"))
+
+
+@query("tip_stream", f"WITH {EVENTS} SELECT chain_id, height, idx, {hex_of('tx')} AS tx_id, '0x' || sha256(CAST(height AS VARCHAR)) AS block_hash FROM ev WHERE event_id % 50 <> 9")
+def tip_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of log lines and heads: of fifty logs one is an orphan that is removed and replaced, and one is removed for good."""
+    scratch, raw = Scratch(spark, "tip"), s.logs(spark, d)
+    n = F.col("height") * 10 + F.col("idx")
+    orphan = s.block_hash(-F.col("height") - 1)
+    steps = F.when(n % 50 == 7, F.array(F.struct(orphan.alias("h"), F.lit(False).alias("r")), F.struct(orphan.alias("h"), F.lit(True).alias("r")), F.struct(F.col("block_hash").alias("h"), F.lit(False).alias("r"))))
+    steps = steps.when(n % 50 == 9, F.array(F.struct(F.col("block_hash").alias("h"), F.lit(False).alias("r")), F.struct(F.col("block_hash").alias("h"), F.lit(True).alias("r")))).otherwise(F.array(F.struct(F.col("block_hash").alias("h"), F.lit(False).alias("r"))))
+    told = raw.withColumn("n", n).select("*", F.posexplode(steps).alias("step", "s")).withColumns({"block_hash": F.col("s.h"), "removed": F.col("s.r")})
+    # Lines of one log stay in order in one file.
+    s.log_lines(told.repartition("n").sortWithinPartitions("n", "step")).select("chain_id", "value").write.json(scratch.path("logs"))
+    s.events(spark, d).groupBy("chain_id").agg((F.max("height") + 12).alias("head")).write.json(scratch.path("heads"))
+    chains = spark.createDataFrame([(c, 12, True) for c in (1, 2, 3)], "chain_id long, confirmations int, supports_reorg boolean")
+    held = store.Store(spark, scratch.path("store"), bucket=1000)
+    heads = spark.readStream.schema("chain_id long, head long").json(scratch.path("heads"))
+    tip.follow(tip.landed_logs(spark, scratch.path("logs")), held, scratch.path("checkpoint"), chains=chains, heads=heads).awaitTermination()
+    return held.read("raw_records").select(*store.KEY, w.hex_encode(F.col("tx_id")).alias("tx_id"), w.hex_encode(F.col("block_hash")).alias("block_hash"))
+
+
+@query("held_until_safe", f"WITH {EVENTS}, m AS (SELECT chain_id, max(height) AS top FROM ev GROUP BY chain_id) SELECT ev.chain_id, height, idx FROM ev JOIN m ON m.chain_id = ev.chain_id AND height <= top - 12")
+def held_until_safe(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of logs and heads through the stateful operator: what is final comes out, the rest stays in its state."""
+    scratch, key = Scratch(spark, "held"), "spark.sql.streaming.stateStore.providerClass"
+    ev = s.events(spark, d)
+    heads = ev.groupBy("chain_id").agg(F.max("height").alias("head"))
+    ev.select(*store.KEY).unionByName(heads, allowMissingColumns=True).write.json(scratch.path("in"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.readStream.schema("chain_id long, height long, idx long, head long").json(scratch.path("in"))
+        out = tip.hold_until_safe(rows, 12).writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("checkpoint"))
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema("chain_id long, height long, idx long").parquet(scratch.path("out"))
