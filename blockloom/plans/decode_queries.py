@@ -166,7 +166,7 @@ def decode_huge_counts(spark: SparkSession, d: str) -> DataFrame:
     count = F.when(F.col("k") == 1, w.word(F.lit(_MOST))).when(F.col("k") == 2, w.word(F.lit(2**32 - 1))).otherwise(w.word(F.lit(1)))
     offset = F.when(F.col("k") == 3, w.word(F.lit(_MOST))).otherwise(w.word(F.lit(32)))
     raw = s.log_of(e, F.array(F.lit(entry.key)), F.concat(offset, count, w.word(F.col("user_id"))))
-    held = decode.decode_all(raw, [entry])
+    held = decode.decode_all(Scratch(spark, "many").keep(raw, "logs"), [entry])
     return held.select("chain_id", "height", "idx", F.col("reason").isNotNull().alias("quarantined"), F.col("v0.items").alias("items"))
 
 
