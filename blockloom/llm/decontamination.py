@@ -77,9 +77,11 @@ def _seeds(words: np.ndarray, masks, lengths=()) -> tuple[np.ndarray, np.ndarray
 
 def _listed(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seeds and their places; those with more than ``REPEATS`` once, at -1."""
+    if len(hashes) <= REPEATS:
+        return hashes, at
     order = np.argsort(hashes, kind="stable")
     hashes, at = hashes[order], at[order]
-    found, first, count = np.unique(hashes, return_index=True, return_counts=True)
+    found, count = np.unique(hashes, return_counts=True)
     many = count > REPEATS
     if not many.any():
         return hashes, at
