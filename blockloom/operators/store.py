@@ -36,6 +36,8 @@ from . import evolve, reads
 BUCKET = 100_000
 LOG = "commit_seq long, kind string, batch_id string, write_id string, table string, chain_id long, from_height long, to_height long, last_height long, last_hash binary, rows long, detail string"
 KEY = ["chain_id", "height", "idx"]
+#: Files of the log up to which it is read by one task.
+SMALL_LOG = 256
 Range = tuple[int, int, int]  # chain_id, from_height, to_height
 
 
@@ -222,8 +224,10 @@ class Store:
         packed = sorted(p for p, _ in self.files.glob(f"{self.root}/packed/*/_SUCCESS"))
         if packed:
             frames.append(self.spark.read.schema(LOG).parquet(packed[-1].rpartition("/")[0]))
-        if self.files.glob(f"{self.root}/log/*.json"):
+        if since := self.files.glob(f"{self.root}/log/*.json"):
             frames.append(self.spark.read.schema(LOG).json(f"{self.root}/log/*.json"))
+        if not packed and since and len(since) <= SMALL_LOG:
+            return frames[0].coalesce(1)  # a few rows, for which Spark then plans no shuffle
         if not frames:
             return self.spark.createDataFrame([], LOG)
         return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1]).distinct()
