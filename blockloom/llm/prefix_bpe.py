@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import small_batches
-from .tokens import REMEMBER, Encoder
+from .tokens import Encoder
 from .workers import keep
 
-#: Pairs of tokens of which a worker remembers whether they stay apart: about 60 MB.
-PAIRS = 500_000
+#: Pairs of tokens of which a worker remembers whether they stay apart, and words and pieces of which it remembers the ids: about 150 MB together.
+PAIRS, WORDS, PIECES = 300_000, 500_000, 50_000
 #: Characters beyond its end that a match of the pattern may have looked at.
 LOOK = 3
 #: Rows of an Arrow batch that are encoded together.
@@ -204,10 +204,10 @@ class TextEncoder(Encoder):
     Texts are cut at single spaces and line feeds between other characters, where the pattern cuts as well.
     """
 
-    def __init__(self, path: str, pattern: str, remember: int = REMEMBER):
+    def __init__(self, path: str, pattern: str, remember: int = WORDS):
         self.vocabulary, self.splitter = Vocabulary(path), Splitter(pattern)
         self.special, self.sign, self.remember, self.words = [], None, remember, {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.mark, self.mark_id = "\n", self.vocabulary.rank[b"\n"]
         # Other patterns may cut elsewhere.
         self.mode = "lead" if self.splitter.split("a b\nc d") == ["a", " b", "\n", "c", " d"] else "whole"
@@ -215,15 +215,15 @@ class TextEncoder(Encoder):
     def _encode(self, strings: list[str]) -> list[np.ndarray]:
         v, pieces, out = self.vocabulary, self.pieces, []
         for text in strings:
-            ids: list[int] = []
+            ids = []
             for piece in self.splitter.split(text):
                 if (found := pieces.get(piece)) is None:
-                    found = encode_piece(v, piece.encode())
+                    found = np.array(encode_piece(v, piece.encode()), "<u4").tobytes()
                     if len(piece) <= v.longest:
                         pieces[piece] = found
-                ids += found
-            out.append(np.array(ids, "<u4"))
-        if len(pieces) > self.remember // 4:
+                ids.append(found)
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        if len(pieces) > PIECES:
             pieces.clear()
         return out
 
@@ -282,7 +282,7 @@ class EditedText:
         return [t for table in self.tables for t in table.ids()]
 
 
-def text_encoder(path: str, pattern: str, remember: int = REMEMBER) -> TextEncoder:
+def text_encoder(path: str, pattern: str, remember: int = WORDS) -> TextEncoder:
     """This worker's encoder."""
     return keep(("prefix bpe", path, pattern, remember), lambda: TextEncoder(path, pattern, remember))
 
