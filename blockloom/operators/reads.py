@@ -127,7 +127,24 @@ def condition(f: Filter, columns: dict[str, str]) -> Column:
         raise BadQuery(f"unknown column: {f.column}")
     if f.op not in _OPS:
         raise BadQuery(f"unknown operator: {f.op}")
-    return getattr(F.col(f.column), _OPS[f.op])(literal(f.value, columns[f.column]))
+    return compare(F.col(f.column), f.op, literal(f.value, columns[f.column]))
+
+
+def compare(c: Column, op: str, value: Column) -> Column:
+    return getattr(c, _OPS[op])(value)
+
+
+def index_key(c: Column, kind: T.DataType) -> Column:
+    """Bytes in the order of a column's values, as an index holds them."""
+    if isinstance(kind, T.BinaryType):
+        return c
+    if isinstance(kind, T.DecimalType):
+        return F.encode(F.lpad((c.cast("decimal(38,0)") + F.lit("50000000000000000000000000000000000000").cast("decimal(38,0)")).cast("string"), 39, "0"), "UTF-8")
+    if isinstance(kind, (T.LongType, T.TimestampType, T.BooleanType)):
+        n = F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("bigint")
+        # Turning the sign bit puts negative numbers first.
+        return F.unhex(F.lpad(F.hex(n.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.encode(c.cast("string"), "UTF-8")
 
 
 def bits_prefilter(f: Filter, columns: dict[str, str]) -> Column | None:

@@ -9,18 +9,18 @@ height upward, a replace or a compaction those of one table in a range. A
 batch's rows of the log are one file that appears at once, after its data, so
 a reader sees whole batches or none.
 
-The log grows with batches, not rows, and is joined by ``write_id`` only. One
-writer per chain. Schemas of tables are rows of the log too, so that no file
-is opened to learn them.
+The log (``commit_log``) grows with batches, not rows, and is joined by
+``write_id`` only; any number of writers share it. Schemas of tables are rows
+of the log too, so that no file is opened to learn them.
 """
 
 from __future__ import annotations
 
-import base64
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -31,13 +31,13 @@ from pyspark.sql import types as T
 from ..catalog import Entry
 from ..files import Files
 from . import evolve, reads
+from .commit_log import ATTEMPTS, CommitLog, Conflict
 
 #: Heights of a bucket.
 BUCKET = 100_000
-LOG = "commit_seq long, kind string, batch_id string, write_id string, table string, chain_id long, from_height long, to_height long, last_height long, last_hash binary, rows long, detail string"
 KEY = ["chain_id", "height", "idx"]
-#: Files of the log up to which it is read by one task.
-SMALL_LOG = 256
+#: Spans that a scan names one by one; of more, one a chain.
+SCANNED = 64
 Range = tuple[int, int, int]  # chain_id, from_height, to_height
 
 
@@ -155,6 +155,17 @@ def uncovered(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     return within.select("chain_id", F.col("gap_lo").alias("lo"), F.least("gap_hi", "target").alias("hi"))
 
 
+def covered(ranges: DataFrame, spans: DataFrame) -> DataFrame:
+    """(chain_id, lo, hi): what of disjoint spans (chain_id, lo, hi) the ranges cover, in runs without a gap. A window over the ranges within a span."""
+    parts = ranges.select("chain_id", F.col("lo").alias("_a"), F.col("hi").alias("_b")).join(spans, "chain_id").where("_a <= hi AND _b >= lo")
+    cut = parts.select("chain_id", F.col("lo").alias("_span"), F.greatest("_a", "lo").alias("lo"), F.least("_b", "hi").alias("hi")).distinct()
+    by = Window.partitionBy("chain_id", "_span").orderBy("lo", "hi")
+    before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum((F.col("lo") > F.col("_before") + 1).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    runs = cut.withColumn("_before", F.coalesce(before, F.col("hi"))).withColumn("_run", F.coalesce(run, F.lit(0)))
+    return runs.groupBy("chain_id", "_span", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("chain_id", "lo", "hi")
+
+
 def decode_backlog(commits: DataFrame) -> DataFrame:
     """Ingested ranges with rows that were not decoded: (chain_id, from_height, to_height, commit_seq, latest), each once.
 
@@ -172,6 +183,14 @@ def decode_backlog(commits: DataFrame) -> DataFrame:
     return ranges.join(done, found, "left_anti")
 
 
+def late_headers(commits: DataFrame) -> DataFrame:
+    """(chain_id, from_height, to_height, commit_seq) of headers that came after their rows were landed and have not been put on decoded rows yet."""
+    late = with_cut(commits.where("kind = 'late'").select("chain_id", "from_height", "to_height", "commit_seq"), commits).where("cut IS NULL OR from_height < cut").drop("cut")
+    done = commits.where("kind = 'decode' AND table = '*'").select("chain_id", F.col("from_height").alias("d_from"), F.col("to_height").alias("d_to"), F.col("commit_seq").alias("d_seq"))
+    found = (late["chain_id"] == done["chain_id"]) & (late["from_height"] >= done["d_from"]) & (late["to_height"] <= done["d_to"]) & (done["d_seq"] > late["commit_seq"])
+    return late.join(done, found, "left_anti").groupBy("chain_id", "from_height", "to_height").agg(F.max("commit_seq").alias("commit_seq"))
+
+
 def oldest_pending(backlog: DataFrame) -> DataFrame:
     """Depth and the oldest pending range of each chain."""
     oldest = F.min_by(F.struct("from_height", "to_height"), "commit_seq")
@@ -209,63 +228,55 @@ def _hull(ranges: Sequence[Range]) -> list[Range]:
 # --- the store on disk ------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class State:
+    """What a job works on: the last number of the log, its rows, the number of the job's batch if that is committed, and the tables' schemas."""
+
+    number: int
+    commits: DataFrame
+    done: int | None
+    schemas: dict[str, T.StructType]
+
+
+def _write_id() -> str:
+    return uuid.uuid4().hex
+
+
 class Store:
     """The tables and the commit log under one folder of a shared file system."""
 
     def __init__(self, spark: SparkSession, root: str, bucket: int = BUCKET):
         self.spark, self.root, self.bucket = spark, root.rstrip("/"), bucket
-        self.files = Files(spark)
+        self.files, self.log = Files(spark), CommitLog(spark, self.root)
 
     # the log
 
     def commits(self) -> DataFrame:
-        """The log: the latest packed part and the files since."""
-        frames = []
-        packed = sorted(p for p, _ in self.files.glob(f"{self.root}/packed/*/_SUCCESS"))
-        if packed:
-            frames.append(self.spark.read.schema(LOG).parquet(packed[-1].rpartition("/")[0]))
-        if since := self.files.glob(f"{self.root}/log/*.json"):
-            frames.append(self.spark.read.schema(LOG).json(f"{self.root}/log/*.json"))
-        if not packed and since and len(since) <= SMALL_LOG:
-            return frames[0].coalesce(1)  # a few rows, for which Spark then plans no shuffle
-        if not frames:
-            return self.spark.createDataFrame([], LOG)
-        return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1]).distinct()
-
-    def pack_log(self) -> None:
-        """Rewrites the log as one table; its files stay until the next time, for those who are reading them."""
-        old = sorted(p for p, _ in self.files.glob(f"{self.root}/packed/*"))
-        held = [p for p, _ in self.files.glob(f"{self.root}/log/*.json")]
-        had = {r[0] for r in self.spark.read.schema(LOG).parquet(old[-1]).select("batch_id").distinct().collect()} if old and held else set()
-        n = int(old[-1].rpartition("/")[2]) + 1 if old else 0
-        self.commits().coalesce(1).write.parquet(f"{self.root}/packed/{n:08d}")
-        for path in held:
-            if self._batch_of(path) in had:
-                self.files.delete(path)
-        for path in old[:-1]:
-            self.files.delete(path)
+        """All rows of the log."""
+        return self.log.read()[1]
 
-    @staticmethod
-    def _name(batch_id: str) -> str:
-        return base64.urlsafe_b64encode(batch_id.encode()).decode().rstrip("=")
+    def _commit(self, batch_id: str, make: Callable[[State], list[dict]]) -> tuple[int, bool]:
+        """Commits what ``make`` does on the state as it is; again on a newer one where another writer was in the way.
 
-    @staticmethod
-    def _batch_of(path: str) -> str:
-        name = path.rpartition("/")[2].removesuffix(".json")
-        return base64.urlsafe_b64decode(name + "=" * (-len(name) % 4)).decode()
-
-    def commit(self, batch_id: str, rows: Sequence[dict]) -> None:
-        """Rows of the log in one file that appears at once; a retry of the batch replaces it."""
-        encoded = lambda v: base64.b64encode(v).decode() if isinstance(v, (bytes, bytearray)) else v
-        lines = (json.dumps({k: encoded(v) for k, v in {"batch_id": batch_id, **row}.items() if v is not None}) for row in rows)
-        self.files.put(f"{self.root}/log/{self._name(batch_id)}.json", "\n".join(lines) + "\n")
-
-    def _state(self, commits: DataFrame, batch_id: str) -> tuple[int, int | None, dict[str, T.StructType]]:
-        """The next number, that of the batch if it is committed, and the tables' schemas."""
+        Returns the batch's number, and whether it was committed here. What lost attempts have written stays invisible.
+        """
+        for _ in range(ATTEMPTS):
+            state = self._state(batch_id)
+            if state.done is not None:
+                return state.done, False
+            rows = make(state)
+            if not rows:
+                return state.number, False
+            try:
+                return self.log.append(batch_id, rows, state.number), True
+            except Conflict:
+                continue
+        raise Conflict(batch_id)
+
+    def _state(self, batch_id: str = "") -> State:
+        number, commits = self.log.read()
         held = commits.where((F.col("kind") == "schema") | (F.col("batch_id") == batch_id)).orderBy("commit_seq").collect()  # a row a change of a table
-        last = commits.agg(F.max("commit_seq")).first()[0] or 0
-        done = next((r["commit_seq"] for r in held if r["batch_id"] == batch_id), None)
-        return last + 1, done, self._schemas(held)
+        return State(number, commits, next((r["commit_seq"] for r in held if r["batch_id"] == batch_id), None), self._schemas(held))
 
     @staticmethod
     def _schemas(rows) -> dict[str, T.StructType]:
@@ -279,10 +290,10 @@ class Store:
 
     def schemas(self) -> dict[str, T.StructType]:
         """Tables and their columns, without those of the layout."""
-        return self._schemas(self.commits().where("kind = 'schema'").orderBy("commit_seq").collect())
+        return self._state().schemas
 
     def has(self, table: str) -> bool:
-        return self.commits().where((F.col("kind") == "schema") & (F.col("table") == table)).limit(1).count() > 0
+        return table in self.schemas()
 
     # tables
 
@@ -295,6 +306,47 @@ class Store:
         schemas[table] = T.StructType([*schemas.get(table, T.StructType()).fields, *added])
         return [{"kind": "schema", "table": table, "detail": T.StructType(added).json()}] if added else []
 
+    def _bucket_rows(self, table: str, write_id: str, schemas: dict[str, T.StructType], indexed: Sequence[str]) -> list[dict]:
+        """Rows of the log that say how many rows a write has in each bucket, and of which columns it has an index.
+
+        The index has the values of a column and the buckets that hold them, in
+        order of the value, so that a scan for a value or a range opens few
+        parts of it. It grows with distinct values by bucket.
+        """
+        rows, bucket = self._written(table, write_id, schemas), F.floor(F.col("height") / self.bucket).cast("bigint").alias("bucket")
+        if indexed:
+            keys = [rows.select("chain_id", F.lit(c).alias("column"), reads.index_key(F.col(c), schemas[table][c].dataType).alias("key"), bucket) for c in indexed]
+            held = reduce(DataFrame.unionByName, keys).where("key IS NOT NULL").distinct()
+            held = held.repartitionByRange("chain_id", "column", "key").sortWithinPartitions("chain_id", "column", "key").withColumn("write_id", F.lit(write_id))
+            held.write.mode("append").partitionBy("chain_id", "column", "write_id").parquet(f"{self.root}/{table}__index")
+        counted = rows.groupBy("chain_id", bucket).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket
+        at = lambda r: {"from_height": r["bucket"] * self.bucket, "to_height": (r["bucket"] + 1) * self.bucket - 1}
+        return [{"kind": "bucket", "write_id": write_id, "table": table, "chain_id": r["chain_id"], **at(r), "rows": r["n"], "detail": json.dumps(list(indexed))} for r in counted]
+
+    def buckets(self, table: str, entry: Entry | None = None, spec: reads.QuerySpec | None = None) -> list[tuple[int, int]]:
+        """(bucket, rows) of a table, ascending: as many rows at least as are visible there, and none where there is no bucket.
+
+        With a request, of its chain and heights only, and of buckets that the
+        index says to hold what it asks for.
+        """
+        state = self._state()
+        named = state.commits.where((F.col("kind") == "bucket") & (F.col("table") == table)).select("chain_id", "write_id", F.expr(f"from_height div {self.bucket}").alias("bucket"), "from_height", "rows", "detail")
+        live = named.join(live_writes(state.commits, table), ["chain_id", "write_id"]).where("cut IS NULL OR from_height < cut")
+        if spec is not None:
+            lo, hi = reads.height_bounds(spec)
+            for bound, keep in ((spec.chain_id, F.col("chain_id") == spec.chain_id), (lo, F.col("bucket") >= (lo or 0) // self.bucket), (hi, F.col("bucket") <= (hi or 0) // self.bucket)):
+                live = live.where(keep) if bound is not None else live
+            columns, path = reads.columns_of(entry), f"{self.root}/{table}__index"
+            for f in spec.filters if self.files.exists(path) else ():
+                if f.op not in ("NE", "NEQ") and f.column in {p.column for p in entry.params if p.indexed}:
+                    key = reads.index_key(F.col("key"), T.BinaryType())
+                    wanted = reads.compare(key, f.op, reads.index_key(reads.literal(f.value, columns[f.column]), state.schemas[table][f.column].dataType))
+                    index = self.spark.read.schema("key binary, bucket long, chain_id long, column string, write_id string").option("basePath", path).parquet(path)
+                    held = index.where((F.col("column") == f.column) & wanted).select("chain_id", "write_id", "bucket").distinct().withColumn("holds", F.lit(True))
+                    unindexed = ~F.array_contains(F.from_json("detail", "array<string>"), f.column)
+                    live = live.join(held, ["chain_id", "write_id", "bucket"], "left").where(F.col("holds") | unindexed).drop("holds")
+        return [(r["bucket"], r["n"]) for r in live.groupBy("bucket").agg(F.sum("rows").alias("n")).orderBy("bucket").collect()]  # a row a bucket
+
     def _scan(self, table: str, schema: T.StructType, spans: Sequence[tuple[int, int | None, int | None]] = ()) -> DataFrame:
         """All rows of a table's files with write_id; of the spans (chain_id, lo, hi) only, if given, by folder and bucket."""
         path = f"{self.root}/{table}"
@@ -308,28 +360,32 @@ class Store:
             rows = rows.where(reduce(or_, ((F.col("chain_id") == c) & evolve.bucket_filter(self.bucket, lo, hi) for c, lo, hi in spans)))
         return rows
 
-    def read(self, table: str, chain_id: int | None = None, lo: int | None = None, hi: int | None = None, bits: bool = False) -> DataFrame:
-        """Visible rows, of a chain and heights if given; ``bits`` keeps the columns that help filters on wide integers."""
-        commits = self.commits()
-        schema = self._schemas(commits.where((F.col("kind") == "schema") & (F.col("table") == table)).orderBy("commit_seq").collect()).get(table)
-        if schema is None:
+    def read(self, table: str, chain_id: int | None = None, lo: int | None = None, hi: int | None = None, bits: bool = False, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Visible rows, of a chain and heights, and of some buckets only, if given; ``bits`` keeps the columns that help filters on wide integers."""
+        state = self._state()
+        if (schema := state.schemas.get(table)) is None:
             raise ValueError(f"no table {table}")
         rows = self._scan(table, schema, [(chain_id, lo, hi)] if chain_id is not None else ())
         if chain_id is None:
             rows = rows.where(evolve.bucket_filter(self.bucket, lo, hi))
-        return visible(rows, commits, table).select([c for c in schema.names if bits or not evolve.is_bits(c, schema)])
+        if buckets is not None:
+            rows = rows.where(F.col("hb").isin(list(buckets)))
+        return visible(rows, state.commits, table).select([c for c in schema.names if bits or not evolve.is_bits(c, schema)])
 
     def evolve(self, entry: Entry, dry_run: bool = False) -> list[evolve.Change]:
         """What brings a typed table to its catalog entry; additions take effect at once, anything else is refused.
 
         Rows written before have null in added columns until a resync replaces them.
         """
-        wanted = evolve.stored_schema(entry)
-        seq, _, schemas = self._state(self.commits(), "")
-        changes = evolve.diff(schemas.get(entry.table), wanted)
-        if not dry_run and changes:
-            added = evolve.additions(schemas.get(entry.table), wanted)
-            self.commit(f"schema-{entry.table}-{seq}", [{"commit_seq": seq, "kind": "schema", "table": entry.table, "detail": T.StructType(added).json()}])
+        wanted, changes = evolve.stored_schema(entry), []
+
+        def make(state: State) -> list[dict]:
+            changes[:] = evolve.diff(state.schemas.get(entry.table), wanted)
+            if dry_run or not changes:
+                return []
+            return [{"kind": "schema", "table": entry.table, "detail": T.StructType(evolve.additions(state.schemas.get(entry.table), wanted)).json()}]
+
+        self._commit(f"schema-{entry.table}-{_write_id()}", make)
         return changes
 
     def _ranges(self, ranges: Sequence[Range]) -> DataFrame:
@@ -338,6 +394,16 @@ class Store:
         buckets = F.sequence(F.floor(F.col("lo") / self.bucket), F.floor(F.col("hi") / self.bucket))
         return frame.select("chain_id", F.explode(buckets).alias("hb"), "lo", "hi")
 
+    def spans_of(self, ranges: Sequence[Range]) -> list[Range]:
+        """The ranges, of which those that touch the same or the next bucket are one: no bucket between two far apart is read."""
+        out: list[Range] = []
+        for c, lo, hi in sorted(ranges):
+            if out and out[-1][0] == c and lo // self.bucket <= out[-1][2] // self.bucket + 1:
+                out[-1] = (c, out[-1][1], max(hi, out[-1][2]))
+            else:
+                out.append((c, lo, hi))
+        return out if len(out) <= SCANNED else _hull(ranges)
+
     def _inside(self, rows: DataFrame, ranges: DataFrame, how: str = "left_semi") -> DataFrame:
         keyed = rows.withColumn("_hb", F.floor(F.col("height") / self.bucket))
         on = (keyed["chain_id"] == ranges["chain_id"]) & (keyed["_hb"] == ranges["hb"]) & keyed["height"].between(ranges["lo"], ranges["hi"])
@@ -353,29 +419,30 @@ class Store:
         ranges are left. A batch that is committed is not landed again. Rows of
         the ranges in the table that it ``settles`` are hidden from then on.
         """
-        commits = self.commits()
-        seq, done, schemas = self._state(commits, batch_id)
-        if done is not None:
-            return done
-        write_id, spans = f"{self._name(batch_id)}.{uuid.uuid4().hex}", self._ranges(ranges)
-        fresh = first_wins(self._inside(logs, spans), KEY, ["tx_id"])
-        if "raw_records" in schemas:
-            held = visible(self._scan("raw_records", schemas["raw_records"], _hull(ranges)), commits, "raw_records")
-            fresh = fresh.join(held.select(*KEY), KEY, "left_anti")
-        frames = {"raw_records": fresh, "blocks": self._inside(blocks, spans).dropDuplicates(["chain_id", "height"])}
-        frames |= {name: self._inside(aux[name], spans).dropDuplicates(["chain_id", "tx_id"]) for name in ("transactions", "receipts") if aux and name in aux}
-        log = [row for name, rows in frames.items() for row in self._write(name, rows, write_id, schemas)]
-        counts = self._written("raw_records", write_id, schemas).groupBy("chain_id", "height").agg(F.count(F.lit(1)).alias("n"))
-        n = {(r["chain_id"], r["lo"]): r["n"] for r in self._inside(counts, spans, "inner").groupBy("chain_id", "lo").agg(F.sum("n").alias("n")).collect()}  # a row a range
-        tops = self._inside(self._written("blocks", write_id, schemas).select("chain_id", "height", "hash"), spans, "inner")
-        best = {(r["chain_id"], r["lo"]): r["b"] for r in tops.groupBy("chain_id", "lo").agg(F.max_by(F.struct("height", "hash"), "height").alias("b")).collect()}
-        for c, lo, hi in ranges:
-            b = best.get((c, lo))
-            log.append({"kind": "ingest", "write_id": write_id, "chain_id": c, "from_height": lo, "to_height": hi, "last_height": b and b["height"], "last_hash": b and bytes(b["hash"]), "rows": n.get((c, lo), 0)})
-            if settles is not None:
-                log.append({"kind": "replace", "write_id": write_id, "table": settles, "chain_id": c, "from_height": lo, "to_height": hi})
-        self.commit(batch_id, [{"commit_seq": seq, **row} for row in log])
-        return seq
+        spans = self._ranges(ranges)
+        landed = first_wins(self._inside(logs, spans), KEY, ["tx_id"])
+        said = [c for c in ("arrived", "time", "hash") if c in blocks.columns]
+        frames = {"blocks": last_wins(self._inside(blocks, spans), ["chain_id", "height"], said).drop("arrived")}
+        frames |= {name: first_wins(self._inside(aux[name], spans), ["chain_id", "tx_id"], [c for c in ("height", "block_hash") if c in aux[name].columns]) for name in ("transactions", "receipts") if aux and name in aux}
+
+        def make(state: State) -> list[dict]:
+            write_id, schemas, fresh = _write_id(), dict(state.schemas), landed
+            if "raw_records" in schemas:
+                held = visible(self._scan("raw_records", schemas["raw_records"], _hull(ranges)), state.commits, "raw_records")
+                fresh = fresh.join(held.select(*KEY), KEY, "left_anti")
+            log = [row for name, rows in {"raw_records": fresh, **frames}.items() for row in self._write(name, rows, write_id, schemas)]
+            counts = self._written("raw_records", write_id, schemas).groupBy("chain_id", "height").agg(F.count(F.lit(1)).alias("n"))
+            n = {(r["chain_id"], r["lo"]): r["n"] for r in self._inside(counts, spans, "inner").groupBy("chain_id", "lo").agg(F.sum("n").alias("n")).collect()}  # a row a range
+            tops = self._inside(self._written("blocks", write_id, schemas).select("chain_id", "height", "hash"), spans, "inner")
+            best = {(r["chain_id"], r["lo"]): r["b"] for r in tops.groupBy("chain_id", "lo").agg(F.max_by(F.struct("height", "hash"), "height").alias("b")).collect()}
+            for c, lo, hi in ranges:
+                b = best.get((c, lo))
+                log.append({"kind": "ingest", "write_id": write_id, "chain_id": c, "from_height": lo, "to_height": hi, "last_height": b and b["height"], "last_hash": b and bytes(b["hash"]), "rows": n.get((c, lo), 0)})
+                if settles is not None:
+                    log.append({"kind": "replace", "write_id": write_id, "table": settles, "chain_id": c, "from_height": lo, "to_height": hi})
+            return log
+
+        return self._commit(batch_id, make)[0]
 
     def ingest(self, batch_id: str, chain_id: int, lo: int, hi: int, logs: DataFrame, blocks: DataFrame, aux: dict[str, DataFrame] | None = None) -> int:
         """``ingest_ranges`` of one range."""
@@ -390,10 +457,14 @@ class Store:
 
     def blocks(self, chain_id: int | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """Visible blocks, the last write of each height."""
-        commits = self.commits()
-        schema = self._schemas(commits.where("kind = 'schema' AND table = 'blocks'").orderBy("commit_seq").collect())["blocks"]
-        rows = self._scan("blocks", schema, [(chain_id, lo, hi)] if chain_id is not None else ())
-        return last_wins(visible(rows, commits, "blocks"), ["chain_id", "height"], ["seq"]).select(schema.names)
+        return self.blocks_of([(chain_id, lo, hi)] if chain_id is not None else ())
+
+    def blocks_of(self, spans: Sequence[tuple[int, int | None, int | None]]) -> DataFrame:
+        """Visible blocks of some spans, or of all: the last write of each height."""
+        state = self._state()
+        schema = state.schemas["blocks"]
+        rows = visible(self._scan("blocks", schema, spans), state.commits, "blocks")
+        return last_wins(rows, ["chain_id", "height"], ["seq"]).select(schema.names)
 
     def raw_range(self, chain_id: int, lo: int, hi: int) -> DataFrame:
         """Visible raw records of a chain and range, in order; the bucket prunes files."""
@@ -401,11 +472,10 @@ class Store:
 
     def read_ranges(self, table: str, ranges: Sequence[Range], bits: bool = False) -> DataFrame:
         """Visible rows of disjoint ranges, in one scan of the folders that they touch."""
-        commits = self.commits()
-        schema = self._schemas(commits.where((F.col("kind") == "schema") & (F.col("table") == table)).orderBy("commit_seq").collect()).get(table)
-        if schema is None:
+        state = self._state()
+        if (schema := state.schemas.get(table)) is None:
             raise ValueError(f"no table {table}")
-        rows = visible(self._scan(table, schema, _hull(ranges)), commits, table).select([c for c in schema.names if bits or not evolve.is_bits(c, schema)])
+        rows = visible(self._scan(table, schema, self.spans_of(ranges)), state.commits, table).select([c for c in schema.names if bits or not evolve.is_bits(c, schema)])
         return rows if len(ranges) == len({c for c, _, _ in ranges}) else self._inside(rows, self._ranges(ranges))
 
     def put_tables(self, batch_id: str, ranges: Sequence[Range], tables: dict[str, tuple[DataFrame, Entry | None]], mode: str = "insert_missing", whole: bool = False) -> dict[str, int]:
@@ -415,56 +485,156 @@ class Store:
         """
         if mode not in ("insert_missing", "replace"):
             raise ValueError(mode)
-        commits = self.commits()
-        seq, done, schemas = self._state(commits, batch_id)
-        if done is not None:
-            return {r["table"]: r["rows"] for r in commits.where((F.col("batch_id") == batch_id) & F.col("rows").isNotNull()).select("table", "rows").collect()}
-        write_id, log, added = f"{self._name(batch_id)}.{uuid.uuid4().hex}", [], {}
-        for table, (rows, entry) in tables.items():
-            rows = first_wins(rows, KEY, ["tx_id"])
-            if mode == "insert_missing" and table in schemas:
-                held = visible(self._scan(table, schemas[table], _hull(ranges)), commits, table)
-                rows = rows.join(held.select(*KEY), KEY, "left_anti")
-            log += self._write(table, rows, write_id, schemas, entry)
-            added[table] = self._written(table, write_id, schemas).count()  # from the footers
-            of_all = {"rows": added[table]}  # said once
-            for c, lo, hi in ranges:
-                log.append({"kind": "replace" if mode == "replace" else "decode", "write_id": write_id, "table": table, "chain_id": c, "from_height": lo, "to_height": hi, **of_all})
-                of_all = {}
-        for c, lo, hi in ranges if whole else ():
-            log.append({"kind": "decode", "table": "*", "chain_id": c, "from_height": lo, "to_height": hi})
-        self.commit(batch_id, [{"commit_seq": seq, **row} for row in log])
-        return added
-
-    def put_pending(self, batch_id: str, logs: DataFrame) -> None:
-        """Raw logs that wait for their height in ``pending_logs``; a rollback hides them like others."""
-        spans = logs.groupBy("chain_id").agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()  # a row a chain
-        seq, done, schemas = self._state(self.commits(), batch_id)
-        if done is None and spans:
-            write_id = f"{self._name(batch_id)}.{uuid.uuid4().hex}"
-            log = self._write("pending_logs", logs, write_id, schemas)
-            log += [{"kind": "decode", "write_id": write_id, "table": "pending_logs", "chain_id": r["chain_id"], "from_height": r["lo"], "to_height": r["hi"]} for r in spans]
-            self.commit(batch_id, [{"commit_seq": seq, **row} for row in log])
+        added: dict[str, int] = {}
+
+        def make(state: State) -> list[dict]:
+            write_id, schemas, log = _write_id(), dict(state.schemas), []
+            for table, (rows, entry) in tables.items():
+                rows = first_wins(rows, KEY, ["tx_id"])
+                if mode == "insert_missing" and table in schemas:
+                    held = visible(self._scan(table, schemas[table], _hull(ranges)), state.commits, table)
+                    rows = rows.join(held.select(*KEY), KEY, "left_anti")
+                log += self._write(table, rows, write_id, schemas, entry)
+                buckets = self._bucket_rows(table, write_id, schemas, [p.column for p in entry.params if p.indexed] if entry else [])
+                added[table] = sum(b["rows"] for b in buckets)
+                log += buckets
+                of_all = {"rows": added[table]}  # said once
+                for c, lo, hi in ranges:
+                    log.append({"kind": "replace" if mode == "replace" else "decode", "write_id": write_id, "table": table, "chain_id": c, "from_height": lo, "to_height": hi, **of_all})
+                    of_all = {}
+            return log + [{"kind": "decode", "table": "*", "chain_id": c, "from_height": lo, "to_height": hi} for c, lo, hi in (ranges if whole else ())]
+
+        if self._commit(batch_id, make)[1]:
+            return added
+        return {r["table"]: r["rows"] for r in self.commits().where((F.col("batch_id") == batch_id) & F.col("rows").isNotNull()).select("table", "rows").collect()}
+
+    def put_waiting(self, batch_id: str, rows: DataFrame, table: str, spans: Sequence[Range] | None = None) -> None:
+        """Rows (with chain_id and height) of a table beside the ranges, such as logs that wait for their height; a rollback hides them like others."""
+        if spans is None:
+            spans = [tuple(r) for r in rows.groupBy("chain_id").agg(F.min("height"), F.max("height")).collect()]  # a row a chain
+
+        def make(state: State) -> list[dict]:
+            write_id = _write_id()
+            log = self._write(table, rows, write_id, dict(state.schemas))
+            return log + [{"kind": "decode", "write_id": write_id, "table": table, "chain_id": c, "from_height": lo, "to_height": hi} for c, lo, hi in spans]
+
+        if spans:
+            self._commit(batch_id, make)
 
     def put_typed(self, table: str, rows: DataFrame, batch_id: str, chain_id: int, lo: int, hi: int, mode: str = "insert_missing", entry: Entry | None = None) -> int:
         """``put_tables`` of one table; the range does not count as decoded."""
         return self.put_tables(batch_id, [(chain_id, lo, hi)], {table: (rows, entry)}, mode)[table]
 
+    def select(self, entry: Entry, spec: reads.QuerySpec) -> DataFrame:
+        """All rows of a stored table that a request's filters let through, from the buckets that can hold them."""
+        lo, hi = reads.height_bounds(spec)
+        held = [b for b, _ in self.buckets(entry.table, entry, spec)]
+        rows = self.read(entry.table, spec.chain_id, lo, hi, bits=True, buckets=held)
+        return reads.select_events(rows, spec, reads.columns_of(entry)).select([c for c in rows.columns if not evolve.is_bits(c, rows.schema)])
+
     def events(self, entry: Entry, spec: reads.QuerySpec) -> DataFrame:
-        """The page that a request asks of a stored table, and one row more; heights and wide integers prune the scan."""
+        """The page that a request asks of a stored table, and one row more.
+
+        Buckets are taken from the side on which the page begins, as many as
+        should fill it by the log's counts; where filters leave too few rows,
+        twice as many, until the page is full or no bucket is left. So a page
+        reads what it needs and at most as much again. Heights, wide integers
+        and indexed columns prune as well.
+        """
         lo, hi = reads.height_bounds(spec)
-        return reads.page_rows(self.read(entry.table, spec.chain_id, lo, hi, bits=True), spec, reads.columns_of(entry))
+        held = self.buckets(entry.table, entry, spec)
+        held = held[::-1] if spec.descending else held
+        need, take, upto = reads.clamp_first(spec.first) + 1, 0, 0
+        while take < len(held) and upto < need:
+            upto, take = upto + held[take][1], take + 1
+        while True:
+            rows = self.read(entry.table, spec.chain_id, lo, hi, bits=True, buckets=[b for b, _ in held[:take]])
+            page = reads.page_rows(rows, spec, reads.columns_of(entry))
+            if take >= len(held) or page.count() >= need:
+                return page
+            take *= 2
+
+    def page(self, entry: Entry, spec: reads.QuerySpec) -> DataFrame:
+        """``events`` as a table of its own, with transaction and receipt as nested columns where the request wants them; of these tables only the page's heights are read."""
+        rows = reads.take_page(self.events(entry, spec))
+        for table, name, wanted in (("transactions", "transaction", spec.with_transaction), ("receipts", "receipt", spec.with_receipt)):
+            if wanted:
+                spans = self._near(rows)
+                side = self.read_ranges(table, spans) if spans and self.has(table) else None
+                rows = reads.nest(rows, side, name) if side is not None else rows.withColumn(name, F.lit(None))
+        return rows
+
+    def _near(self, rows: DataFrame) -> list[Range]:
+        """The heights of a page: one range a chain and bucket."""
+        bucket = F.floor(F.col("height") / self.bucket)
+        return [(r["chain_id"], r["lo"], r["hi"]) for r in rows.groupBy("chain_id", bucket).agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()]
+
+    def rollback(self, batch_id: str, chain_id: int, from_height: int, doubted: int | None = None) -> int:
+        """Hides all rows of a chain from a height upward in every table; rows landed later are visible again.
 
-    def rollback(self, batch_id: str, chain_id: int, from_height: int) -> int:
-        """Hides all rows of a chain from a height upward in every table; rows landed later are visible again."""
-        seq, done, _ = self._state(self.commits(), batch_id)
-        if done is None:
-            self.commit(batch_id, [{"commit_seq": seq, "kind": "rollback", "chain_id": chain_id, "from_height": from_height}])
-        return done or seq
+        ``doubted`` is the highest height of which something was known: up to there the range is open until it is supplied again.
+        """
+        return self._commit(batch_id, lambda _: [{"kind": "rollback", "chain_id": chain_id, "from_height": from_height, "to_height": doubted}])[0]
 
     def cursor(self, start: DataFrame | None = None) -> DataFrame:
         return contiguous_prefix(clip_ranges(self.commits()), start)
 
+    def opened(self) -> DataFrame:
+        """(chain_id, lo, hi): ranges that rollbacks have opened and that were not landed again."""
+        commits = self.commits()
+        spans = commits.where("kind = 'rollback' AND to_height IS NOT NULL").groupBy("chain_id").agg(F.min("from_height").alias("next"), F.max("to_height").alias("target"))
+        return uncovered(clip_ranges(commits), spans)
+
+    def known_heights(self, *waiting: str) -> DataFrame:
+        """(chain_id, upto): the highest height that was ever landed, or is in a table of rows that wait."""
+        ours = (F.col("kind") == "ingest") | ((F.col("kind") == "decode") & F.col("table").isin(*waiting))
+        return self.commits().where(ours).groupBy("chain_id").agg(F.max("to_height").alias("upto"))
+
+    def tops(self) -> DataFrame:
+        """(chain_id, height, hash) of each chain's highest visible block, from the log; only of ranges that a rollback has cut in two, blocks are read."""
+        commits = self.commits()
+        ranges = clip_ranges(commits)
+        known = ranges.where("best_height IS NOT NULL").groupBy("chain_id").agg(F.max_by(F.struct("best_height", "best_hash"), F.struct("best_height", "commit_seq")).alias("b"))
+        known = known.select("chain_id", F.col("b.best_height").alias("height"), F.col("b.best_hash").alias("hash"))
+        cut = ranges.where("best_height IS NULL AND rows > 0").join(known.select("chain_id", F.col("height").alias("_h")), "chain_id", "left").where("_h IS NULL OR hi > _h")
+        spans = [tuple(r) for r in cut.select("chain_id", "lo", "hi").collect()]  # a row a rollback
+        if not spans:
+            return known
+        both = known.unionByName(self.blocks_of(self.spans_of(spans)).select("chain_id", "height", "hash"))
+        return highest(both)
+
+    def committed(self, table: str, spans: Sequence[Range]) -> DataFrame:
+        """Rows of all committed writes in some spans, also those that rollbacks or replaces hide."""
+        state = self._state()
+        writes = state.commits.where(F.col("write_id").isNotNull() & (F.col("table").isNull() | (F.col("table") == table))).select("chain_id", "write_id").distinct()
+        return self._scan(table, state.schemas[table], self.spans_of(spans)).join(writes, ["chain_id", "write_id"], "left_semi").select(state.schemas[table].names)
+
+    def inside(self, rows: DataFrame, ranges: Sequence[Range]) -> DataFrame:
+        """The rows of some ranges."""
+        return self._inside(rows, self._ranges(ranges))
+
+    def put_late(self, batch_id: str, tables: dict[str, DataFrame], wants: DataFrame, expired: DataFrame) -> None:
+        """Headers, transactions and receipts that came after their logs; what is still wanted takes the place of what was, and what has waited too long is kept apart.
+
+        Heights of late headers are marked, so that rows decoded without block time get it.
+        """
+        late = [r for r in tables["blocks"].select("chain_id", "height").distinct().collect()] if "blocks" in tables else []  # as many as are waited for
+
+        def make(state: State) -> list[dict]:
+            write_id, schemas, log = _write_id(), dict(state.schemas), []
+            for name, rows in (*tables.items(), ("expired_wants", expired), ("wants", wants)):
+                log += self._write(name, rows, write_id, schemas)
+                spans = {r["chain_id"]: (r["lo"], r["hi"]) for r in self._written(name, write_id, schemas).groupBy("chain_id").agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()}
+                if name == "wants":
+                    had = state.commits.where((F.col("table") == "wants") & (F.col("kind") == "replace")).groupBy("chain_id").agg(F.min("from_height"), F.max("to_height")).collect()
+                    for c, lo, hi in had:
+                        a, b = spans.get(c, (lo, hi))
+                        spans[c] = (min(a, lo), max(b, hi))
+                log += [{"kind": "replace" if name == "wants" else "decode", "write_id": write_id, "table": name, "chain_id": c, "from_height": lo, "to_height": hi} for c, (lo, hi) in spans.items()]
+            return log + [{"kind": "late", "chain_id": r["chain_id"], "from_height": r["height"], "to_height": r["height"]} for r in late]
+
+        self._commit(batch_id, make)
+
     # maintenance
 
     def compact(self, table: str, chain_id: int, batch_id: str) -> None:
@@ -472,21 +642,27 @@ class Store:
 
         Nothing is deleted here, so a crash at any point loses nothing; ``vacuum`` removes what is no longer shown.
         """
-        commits = self.commits().where((F.col("chain_id") == chain_id) | F.col("chain_id").isNull())
-        _, done, schemas = self._state(commits, batch_id)
-        last = commits.agg(F.max("commit_seq")).first()[0]
-        again = commits.where((F.col("kind") == "compact") & (F.col("table") == table) & (F.col("commit_seq") == last)).limit(1).count()
-        if done is not None or last is None or again or table not in schemas:
-            return  # done, or nothing came since the last time
-        rows = visible(self._scan(table, schemas[table], [(chain_id, None, None)]), commits, table)
-        if table == "blocks":
-            rows = last_wins(rows, ["chain_id", "height"], ["seq"])
-        write_id = f"{self._name(batch_id)}.{uuid.uuid4().hex}"
-        self._write(table, rows.select(schemas[table].names), write_id, schemas)
-        span = self._written(table, write_id, schemas).agg(F.min("height").alias("lo"), F.max("height").alias("hi")).first()
-        ends = commits.where("kind <> 'schema'").agg(F.min("from_height"), F.greatest(F.max("to_height"), F.max("last_height"))).first()
-        lo, hi = min(x for x in (span["lo"], ends[0]) if x is not None), max(x for x in (span["hi"], ends[1]) if x is not None)
-        self.commit(batch_id, [{"commit_seq": last, "kind": "compact", "write_id": write_id, "table": table, "chain_id": chain_id, "from_height": lo, "to_height": hi}])
+
+        def make(state: State) -> list[dict]:
+            commits, schemas = state.commits.where((F.col("chain_id") == chain_id) | F.col("chain_id").isNull()), dict(state.schemas)
+            last = commits.agg(F.max("commit_seq")).first()[0]
+            again = commits.where((F.col("kind") == "compact") & (F.col("table") == table) & (F.col("commit_seq") == last)).limit(1).count()
+            if last is None or again or table not in schemas:
+                return []  # nothing came since the last time
+            rows = visible(self._scan(table, schemas[table], [(chain_id, None, None)]), commits, table)
+            if table == "blocks":
+                rows = last_wins(rows, ["chain_id", "height"], ["seq"])
+            write_id = _write_id()
+            self._write(table, rows.select(schemas[table].names), write_id, schemas)
+            details = commits.where((F.col("kind") == "bucket") & (F.col("table") == table)).select("detail").distinct().collect()  # as many as the catalog had versions
+            indexed = sorted({c for r in details for c in json.loads(r["detail"])})
+            span = self._written(table, write_id, schemas).agg(F.min("height").alias("lo"), F.max("height").alias("hi")).first()
+            ends = commits.where("kind NOT IN ('schema', 'rollback', 'bucket')").agg(F.min("from_height"), F.greatest(F.max("to_height"), F.max("last_height"))).first()
+            lo, hi = min(x for x in (span["lo"], ends[0]) if x is not None), max(x for x in (span["hi"], ends[1]) if x is not None)
+            buckets = [{"commit_seq": last, **b} for b in self._bucket_rows(table, write_id, schemas, indexed)] if details else []
+            return [{"commit_seq": last, "kind": "compact", "write_id": write_id, "table": table, "chain_id": chain_id, "from_height": lo, "to_height": hi}, *buckets]
+
+        self._commit(batch_id, make)
 
     def vacuum(self, table: str, older_than: float = 7 * 86400) -> int:
         """Deletes folders of writes that show no row any more, and of attempts that no row of the log names, if they are old enough for no job to be at them."""
@@ -495,7 +671,7 @@ class Store:
         live = live_writes(commits, table).join(packed, "chain_id", "left").where("upto IS NULL OR seq > upto OR write_id = by")
         shown = {(r["chain_id"], r["write_id"]) for r in live.select("chain_id", "write_id").collect()}  # a row a write
         removed = 0
-        for path, changed in self.files.glob(f"{self.root}/{table}/chain_id=*/hb=*/write_id=*"):
+        for path, changed in [f for at in (f"{table}/chain_id=*/hb=*", f"{table}__index/chain_id=*/column=*") for f in self.files.glob(f"{self.root}/{at}/write_id=*")]:
             held = int(path.split("/chain_id=")[1].split("/")[0]), path.rpartition("write_id=")[2]
             if held not in shown and time.time() - changed > older_than:
                 self.files.delete(path)

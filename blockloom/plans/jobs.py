@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Entry
-from ..operators import decode, ranges
-from ..operators.store import Range, Store, clip_ranges, decode_backlog, uncovered
+from ..operators import decode, forks, ranges
+from ..operators.store import Range, Store, clip_ranges, decode_backlog, late_headers, uncovered
 from ..scratch import Scratch
 from ..sources import landing
 
@@ -28,7 +28,7 @@ def decode_ranges(store: Store, entries: Sequence[Entry], wanted: Sequence[Range
     logs. All tables and the marks that the ranges are decoded appear together.
     """
     scratch = Scratch(store.spark, "decode")
-    raw, blocks = store.read_ranges("raw_records", wanted), store.blocks()
+    raw, blocks = store.read_ranges("raw_records", wanted), store.blocks_of(store.spans_of(wanted))
     staged = scratch.keep(decode.stamp_block_time(decode.decode_all(raw, entries), blocks), "events", "table")
     found = {(r["table"], r["bad"]): r["n"] for r in staged.groupBy("table", F.col("reason").isNotNull().alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as interfaces
     tables: dict[str, tuple[DataFrame, Entry | None]] = {e.table: (decode.typed_rows(staged, entries, e), e) for e in entries if e.kind == "event" and (e.table, False) in found}
@@ -56,6 +56,12 @@ def decode_pending(store: Store, entries: Sequence[Entry]) -> int:
         some = pending[k : k + RANGES_AT_ONCE]
         named = hashlib.sha256(repr([tuple(r) for r in some]).encode()).hexdigest()[:32]
         decode_ranges(store, entries, [(r["chain_id"], r["from_height"], r["to_height"]) for r in some], f"decode-{named}")
+    # Headers that came after their rows were decoded.
+    late = [tuple(r) for r in late_headers(store.commits()).orderBy("chain_id", "from_height").collect()]
+    for k in range(0, len(late), RANGES_AT_ONCE):
+        some = late[k : k + RANGES_AT_ONCE]
+        named = hashlib.sha256(repr(some).encode()).hexdigest()[:32]
+        decode_ranges(store, entries, [r[:3] for r in some], f"stamp-{named}", "replace")
     return len(pending)
 
 
@@ -75,6 +81,11 @@ def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks
     Gaps that outages left, ranges that a rollback took away and what is new at
     the end are alike: uncovered. They are cut into ranges of ``step`` and landed in one pass
     over the payloads. A job that runs again goes on where the log says.
+
+    Payloads may hold blocks that the chain has not kept. Of logs that were
+    removed later nothing is landed; of competing blocks the branch that headers
+    reach highest (``forks``), and of its blocks only logs, transactions and
+    receipts. A column ``arrived`` of the lines orders them, else their place.
     """
     commits = store.commits()
     open_ = uncovered(clip_ranges(commits), spans).select("chain_id", F.col("lo").alias("next"), F.col("hi").alias("target"))
@@ -83,17 +94,25 @@ def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks
         return 0
     wanted = spans.join(open_.groupBy("chain_id").agg(F.min("next").alias("lo"), F.max("target").alias("hi")), "chain_id").select("chain_id", "lo", "hi")
     scratch = Scratch(store.spark, "landing")
-    raw = landing.land_logs(landing.parse(logs, landing.LOG)).where("NOT removed").drop("removed")
-    raw = scratch.keep(raw.join(wanted, "chain_id").where("height BETWEEN lo AND hi").select(raw.columns), "logs")
-    full = landing.parse(blocks, landing.BLOCK).withColumn("height", landing.height_of("number"))
-    full = scratch.keep(full.join(raw.select("chain_id", "height").distinct(), ["chain_id", "height"], "left_semi"), "blocks")
-    aux = {"transactions": landing.matched_transactions(landing.land_transactions(full), raw)}
+    within = lambda rows: rows.join(F.broadcast(wanted), "chain_id").where("height BETWEEN lo AND hi").select(rows.columns)
+    words = scratch.keep(landing.last_word(within(landing.land_logs(landing.parse(landing.in_order(logs), landing.LOG, "arrived"), "arrived"))), "heard")
+    heard = words.where("NOT removed").drop("removed")
+    full = landing.parse(landing.in_order(blocks), landing.BLOCK, "arrived").withColumn("height", landing.height_of("number"))
+    # Headers above the ranges tell which of their blocks were kept.
+    above = full.join(F.broadcast(wanted), "chain_id").where("height >= lo").select(full.columns)
+    headers = landing.land_blocks(above, "arrived").where("height IS NOT NULL AND hash IS NOT NULL")
+    headers = headers.join(landing.dead_blocks(words), ["chain_id", "height", "hash"], "left_anti")
+    branch = scratch.keep(forks.canonical_branch(headers), "branch")
+    raw = scratch.keep(landing.last_heard(forks.on_branch(heard, branch)), "logs")
+    held = full.withColumn("block_hash", landing.bytes_of("hash")).join(raw.select("chain_id", "height", "block_hash").distinct(), ["chain_id", "height", "block_hash"], "left_semi")
+    held = scratch.keep(held, "blocks")
+    aux = {"transactions": landing.matched_transactions(landing.land_transactions(held), raw)}
     if receipts is not None:
         aux["receipts"] = landing.land_receipts(landing.parse(receipts, landing.RECEIPT), raw)
     first, last = todo[0], todo[-1]
     seq = commits.agg(F.max("commit_seq")).first()[0] or 0
-    store.ingest_ranges(f"land-{first[0]}-{first[1]}-{last[0]}-{last[2]}-{seq}", todo, raw, landing.land_blocks(full), aux)
-    scratch.drop("logs", "blocks")
+    store.ingest_ranges(f"land-{first[0]}-{first[1]}-{last[0]}-{last[2]}-{seq}", todo, raw, landing.land_blocks(held, "arrived"), aux)
+    scratch.drop("heard", "branch", "logs", "blocks")
     return len(todo)
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import read_abi
@@ -305,7 +305,8 @@ _PAGE = "SELECT chain_id, height, idx, CAST(user_id AS VARCHAR) AS user_id, CAST
 
 
 def _page(spark: SparkSession, d: str, spec: QuerySpec) -> DataFrame:
-    return reads.page_rows(purchases(spark, d), spec, COLUMNS).select(*store.KEY, w.uint256_text(F.col("user_id")).alias("user_id"), w.uint256_text(F.col("cents")).alias("cents"))
+    """A page of the stored table, from as few buckets as it takes."""
+    return s.decoded_store(spark, d).events(PURCHASE, spec).select(*store.KEY, w.uint256_text(F.col("user_id")).alias("user_id"), w.uint256_text(F.col("cents")).alias("cents"))
 
 
 query("page_asc", f"WITH {EVENTS} {_PAGE} ORDER BY height, idx, chain_id LIMIT 101")(lambda spark, d: _page(spark, d, QuerySpec(PURCHASE.table)))
@@ -331,10 +332,16 @@ def stored_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("page_desc", f"WITH {EVENTS}, {BLOCKS} SELECT ev.chain_id, ev.height, ev.idx, time AS block_time, CAST(user_id AS VARCHAR) AS user_id, CAST(cents AS VARCHAR) AS cents, props FROM ev JOIN bl ON bl.chain_id = ev.chain_id AND bl.height = ev.height WHERE event_type = 'purchase' ORDER BY ev.height DESC, ev.idx DESC LIMIT 101")
 def page_desc(spark: SparkSession, d: str) -> DataFrame:
-    """Newest first. The page is cut before block times are joined, so it is the only side that is stamped."""
-    page = reads.page_rows(decode.decode_events(s.logs(spark, d), PURCHASE), QuerySpec(PURCHASE.table, descending=True), COLUMNS)
-    stamped = decode.stamp_block_time(page, s.blocks(spark, d))
-    return stamped.orderBy(F.desc("height"), F.desc("idx")).select(*store.KEY, F.unix_timestamp("block_time").alias("block_time"), w.uint256_text(F.col("user_id")).alias("user_id"), w.uint256_text(F.col("cents")).alias("cents"), "props")
+    """Newest first, with the block times that decoding has put on the rows."""
+    page = s.decoded_store(spark, d).events(PURCHASE, QuerySpec(PURCHASE.table, descending=True))
+    return page.select(*store.KEY, F.unix_timestamp("block_time").alias("block_time"), w.uint256_text(F.col("user_id")).alias("user_id"), w.uint256_text(F.col("cents")).alias("cents"), "props")
+
+
+@query("indexed_lookup", f"WITH {EVENTS} SELECT chain_id, height, idx, CAST(user_id AS VARCHAR) AS user_id, CAST(cents AS VARCHAR) AS cents FROM ev WHERE event_type = 'purchase' AND user_id BETWEEN 3 AND 5 AND cents >= 1000")
+def indexed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A range of an indexed column over all chains and heights: the index names the buckets to read."""
+    spec = QuerySpec(PURCHASE.table, (Filter("user_id", "GTE", "3"), Filter("user_id", "LTE", "5"), Filter("cents", "GTE", "1000")))
+    return s.decoded_store(spark, d).select(PURCHASE, spec).select(*store.KEY, w.uint256_text(F.col("user_id")).alias("user_id"), w.uint256_text(F.col("cents")).alias("cents"))
 
 
 @query("total_count", f"WITH {EVENTS} SELECT count(*) AS n FROM ev WHERE event_type = 'purchase' AND user_id >= 30")
@@ -347,25 +354,26 @@ _NESTED = f"p AS (SELECT * FROM ev WHERE event_type = 'purchase' ORDER BY height
 _JOINED = "FROM p LEFT JOIN tx ON tx.chain_id = p.chain_id AND o_orderkey = p.tx"
 
 
-def _nested(spark: SparkSession, d: str) -> DataFrame:
-    return reads.take_page(reads.page_rows(decode.decode_events(s.logs(spark, d), PURCHASE), QuerySpec(PURCHASE.table, first=300), COLUMNS))
+def _nested(spark: SparkSession, d: str, **sides: bool) -> DataFrame:
+    """A page of the stored table, for which of the side tables its own heights are read."""
+    return s.decoded_store(spark, d).page(PURCHASE, QuerySpec(PURCHASE.table, first=300, **sides))
 
 
 @query("events_with_tx", f"WITH {EVENTS}, {ORDERS}, {_NESTED} SELECT p.chain_id, p.height, p.idx, {hex_of('o_custkey', 40)} AS from_addr, CAST(tx.cents AS VARCHAR) AS value {_JOINED}")
 def events_with_tx(spark: SparkSession, d: str) -> DataFrame:
-    held = reads.nest(_nested(spark, d), s.transactions(spark, d), "transaction")
+    held = _nested(spark, d, with_transaction=True)
     return held.select(*store.KEY, w.hex_encode(F.col("transaction.from_addr")).alias("from_addr"), w.uint256_text(F.col("transaction.value")).alias("value"))
 
 
 @query("events_with_receipt", f"WITH {EVENTS}, {ORDERS}, {_NESTED} SELECT p.chain_id, p.height, p.idx, o_orderstatus IS NOT NULL AND o_orderstatus <> 'P' AS has_receipt, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' END AS ok {_JOINED}")
 def events_with_receipt(spark: SparkSession, d: str) -> DataFrame:
-    held = reads.nest(_nested(spark, d), s.receipts(spark, d), "receipt")
+    held = _nested(spark, d, with_receipt=True)
     return held.select(*store.KEY, F.col("receipt").isNotNull().alias("has_receipt"), F.when(F.col("receipt.status"), "yes").when(~F.col("receipt.status"), "no").alias("ok"))
 
 
 @query("events_with_tx_receipt", f"WITH {EVENTS}, {ORDERS}, {_NESTED} SELECT p.chain_id, p.height, p.idx, CAST(tx.cents AS VARCHAR) AS value, CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' END AS ok {_JOINED}")
 def events_with_tx_receipt(spark: SparkSession, d: str) -> DataFrame:
-    held = reads.nest(reads.nest(_nested(spark, d), s.transactions(spark, d), "transaction"), s.receipts(spark, d), "receipt")
+    held = _nested(spark, d, with_transaction=True, with_receipt=True)
     return held.select(*store.KEY, w.uint256_text(F.col("transaction.value")).alias("value"), F.when(F.col("receipt.status"), "yes").when(~F.col("receipt.status"), "no").alias("ok"))
 
 
@@ -476,6 +484,89 @@ def tip_stream(spark: SparkSession, d: str) -> DataFrame:
     return held.read("raw_records").select(*store.KEY, w.hex_encode(F.col("tx_id")).alias("tx_id"), w.hex_encode(F.col("block_hash")).alias("block_hash"))
 
 
+def _orphan(height: Column) -> Column:
+    """The hash of a competing block."""
+    return s.block_hash(-height - 1)
+
+
+#: Of ten blocks of a chain two in a row have competitors, one built on the other; and of one the last log is removed for good.
+_FORK, _GONE = "(height div 3) % 10 IN (4, 5)", "(height div 3) % 10 = 7 AND idx = 9"
+
+
+@query("backfill_with_orphans", f"WITH {EVENTS}, {BLOCKS} SELECT ev.chain_id, ev.height, ev.idx, {hex_of('tx')} AS tx_id, '0x' || sha256(CAST(ev.height AS VARCHAR)) AS block_hash, time FROM ev JOIN bl ON bl.chain_id = ev.chain_id AND bl.height = ev.height WHERE NOT ((ev.height // 3) % 10 = 7 AND idx = 9)")
+def backfill_with_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads with forks of two blocks, heard after the blocks that were kept, and with logs that were removed."""
+    held, top = store.Store(spark, Scratch(spark, "forked").path("store"), bucket=1000), _top(spark, d)
+    raw, bl = s.logs(spark, d).withColumn("removed", F.lit(False)), s.blocks(spark, d)
+    lost = (F.col("height") <= top - 9) & F.expr(_FORK)
+    first = F.expr("(height div 3) % 10 = 4")
+    orphans = raw.where(lost).withColumns({"block_hash": _orphan(F.col("height")), "tx_id": w.word(F.col("tx_index") + (1 << 40))})
+    removed = raw.where(F.expr(_GONE)).withColumn("removed", F.lit(True))
+    rivals = bl.where(lost).withColumns({"hash": _orphan(F.col("height")), "parent_hash": F.when(first, F.col("parent_hash")).otherwise(_orphan(F.col("height") - 3)), "time": F.col("time") + 1000})
+    in_turn = lambda lines, n: lines.select("chain_id", "value", F.lit(n).alias("arrived"))
+    logs = reduce(DataFrame.unionByName, (in_turn(s.log_lines(x), n) for n, x in enumerate((raw, orphans, removed))))
+    blocks = reduce(DataFrame.unionByName, (in_turn(s.block_lines(x), n) for n, x in enumerate((bl, rivals))))
+    spans = spark.createDataFrame([(c, 0, top) for c in (1, 2, 3)], "chain_id long, next long, target long")
+    jobs.reconcile(held, spans, max(1, top // 3), logs, blocks)
+    times = held.blocks().select("chain_id", "height", F.col("hash").alias("block_hash"), "time")
+    joined = held.read("raw_records").join(times, ["chain_id", "height", "block_hash"], "left")
+    return joined.select(*store.KEY, w.hex_encode(F.col("tx_id")).alias("tx_id"), w.hex_encode(F.col("block_hash")).alias("block_hash"), "time")
+
+
+def _stream(spark: SparkSession, scratch: Scratch, held: store.Store, name: str, logs: DataFrame, heads: DataFrame, **how) -> None:
+    """One run of a stream over what has come to its folders: another file of logs and one of heads."""
+    s.log_lines(logs).select("chain_id", "value").coalesce(1).write.mode("append").json(scratch.path(f"{name}-logs"))
+    heads.select("chain_id", F.col("head").cast("bigint").alias("head")).coalesce(1).write.mode("append").json(scratch.path(f"{name}-heads"))
+    read = spark.readStream.schema("chain_id long, head long").json(scratch.path(f"{name}-heads"))
+    chains = spark.createDataFrame([(c, 12, True) for c in (1, 2, 3)], "chain_id long, confirmations int, supports_reorg boolean")
+    tip.follow(tip.landed_logs(spark, scratch.path(f"{name}-logs")), held, scratch.path(f"{name}-checkpoint"), chains=chains, heads=read, **how).awaitTermination()
+
+
+def _heads(spark: SparkSession, d: str, above: int) -> DataFrame:
+    return s.events(spark, d).groupBy("chain_id").agg((F.max("height") + above).alias("head"))
+
+
+@query("probe_rollback", f"""WITH {EVENTS}, t AS (SELECT chain_id, max(height) AS top FROM ev GROUP BY chain_id)
+SELECT ev.chain_id, height, idx, '0x' || sha256(CAST(CASE WHEN height > top - 9 THEN -height - 1 ELSE height END AS VARCHAR)) AS block_hash FROM ev JOIN t ON t.chain_id = ev.chain_id""")
+def probe_rollback(spark: SparkSession, d: str) -> DataFrame:
+    """Every chain is landed up to its tip, of which the last nine heights are then replaced: the probe rolls back twelve, the stream brings the new blocks only, and headers prove the rest."""
+    scratch, raw, bl = Scratch(spark, "probe"), s.logs(spark, d), s.blocks(spark, d)
+    tops = _heads(spark, d, 0).withColumnRenamed("head", "top")
+    held = store.Store(spark, scratch.path("store"), bucket=1000)
+    changed = F.col("height") > F.col("top") - 9
+    moved = bl.join(F.broadcast(tops), "chain_id").withColumns({"hash": F.when(changed, _orphan(F.col("height"))).otherwise(F.col("hash")), "parent_hash": F.when(F.col("height") - 3 > F.col("top") - 9, _orphan(F.col("height") - 3)).otherwise(F.col("parent_hash"))}).drop("top")
+    moved = scratch.keep(moved, "moved")
+    _stream(spark, scratch, held, "tip", raw, _heads(spark, d, 12))
+    new = raw.join(F.broadcast(tops), "chain_id").where(changed).withColumn("block_hash", _orphan(F.col("height"))).drop("top")
+    _stream(spark, scratch, held, "tip", new, _heads(spark, d, 13), canonical=lambda: moved.select("chain_id", "height", "hash"), blocks=lambda: s.block_lines(moved))
+    return held.read("raw_records").select(*store.KEY, w.hex_encode(F.col("block_hash")).alias("block_hash"))
+
+
+@query("two_streams", f"WITH {EVENTS} SELECT chain_id, height, idx, count(*) OVER (PARTITION BY chain_id, height, idx) AS n FROM ev")
+def two_streams(spark: SparkSession, d: str) -> DataFrame:
+    """One stream lands chains 1 and 2 up to the middle; another one chain 3, and with a checkpoint of its own the rest."""
+    scratch, raw, top = Scratch(spark, "streams"), s.logs(spark, d), _top(spark, d)
+    held = store.Store(spark, scratch.path("store"), bucket=1000)
+    heads = _heads(spark, d, 12)
+    _stream(spark, scratch, held, "one", raw.where((F.col("chain_id") < 3) & (F.col("height") <= top // 2)), heads.where("chain_id < 3").withColumn("head", F.lit(top // 2 + 12)))
+    _stream(spark, scratch, held, "two", raw.where((F.col("chain_id") == 3) | (F.col("height") > top // 2)), heads)
+    rows = held.read("raw_records")
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*store.KEY))).select(*store.KEY, "n")
+
+
+@query("late_headers", f"""WITH {EVENTS}, {BLOCKS}
+SELECT ev.chain_id, ev.height, ev.idx, CAST(cents AS VARCHAR) AS cents, CASE WHEN ev.height % 5 <> 4 THEN time END AS at FROM ev JOIN bl ON bl.chain_id = ev.chain_id AND bl.height = ev.height WHERE event_type = 'purchase'""")
+def late_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Of five headers two come two batches after their logs were landed and decoded, and one never: block times are those that came, late or not."""
+    scratch, raw, bl = Scratch(spark, "late"), s.logs(spark, d), s.blocks(spark, d)
+    held = store.Store(spark, scratch.path("store"), bucket=1000)
+    for above, known in ((12, "height % 5 < 2"), (13, "height % 5 < 2"), (14, "height % 5 < 4")):
+        some = bl.where(known)
+        _stream(spark, scratch, held, "tip", raw if above == 12 else raw.limit(0), _heads(spark, d, above), blocks=lambda some=some: s.block_lines(some))
+        jobs.decode_pending(held, s.SHOP[:1])
+    return held.read(PURCHASE.table).select(*store.KEY, w.uint256_text(F.col("cents")).alias("cents"), F.unix_timestamp("block_time").alias("at"))
+
+
 @query("held_until_safe", f"WITH {EVENTS}, m AS (SELECT chain_id, max(height) AS top FROM ev GROUP BY chain_id) SELECT ev.chain_id, height, idx FROM ev JOIN m ON m.chain_id = ev.chain_id AND height <= top - 12")
 def held_until_safe(spark: SparkSession, d: str) -> DataFrame:
     """A stream of logs and heads through the stateful operator: what is final comes out, the rest stays in its state."""

@@ -6,7 +6,7 @@ the table and, where a field can be missing, what was refused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as w
@@ -14,7 +14,7 @@ from ..functions import words as w
 LOG = "address string, topics array<string>, data string, blockNumber string, blockHash string, logIndex string, transactionHash string, transactionIndex string, removed boolean"
 TX = "hash string, `from` string, `to` string, value string, input string, gas string, gasPrice string, nonce string"
 BLOCK = f"number string, hash string, parentHash string, timestamp string, transactions array<struct<{TX.replace(' string', ':string')}>>"
-RECEIPT = "transactionHash string, status string, gasUsed string, effectiveGasPrice string, contractAddress string"
+RECEIPT = "transactionHash string, blockHash string, status string, gasUsed string, effectiveGasPrice string, contractAddress string"
 #: A log without one of these is refused.
 REQUIRED = ("height", "block_hash", "idx", "tx_id")
 
@@ -63,8 +63,37 @@ def refused_logs(logs: DataFrame) -> DataFrame:
     return _mapped(logs).where(" OR ".join(f"{c} IS NULL" for c in REQUIRED))
 
 
-def land_blocks(blocks: DataFrame) -> DataFrame:
-    return blocks.select("chain_id", w.hex_long(F.col("number")).alias("height"), w.hex_decode(F.col("hash")).alias("hash"), w.hex_decode(F.col("parentHash")).alias("parent_hash"), w.hex_long(F.col("timestamp")).alias("time"))
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines (chain_id, value) with ``arrived``, by which a later line is known: their own column of that name, else their place."""
+    return lines if "arrived" in lines.columns else lines.withColumn("arrived", F.monotonically_increasing_id())
+
+
+def last_word(logs: DataFrame) -> DataFrame:
+    """Each copy of a log once, as it was heard last: ``removed`` says whether that was its removal."""
+    copy = ["chain_id", "height", "idx", "block_hash", "tx_id"]
+    heard = logs.groupBy(*copy).agg(F.max_by(F.struct(*(c for c in logs.columns if c not in copy)), F.struct("arrived", "removed")).alias("last"))
+    return heard.select(*copy, "last.*").select(logs.columns)
+
+
+def still_there(logs: DataFrame) -> DataFrame:
+    """Logs (with removed and arrived) of which the last that was heard is not their removal; once each, without ``removed``."""
+    return last_word(logs).where("NOT removed").drop("removed")
+
+
+def dead_blocks(words: DataFrame) -> DataFrame:
+    """(chain_id, height, hash) of blocks of which every log was removed, by ``last_word``."""
+    gone = words.groupBy("chain_id", "height", "block_hash").agg(F.every("removed").alias("gone"))
+    return gone.where("gone").select("chain_id", "height", F.col("block_hash").alias("hash"))
+
+
+def last_heard(logs: DataFrame) -> DataFrame:
+    """Of several logs of one place the last to arrive; the result has no ``arrived``."""
+    last = Window.partitionBy("chain_id", "height", "idx").orderBy(F.desc("arrived"), "tx_id")
+    return logs.withColumn("_n", F.row_number().over(last)).where("_n = 1").select([c for c in logs.columns if c != "arrived"])
+
+
+def land_blocks(blocks: DataFrame, *more: str) -> DataFrame:
+    return blocks.select(*more, "chain_id", w.hex_long(F.col("number")).alias("height"), w.hex_decode(F.col("hash")).alias("hash"), w.hex_decode(F.col("parentHash")).alias("parent_hash"), w.hex_long(F.col("timestamp")).alias("time"))
 
 
 def land_transactions(blocks: DataFrame) -> DataFrame:
@@ -84,12 +113,15 @@ def first_location(logs: DataFrame) -> DataFrame:
 
 
 def land_receipts(receipts: DataFrame, logs: DataFrame) -> DataFrame:
-    """Receipts placed at their transaction's first matched log, else at height 0 with an empty hash."""
+    """Receipts placed at their transaction's first matched log, else at height 0 with an empty hash.
+
+    Of a transaction that was in several blocks, the receipt that names the log's block; one that names no block fits any.
+    """
     held = receipts.select(
-        "chain_id", w.hex_decode(F.col("transactionHash")).alias("tx_id"), (w.hex_long(F.col("status")) == 1).alias("status"),
+        "chain_id", w.hex_decode(F.col("blockHash")).alias("of_block"), w.hex_decode(F.col("transactionHash")).alias("tx_id"), (w.hex_long(F.col("status")) == 1).alias("status"),
         quantity("gasUsed").alias("gas_used"), quantity("effectiveGasPrice").alias("effective_gas_price"), w.hex_decode(F.col("contractAddress")).alias("contract_address"),
     )
-    placed = held.join(first_location(logs), ["chain_id", "tx_id"], "left")
+    placed = held.join(first_location(logs), ["chain_id", "tx_id"], "left").where("of_block IS NULL OR block_hash IS NULL OR of_block = block_hash")
     return placed.select("chain_id", F.coalesce("height", F.lit(0).cast("bigint")).alias("height"), F.coalesce("block_hash", F.unhex(F.lit(""))).alias("block_hash"), F.lit(None).cast("timestamp").alias("block_time"), "tx_id", "status", "gas_used", "effective_gas_price", "contract_address")
 
 

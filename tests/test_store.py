@@ -51,9 +51,9 @@ def test_replay_rollback_and_landing_again(spark, tmp_path):
     assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2)]
     held.ingest("c2", 1, 11, 20, logs(spark, 1, [11], 3), blocks(spark, 1, [11], b"o"))
     assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 3)]
-    held.pack_log()
-    held.pack_log()
-    assert heights(held.raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 3)] and not held.files.glob(f"{held.root}/log/*.json")
+    held.log.pack()
+    held.log.pack()
+    assert heights(Store(spark, held.root, bucket=10).raw_range(1, 0, 30)) == [(3, 1), (10, 2), (11, 3)]
     held.ingest("d", 1, 21, 30, logs(spark, 1, []), blocks(spark, 1, []))
     assert held.cursor().where("chain_id = 1").first()["last_height"] == 30
 
@@ -62,11 +62,11 @@ def test_a_dead_batch_stays_invisible(spark, tmp_path):
     """Files without a marker are shown by no later batch, whatever its number, nor is a partition of a failed attempt."""
     held = Store(spark, f"file://{tmp_path}/s", bucket=10)
     held.ingest("a", 1, 0, 9, logs(spark, 1, [5]), blocks(spark, 1, [5]))
-    commit = held.commit
-    held.commit = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    append = held.log.append
+    held.log.append = lambda *_: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
         held.ingest("dead", 1, 10, 29, logs(spark, 1, [16, 25], 7), blocks(spark, 1, [16, 25]))
-    held.commit = commit
+    held.log.append = append
     assert heights(held.read("raw_records")) == [(5, 1)]
     held.ingest("b", 1, 30, 39, logs(spark, 1, [31]), blocks(spark, 1, [31]))
     assert heights(held.read("raw_records")) == [(5, 1), (31, 1)]
