@@ -1,6 +1,7 @@
 """Decoding on hand-made logs: odd values, cut data, other layouts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,113 @@ def test_static_events_stay_on_the_jvm(spark):
     assert "Python" not in plan and "Arrow" not in plan
     plan = decode.route_events(raw, [TRANSFER])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def brute_json(data, at, p):
+    """A value from data in plain Python. Raises where data is cut short."""
+
+    def word(k):
+        if k < 0 or k + 32 > len(data):
+            raise ValueError("out of data")
+        return data[k : k + 32]
+
+    def sequence(kinds, start):
+        out, k = [], start
+        for c in kinds:
+            out.append(brute_json(data, start + int.from_bytes(word(k)) if decode.is_dynamic(c) else k, c))
+            k += 32 * decode.head_words(c)
+        return out
+
+    if p.type.endswith("]"):
+        inner = decode.Param("", p.type[: p.type.rindex("[")], components=p.components)
+        held = p.type[p.type.rindex("[") + 1 : -1]
+        n = int(held) if held else int.from_bytes(word(at))
+        if n > len(data) or n * 32 > len(data) and decode.head_words(inner):
+            raise ValueError("out of data")
+        return sequence([inner] * n, at if held else at + 32)
+    if p.type.startswith("("):
+        return sequence(list(p.components), at)
+    if p.type in ("string", "bytes"):
+        n = int.from_bytes(word(at))
+        if at + 32 + n > len(data):
+            raise ValueError("out of data")
+        body = data[at + 32 : at + 32 + n]
+        return body.decode("utf-8", "replace") if p.type == "string" else "0x" + body.hex()
+    x = word(at)
+    if p.type.startswith("uint"):
+        return str(int.from_bytes(x))
+    if p.type.startswith("int"):
+        return str(int.from_bytes(x, signed=True))
+    if p.type == "bool":
+        return x[-1] != 0
+    return "0x" + (x[12:] if p.type == "address" else x[: int(p.type[5:])]).hex()
+
+
+LEAVES = ["uint256", "uint8", "int64", "int256", "bool", "address", "bytes32", "bytes3", "string", "bytes"]
+
+
+def random_type(rng, depth):
+    kind = rng.random()
+    if depth == 0 or kind < 0.3:
+        return {"type": rng.choice(LEAVES)}
+    if kind < 0.65:
+        inner = random_type(rng, depth - 1)
+        return {**inner, "type": inner["type"] + rng.choice(["[]", "[]", "[2]"])}
+    return {"type": "tuple", "components": [{"name": f"c{k}", **random_type(rng, depth - 1)} for k in range(rng.randint(1, 3))]}
+
+
+def abi_encode(p, rng):
+    """Random bytes of a value, as (in place, behind)."""
+    if p.type.endswith("]"):
+        inner, held = decode.Param("", p.type[: p.type.rindex("[")], components=p.components), p.type[p.type.rindex("[") + 1 : -1]
+        n = int(held) if held else rng.randint(0, 3)
+        return (b"" if held else word(n)) + abi_sequence([inner] * n, rng)
+    if p.type.startswith("("):
+        return abi_sequence(p.components, rng)
+    if p.type in ("string", "bytes"):
+        body = rng.choice(["", "a", '"q"\\\n', "zwölf 漢字", "x" * 40]).encode() if p.type == "string" else rng.randbytes(rng.randint(0, 40))
+        return word(len(body)) + body + bytes(-len(body) % 32)
+    return word(rng.choice([0, 1, 1 << 255, (1 << 256) - 1, rng.getrandbits(256)]))
+
+
+def abi_sequence(kinds, rng):
+    held = [abi_encode(k, rng) for k in kinds]
+    at, head = 32 * sum(decode.head_words(k) for k in kinds), b""
+    for k, body in zip(kinds, held, strict=True):
+        head += word(at) if decode.is_dynamic(k) else body
+        at += len(body) if decode.is_dynamic(k) else 0
+    return head + b"".join(body for k, body in zip(kinds, held, strict=True) if decode.is_dynamic(k))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nested_values_are_those_of_plain_python(spark, seed):
+    """Random types and values, whole, cut short, and with words that point elsewhere."""
+    rng = random.Random(seed)
+    while True:
+        entry = read_abi([{"type": "event", "name": "Nest", "inputs": [{"name": "before", "type": "uint256"}, {"name": "v", **random_type(rng, 3)}]}], "x")[0]
+        if entry.params[1].logical == "json" and not decode._is_flat_array(entry.params[1]):
+            break
+    p, rows = entry.params[1], []
+    for _ in range(60):
+        data = bytearray(abi_sequence(entry.params, rng))
+        if rng.random() < 0.3:
+            del data[rng.randint(0, len(data)) :]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            k = 32 * rng.randint(0, max(0, len(data) // 32 - 1))
+            data[k : k + 32] = word(rng.choice([0, 1, 2, 32, 64, 1 << 31, 1 << 200, rng.randint(0, 400)]))
+        rows.append(bytes(data))
+    frame = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(rows)], "k long, data binary")
+    start = decode._small(w.word_at(F.col("data"), 1)) if decode.is_dynamic(p) else F.lit(32).cast("bigint")
+    found = {r["k"]: r["v"] for r in frame.select("k", decode.nested_json(F.col("data"), p, start).alias("v")).collect()}
+    good = 0
+    for k, data in enumerate(rows):
+        try:
+            if len(data) < 64:
+                raise ValueError
+            wanted = brute_json(data, int.from_bytes(data[32:64]) if decode.is_dynamic(p) else 32, p)
+        except (ValueError, OverflowError):
+            assert found[k] is None, (p.type, data.hex())
+            continue
+        good += 1
+        assert json.loads(found[k]) == wanted, p.type
+    assert good > 10
