@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +100,34 @@ def log_density(ranges: DataFrame) -> DataFrame:
     return ranges.where("hi >= lo").withColumn("density_milli", F.expr("n * 1000 div (hi - lo + 1)"))
 
 
+#: Weight of what came before, in eighths.
+_KEPT, _WHOLE = 7, 8
+
+
+def _carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last average of each chain, of rows by chain and in order; what is carried is one chain and one number."""
+    chain, average = None, 0
+    for pdf in batches:
+        out = []
+        for c, density in zip(pdf["chain_id"].tolist(), pdf["density_milli"].tolist(), strict=True):
+            if chain is not None and c != chain:
+                out.append((chain, average))
+                average = 0
+            chain, average = c, density if average == 0 else (average * _KEPT + density) // _WHOLE
+        yield pd.DataFrame(out, columns=["chain_id", "density_milli"])
+    if chain is not None:
+        yield pd.DataFrame([(chain, average)], columns=["chain_id", "density_milli"])
+
+
 def density_ewma(ranges: DataFrame) -> DataFrame:
     """(chain_id, density_milli): the running average of densities in order of lo, weight 1/8, floored each step.
 
     The first sample seeds it, and so does the next after it has fallen to zero.
-    A row per range and chain is gathered, not per log.
+    Each step needs the one before, so a chain's ranges (not its logs) go through
+    one task, sorted by Spark and read as they come: nothing is gathered.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("lo", "density_milli")))
-    fold = F.aggregate(ordered, F.lit(0).cast("bigint"), lambda acc, x: F.when(acc == 0, x["density_milli"]).otherwise(F.call_function("div", acc * 7 + x["density_milli"], F.lit(8).cast("bigint"))))
-    return log_density(ranges).groupBy("chain_id").agg(fold.alias("density_milli"))
+    ordered = log_density(ranges).select("chain_id", "lo", "density_milli").repartition("chain_id").sortWithinPartitions("chain_id", "lo", "density_milli")
+    return ordered.select("chain_id", "density_milli").mapInPandas(_carry, "chain_id long, density_milli long")
 
 
 def height_counts(logs: DataFrame) -> DataFrame:

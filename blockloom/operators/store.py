@@ -36,6 +36,8 @@ from .commit_log import ATTEMPTS, CommitLog, Conflict
 #: Heights of a bucket.
 BUCKET = 100_000
 KEY = ["chain_id", "height", "idx"]
+#: Live writes of a chain's table from which ``maintain`` makes one.
+MOST_WRITES = 256
 #: Spans that a scan names one by one; of more, one a chain.
 SCANNED = 64
 Range = tuple[int, int, int]  # chain_id, from_height, to_height
@@ -664,6 +666,17 @@ class Store:
 
         self._commit(batch_id, make)
 
+    def maintain(self, writes: int = MOST_WRITES, older_than: float = 7 * 86400) -> list[tuple[str, int]]:
+        """Compacts what has more than ``writes`` live writes of a chain, and deletes what is not shown any more; returns (table, chain_id) of what was compacted."""
+        state, done = self._state(), []
+        for table in sorted(state.schemas):
+            many = live_writes(state.commits, table).groupBy("chain_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > writes).collect()  # a row a chain
+            for r in many:
+                self.compact(table, r["chain_id"], f"compact-{table}-{r['chain_id']}-{state.number}")
+                done.append((table, r["chain_id"]))
+            self.vacuum(table, older_than)
+        return done
+
     def vacuum(self, table: str, older_than: float = 7 * 86400) -> int:
         """Deletes folders of writes that show no row any more, and of attempts that no row of the log names, if they are old enough for no job to be at them."""
         commits = self.commits()

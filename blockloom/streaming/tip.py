@@ -28,6 +28,8 @@ from ..sources import landing
 NDJSON = "chain_id long, value string"
 #: Batches for which a landed log waits for its header, transaction and receipt.
 PATIENCE = 600
+#: Batches after which the store is maintained: about two hours.
+UPKEEP = 1200
 
 
 def landed_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -117,6 +119,7 @@ def follow(
     receipts: Callable[[], DataFrame] | None = None,
     answers: Callable[[], DataFrame] | None = None,
     patience: int = PATIENCE,
+    upkeep: int = UPKEEP,
 ) -> StreamingQuery:
     """Lands a stream of log lines (chain_id, value) in the store and rolls back where the tip was reorganised.
 
@@ -139,7 +142,8 @@ def follow(
     goes to ``expired_wants``.
 
     Batches are named by the stream's own id, so that several streams, or one
-    with a new checkpoint, share a store.
+    with a new checkpoint, share a store. After every ``upkeep`` batches the
+    store's tables are compacted and cleared of what is not shown any more.
     """
     sources = Sources(canonical, blocks, receipts, answers)
     known = chains.collect() if chains is not None else []  # a row a chain
@@ -175,6 +179,8 @@ def follow(
                 store.ingest_ranges(f"{tag}-land", spans, fresh, headers, aux, "pending_logs" if heads is not None else None)
             if sources.blocks is not None and (spans or missing is not None):
                 _settle_wants(store, f"{tag}-late", spans, fresh, missing, sources, patience)
+            if epoch % upkeep == upkeep - 1:
+                store.maintain()
         finally:
             rows.unpersist()
             batch.unpersist()

@@ -1,6 +1,7 @@
 """The tip stream where things go wrong: rollbacks by the probe, second streams, late payloads, competing blocks; and the log under many writers."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from blockloom.operators.commit_log import CommitLog, Conflict
 from blockloom.operators.store import Store, covered
 from blockloom.plans import jobs
 from blockloom.streaming import tip
+from blockloom.streaming.lateness import LateRows, late_rows
 
 EVENT = read_abi([{"type": "event", "name": "Ping", "inputs": [{"name": "n", "type": "uint256"}]}], "app")[0]
 HASHES = "chain_id long, height long, hash binary"
@@ -243,3 +245,33 @@ def test_a_long_log_opens_few_files(spark, tmp_path):
     assert len(held.files.glob(f"{held.root}/log/*.json")) <= 60 and len(held.files.glob(f"{held.root}/packed/*")) == 2
     with pytest.raises(Conflict):  # so far behind that the files are gone
         fresh.append("old", [entry(0, 1, chain=7)], 3)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Three rows behind the watermark, of three windows, and their lag."""
+    (tmp_path / "in").mkdir()
+    watcher = LateRows(spark, f"file://{tmp_path}/late")
+    spark.streams.addListener(watcher)
+    try:
+        for n, times in enumerate((["12:00:10", "12:00:20"], ["12:30:00"], ["12:01:00", "12:02:00", "12:03:00", "12:31:00"])):
+            (tmp_path / f"in/{n}.json").write_text("\n".join(json.dumps({"chain_id": 1, "ts": f"2024-01-01T{t}Z"}) for t in times))
+            rows = spark.readStream.schema("chain_id long, ts timestamp").json(f"file://{tmp_path}/in")
+            tip.tip_rate(rows, "1 minute", "5 minutes").writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).outputMode("update").start().awaitTermination(120)
+        wanted = time.time() + 30
+        while time.time() < wanted and (late_rows(spark, f"file://{tmp_path}/late").agg(F.sum("dropped")).first()[0] or 0) < 3:
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(watcher)
+    found = late_rows(spark, f"file://{tmp_path}/late")
+    assert found.agg(F.sum("dropped")).first()[0] == 3 and found.where("dropped > 0").count() == 1
+    assert found.where("dropped > 0").first()["lag_s"] > 0 and late_rows(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_upkeep_compacts_and_clears(spark, tmp_path):
+    schema = "chain_id long, height long, idx long, block_hash binary, tx_id binary, value long"
+    row = lambda h: spark.createDataFrame([(1, h, 0, bytearray(b"h"), bytearray(b"t"), h)], schema)
+    held = Store(spark, f"file://{tmp_path}/s", bucket=10)
+    for h in range(4):
+        held.put_typed("t", row(h), f"b{h}", 1, h, h)
+    assert held.maintain(3, 0) == [("t", 1)] and held.maintain(3, 0) == []
+    assert len(held.files.glob(f"{held.root}/t/*/*/write_id=*")) == 1 and sorted(r["value"] for r in held.read("t").collect()) == [0, 1, 2, 3]
