@@ -41,3 +41,7 @@ class Scratch:
         """Deletes tables that no later step reads."""
         for name in names:
             Files(self.spark).delete(self.path(name))
+
+    def close(self) -> None:
+        """Deletes all tables of this name."""
+        Files(self.spark).delete(self.root)
