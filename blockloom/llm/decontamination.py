@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .batches import map_rows, slices, small_batches
+from .skew import free_name
 from .textwords import NOT_ALNUM, windows, word_hashes
 from .workers import clear
 
@@ -210,8 +211,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks=MASKS, window: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without those that contain an item of ``benchmark``."""
-    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__found_id"), F.col("text_key").alias("__found_key")).distinct()
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__found_id")) & (F.xxhash64(docs["text"]) == F.col("__found_key"))
+    name, key = free_name("_found_id", docs), free_name("_found_key", docs)
+    found = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct()
+    on = docs["doc_id"].cast("long").eqNullSafe(found[name]) & (F.xxhash64(docs["text"]) == found[key])
     return docs.join(found, on, "left_anti")
 
 

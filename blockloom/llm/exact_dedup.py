@@ -20,20 +20,35 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .skew import lookup
+from .skew import free_name, lookup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Buckets of an index at least, and digests that one of them is to hold; one is one task of the anti-join.
 BUCKETS, BUCKET_ROWS = 32, 4_000_000
+#: Files of a bucket beyond which the index is merged. Each ingest adds one to a bucket, and a bucket of several is sorted again when it is read.
+MOST_FILES = 8
 #: Ingests that a whole table is put in, by falling doc_id.
 INGESTS = 2
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session while the jobs inside run."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased. ``lower`` is fast and does the same where no other character has a case."""
     return F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -64,10 +79,36 @@ class DigestIndex:
         """Adds entries whose digests are new; each bucket is written by the task that holds it."""
         self._write(entries.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest"))
 
+    def ordered(self):
+        """Lets Spark see that buckets of one file are sorted, while the jobs inside are planned."""
+        return _setting(self.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def sorts(self, entries: DataFrame) -> int:
+        """Sorts in the plan of ``unseen``: one, of the new side, while each bucket of the index is one file."""
+        with self.ordered():
+            return len(re.findall(r"(?m)^\W*(?:\*\(\d+\) )?Sort \[", self.unseen(entries)._jdf.queryExecution().executedPlan().toString()))
+
     def unseen(self, entries: DataFrame) -> DataFrame:
         """Entries whose digest the index lacks: a sort-merge anti-join for which the index is not shuffled."""
         return entries.repartition(self.buckets, "digest").hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
+    def files(self) -> int:
+        """Files that the index has."""
+        return len(self.read().inputFiles())
+
+    def merge(self) -> None:
+        """Rewrites the index with one file a bucket, as it is after its first ingest: then Spark knows that each bucket is sorted and does not sort it again.
+
+        The new table is made beside the old one and takes its name.
+        """
+        beside = f"{self.table}_{uuid.uuid4().hex}"
+        # Read as plain files: a shuffle over buckets would be left out, and files split with them.
+        with _setting(self.spark, "spark.sql.sources.bucketing.enabled", "false"):
+            held = self.read().repartition(self.buckets, "digest")
+            held.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(beside)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {beside} RENAME TO {self.table}")
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
@@ -77,7 +118,13 @@ class DigestIndex:
             return
         entries = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("batch", F.lit(batch))
         # Written first: the table cannot be read and appended to in one job.
-        self.append(Scratch(self.spark, "digests").keep(self.unseen(entries), "new"))
+        scratch = Scratch(self.spark, "digests")
+        with self.ordered():
+            new = scratch.keep(self.unseen(entries), "new")
+        self.append(new)
+        scratch.close()
+        if self.files() > MOST_FILES * self.buckets:
+            self.merge()
 
     def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Adds the digests of ``docs`` that are new.
@@ -124,15 +171,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
     spark, rows = docs.sparkSession, digests(docs)
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", max(BUCKETS, -(-rows.count() // BUCKET_ROWS)))
-    shares = [k / INGESTS for k in range(1, INGESTS)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(100))).first()[0] or ()), reverse=True)
-    for k, (upper, lower) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        part = rows if upper is None else rows.where((F.col("doc_id") < upper) | F.col("doc_id").isNull())
-        index.add(part if lower is None else part.where(F.col("doc_id") >= lower), f"batch-{k}")
-    out = index.judge(rows, F.lit(True)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
-    out = Scratch(spark, "digests").keep(out, "judged")
-    index.drop()
-    return out
+    try:
+        shares = [k / INGESTS for k in range(1, INGESTS)]
+        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), F.lit(100))).first()[0] or ()), reverse=True)
+        for k, (upper, lower) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+            part = rows if upper is None else rows.where((F.col("doc_id") < upper) | F.col("doc_id").isNull())
+            index.add(part if lower is None else part.where(F.col("doc_id") >= lower), f"batch-{k}")
+        out = index.judge(rows, F.lit(True)).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+        return Scratch(spark, "digests").keep(out, "judged")
+    finally:
+        index.drop()
 
 
 def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
@@ -141,10 +189,11 @@ def keep_one(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Rows that repeat doc_id and text are alike in what the operator reads; one of them stays.
     """
     name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
-    kept = exact_dedup(docs, index).where("kept").select(name(F.col("doc_id")).alias("__kept_name"), F.unhex("text_sha256").alias("__kept_digest"))
-    rows = docs.withColumns({"__kept_name": name(docs["doc_id"]), "__kept_digest": text_digest(docs["text"])})
+    by = [free_name("_kept_name", docs), free_name("_kept_digest", docs)]
+    kept = exact_dedup(docs, index).where("kept").select(name(F.col("doc_id")).alias(by[0]), F.unhex("text_sha256").alias(by[1]))
+    rows = docs.withColumns({by[0]: name(docs["doc_id"]), by[1]: text_digest(docs["text"])})
     # Repeats go by the keys of the join, so they cost no shuffle of their own.
-    return rows.join(kept, ["__kept_name", "__kept_digest"], "left_semi").dropDuplicates(["__kept_name", "__kept_digest"]).select(docs.columns)
+    return rows.join(kept, by, "left_semi").dropDuplicates(by).select(docs.columns)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

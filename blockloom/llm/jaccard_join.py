@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .batches import map_rows, slices, small_batches
 from .components import connected_components
-from .skew import lookup
+from .skew import free_name, lookup
 from .textwords import mix64, shingle_set, word_hashes
 from .workers import clear
 
@@ -334,9 +334,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, boundary
 
 def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id; columns as they are."""
-    groups = near_duplicates(docs, percent, width)
-    dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("__dropped_id"), "left_anti")
+    groups, name = near_duplicates(docs, percent, width), free_name("_dropped_id", docs)
+    dropped = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped[name], "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

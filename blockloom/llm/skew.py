@@ -11,6 +11,14 @@ SHARE = 1 / 1000
 LEAST, FEW = 200, 5000
 
 
+def free_name(wanted: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in whatever case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def plain(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
     """``lookup`` of few rows: a left join as Spark makes it."""
     return rows.join(table, key, "left").select(*rows.columns, *(c for c in table.columns if c != key))
@@ -36,3 +44,20 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFram
     cold = table.withColumn("_salt", F.lit(0).cast("bigint"))
     out = salted.join(cold, [key, "_salt"], "left")
     return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in values))
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """``lookup`` of what is too large to be broadcast: rows of keys with more than a thousandth of all rows are dealt in ``salts`` parts, each with a copy of what the table says.
+
+    Such keys are a thousand at most, so the copies have a bound that does not
+    grow with the rows; only the keys are broadcast. ``rows`` is read three
+    times and should be a written table.
+    """
+    n = rows.count()
+    if n <= FEW:
+        return plain(rows, table, key, spread)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(LEAST, int(SHARE * n))).select(key, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)).drop("_hot")
+    copies = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    copies = copies.withColumn("_salt", F.col("_salt").cast("bigint"))
+    return dealt.withColumn("_salt", F.col("_salt").cast("bigint")).join(copies, [key, "_salt"], "left").select(*rows.columns, *(c for c in table.columns if c != key))

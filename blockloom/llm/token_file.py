@@ -18,8 +18,8 @@ beside the shards, once.
 
 Rules. A null text counts as empty and is its end id alone; texts of any length
 are encoded whole. Null doc_ids come first; rows that repeat a doc_id all stay,
-ordered by their number of ids and then by the bytes of their packed ids, so
-that equal rows are all that can change places. Other columns are not read. An empty table writes no shard and reads as an empty table. A shard is
+ordered by their number of ids and then by a hash and the bytes of their packed
+ids, so that equal rows are all that can change places. Other columns are not read. An empty table writes no shard and reads as an empty table. A shard is
 written under a name of its own and then moved into place, so a task that runs
 again replaces its own shards.
 """
@@ -41,6 +41,8 @@ from .batches import map_rows, slices, small_batches
 from .tokens import encoder
 
 END_ID = 2
+#: Shards of a range at most, on average: ranges grow in number with the input.
+PART_SHARDS = 16
 #: A shard is closed when it holds so many ids; a longer document has one of its own.
 SHARD_IDS = 2_000_000
 _MAGIC, _HEAD, _SLICE = b"RKVB0001", struct.Struct("<8s7Q"), 1 << 18
@@ -204,8 +206,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     rank_of[by_rank] = np.arange(len(by_rank))
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank}), "rank long, id long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranks")
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.where("n >= 0").select("doc_id", "n", "blob").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "blob")
+    ids = encoded.where("n >= 0").agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids // (PART_SHARDS * shard_ids)))
+    # Rows of one doc_id, or without one, are dealt by what orders them, so that none of them need be together.
+    ordered = encoded.where("n >= 0").select("doc_id", "n", "blob").repartitionByRange(parts, "doc_id", "n", F.xxhash64("blob")).sortWithinPartitions("doc_id", "n", F.xxhash64("blob"), "blob")
     write = partial(_write_shards, folder=f"{folder}/shards", rank_of=spark.sparkContext.broadcast(rank_of), bits=control_bits(len(by_rank)), most=shard_ids)
     # Ids go as text, which keeps them exact beside nulls.
     manifest = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "blob").mapInPandas(write, "part long, shard long, docs long, ids long, bytes long")

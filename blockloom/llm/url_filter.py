@@ -1,15 +1,19 @@
 """URL filter: host and path rules, then a weighted vocabulary of URL terms.
 
 An Aho-Corasick automaton finds every term of the vocabulary in the lower-cased
-url; a hit counts if neither neighbour is a letter or digit. One strict term,
-or distinct soft terms whose weights reach ``SOFT_LIMIT``, rejects the url.
+url; a hit counts if neither neighbour is a letter or digit. One strict term
+rejects the url, and so do ``SOFT_LEAST`` distinct soft terms or more, of as
+many distinct stems, if these weigh ``SOFT_LIMIT`` together. A stem weighs once,
+however often and in whatever form it comes: its plural is the same stem, and a
+compound is one term of two stems, so no single soft term rejects.
 A rule (host, path) fits its host and all subdomains where the path starts with
 the rule's; the longest fitting rule decides before the vocabulary does.
 
-The vocabulary is a parameter: lists of any length, or a table of terms and
-weights (``read_vocabulary``). The standard one is made by a rule from short
-lists of stems: their plurals, and all compounds of two of them, some thousands
-of terms. Its automaton is built once a task.
+The vocabulary is a parameter: a list of strict terms, and soft stems with their
+weights, or a table of both (``read_vocabulary``). No weight reaches the limit
+on its own (``soft_vocabulary`` refuses it). The standard one is made by a rule
+from short lists of stems: their plurals, and all compounds of two of them, some
+thousands of terms. Its automaton is built once a task.
 
 A null url, or one without ``://``, has an empty host and path and fits no
 rule; the vocabulary still reads what there is of it. Urls are read whole, of
@@ -50,18 +54,20 @@ SOFT_STEMS = {
     "hookup": 1.0, "jackpot": 1.0, "lottery": 0.5, "milf": 1.0, "naked": 1.0, "roulette": 1.0, "serial": 0.25, "singles": 0.5,
     "steroids": 1.0, "betting": 1.0,
 }
-SOFT_LIMIT = 1.5
+#: What soft stems have to weigh together, and how many of them there have to be.
+SOFT_LIMIT, SOFT_LEAST = 1.5, 2
 
 
-def soft_terms(stems: dict[str, float] = SOFT_STEMS) -> dict[str, float]:
-    """Stems, their plurals, and compounds of two, joined or by a hyphen, which weigh as much as both."""
-    out = {}
-    for a, x in stems.items():
-        for b, y in stems.items():
-            if a != b:
-                out |= {f"{a}{b}": x + y, f"{a}-{b}": x + y}
-    out |= {f"{a}s": x for a, x in stems.items() if not a.endswith("s")}
-    return out | stems
+def soft_vocabulary(stems: dict[str, float] = SOFT_STEMS, limit: float = SOFT_LIMIT) -> dict[str, tuple[str, ...]]:
+    """The stems that each soft term counts for: a stem and its plural for itself, compounds of two for both. (Two stems with a hyphen are found as they are.)"""
+    if heavy := [s for s, x in stems.items() if x >= limit]:
+        raise ValueError(f"a single soft term would reject: {heavy[0]}")
+    out: dict[str, tuple[str, ...]] = {}
+    for a, b in ((a, b) for a in stems for b in stems if a != b):
+        pair = tuple(sorted((a, b)))
+        out[a + b] = min(out.get(a + b, pair), pair)
+    out |= {f"{a}s": (a,) for a in stems if not a.endswith("s")}
+    return out | {a: (a,) for a in stems}
 
 
 def strict_terms(stems: Sequence[str] = STRICT_STEMS, extra: Sequence[str] = STRICT_EXTRA) -> tuple[str, ...]:
@@ -72,18 +78,16 @@ def strict_terms(stems: Sequence[str] = STRICT_STEMS, extra: Sequence[str] = STR
 
 #: One of these rejects.
 STRICT_TERMS = strict_terms()
-#: Several of these reject: distinct terms count by weight.
-SOFT_TERMS = {t: w for t, w in soft_terms().items() if t not in set(STRICT_TERMS)}
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> tuple[tuple[str, ...], dict[str, float]]:
-    """Strict and soft terms of a table (term, weight) in CSV; a term without a weight is strict. A vocabulary fits the driver and each task."""
+    """Strict terms and soft stems of a table (term, weight) in CSV; a term without a weight is strict. A vocabulary fits the driver and each task."""
     rows = spark.read.schema("term string, weight double").csv(path).where("term IS NOT NULL AND term <> ''").collect()
     strict = {r["term"].lower() for r in rows if r["weight"] is None}
     return tuple(sorted(strict)), {r["term"].lower(): r["weight"] for r in rows if r["weight"] is not None and r["term"].lower() not in strict}
 
 
-SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, soft_weight double"
+SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_hits int, soft_stems int, soft_weight double"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -122,18 +126,20 @@ def url_filter(
     pages: DataFrame,
     rules: Sequence[Rule] = RULES,
     strict: Sequence[str] = STRICT_TERMS,
-    soft: dict[str, float] = SOFT_TERMS,
+    soft: dict[str, float] = SOFT_STEMS,
     soft_limit: float = SOFT_LIMIT,
+    soft_least: int = SOFT_LEAST,
 ) -> DataFrame:
-    """A row per page: page_id, host, path, rule, verdict and the distinct vocabulary hits."""
-    weights = {t: (True, 0.0) for t in strict} | {t: (False, w) for t, w in soft.items() if t not in strict}
+    """A row per page: page_id, host, path, rule, verdict, distinct strict and soft terms, and distinct soft stems with their weight."""
+    # A strict term has no stems.
+    stems_of = soft_vocabulary(soft, soft_limit) | dict.fromkeys(strict, ())
     hosts = by_host(rules)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         terms = ahocorasick.Automaton()
-        for term in weights:
+        for term in stems_of:
             terms.add_word(term, term)
         terms.make_automaton()
 
@@ -150,13 +156,14 @@ def url_filter(
             for page_id, url in zip(pdf["page_id"], pdf["url"], strict=True):
                 url = url if isinstance(url, str) else ""
                 host, path = split_url(url)
-                found = hits(url.lower()) if weights else set()
-                n_strict = sum(weights[t][0] for t in found)
-                weight = sum(weights[t][1] for t in sorted(found))
+                found = hits(url.lower()) if stems_of else set()
+                n_strict = sum(not stems_of[t] for t in found)
+                stems = {s for t in found for s in stems_of[t]}
+                weight = sum(soft[s] for s in sorted(stems))
                 rule = fit_rule(hosts, host, path)
-                verdict = rule[1] if rule else "block" if n_strict or weight >= soft_limit else "allow"
-                rows.append((page_id, host, path, rule and rule[0], verdict, n_strict, len(found) - n_strict, weight))
-            yield pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"])
+                verdict = rule[1] if rule else "block" if n_strict or min(len(found) - n_strict, len(stems)) >= soft_least and weight >= soft_limit else "allow"
+                rows.append((page_id, host, path, rule and rule[0], verdict, n_strict, len(found) - n_strict, len(stems), weight))
+            yield pd.DataFrame(rows, columns=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_stems", "soft_weight"])
 
     return map_rows(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")), judge, SCHEMA, "page_id")
 
@@ -177,12 +184,13 @@ soft_stems(t, w) AS (VALUES {soft}), strict_stems(t) AS (VALUES {strict}), joint
 strict AS (
   SELECT t FROM strict_stems UNION SELECT t || 's' FROM strict_stems WHERE NOT ends_with(t, 's') UNION SELECT * FROM (VALUES {extra})
   UNION SELECT a.t || j || b.t FROM strict_stems a, strict_stems b, joints WHERE a.t <> b.t
-), soft AS (
-  SELECT t, max(w) AS w FROM (
-    SELECT t, w, 1 AS k FROM soft_stems UNION ALL SELECT t || 's', w, 2 FROM soft_stems WHERE NOT ends_with(t, 's')
-    UNION ALL SELECT a.t || j || b.t, a.w + b.w, 3 FROM soft_stems a, soft_stems b, joints WHERE a.t <> b.t
-  ) WHERE t NOT IN (SELECT t FROM strict) GROUP BY t
-), vocabulary AS (SELECT t, w, 0 AS strict FROM soft UNION ALL SELECT t, 0, 1 FROM strict),
+), forms AS (
+  -- A stem counts as itself though it may be the plural or a compound of others.
+  SELECT t, stems, row_number() OVER (PARTITION BY t ORDER BY k, stems) AS nth FROM (
+    SELECT t, [t] AS stems, 1 AS k FROM soft_stems UNION ALL SELECT t || 's', [t], 2 FROM soft_stems WHERE NOT ends_with(t, 's')
+    UNION ALL SELECT a.t || b.t, list_sort([a.t, b.t]), 3 FROM soft_stems a, soft_stems b WHERE a.t <> b.t
+  ) WHERE t NOT IN (SELECT t FROM strict)
+), vocabulary AS (SELECT t, stems, 0 AS strict FROM forms WHERE nth = 1 UNION ALL SELECT t, [], 1 FROM strict),
 u AS (
   SELECT page_id, lower(coalesce(url, '')) AS l,
     CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
@@ -192,13 +200,16 @@ u AS (
   SELECT page_id, string_split(unnest(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}]+(?:-[\\p{{L}}\\p{{N}}]+)*')), '-') AS parts FROM u
 ), found AS (
   SELECT page_id, unnest(parts) AS t FROM runs UNION SELECT page_id, unnest([parts[i] || '-' || parts[i + 1] FOR i IN range(1, len(parts))]) FROM runs
-), hits AS (
-  SELECT page_id, sum(strict) AS strict_hits, sum(1 - strict) AS soft_hits, sum(w) AS soft_weight FROM found JOIN vocabulary USING (t) GROUP BY page_id
+), stems_found AS (SELECT DISTINCT page_id, unnest(stems) AS t FROM found JOIN vocabulary USING (t)),
+hits AS (
+  SELECT page_id, strict_hits, soft_hits, coalesce(soft_stems, 0) AS soft_stems, coalesce(soft_weight, 0) AS soft_weight
+  FROM (SELECT page_id, sum(strict) AS strict_hits, sum(1 - strict) AS soft_hits FROM found JOIN vocabulary USING (t) GROUP BY page_id)
+  LEFT JOIN (SELECT page_id, count(*) AS soft_stems, sum(w) AS soft_weight FROM stems_found JOIN soft_stems USING (t) GROUP BY page_id) USING (page_id)
 ), s AS (
   SELECT page_id,
     translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path,
-    coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(soft_weight, 0) AS soft_weight
+    coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_hits, 0) AS soft_hits, coalesce(soft_stems, 0) AS soft_stems, coalesce(soft_weight, 0) AS soft_weight
   FROM u LEFT JOIN hits USING (page_id)
 ), k AS (
   SELECT s.*, r_host || r_path AS rule, r_verdict,
@@ -206,8 +217,8 @@ u AS (
   FROM s LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
 )
 SELECT page_id, host, path, rule,
-  coalesce(r_verdict, CASE WHEN strict_hits > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-  CAST(strict_hits AS INT) AS strict_hits, CAST(soft_hits AS INT) AS soft_hits, CAST(soft_weight AS DOUBLE) AS soft_weight
+  coalesce(r_verdict, CASE WHEN strict_hits > 0 OR least(soft_hits, soft_stems) >= {SOFT_LEAST} AND soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(strict_hits AS INT) AS strict_hits, CAST(soft_hits AS INT) AS soft_hits, CAST(soft_stems AS INT) AS soft_stems, CAST(soft_weight AS DOUBLE) AS soft_weight
 FROM k WHERE rn = 1
 """
 

@@ -22,7 +22,8 @@ are not read. An empty table makes an empty archive.
 Payloads are grouped by SHA-256, and ``read_archive`` verifies the stored bytes
 against it and against the header's SHA-1 and length, so a damaged or mixed-up
 payload raises instead of passing on. What a payload's many copies are told of
-it goes through ``skew.lookup``, so no task gets them all.
+it goes through ``skew.lookup``, and the payload itself through
+``skew.salted``, so no task gets them all.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .skew import lookup
+from .skew import lookup, salted
 
 #: Payloads of fewer bytes are stored with each of their records' digests but never revisited.
 MIN_BYTES = 0
@@ -137,8 +138,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     )
     stored = spark.read.parquet(f"{path}/payloads").select("sha256", "payload", base32(F.sha1("payload")).alias("found"), (F.unhex(F.sha2("payload", 256)) == F.col("sha256")).alias("sound"))
     whole = F.col("sound") & (F.col("found") == F.col("payload_digest")) & ((F.col("record_type") == "revisit") | (F.octet_length("payload") == F.col("block_bytes")))
-    # Headers of one payload's many copies are dealt by the digest; the payload itself is there once.
-    return records.join(stored, "sha256", "left").select(
+    # Of a payload with many copies each part of their headers gets one: none of the tasks gets them all, and no payload is broadcast.
+    return salted(records, stored, "sha256", "header").select(
         "page_id", "record_type", "target_uri", "payload_digest", "refers_to",
         F.when(F.coalesce(whole, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without an id")))).cast("binary")).alias("payload"),
         "header",
