@@ -106,8 +106,3 @@ def bucket_filter(bucket: int, lo: int | None, hi: int | None) -> Column:
     if hi is not None:
         out &= (F.col("hb") <= hi // bucket) & (F.col("height") <= hi)
     return out
-
-
-def in_bucket(rows: DataFrame, bucket: int, lo: int | None, hi: int | None) -> DataFrame:
-    """The rows of a height range of a laid out table."""
-    return rows.where(bucket_filter(bucket, lo, hi))

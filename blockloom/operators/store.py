@@ -98,6 +98,23 @@ def live_writes(commits: DataFrame, table: str) -> DataFrame:
     return writes.join(gone, ["chain_id", "write_id"], "left").where("whole IS NULL OR NOT whole").select("chain_id", "write_id", F.col("commit_seq").alias("seq"), "cut", "gone")
 
 
+def folded(commits: DataFrame) -> DataFrame:
+    """The log without rows of tables' writes of which nothing is shown any more: rolled back whole, or replaced or compacted since.
+
+    What such a row would hide is hidden by what hides the row itself, so nothing
+    comes back. Ranges that were landed and decoded, rollbacks and schemas stay.
+    """
+    key = ["chain_id", "write_id", "table"]
+    of_table = commits.where("write_id IS NOT NULL AND table IS NOT NULL")
+    named = of_table.where(F.col("kind").isin("decode", "replace", "compact"))
+    writes = named.groupBy(*key).agg(F.max("commit_seq").alias("commit_seq"), F.min("from_height").alias("lo"), F.max("to_height").alias("hi"))
+    writes = with_cut(writes, commits).where("cut IS NULL OR lo < cut").drop("cut")
+    over = named.where("kind <> 'decode'").select("chain_id", "table", F.col("write_id").alias("by"), F.col("from_height").alias("o_lo"), F.col("to_height").alias("o_hi"), F.when(F.col("kind") == "compact", F.col("commit_seq")).otherwise(F.col("commit_seq") - 1).alias("upto"))
+    hidden = (writes["chain_id"] == over["chain_id"]) & (writes["table"] == over["table"]) & (writes["write_id"] != over["by"]) & (writes["commit_seq"] <= over["upto"]) & (over["o_lo"] <= writes["lo"]) & (over["o_hi"] >= writes["hi"])
+    shown = writes.join(over, hidden, "left_anti").select(*key)
+    return commits.where("write_id IS NULL OR table IS NULL").unionByName(of_table.join(shown, key, "left_semi").select(commits.columns))
+
+
 def visible(rows: DataFrame, commits: DataFrame, table: str) -> DataFrame:
     """Rows of committed writes that nothing later hides, with the write's seq. ``rows`` have chain_id, height and write_id."""
     hidden = F.exists("gone", lambda g: F.col("height").between(g["o_lo"], g["o_hi"]))
@@ -249,7 +266,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, bucket: int = BUCKET):
         self.spark, self.root, self.bucket = spark, root.rstrip("/"), bucket
-        self.files, self.log = Files(spark), CommitLog(spark, self.root)
+        self.files, self.log = Files(spark), CommitLog(spark, self.root, fold=folded)
 
     # the log
 

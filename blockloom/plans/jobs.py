@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Entry
@@ -75,12 +75,12 @@ def resync(store: Store, entries: Sequence[Entry], chain_id: int, lo: int, hi: i
     return decode_ranges(store, entries, [(chain_id, lo, hi)], batch_id, mode)
 
 
-def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks: DataFrame, receipts: DataFrame | None = None) -> int:
+def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks: DataFrame, receipts: DataFrame | None = None, concurrency: int | None = None) -> int:
     """Lands what of the spans (chain_id, next, target) the store does not cover, from payload lines (chain_id, value); returns the ranges landed.
 
     Gaps that outages left, ranges that a rollback took away and what is new at
     the end are alike: uncovered. They are cut into ranges of ``step`` and landed in one pass
-    over the payloads. A job that runs again goes on where the log says.
+    over the payloads, or, with ``concurrency``, so many of each chain at a time. A job that runs again goes on where the log says.
 
     Payloads may hold blocks that the chain has not kept. Of logs that were
     removed later nothing is landed; of competing blocks the branch that headers
@@ -89,6 +89,9 @@ def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks
     """
     commits = store.commits()
     open_ = uncovered(clip_ranges(commits), spans).select("chain_id", F.col("lo").alias("next"), F.col("hi").alias("target"))
+    if concurrency is not None:
+        first = F.min("next").over(Window.partitionBy("chain_id"))
+        open_ = open_.withColumn("target", ranges.fetch_target(F.col("target"), first, step, concurrency, F.lit(True))).where("next <= target")
     todo = [tuple(r) for r in ranges.plan_ranges(open_, step).orderBy("chain_id", "lo").collect()]  # a row a range
     if not todo:
         return 0

@@ -442,3 +442,31 @@ def test_pipeline_ends_with_token_ids(spark, sf_dir):
     assert sorted({r["doc_id"] for r in rows}, key=str) == [1, 2, 3, None]
     assert all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
     assert last(spark, documents(spark, []), sf_dir).count() == 0
+
+
+def test_pipeline_keeps_what_plain_python_keeps(spark, sf_dir):
+    """The five stages on 200 documents, step by step in plain Python: the documents that end up in sequences."""
+    import corpus_pipeline
+
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    scorer = language_id.Scorer(language_id.train(docs))
+
+    def is_language(text):
+        lang, score = scorer.predict(text)
+        return lang != "und" and (score >= language_id.LEAST_SCORE or len(language_id.words_of(text)) < language_id.LEAST_WORDS)
+
+    rows = [(d, t) for d, t in rows if is_language(t)]
+    last = {}
+    for d, t in sorted(rows):
+        last["".join(c.lower() if "A" <= c <= "Z" else c for c in t)] = d
+    rows = [(d, t) for d, t in rows if d in set(last.values())]
+    groups = brute_components(rows, 80, 5)
+    rows = [(d, t) for d, t in rows if groups[d][1] == d]
+    # Items in ASCII only, so words are those of the brute force; the others' documents are left to the operator's own tests.
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    plain = [(d, t) for d, t in rows if t.isascii()]
+    dirty = {d for d, _ in brute_contaminated(plain, [i for i in items if i[1].isascii()])}
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()}
+    assert {d for d, _ in plain} - dirty == kept & {d for d, _ in plain} and len(kept) > 50
+    assert kept <= {d for d, _ in rows} and len(dirty) > 0

@@ -247,7 +247,7 @@ def test_pending_heights_wait_for_the_head(spark, tmp_path):
 
 def test_layout_prunes_buckets(spark, tmp_path):
     evolve.lay_out(logs(spark, 1, range(0, 100, 3)), f"{tmp_path}/laid", 10, ["value"])
-    rows = evolve.in_bucket(spark.read.parquet(f"{tmp_path}/laid"), 10, 25, 44)
+    rows = spark.read.parquet(f"{tmp_path}/laid").where(evolve.bucket_filter(10, 25, 44))
     assert sorted(r["height"] for r in rows.collect()) == [27, 30, 33, 36, 39, 42]
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(hb" in plan and "GreaterThanOrEqual(height,25)" in plan

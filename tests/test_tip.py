@@ -275,3 +275,28 @@ def test_upkeep_compacts_and_clears(spark, tmp_path):
         held.put_typed("t", row(h), f"b{h}", 1, h, h)
     assert held.maintain(3, 0) == [("t", 1)] and held.maintain(3, 0) == []
     assert len(held.files.glob(f"{held.root}/t/*/*/write_id=*")) == 1 and sorted(r["value"] for r in held.read("t").collect()) == [0, 1, 2, 3]
+
+
+def test_a_checkpoint_drops_what_shows_nothing(spark, tmp_path):
+    """Writes that were replaced, compacted or rolled back leave the log, and the tables read as before."""
+    schema = "chain_id long, height long, idx long, block_hash binary, tx_id binary, value long"
+    rows = lambda heights, value: spark.createDataFrame([(1, h, 0, bytearray(b"h"), bytearray(b"t"), value) for h in heights], schema)
+    held = Store(spark, f"file://{tmp_path}/s", bucket=10)
+    for k in range(3):  # each takes the place of the one before
+        held.put_tables(f"r{k}", [(1, 0, 9)], {"t": (rows([1, 5], k), None)}, "replace")
+    held.put_tables("d", [(1, 20, 29)], {"t": (rows([25], 7), None)})
+    held.rollback("back", 1, 20)
+    held.put_tables("e", [(1, 20, 29)], {"t": (rows([26], 8), None)})
+    for k in range(2):
+        held.put_tables(f"u{k}", [(1, k, k)], {"u": (rows([k], k), None)})
+    held.compact("u", 1, "packed")
+    read = lambda store: {t: sorted((r["height"], r["value"]) for r in store.read(t).collect()) for t in ("t", "u")}
+    wanted, before = read(held), held.commits().count()
+    assert wanted == {"t": [(1, 2), (5, 2), (26, 8)], "u": [(0, 0), (1, 1)]}
+    held.log.pack()
+    again = Store(spark, held.root, bucket=10)
+    assert read(again) == wanted and again.commits().count() < before - 6
+    names = {r["batch_id"] for r in again.commits().where("table = 't' AND kind <> 'schema'").collect()}
+    assert names == {"r2", "e"}
+    again.put_tables("r3", [(1, 0, 9)], {"t": (rows([2], 9), None)}, "replace")
+    assert read(again)["t"] == [(2, 9), (26, 8)]
