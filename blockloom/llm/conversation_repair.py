@@ -8,21 +8,24 @@ are taken whose letters (D, I, K, R for delete, insert, keep, rerole) come
 first in ASCII order.
 
 Every weight is one whole number of any size: its high digits are the cost, its
-low digits (``_BITS`` bits each, at fixed places for the most letters that
-cheapest edits can have) are the letters from the left, with zeros after the
-end. A graph without cycles has a node for each place between rows and each
+low digits (``_BITS`` bits each, at fixed places) are the letters from the left,
+with zeros after the end. A graph without cycles has a node for each place between rows and each
 state of the roles so far (nothing, system, user, assistant); from the end
 backwards a node's weight is the smallest over its edges, where an edge adds its
 cost and sets its letter before those that follow. The smallest number is the
 cheapest and, among these, the first in order: nothing else is compared, and the
-letters are read off it.
+letters are read off it. Rows are taken ``_LAYERS`` at a time, so that numbers
+stay short: letters with which all four states end alike, at the same places,
+are put aside. Two weights of one node can only differ in length by inserts, and
+where the letters of one begin those of the other, what is longer goes on with
+inserts; so the ``_GUARD`` letters that stay of the common end decide as the
+whole would, and time grows with the rows.
 
 Spark brings a conversation's rows into one task in order, and the task reads
 them as they come: first codes (a byte a row) for the decisions, then, behind
 the decisions, the texts for the repaired rows. No task holds the texts of a
 conversation; it holds its codes, which are as long as the letters that are
-written in its row of the result. Time grows with the square of a conversation's
-rows where these are very many (see the README).
+written in its row of the result.
 
 Rules. Null conv_id is a conversation of its own. A null role or text counts as
 one space; so does a null turn or conv_id in the hash that deals damage. A
@@ -34,6 +37,7 @@ duplicates. Other columns are not read. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 from functools import lru_cache, partial
@@ -51,6 +55,8 @@ BLANK, DUPLICATE, TRUNCATED = 1, 2, 3
 _INITIALS, _MUST_GO, _CUT_OFF, _DROPPED = "sua", 4, 8, 255
 #: Digits of the letters; zero is the end.
 _BITS, _LETTERS = 3, "\0DIKR"
+#: Rows whose weights are whole numbers together, and letters of a common end that stay with them: more than inserts can follow each other.
+_LAYERS, _GUARD = 64, 8
 #: States of the roles so far, and what each role may follow.
 _NOTHING, _SYSTEM, _USER, _ASSISTANT = range(4)
 _AFTER = {"s": {_NOTHING: _SYSTEM}, "u": {_NOTHING: _USER, _SYSTEM: _USER, _ASSISTANT: _USER}, "a": {_USER: _ASSISTANT}}
@@ -71,43 +77,78 @@ class Costs:
             raise ValueError(f"not costs of edits: {self}")
 
 
-@lru_cache(maxsize=4096)
-def cheapest(codes: bytes, costs: Costs = Costs()) -> tuple[int, str]:
-    """Cost and letters of the cheapest edits of a conversation, of equal ones the first."""
+def _digits(letters: str, places: int) -> int:
+    """Letters as digits from the left."""
+    n = 0
+    for letter in letters:
+        n = n << _BITS | _LETTERS.index(letter)
+    return n << _BITS * (places - len(letters))
+
+
+def _letters(digits: int, places: int) -> str:
+    found = (digits >> _BITS * (places - 1 - k) & ((1 << _BITS) - 1) for k in range(places))
+    return "".join(_LETTERS[d] for d in found if d)
+
+
+def _layers(codes: bytes, w: list[tuple[int, str]], costs: Costs, at_end: bool) -> list[tuple[int, str]]:
+    """Cost and letters of each state before some rows, from those behind them: the minimum of whole numbers for every node."""
     rerole, delete, insert, truncated = astuple(costs)
-    # Deleting all rows costs this much, so cheapest edits insert no more than that pays for.
-    places = len(codes) + delete * len(codes) // insert + 1
+    # Of each row one letter, and of two inserts before it.
+    places = max(len(letters) for _, letters in w) + 3 * len(codes) + 3
     low = _BITS * places
     ones, unit, first = (1 << low) - 1, 1 << low, low - _BITS
     edge = {letter: (_LETTERS.index(letter) << first) for letter in "DIKR"}
-    never = (delete * len(codes) + 4 * insert + rerole + truncated + 1) * unit
+    more = insert * unit + edge["I"]
 
-    def behind(w: int) -> int:
+    def behind(x: int) -> int:
         """A weight whose letters have moved one place on."""
-        return (w & ~ones) | ((w & ones) >> _BITS)
+        return (x & ~ones) | ((x & ones) >> _BITS)
 
-    def inserted(w: list[int]) -> list[int]:
-        more, (n, s, u, a) = insert * unit + edge["I"], w
+    def inserted(x: list[int]) -> list[int]:
+        n, s, u, a = x
         u_end = min(u, behind(a) + more)  # user, then an inserted assistant
-        a = min(a, behind(u) + more)
-        return [min(n, behind(u_end) + more), min(s, behind(u_end) + more), u_end, a]
+        return [min(n, behind(u_end) + more), min(s, behind(u_end) + more), u_end, min(a, behind(u) + more)]
 
-    w = inserted([0, never, never, 0])
+    now = [cost << low | _digits(letters, places) for cost, letters in w]
+    now = inserted(now) if at_end else now
     for code in reversed(codes):
-        then = [behind(x) for x in w]
+        then = [behind(x) for x in now]
         here = [x + delete * unit + edge["D"] for x in then]
         if not code & _MUST_GO:
             extra = truncated * unit if code & _CUT_OFF else 0
             moves = [(role, edge["R"] + rerole * unit + extra) for role in "ua"]
             if code & 3 < 3:
                 moves.append((_INITIALS[code & 3], edge["K"] + extra))
-            for role, more in moves:
+            for role, weight in moves:
                 for state, follows in _AFTER[role].items():
-                    here[state] = min(here[state], then[follows] + more)
-        w = inserted(here)
-    best = w[_NOTHING]
-    digits = ((best & ones) >> (low - _BITS * (k + 1)) & ((1 << _BITS) - 1) for k in range(places))
-    return best >> low, "".join(_LETTERS[d] for d in digits if d)
+                    here[state] = min(here[state], then[follows] + weight)
+        now = inserted(here)
+    return [(x >> low, _letters(x & ones, places)) for x in now]
+
+
+def cheapest(codes: bytes, costs: Costs = Costs()) -> tuple[int, str]:
+    """Cost and letters of the cheapest edits of a conversation, of equal ones the first."""
+    return _short(codes, costs) if len(codes) <= _LAYERS else _long(codes, costs)
+
+
+@lru_cache(maxsize=4096)
+def _short(codes: bytes, costs: Costs) -> tuple[int, str]:
+    return _long(codes, costs)
+
+
+def _long(codes: bytes, costs: Costs) -> tuple[int, str]:
+    rerole, delete, insert, truncated = astuple(costs)
+    never = delete * len(codes) + 4 * insert + rerole + truncated + 1  # more than deleting all rows
+    w, ends = [(0, ""), (never, ""), (never, ""), (0, "")], []
+    for hi in range(len(codes), -1, -_LAYERS):
+        w = _layers(codes[max(0, hi - _LAYERS) : hi], w, costs, hi == len(codes))
+        heads = [letters for _, letters in w]
+        if len({len(h) for h in heads}) == 1:
+            same = len(os.path.commonprefix([h[::-1] for h in heads])) - _GUARD
+            if same > 0:
+                ends.append(heads[0][-same:])
+                w = [(cost, h[:-same]) for cost, h in w]
+    return w[_NOTHING][0], w[_NOTHING][1] + "".join(reversed(ends))
 
 
 def _said(c: str) -> Column:

@@ -32,8 +32,8 @@ from .skew import free_name, lookup
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Buckets of an index at least, and digests that one of them is to hold; one is one task of the anti-join.
 BUCKETS, BUCKET_ROWS = 32, 4_000_000
-#: Files of a bucket beyond which the index is merged. Each ingest adds one to a bucket, and a bucket of several is sorted again when it is read.
-MOST_FILES = 8
+#: Ingests after which the index is merged. Each adds a file to a bucket, and a bucket of several is sorted again when it is read.
+MOST_WRITES = 8
 #: Ingests that a whole table is put in, by falling doc_id.
 INGESTS = 2
 
@@ -92,9 +92,9 @@ class DigestIndex:
         """Entries whose digest the index lacks: a sort-merge anti-join for which the index is not shuffled."""
         return entries.repartition(self.buckets, "digest").hint("merge").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def files(self) -> int:
-        """Files that the index has."""
-        return len(self.read().inputFiles())
+    def writes(self) -> int:
+        """Jobs that have written the index's files: each has left a file or more in a bucket."""
+        return len({m[1] for f in self.read().inputFiles() if (m := re.search(r"/part-\d+-([0-9a-f-]{36})", f))})
 
     def merge(self) -> None:
         """Rewrites the index with one file a bucket, as it is after its first ingest: then Spark knows that each bucket is sorted and does not sort it again.
@@ -123,7 +123,7 @@ class DigestIndex:
             new = scratch.keep(self.unseen(entries), "new")
         self.append(new)
         scratch.close()
-        if self.files() > MOST_FILES * self.buckets:
+        if self.writes() > MOST_WRITES:
             self.merge()
 
     def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:

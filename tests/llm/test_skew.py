@@ -35,12 +35,12 @@ def test_index_is_merged_and_stays_sorted(spark):
     index = exact_dedup.DigestIndex(spark, "merged_index", 2)
     try:
         seen = set()
-        for n in range(exact_dedup.MOST_FILES + 2):
+        for n in range(exact_dedup.MOST_WRITES + 2):
             texts = [prose(rng, 2)[:12] for _ in range(20)]
             rows = index.ingest(documents(spark, [(100 * n + k, t, None) for k, t in enumerate(texts)]), f"b{n}").collect()
             assert sum(r["kept"] for r in rows) == len({t.lower() for t in texts} - seen)
             seen |= {t.lower() for t in texts}
-        assert index.files() <= 2 * 2 and index.read().count() == len(seen)
+        assert index.writes() <= 2 and index.read().count() == len(seen)
         entries = spark.createDataFrame([(bytearray(b"x"),)], "digest binary")
         index.merge()
         plan = index.unseen(entries)._jdf.queryExecution().executedPlan().toString()
