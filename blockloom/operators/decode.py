@@ -1,20 +1,22 @@
 """Routing and decoding of raw logs and calldata by the catalog, as generated column expressions.
 
 A log is routed on its first topic by a broadcast join to the catalog and each
-entry's words become typed columns by ``substring``, arrays and tuples by
-lambdas over their offsets; nothing leaves the JVM. Logs that do not fit their
-entry go to quarantine, or fail the job with ``on_error="fail"``.
+entry's words become typed columns by ``substring``; nothing leaves the JVM but
+nested arrays and tuples, which ``nested`` renders as JSON a batch at a time.
+Logs that do not fit their entry go to quarantine, or fail the job with
+``on_error="fail"``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Entry, Param
 from ..functions import words as w
+from .nested import head_words, json_udf
 
 RAW = "chain_id long, height long, idx long, block_hash binary, address binary, selectors array<binary>, data binary, tx_id binary, tx_index long, inner_index long"
 
@@ -102,84 +104,6 @@ def payload(data: Column, head: int) -> tuple[Column, Column]:
     return _cut(data, at + 32, size), F.coalesce(whole, F.lit(False))
 
 
-def head_words(p: Param) -> int:
-    """Words that a parameter takes in the head."""
-    if p.type.startswith("(") or p.type.endswith("]") and not p.type.endswith("[]"):
-        if is_dynamic(p):
-            return 1
-        if p.type.endswith("]"):
-            n = int(p.type[p.type.rindex("[") + 1 : -1])
-            return n * head_words(Param("", p.type[: p.type.rindex("[")], components=p.components))
-        return sum(head_words(c) for c in p.components)
-    return 1
-
-
-def is_dynamic(p: Param) -> bool:
-    if p.type.endswith("]"):
-        return p.type.endswith("[]") or is_dynamic(Param("", p.type[: p.type.rindex("[")], components=p.components))
-    if p.type.startswith("("):
-        return any(is_dynamic(c) for c in p.components)
-    return p.type in ("string", "bytes")
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _listed(texts: Column, n: Column) -> Column:
-    """JSON of ``n`` rendered values, null if one of them is."""
-    return _let(texts, lambda t: F.when(n == 0, "[]").when(~F.exists(t, lambda x: x.isNull()), F.concat(F.lit("["), F.array_join(t, ","), F.lit("]"))))
-
-
-def nested_json(data: Column, p: Param, at: Column) -> Column:
-    """A value at a place of data as JSON text, null where data is cut short; tuples are lists.
-
-    One expression for the whole type: a lambda over the elements for each array, which reads words by their offsets.
-    """
-    word = lambda k: _cut(data, k, 32)
-    have = F.octet_length(data)
-
-    def child(kind: Param, place: Column, start: Column) -> Column:
-        if is_dynamic(kind):
-            return _let(start + _small(word(place)), lambda k: nested_json(data, kind, k))
-        return nested_json(data, kind, place)
-
-    if p.type.endswith("]"):
-        inner, held = Param("", p.type[: p.type.rindex("[")], components=p.components), p.type[p.type.rindex("[") + 1 : -1]
-        size = 32 * head_words(inner)
-
-        def elements(n: Column, start: Column) -> Column:
-            fits = (n <= have) & (n * 32 <= have if size else F.lit(True))
-            # sequence(0, -1) counts down, so an empty array is a case of its own.
-            each = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda k: _let(start + k * size, lambda place: child(inner, place, start)))
-            return F.when(fits, _listed(F.when(n > 0, each), n))
-
-        if held:
-            return _let(at, lambda start: elements(F.lit(int(held)).cast("bigint"), start))
-        return _let(at, lambda k: _let(_small(word(k)), lambda n: _let(k + 32, lambda start: elements(n, start))))
-    if p.type.startswith("("):
-        places = [32 * sum(map(head_words, p.components[:k])) for k in range(len(p.components))]
-        if not places:
-            return F.lit("[]")
-        return _let(at, lambda start: _listed(F.array(*(child(c, start + k, start) for c, k in zip(p.components, places, strict=True))), F.lit(len(places))))
-    if p.type in ("string", "bytes"):
-
-        def body(k: Column, n: Column) -> Column:
-            held = _cut(data, k + 32, n)
-            text = F.make_valid_utf8(held.cast("string")) if p.type == "string" else w.hex_encode(held)
-            return F.when((F.octet_length(word(k)) == 32) & (k + 32 + n <= have), _quoted(text))
-
-        return _let(at, lambda k: _let(_small(word(k)), lambda n: body(k, n)))
-    value = _let(word(at), lambda x: F.when(F.octet_length(x) == 32, text_value(x, p.type).cast("string")))
-    return value if p.type == "bool" else F.concat(F.lit('"'), value, F.lit('"'))
-
-
-def _quoted(text: Column) -> Column:
-    """A JSON string."""
-    return _let(F.to_json(F.array(text)), lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))
-
-
 def array_value(data: Column, p: Param, head: int) -> tuple[Column, Column]:
     """JSON text of a one-level array of static elements, and whether it is all there."""
     kind, _, held = p.type[:-1].rpartition("[")
@@ -220,8 +144,7 @@ def columns_of(entry: Entry, data: Column, topics: Column | None) -> tuple[list[
             fits &= whole
             head += head_words(p)
         elif p.logical == "json":
-            start = _small(w.word_at(data, head)) if is_dynamic(p) else F.lit(32 * head).cast("bigint")
-            value = nested_json(data, p, start)
+            value = json_udf(p, head)(data)
             fits &= value.isNotNull()
             head += head_words(p)
         else:
@@ -266,7 +189,9 @@ def decode_all(logs: DataFrame, entries: Sequence[Entry]) -> DataFrame:
     for params, name in named.items():
         mine = F.col("layout") == name
         entry = next(e for e in entries if e.params == params and e.kind == "event")
-        columns, fits = columns_of(entry, F.col("data"), F.col("selectors"))
+        # A Python function is called for every row, so it gets no bytes of other layouts.
+        data = F.when(mine, F.col("data")) if any(p.logical == "json" for p in params) else F.col("data")
+        columns, fits = columns_of(entry, data, F.col("selectors"))
         why = F.when(F.size("selectors") != 1 + sum(p.indexed for p in params), "topic count").otherwise("data")
         reason = F.when(mine, F.when(~fits, why)).otherwise(reason)
         if columns:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockloom.catalog import read_abi
 from blockloom.functions import words as w
-from blockloom.operators import decode
+from blockloom.operators import decode, nested
 
 TRANSFER = read_abi([{"type": "event", "name": "Transfer", "inputs": [{"name": "from", "type": "address", "indexed": True}, {"name": "to", "type": "address", "indexed": True}, {"name": "value", "type": "uint256"}]}], "token")[0]
 
@@ -77,15 +77,15 @@ def brute_json(data, at, p):
     def sequence(kinds, start):
         out, k = [], start
         for c in kinds:
-            out.append(brute_json(data, start + int.from_bytes(word(k)) if decode.is_dynamic(c) else k, c))
-            k += 32 * decode.head_words(c)
+            out.append(brute_json(data, start + int.from_bytes(word(k)) if nested.is_dynamic(c) else k, c))
+            k += 32 * nested.head_words(c)
         return out
 
     if p.type.endswith("]"):
         inner = decode.Param("", p.type[: p.type.rindex("[")], components=p.components)
         held = p.type[p.type.rindex("[") + 1 : -1]
         n = int(held) if held else int.from_bytes(word(at))
-        if n > len(data) or n * 32 > len(data) and decode.head_words(inner):
+        if n > len(data) or n * 32 > len(data) and nested.head_words(inner):
             raise ValueError("out of data")
         return sequence([inner] * n, at if held else at + 32)
     if p.type.startswith("("):
@@ -135,15 +135,15 @@ def abi_encode(p, rng):
 
 def abi_sequence(kinds, rng):
     held = [abi_encode(k, rng) for k in kinds]
-    at, head = 32 * sum(decode.head_words(k) for k in kinds), b""
+    at, head = 32 * sum(nested.head_words(k) for k in kinds), b""
     for k, body in zip(kinds, held, strict=True):
-        head += word(at) if decode.is_dynamic(k) else body
-        at += len(body) if decode.is_dynamic(k) else 0
-    return head + b"".join(body for k, body in zip(kinds, held, strict=True) if decode.is_dynamic(k))
+        head += word(at) if nested.is_dynamic(k) else body
+        at += len(body) if nested.is_dynamic(k) else 0
+    return head + b"".join(body for k, body in zip(kinds, held, strict=True) if nested.is_dynamic(k))
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_nested_values_are_those_of_plain_python(spark, seed):
+def test_nested_values_are_those_of_plain_python(spark, seed, monkeypatch):
     """Random types and values, whole, cut short, and with words that point elsewhere."""
     rng = random.Random(seed)
     while True:
@@ -160,14 +160,16 @@ def test_nested_values_are_those_of_plain_python(spark, seed):
             data[k : k + 32] = word(rng.choice([0, 1, 2, 32, 64, 1 << 31, 1 << 200, rng.randint(0, 400)]))
         rows.append(bytes(data))
     frame = spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(rows)], "k long, data binary")
-    start = decode._small(w.word_at(F.col("data"), 1)) if decode.is_dynamic(p) else F.lit(32).cast("bigint")
-    found = {r["k"]: r["v"] for r in frame.select("k", decode.nested_json(F.col("data"), p, start).alias("v")).collect()}
+    found = {r["k"]: r["v"] for r in frame.select("k", nested.json_udf(p, 1)(F.col("data")).alias("v")).collect()}
+    # The same in parts, beside rows without data.
+    monkeypatch.setattr(nested, "MOST_VALUES", 400)
+    assert nested.decode_rows([None, *rows, None], p, 1) == [None, *(found[k] for k in range(len(rows))), None]
     good = 0
     for k, data in enumerate(rows):
         try:
             if len(data) < 64:
                 raise ValueError
-            wanted = brute_json(data, int.from_bytes(data[32:64]) if decode.is_dynamic(p) else 32, p)
+            wanted = brute_json(data, int.from_bytes(data[32:64]) if nested.is_dynamic(p) else 32, p)
         except (ValueError, OverflowError):
             assert found[k] is None, (p.type, data.hex())
             continue
