@@ -444,11 +444,18 @@ def test_pipeline_ends_with_token_ids(spark, sf_dir):
     assert last(spark, documents(spark, []), sf_dir).count() == 0
 
 
-def test_pipeline_keeps_what_plain_python_keeps(spark, sf_dir):
-    """The five stages on 200 documents, step by step in plain Python: the documents that end up in sequences."""
+def test_pipeline_keeps_what_plain_python_keeps(spark, sf_dir, tmp_path):
+    """The five stages on 200 documents and some with benchmark passages, step by step in plain Python: the documents that end up in sequences."""
     import corpus_pipeline
 
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    english = [r["text"] for r in docs.where("lang = 'en' AND n_chars BETWEEN 200 AND 2000").orderBy("doc_id").limit(6).collect()]
+    passages = [r["text"] for r in bench.orderBy("item_id").collect() if r["text"].isascii() and len(r["text"].split()) > 20][:6]
+    planted = [(10**6 + k, f"{a[:150]} {p} {a[150:].replace('th', 'dr')}", "en", "planted", None) for k, (a, p) in enumerate(zip(english, passages, strict=False))]
+    docs.select("doc_id", "text", "lang", "source", "n_chars").union(documents(spark, [(d, t, lang) for d, t, lang, *_ in planted])).write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf_dir = str(tmp_path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
     scorer = language_id.Scorer(language_id.train(docs))
 
