@@ -123,8 +123,6 @@ class DigestIndex:
             new = scratch.keep(self.unseen(entries), "new")
         self.append(new)
         scratch.close()
-        if self.writes() > MOST_WRITES:
-            self.merge()
 
     def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Adds the digests of ``docs`` that are new.
@@ -136,6 +134,8 @@ class DigestIndex:
         batch = batch or uuid.uuid4().hex
         rows = digests(docs)
         self.add(rows, batch)
+        if self.writes() > MOST_WRITES:
+            self.merge()
         return self.judge(rows, F.col("batch") == batch)
 
     def judge(self, rows: DataFrame, mine: Column) -> DataFrame:
