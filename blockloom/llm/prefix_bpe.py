@@ -9,6 +9,12 @@ plain merging cannot do: bytes are appended by going on with the table
 (``PieceTable.extend``), and after an edit only the pieces around it are
 encoded again, from the first byte that differs (``EditedText``).
 
+The new pieces of a batch are encoded together: their tables grow side by side,
+a byte of all of them at a time, in numpy. Whether two tokens stay apart is
+read there from how they are made: their last merges are undone one by one,
+latest first, and a token across the border that would have come before is
+looked for (``Pairs``).
+
 A piece is a match of the split pattern; a piece that is a token is that
 token. Letters and digits are those of the tiktoken library's own tables: for
 characters that Python's ``regex`` knows from a later Unicode version, a
@@ -42,6 +48,10 @@ from .workers import keep
 
 #: Pairs of tokens of which a worker remembers whether they stay apart, and words and pieces of which it remembers the ids: about 150 MB together.
 PAIRS, WORDS, PIECES = 300_000, 500_000, 50_000
+#: Pairs whose answers a worker keeps by their place in a table of fixed size, 8 bytes each; a power of two.
+CACHE = 1 << 20
+#: Pieces that are worth a step of all tables side by side; longer ones than so many have are encoded alone.
+FEW = 16
 #: Characters beyond its end that a match of the pattern may have looked at.
 LOOK = 3
 #: Rows of an Arrow batch that are encoded together.
@@ -92,6 +102,140 @@ class Vocabulary:
             raise ValueError(f"not an id of the vocabulary: {bad}") from bad
 
 
+class Lookup:
+    """Values of 64-bit keys that are not negative, found for whole arrays."""
+
+    def __init__(self, most: int):
+        bits = most.bit_length() + 2
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once."""
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at] == keys
+            self.values[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], at[~placed] + 1 & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values; -1 where there is none."""
+        at = self._slots(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        far = np.flatnonzero((held != keys) & (held >= 0))
+        while len(far):
+            at = (at if len(at) == len(far) else at[far]) + 1 & self.mask
+            wanted, held = keys[far], self.keys[at]
+            hit = held == wanted
+            out[far[hit]] = self.values[at[hit]]
+            on = (held >= 0) & ~hit
+            far, at = far[on], at[on]
+        return out
+
+
+class Pairs:
+    """``Vocabulary.apart`` for arrays of tokens, which are numbered by rank here.
+
+    A token that is its own encoding is made by one last merge of two others.
+    Where each is of a higher rank than the two, merges come in the order of
+    ranks, so the states of two neighbours are those that undoing the later
+    last merge gives, again and again. They stay apart if in none of the states
+    the parts at the border make a token that would have come before the merge
+    that was undone. Where a file breaks that order (``ordered``), pairs are
+    merged as they are.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = v = vocabulary
+        self.ids = np.array(sorted(v.bytes), np.int64)
+        tokens = [v.bytes[r] for r in self.ids.tolist()]
+        number = {t: k for k, t in enumerate(tokens)}
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.own = self.size == 1
+        #: By token: its rank among all, -1 for single bytes; the two that it is made of.
+        self.made = np.where(self.own, -1, np.arange(len(tokens)))
+        self.head, self.tail = np.full((2, len(tokens)), -1, np.int64)
+        self.merged, self.ordered = Lookup(len(tokens)), True
+        self.cache = np.full(CACHE, -1, np.int64)
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for k, t in enumerate(tokens):
+            for cut in range(1, len(t)):
+                if (x := number.get(t[:cut])) is not None and (y := number.get(t[cut:])) is not None:
+                    by_size.setdefault(len(t), []).append((x, y, k))
+        for n in sorted(by_size):
+            x, y, k = np.array(by_size[n], np.int64).T
+            # The two parts themselves make k, which is not among the merged yet.
+            fit = self._undo(x, y)
+            x, y, k = x[fit], y[fit], k[fit]
+            self.ordered = self.ordered and bool((np.maximum(self.made[x], self.made[y]) < k).all())
+            self.own[k], self.head[k], self.tail[k] = True, x, y
+            self.merged.add(x * len(tokens) + y, k)
+            if not self.ordered:
+                break
+        self._tree(tokens)
+
+    def _tree(self, tokens: list[bytes]) -> None:
+        """Nodes by (node, byte), for tokens from their last byte on; ``token`` has the token that a node ends, or -1."""
+        flat, ends = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.size)
+        node, rest, nodes, steps = np.zeros(len(tokens), np.int64), np.arange(len(tokens)), 1, []
+        ended = []
+        for depth in range(int(self.size.max())):
+            keys, place = np.unique(node[rest] << 8 | flat[ends[rest] - 1 - depth], return_inverse=True)
+            steps.append((keys, np.arange(nodes, nodes + len(keys))))
+            node[rest] = nodes + place
+            nodes += len(keys)
+            last = self.size[rest] == depth + 1
+            ended.append(rest[last])
+            rest = rest[~last]
+        self.steps, self.token = Lookup(nodes), np.full(nodes, -1, np.int64)
+        for keys, to in steps:
+            self.steps.add(keys, to)
+        held = np.concatenate(ended)
+        self.token[node[held]] = held
+
+    def _undo(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = self.own[left] & self.own[right]
+        live = np.flatnonzero(out)
+        a, b, before = left[live], right[live], np.full(len(live), len(self.ids) + 1)
+        while len(live):
+            across = self.merged.get(a * len(self.ids) + b)
+            crossed = (across >= 0) & (across < before)
+            out[live[crossed]] = False
+            on = ~crossed & (np.maximum(self.made[a], self.made[b]) >= 0)
+            live, a, b = live[on], a[on], b[on]
+            later = self.made[a] > self.made[b]
+            # Of equal merges the leftmost comes first, so one at the border comes before the right token's, not before the left one's.
+            before = np.where(later, a, b + 1)
+            a, b = np.where(later, self.tail[a], a), np.where(later, b, self.head[b])
+        return out
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not self.ordered:
+            v, ids = self.vocabulary, self.ids
+            return np.array([v.apart(x, y) for x, y in zip(ids[left].tolist(), ids[right].tolist(), strict=True)], bool)
+        keys = left * len(self.ids) + right
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).view(np.int64) & CACHE - 1
+        held = self.cache[at]
+        out = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != keys)
+        if len(new):
+            out[new] = self._undo(left[new], right[new])
+            self.cache[at[new]] = keys[new] << 1 | out[new]
+        return out
+
+    def begins(self, right: np.ndarray) -> np.ndarray:
+        """Whether tokens are their own encodings."""
+        if not self.ordered:
+            return np.array([self.vocabulary.apart(-1, x) for x in self.ids[right].tolist()], bool)
+        return self.own[right]
+
+
 class PieceTable:
     """A piece's bytes and the last token of each of its prefixes."""
 
@@ -146,6 +290,74 @@ def encode_piece(vocabulary: Vocabulary, data: bytes) -> list[int]:
     return [whole] if whole is not None else PieceTable(vocabulary, data).ids()
 
 
+def _side_by_side(pairs: Pairs, pieces: list[bytes]) -> list[bytes]:
+    """Ids of pieces that are sorted by length, the longest first: the last tokens of all prefixes of one length are found together."""
+    size = np.array([len(p) for p in pieces])
+    # Pieces that have a byte at a place are the first ones, so what belongs to a place stands together.
+    having = len(pieces) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
+    begin = np.concatenate(([0], np.cumsum(having)))
+    flat, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+    data = [flat[starts[:n] + k].astype(np.int64) for k, n in enumerate(having.tolist())]
+    last = np.empty(begin[-1], np.int64)
+    for end in range(1, len(data) + 1):
+        node, rows, found = 0, np.arange(having[end - 1]), []
+        for start in range(end - 1, -1, -1):
+            node = pairs.steps.get(node << 8 | data[start][rows])
+            on = node >= 0
+            if not on.all():
+                node, rows = node[on], rows[on]
+            if not len(rows):
+                break
+            token = pairs.token[node]
+            is_token = token >= 0
+            found.append((start, rows[is_token], token[is_token]))
+            node = node.astype(np.int64)
+        here = last[begin[end - 1] : begin[end]]
+        here[:] = -1
+        for start, at, token in reversed(found):
+            open_ = here[at] < 0
+            at, token = at[open_], token[open_]
+            if len(at):
+                fits = pairs.apart(last[begin[start - 1] + at], token) if start else pairs.begins(token)
+                here[at[fits]] = token[fits]
+        if (here < 0).any():
+            raise LookupError(f"no token ends the prefix of {end} bytes")
+    rows, left, back = np.arange(len(pieces)), size.copy(), []
+    many = np.zeros(len(pieces), np.int64)
+    while len(rows):
+        token = last[begin[left - 1] + rows]
+        back.append((rows, token))
+        many[rows] += 1
+        left = left - pairs.size[token]
+        rows, left = rows[left > 0], left[left > 0]
+    ends = np.cumsum(many)
+    ids = np.empty(ends[-1], np.int64)
+    for k, (rows, token) in enumerate(back):
+        ids[ends[rows] - 1 - k] = token
+    held = pairs.ids[ids].astype("<u4").tobytes()
+    return [held[4 * b - 4 * n : 4 * b] for b, n in zip(ends.tolist(), many.tolist(), strict=True)]
+
+
+def encode_pieces(pairs: Pairs, pieces: list[bytes]) -> list[bytes]:
+    """Each piece's ids as little-endian unsigned 32-bit integers."""
+    v, out, rest = pairs.vocabulary, [b""] * len(pieces), []
+    for k, data in enumerate(pieces):
+        if (whole := v.rank.get(data)) is not None:
+            out[k] = whole.to_bytes(4, "little")
+        elif data:
+            rest.append(k)
+    rest.sort(key=lambda k: -len(pieces[k]))
+    # The longest, of which there are few of a length, are encoded alone.
+    most = len(pieces[rest[FEW]]) if len(rest) > FEW else 0
+    alone = next((n for n, k in enumerate(rest) if len(pieces[k]) <= most), len(rest))
+    for k in rest[:alone]:
+        out[k] = np.array(PieceTable(v, pieces[k]).ids(), "<u4").tobytes()
+    if rest[alone:]:
+        for k, ids in zip(rest[alone:], _side_by_side(pairs, [pieces[k] for k in rest[alone:]]), strict=True):
+            out[k] = ids
+    return out
+
+
 def _later_characters() -> dict[int, int]:
     """Letters and digits of ``regex`` that the tiktoken library takes for something else, and a stand-in of the same class.
 
@@ -184,7 +396,13 @@ class Splitter:
 
     def shown(self, text: str) -> str:
         """The text that is split: of the same length, with stand-ins for later characters."""
-        return text if text.isascii() else text.translate(self._later)
+        if text.isascii():
+            return text
+        try:  # these hold none of them, and are told from others faster than they are translated
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.translate(self._later)
+        return text
 
     def split(self, text: str) -> list[str]:
         shown = self.shown(text)
@@ -206,6 +424,7 @@ class TextEncoder(Encoder):
 
     def __init__(self, path: str, pattern: str, remember: int = WORDS):
         self.vocabulary, self.splitter = Vocabulary(path), Splitter(pattern)
+        self.pairs = Pairs(self.vocabulary)
         self.special, self.sign, self.remember, self.words = [], None, remember, {}
         self.pieces: dict[str, bytes] = {}
         self.mark, self.mark_id = "\n", self.vocabulary.rank[b"\n"]
@@ -214,15 +433,15 @@ class TextEncoder(Encoder):
 
     def _encode(self, strings: list[str]) -> list[np.ndarray]:
         v, pieces, out = self.vocabulary, self.pieces, []
-        for text in strings:
-            ids = []
-            for piece in self.splitter.split(text):
-                if (found := pieces.get(piece)) is None:
-                    found = np.array(encode_piece(v, piece.encode()), "<u4").tobytes()
-                    if len(piece) <= v.longest:
-                        pieces[piece] = found
-                ids.append(found)
-            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        cut = [self.splitter.split(text) for text in strings]
+        new = list(set().union(*cut).difference(pieces))
+        found = dict(zip(new, encode_pieces(self.pairs, [p.encode() for p in new]), strict=True))
+        pieces.update(found)
+        for parts in cut:
+            out.append(np.frombuffer(b"".join(map(pieces.__getitem__, parts)), "<u4"))
+        for piece in found:
+            if len(piece) > v.longest:
+                del pieces[piece]
         if len(pieces) > PIECES:
             pieces.clear()
         return out

@@ -135,6 +135,46 @@ def test_every_token_and_pair_of_tokens(library, own):
     assert all(bpe.encode_piece(own.vocabulary, t) == [r] for t, r in own.vocabulary.rank.items())
 
 
+def test_tables_side_by_side_are_those_of_single_pieces(own):
+    """Pairs are told apart without merging, and new words cost a fraction of what single tables do."""
+    v, pairs, rng = own.vocabulary, own.pairs, random.Random(8)
+    left, right = (np.array([rng.choice((rng.randrange(600), rng.randrange(len(pairs.ids)))) for _ in range(6000)]) for _ in "xy")
+    for _ in range(2):  # as found, and as remembered
+        assert pairs.apart(left, right).tolist() == [v.apart(a, b) for a, b in zip(pairs.ids[left].tolist(), pairs.ids[right].tolist(), strict=True)]
+    assert pairs.ordered and pairs.begins(np.arange(500)).tolist() == [v.apart(-1, t) for t in pairs.ids[:500].tolist()]
+    pieces = list({"".join(rng.choice(("tion", "the", "é", "ß", "o", "x", "ch", "漢")) for _ in range(rng.randint(1, 12))).encode() for _ in range(20_000)}) + [b"", b"ab" * 3000]
+    began = time.process_time()
+    found = bpe.encode_pieces(pairs, pieces)
+    middle = time.process_time()
+    v.known.clear()
+    assert found == [np.array(bpe.encode_piece(v, p), "<u4").tobytes() for p in pieces]
+    assert 2 * (middle - began) < time.process_time() - middle
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_rank_files_in_any_order(tmp_path, ordered):
+    """Tokens that no merges make, and tokens of a lower rank than their parts: ids are those of the library's rule."""
+    rng = random.Random(5)
+    tokens = [bytes([b]) for b in range(256)] + [b"ab", b"cd", b"abcd", b"bc", b"xyzx", b"aa", b"aaa", b"bab"]
+    tokens += [] if ordered else [b"dabcd", b"da", b"cabcda", b"ca"]
+    if not ordered:
+        tokens = tokens[:256] + rng.sample(tokens[256:], len(tokens) - 256)
+        tokens.remove(b"aaa")
+        tokens.insert(0, b"aaa")
+        tokens.remove(b"dabcd")
+        tokens.insert(0, b"dabcd")
+        tokens.remove(b"abcd")
+        tokens.insert(0, b"abcd")
+    path = tmp_path / "ranks.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    v = bpe.Vocabulary(str(path))
+    pairs = bpe.Pairs(v)
+    assert pairs.ordered == ordered
+    pieces = [bytes(rng.choice(b"abcdxyz") for _ in range(rng.randint(1, 30))) for _ in range(3000)] + [b"xyzx", b"xyzxab"]
+    held = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_pieces(pairs, pieces)]
+    assert held == [[v.rank[p]] if p in v.rank else v.merge(p) for p in pieces]
+
+
 def test_prefixes_have_one_last_token(own):
     v, rng = own.vocabulary, random.Random(4)
     for _ in range(60):
