@@ -49,7 +49,7 @@ from .batches import map_rows, slices, small_batches
 from .components import connected_components
 from .skew import free_name, lookup
 from .textwords import mix64, shingle_set, word_hashes
-from .workers import clear
+from .workers import clear, trim
 
 #: Counters in each of the sketch's two rows.
 SKETCH = 1 << 20
@@ -117,6 +117,7 @@ def _count(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame
     if total.any():
         cells = total.astype(np.uint32).reshape(-1, _CHUNK)
         yield pd.DataFrame({"chunk": np.arange(len(cells)), "counts": [zlib.compress(x.tobytes(), 1) for x in cells]})
+    trim()
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,6 +180,7 @@ def _describe(batches: Iterator[pd.DataFrame], sketch, percent: int, width: int)
             else:
                 out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _prefix(s, sketch.value, percent).view(np.int64), _parity(s)))
         yield pd.DataFrame(out, columns=["doc_id", "n", "set_key", "keys", "parity"])
+    trim()
 
 
 def _light(batches: Iterator[pd.DataFrame], boundary: int, percent: int, width: int) -> Iterator[pd.DataFrame]:
@@ -193,6 +195,7 @@ def _light(batches: Iterator[pd.DataFrame], boundary: int, percent: int, width:
 def _exact_sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for pdf in slices(batches, 256):
         yield pd.DataFrame({"id": pdf["doc_id"], "shingles": [s.tobytes() for s in _sets(pdf, width)]})
+    trim()
 
 
 def _linked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -204,6 +207,8 @@ def _linked(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
         yield pdf.loc[keep, ["a", "b"]]
+        del pdf  # not beside the next batch
+    trim()
 
 
 def _may_link(percent: int, boundary: int) -> Column:
@@ -275,7 +280,11 @@ class JaccardJoin:
         with small_batches(self.spark):
             sets = self.scratch.keep(self.docs.join(ids, "doc_id", "left_semi").mapInPandas(partial(_exact_sets, width=self.width), "id long, shingles binary"), f"{name}-sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return self.scratch.keep(both.mapInPandas(partial(_linked, percent=self.percent), "a long, b long").distinct(), f"{name}-links")
+        # A row holds two whole sets: a batch of the usual 64 MB would stand several times in an executor.
+        with small_batches(self.spark):
+            links = self.scratch.keep(both.mapInPandas(partial(_linked, percent=self.percent), "a long, b long").distinct(), f"{name}-links")
+        self.scratch.drop(f"{name}-sets")
+        return links
 
     def links(self) -> DataFrame:
         """Links (a, b) between class representatives: enough of them to connect all that link."""

@@ -23,6 +23,14 @@ def _give_back() -> None:
         pass
 
 
+def trim() -> None:
+    """Gives back what a finished task has freed; a worker waits beside the executor's next stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    _give_back()
+
+
 def keep(owner: Any, make: Callable[[], Any]) -> Any:
     """The owner's cache, made on its first task in this worker; any other one is dropped."""
     global _held

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import decontamination, exact_dedup, jaccard_join, skew, token_file, warc_archive
+from blockloom.scratch import Scratch
 from tests.llm.test_operators import documents, prose
 
 
@@ -74,3 +75,21 @@ def test_columns_with_the_names_of_helpers(spark, clash):
     for stage, wanted in ((exact_dedup.keep_one, [2, 3, 4]), (jaccard_join.keep_representatives, [1, 4]), (lambda d: decontamination.decontaminate(d, bench), [1, 2, 3])):
         out = stage(docs)
         assert out.columns == docs.columns and sorted((r["doc_id"], r[clash]) for r in out.collect()) == [(k, 10 * k) for k in wanted]
+
+
+def test_jaccard_sets_are_tested_in_small_batches(spark, monkeypatch):
+    """A pair's row holds two whole sets, so no table that Python makes is written in batches of Spark's usual size."""
+    rows, keep = {}, Scratch.keep
+
+    def seen(self, df, name, *by):
+        rows[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return keep(self, df, name, *by)
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words, f"end{k}"])) for k in range(60)] + [(100, "alone among these rows")], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs, 85, 4).collect()}
+    assert found == {k: 0 for k in range(60)} | {100: 100}
+    made = [n for n in rows if n.endswith(("-sets", "-links")) or n == "sets"]
+    assert {"sets", "star0-links", "rest-links"} <= set(made) and all(rows[n] <= 1000 for n in made)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000
