@@ -127,16 +127,16 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
             total[chunk] = total[chunk] + x if chunk in total else x
     if total:
-        yield pd.DataFrame({"chunk": list(total), "counts": [x.tobytes() for x in total.values()]})
+        yield pd.DataFrame({"chunk": list(total), "counts": [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()]})
 
 
 def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of all shingles of all documents in a sketch of fixed size (two rows of ``SKETCH`` counters)."""
+    """Counts of all shingles of all documents in a sketch of fixed size (two rows of ``SKETCH`` counters, to 2**31 - 1)."""
     parts = docs.select("text").mapInPandas(partial(_count, width=width), "chunk long, counts binary")
     rows = parts.repartition("chunk").mapInPandas(_add, "chunk long, counts binary").collect()
-    total = np.zeros((2 * SKETCH // _CHUNK, _CHUNK), np.int64)
+    total = np.zeros((2 * SKETCH // _CHUNK, _CHUNK), np.int32)
     for r in rows:
-        total[r.chunk] = np.frombuffer(r.counts, np.int64)
+        total[r.chunk] = np.frombuffer(r.counts, np.int32)
     return total.reshape(2, SKETCH)
 
 
@@ -233,9 +233,10 @@ class JaccardJoin:
         self.scratch = Scratch(self.spark, "jaccard")
         with small_batches(self.spark):
             sketch = frequency_sketch(self.docs, width)
-            shared = self.spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+            shared = self.spark.sparkContext.broadcast(sketch)
             described = map_rows(self.docs, partial(_describe, sketch=shared, percent=percent, width=width), "doc_id long, n long, set_key binary, keys array<long>, parity array<long>", "doc_id")
             self.sets = self.scratch.keep(described, "sets")
+        shared.destroy()
         named = self.sets.where("doc_id IS NOT NULL AND n > 0")
         self.classes = self.scratch.keep(named.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
         self._found: list[DataFrame] = []

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import decontamination, exact_dedup, jaccard_join, skew, token_file, warc_archive
+from blockloom.llm.components import connected_components
 from blockloom.scratch import Scratch
 from tests.llm.test_operators import documents, prose
 
@@ -93,3 +94,37 @@ def test_jaccard_sets_are_tested_in_small_batches(spark, monkeypatch):
     made = [n for n in rows if n.endswith(("-sets", "-links")) or n == "sets"]
     assert {"sets", "star0-links", "rest-links"} <= set(made) and all(rows[n] <= 1000 for n in made)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000
+
+
+def test_components_of_few_edges_take_few_tasks(spark, tmp_path):
+    """Each shuffle is a task a partition, which the driver keeps account of: edges that one task can hold are not shuffled, and make the same components."""
+    rng = random.Random(6)
+    path = rng.sample(range(900), 60)
+    edges = [*zip(path, path[1:], strict=False)] + [(1000, 1001 + k) for k in range(6000)] + [(a, a - rng.randint(1, 9)) for a in range(10_100, 12_000, 6)]
+    spark.createDataFrame(edges, "a long, b long").coalesce(2).write.parquet(f"{tmp_path}/e")
+    top = {x: x for e in edges for x in e}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    context, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    scratch = Scratch(spark, "few-edges")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("few-edges", "components")
+    try:
+        labels = connected_components(spark.read.parquet(f"{tmp_path}/e"), scratch, "cc")
+    finally:
+        context._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["id"]: r["comp"] for r in labels.collect()} == {x: find(x) for x in top}
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) < 64
+    scratch.close()
