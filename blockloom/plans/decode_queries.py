@@ -283,7 +283,8 @@ def unframe_selectors(spark: SparkSession, d: str) -> DataFrame:
 @query("uint256_text", f"WITH {EVENTS} SELECT event_id, CAST({_BIG} AS VARCHAR) AS unsigned, CAST(-CAST(cents AS HUGEINT) AS VARCHAR) AS signed FROM ev")
 def uint256_text(spark: SparkSession, d: str) -> DataFrame:
     e = wide_cents(spark, d)
-    negative = F.unhex(F.lpad(F.hex(-F.col("cents")), 64, "F"))
+    # Of no cents there is no sign to extend.
+    negative = F.when(F.col("cents") == 0, w.word(F.lit(0))).otherwise(F.unhex(F.lpad(F.hex(-F.col("cents")), 64, "F")))
     return e.select("event_id", w.uint256_text(F.col("big")).alias("unsigned"), w.int256_text(negative).alias("signed"))
 
 

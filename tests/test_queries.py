@@ -35,3 +35,11 @@ def test_matches_sql(name, spark, sf_dir, duck):
     wanted = sorted(tuple(map(repr, (value(r[names.index(c)]) for c in columns))) for r in cursor.fetchall())
     assert sorted(names) == columns
     assert found == wanted
+
+
+def test_wide_text_of_no_cents_has_no_sign(spark, sf_dir, tmp_path):
+    """Of the given tables only sf0.1 has values of 0.00."""
+    spark.read.parquet(f"{sf_dir}/events.parquet").limit(20).withColumn("value", F.expr("event_id % 3 / 100D")).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["event_id"]: (r["unsigned"], r["signed"]) for r in registry.queries()["uint256_text"](spark, str(tmp_path)).collect()}
+    assert len(found) == 20
+    assert all(found[k] == (str((k % 3) << 96), str(-(k % 3))) for k in found)
