@@ -78,20 +78,37 @@ def with_bits(rows: DataFrame, wide: Sequence[str]) -> DataFrame:
     return rows.withColumns({f"{c}_bits": w.bit_length(F.col(c)) for c in wide}) if wide else rows
 
 
-#: Slices of a bucket that may be written by tasks of their own.
+#: Slices of a bucket that may be written by tasks of their own, where there are few buckets.
 SLICES = 64
+#: Sizes that a bloom filter is tried in, each half of the one before from 1 MB on; the smallest that holds a file's values is kept.
+BLOOM_SIZES = 14
 
 
-def lay_out(rows: DataFrame, path: str, bucket: int, indexed: Sequence[str] = (), below: Sequence[str] = (), mode: str = "overwrite") -> None:
+def dealt(rows: DataFrame, bucket: int, slices: int = SLICES) -> DataFrame:
+    """``rows`` with their height bucket (hb), all of a bucket in one task; or, with ``slices``, those of a slice of its heights (_slice), so that a busy bucket gets many."""
+    rows = rows.withColumn("hb", F.floor(F.col("height") / bucket).cast("bigint"))
+    if slices <= 1:
+        return rows.repartition("chain_id", "hb")
+    # Of wide buckets, slices are joined by Spark where they are small.
+    return rows.withColumn("_slice", F.floor(F.col("height") / max(1, bucket // slices)).cast("bigint")).repartition("chain_id", "hb", "_slice")
+
+
+def dealt_by(rows: DataFrame) -> list[str]:
+    return [c for c in ("chain_id", "hb", "_slice") if c in rows.columns]
+
+
+def lay_out(rows: DataFrame, path: str, bucket: int, indexed: Sequence[str] = (), below: Sequence[str] = (), mode: str = "overwrite", slices: int = SLICES) -> None:
     """Writes by chain and height bucket, in order of height, with bloom filters on the join key and indexed columns.
 
-    ``below`` are columns whose folders lie under the bucket's. A busy bucket is
-    dealt by slices of its heights, which Spark joins where they are small.
+    ``below`` are columns whose folders lie under the bucket's. Rows that were
+    ``dealt`` before stay in their tasks; others are dealt here. Without bounds a
+    bloom filter has a megabyte in each file, so it takes the size that its values need.
     """
     by_key = [c for c in ("height", "idx") if c in rows.columns]
-    slices = F.floor(F.col("height") / max(1, bucket // SLICES))
-    laid = rows.withColumn("hb", F.floor(F.col("height") / bucket).cast("bigint")).repartition("chain_id", slices).sortWithinPartitions("chain_id", "hb", *by_key)
-    writer = laid.write.mode(mode).partitionBy("chain_id", "hb", *below)
+    rows = rows if "hb" in rows.columns else dealt(rows, bucket, slices)
+    laid = rows.sortWithinPartitions(*dealt_by(rows), *by_key).drop("_slice")
+    writer = laid.write.mode(mode).partitionBy("chain_id", "hb", *below).option("compression", "zstd")
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", str(BLOOM_SIZES))
     for c in ("tx_id", *indexed):
         if c in rows.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")

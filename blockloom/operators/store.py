@@ -24,12 +24,14 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Entry
 from ..files import Files
+from ..scratch import tidy
 from . import evolve, reads
 from .commit_log import ATTEMPTS, CommitLog, Conflict
 
@@ -41,6 +43,7 @@ MOST_WRITES = 256
 #: Spans that a scan names one by one; of more, one a chain.
 SCANNED = 64
 Range = tuple[int, int, int]  # chain_id, from_height, to_height
+_RANGE = pa.schema([(c, pa.int64()) for c in ("chain_id", "lo", "hi")])
 
 
 # --- rules over tables ------------------------------------------------------
@@ -122,6 +125,15 @@ def visible(rows: DataFrame, commits: DataFrame, table: str) -> DataFrame:
     return rows.join(live_writes(commits, table), ["chain_id", "write_id"]).where(shown).select(*rows.columns, "seq")
 
 
+def shown(commits: DataFrame, table: str, ranges: Sequence[Range]) -> bool:
+    """Whether a committed write of a table can have visible rows in some ranges, by the log alone. A row a chain comes to the driver."""
+    writes = live_writes(commits, table).select("chain_id", "write_id", "cut")
+    named = commits.where(F.col("table").isNull() | (F.col("table") == table)).join(writes, ["chain_id", "write_id"])
+    held = named.select("chain_id", F.coalesce("from_height", F.lit(0)).alias("a"), F.coalesce(F.least("to_height", F.col("cut") - 1), F.lit(1 << 62)).alias("b"))
+    hulls = [F.max((F.col("chain_id") == c) & (F.col("a") <= hi) & (F.col("b") >= lo)) for c, lo, hi in _hull(ranges)]
+    return any(held.agg(*hulls).first())
+
+
 def delete_from_height(rows: DataFrame, chain_id: int, from_height: int) -> DataFrame:
     """What a compaction keeps when a chain is rolled back."""
     return rows.where((F.col("chain_id") != chain_id) | (F.col("height") < from_height))
@@ -294,7 +306,7 @@ class Store:
 
     def _state(self, batch_id: str = "") -> State:
         number, commits = self.log.read()
-        held = commits.where((F.col("kind") == "schema") | (F.col("batch_id") == batch_id)).orderBy("commit_seq").collect()  # a row a change of a table
+        held = self.log.named(batch_id)  # a row a change of a table
         return State(number, commits, next((r["commit_seq"] for r in held if r["batch_id"] == batch_id), None), self._schemas(held))
 
     @staticmethod
@@ -316,12 +328,25 @@ class Store:
 
     # tables
 
-    def _write(self, table: str, rows: DataFrame, write_id: str, schemas: dict[str, T.StructType], entry: Entry | None = None) -> list[dict]:
+    def _slices(self, ranges: Sequence[Range]) -> int:
+        """Slices by which a bucket of some ranges is dealt: one where there are more buckets than tasks of a shuffle."""
+        buckets = sum(hi // self.bucket - lo // self.bucket + 1 for _, lo, hi in ranges)
+        return max(1, min(evolve.SLICES, self._tasks() // max(1, buckets)))
+
+    def _tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _once(self, rows: DataFrame, key: list[str], order: list, ranges: Sequence[Range]) -> DataFrame:
+        """One row of each key (chain_id, height and more), the first in order, dealt as it is written: the rows are shuffled once."""
+        return first_wins(held := evolve.dealt(rows, self.bucket, self._slices(ranges)), list(dict.fromkeys([*evolve.dealt_by(held), *key])), order)
+
+    def _write(self, table: str, rows: DataFrame, write_id: str, schemas: dict[str, T.StructType], entry: Entry | None = None, slices: int = evolve.SLICES) -> list[dict]:
         """The files of a write; returns rows of the log for columns that the table gets with it. A changed type is refused."""
         if entry is not None:
             rows = evolve.with_bits(rows, evolve.wide_columns(entry))
-        added = evolve.additions(schemas.get(table), rows.schema)
-        evolve.lay_out(rows.withColumn("write_id", F.lit(write_id)), f"{self.root}/{table}", self.bucket, [p.column for p in entry.params if p.indexed] if entry else (), ["write_id"], "append")
+        added = evolve.additions(schemas.get(table), rows.drop("hb", "_slice").schema)
+        with tidy(self.spark):
+            evolve.lay_out(rows.withColumn("write_id", F.lit(write_id)), f"{self.root}/{table}", self.bucket, [p.column for p in entry.params if p.indexed] if entry else (), ["write_id"], "append", slices)
         schemas[table] = T.StructType([*schemas.get(table, T.StructType()).fields, *added])
         return [{"kind": "schema", "table": table, "detail": T.StructType(added).json()}] if added else []
 
@@ -409,7 +434,8 @@ class Store:
 
     def _ranges(self, ranges: Sequence[Range]) -> DataFrame:
         """The ranges by height bucket: (chain_id, hb, lo, hi)."""
-        frame = self.spark.createDataFrame([tuple(r) for r in ranges], "chain_id long, lo long, hi long")
+        # A local table, which Spark broadcasts while it is small.
+        frame = self.spark.createDataFrame(pa.table(dict(zip(("chain_id", "lo", "hi"), map(list, zip(*ranges)))), schema=_RANGE))
         buckets = F.sequence(F.floor(F.col("lo") / self.bucket), F.floor(F.col("hi") / self.bucket))
         return frame.select("chain_id", F.explode(buckets).alias("hb"), "lo", "hi")
 
@@ -439,17 +465,18 @@ class Store:
         the ranges in the table that it ``settles`` are hidden from then on.
         """
         spans = self._ranges(ranges)
-        landed = first_wins(self._inside(logs, spans), KEY, ["tx_id"])
-        said = [c for c in ("arrived", "time", "hash") if c in blocks.columns]
-        frames = {"blocks": last_wins(self._inside(blocks, spans), ["chain_id", "height"], said).drop("arrived")}
+        landed, slices = self._inside(logs, spans), self._slices(ranges)
+        said = [F.desc(c) for c in ("arrived", "time", "hash") if c in blocks.columns]
+        frames = {"blocks": self._once(self._inside(blocks, spans), ["chain_id", "height"], said, ranges).drop("arrived")}
         frames |= {name: first_wins(self._inside(aux[name], spans), ["chain_id", "tx_id"], [c for c in ("height", "block_hash") if c in aux[name].columns]) for name in ("transactions", "receipts") if aux and name in aux}
 
         def make(state: State) -> list[dict]:
             write_id, schemas, fresh = _write_id(), dict(state.schemas), landed
-            if "raw_records" in schemas:
+            if "raw_records" in schemas and shown(state.commits, "raw_records", ranges):
                 held = visible(self._scan("raw_records", schemas["raw_records"], _hull(ranges)), state.commits, "raw_records")
                 fresh = fresh.join(held.select(*KEY), KEY, "left_anti")
-            log = [row for name, rows in {"raw_records": fresh, **frames}.items() for row in self._write(name, rows, write_id, schemas)]
+            fresh = self._once(fresh, KEY, ["tx_id"], ranges)
+            log = [row for name, rows in {"raw_records": fresh, **frames}.items() for row in self._write(name, rows, write_id, schemas, slices=slices)]
             counts = self._written("raw_records", write_id, schemas).groupBy("chain_id", "height").agg(F.count(F.lit(1)).alias("n"))
             n = {(r["chain_id"], r["lo"]): r["n"] for r in self._inside(counts, spans, "inner").groupBy("chain_id", "lo").agg(F.sum("n").alias("n")).collect()}  # a row a range
             tops = self._inside(self._written("blocks", write_id, schemas).select("chain_id", "height", "hash"), spans, "inner")
@@ -509,11 +536,10 @@ class Store:
         def make(state: State) -> list[dict]:
             write_id, schemas, log = _write_id(), dict(state.schemas), []
             for table, (rows, entry) in tables.items():
-                rows = first_wins(rows, KEY, ["tx_id"])
-                if mode == "insert_missing" and table in schemas:
+                if mode == "insert_missing" and table in schemas and shown(state.commits, table, ranges):
                     held = visible(self._scan(table, schemas[table], _hull(ranges)), state.commits, table)
                     rows = rows.join(held.select(*KEY), KEY, "left_anti")
-                log += self._write(table, rows, write_id, schemas, entry)
+                log += self._write(table, self._once(rows, KEY, ["tx_id"], ranges), write_id, schemas, entry)
                 buckets = self._bucket_rows(table, write_id, schemas, [p.column for p in entry.params if p.indexed] if entry else [])
                 added[table] = sum(b["rows"] for b in buckets)
                 log += buckets
@@ -534,7 +560,7 @@ class Store:
 
         def make(state: State) -> list[dict]:
             write_id = _write_id()
-            log = self._write(table, rows, write_id, dict(state.schemas))
+            log = self._write(table, rows, write_id, dict(state.schemas), slices=self._slices(spans))
             return log + [{"kind": "decode", "write_id": write_id, "table": table, "chain_id": c, "from_height": lo, "to_height": hi} for c, lo, hi in spans]
 
         if spans:
@@ -635,14 +661,17 @@ class Store:
     def put_late(self, batch_id: str, tables: dict[str, DataFrame], wants: DataFrame, expired: DataFrame) -> None:
         """Headers, transactions and receipts that came after their logs; what is still wanted takes the place of what was, and what has waited too long is kept apart.
 
-        Heights of late headers are marked, so that rows decoded without block time get it.
+        Heights of late headers are marked, by bucket from the lowest to the highest, so that rows decoded without block time get it.
         """
-        late = [r for r in tables["blocks"].select("chain_id", "height").distinct().collect()] if "blocks" in tables else []  # as many as are waited for
+        buckets = wants.select("chain_id", F.floor(F.col("height") / self.bucket)).distinct().count()
+        slices = max(1, min(evolve.SLICES, self._tasks() // max(1, buckets)))
+        heights = tables["blocks"].groupBy("chain_id", F.floor(F.col("height") / self.bucket)) if "blocks" in tables else None
+        late = heights.agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect() if heights is not None else []  # a row a bucket
 
         def make(state: State) -> list[dict]:
             write_id, schemas, log = _write_id(), dict(state.schemas), []
             for name, rows in (*tables.items(), ("expired_wants", expired), ("wants", wants)):
-                log += self._write(name, rows, write_id, schemas)
+                log += self._write(name, rows, write_id, schemas, slices=slices)
                 spans = {r["chain_id"]: (r["lo"], r["hi"]) for r in self._written(name, write_id, schemas).groupBy("chain_id").agg(F.min("height").alias("lo"), F.max("height").alias("hi")).collect()}
                 if name == "wants":
                     had = state.commits.where((F.col("table") == "wants") & (F.col("kind") == "replace")).groupBy("chain_id").agg(F.min("from_height"), F.max("to_height")).collect()
@@ -650,7 +679,7 @@ class Store:
                         a, b = spans.get(c, (lo, hi))
                         spans[c] = (min(a, lo), max(b, hi))
                 log += [{"kind": "replace" if name == "wants" else "decode", "write_id": write_id, "table": name, "chain_id": c, "from_height": lo, "to_height": hi} for c, (lo, hi) in spans.items()]
-            return log + [{"kind": "late", "chain_id": r["chain_id"], "from_height": r["height"], "to_height": r["height"]} for r in late]
+            return log + [{"kind": "late", "chain_id": r["chain_id"], "from_height": r["lo"], "to_height": r["hi"]} for r in late]
 
         self._commit(batch_id, make)
 
@@ -672,11 +701,11 @@ class Store:
             if table == "blocks":
                 rows = last_wins(rows, ["chain_id", "height"], ["seq"])
             write_id = _write_id()
-            self._write(table, rows.select(schemas[table].names), write_id, schemas)
+            ends = commits.where("kind NOT IN ('schema', 'rollback', 'bucket')").agg(F.min("from_height"), F.greatest(F.max("to_height"), F.max("last_height"))).first()
+            self._write(table, rows.select(schemas[table].names), write_id, schemas, slices=self._slices([(chain_id, *ends)]) if None not in tuple(ends) else evolve.SLICES)
             details = commits.where((F.col("kind") == "bucket") & (F.col("table") == table)).select("detail").distinct().collect()  # as many as the catalog had versions
             indexed = sorted({c for r in details for c in json.loads(r["detail"])})
             span = self._written(table, write_id, schemas).agg(F.min("height").alias("lo"), F.max("height").alias("hi")).first()
-            ends = commits.where("kind NOT IN ('schema', 'rollback', 'bucket')").agg(F.min("from_height"), F.greatest(F.max("to_height"), F.max("last_height"))).first()
             lo, hi = min(x for x in (span["lo"], ends[0]) if x is not None), max(x for x in (span["hi"], ends[1]) if x is not None)
             buckets = [{"commit_seq": last, **b} for b in self._bucket_rows(table, write_id, schemas, indexed)] if details else []
             return [{"commit_seq": last, "kind": "compact", "write_id": write_id, "table": table, "chain_id": chain_id, "from_height": lo, "to_height": hi}, *buckets]

@@ -168,21 +168,34 @@ _decoded: dict[tuple[str, str], Store] = {}
 
 
 def decoded_store(spark: SparkSession, sf_dir: str) -> Store:
-    """The sample with transactions and receipts, landed and decoded by the jobs: made once a session, for queries that only read it."""
+    """The sample, landed and decoded by the jobs: made once a session, for queries that only read it."""
     from . import jobs
 
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _decoded:
         store = Store(spark, Scratch(spark, "decoded").path("store"), bucket=1000)
-        top = events(spark, sf_dir).agg(F.max("height")).first()[0]
-        if top is not None:
-            aux = {"transactions": transactions(spark, sf_dir), "receipts": receipts(spark, sf_dir)}
-            store.ingest_ranges("all", [(c, 0, top) for c in (1, 2, 3)], logs(spark, sf_dir), blocks(spark, sf_dir), aux)
+        if ranges := _all_heights(spark, sf_dir):
+            store.ingest_ranges("all", ranges, logs(spark, sf_dir), blocks(spark, sf_dir))
             jobs.decode_pending(store, SHOP[:1])
         _decoded[key] = store
     return _decoded[key]
 
 
+def sided_store(spark: SparkSession, sf_dir: str) -> Store:
+    """``decoded_store`` with transactions and receipts, which a batch of their own lands when the first query asks for them."""
+    store = decoded_store(spark, sf_dir)
+    if not store.has("transactions") and (ranges := _all_heights(spark, sf_dir)):
+        none = "chain_id IS NULL"
+        aux = {"transactions": transactions(spark, sf_dir), "receipts": receipts(spark, sf_dir)}
+        store.ingest_ranges("sides", ranges, logs(spark, sf_dir).where(none), blocks(spark, sf_dir).where(none), aux)
+    return store
+
+
+def _all_heights(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
+    top = events(spark, sf_dir).agg(F.max("height")).first()[0]
+    return [(c, 0, top) for c in (1, 2, 3)] if top is not None else []
+
+
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commit log: ingests, the decodes of three in four (one in four of one table only), and a rollback of chain 2 in the middle of its heights."""
     held = ingests(spark, sf_dir)

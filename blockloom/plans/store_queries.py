@@ -356,7 +356,7 @@ _JOINED = "FROM p LEFT JOIN tx ON tx.chain_id = p.chain_id AND o_orderkey = p.tx
 
 def _nested(spark: SparkSession, d: str, **sides: bool) -> DataFrame:
     """A page of the stored table, for which of the side tables its own heights are read."""
-    return s.decoded_store(spark, d).page(PURCHASE, QuerySpec(PURCHASE.table, first=300, **sides))
+    return s.sided_store(spark, d).page(PURCHASE, QuerySpec(PURCHASE.table, first=300, **sides))
 
 
 @query("events_with_tx", f"WITH {EVENTS}, {ORDERS}, {_NESTED} SELECT p.chain_id, p.height, p.idx, {hex_of('o_custkey', 40)} AS from_addr, CAST(tx.cents AS VARCHAR) AS value {_JOINED}")
@@ -514,8 +514,8 @@ def backfill_with_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, scratch: Scratch, held: store.Store, name: str, logs: DataFrame, heads: DataFrame, **how) -> None:
-    """One run of a stream over what has come to its folders: another file of logs and one of heads."""
-    s.log_lines(logs).select("chain_id", "value").coalesce(1).write.mode("append").json(scratch.path(f"{name}-logs"))
+    """One run of a stream over what has come to its folders: more files of logs, no two of one log, and one of heads."""
+    s.log_lines(logs).select("chain_id", "value").write.mode("append").json(scratch.path(f"{name}-logs"))
     heads.select("chain_id", F.col("head").cast("bigint").alias("head")).coalesce(1).write.mode("append").json(scratch.path(f"{name}-heads"))
     read = spark.readStream.schema("chain_id long, head long").json(scratch.path(f"{name}-heads"))
     chains = spark.createDataFrame([(c, 12, True) for c in (1, 2, 3)], "chain_id long, confirmations int, supports_reorg boolean")

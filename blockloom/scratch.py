@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a job go when the job is done, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 class Scratch:
     """Tables written once and read back: they cut lineage and outlive lost executors."""
 
@@ -33,8 +49,9 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """``df`` as a written table, in folders by the columns named."""
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
+        with tidy(self.spark):
+            writer = df.select("*").write.mode("overwrite").option("compression", "zstd")
+            (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name)).select(df.columns)
 
     def drop(self, *names: str) -> None:

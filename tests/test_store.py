@@ -1,13 +1,18 @@
 """The store: replay, rollback and landing again, resync, ranges, the stream."""
 
 import json
+import os
+import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom import scratch
 from blockloom.operators import evolve, ranges, rollups, store
 from blockloom.operators.reads import Filter, QuerySpec, keyset, page_rows
 from blockloom.operators.store import Store
+from blockloom.scratch import Scratch
 from blockloom.streaming import tip
 
 LOG = "chain_id long, height long, idx long, block_hash binary, tx_id binary, value long"
@@ -254,6 +259,43 @@ def test_layout_prunes_buckets(spark, tmp_path):
     assert len({f.split("hb=")[1].split("/")[0] for f in spark.read.parquet(f"{tmp_path}/laid").inputFiles()}) == 10
 
 
+def test_small_files_have_small_bloom_filters(spark, tmp_path):
+    """Keys that differ in every row are not held by a dictionary, so each file gets a bloom filter: of the size that its rows need."""
+    rows = spark.range(6000).select(F.lit(1).cast("long").alias("chain_id"), F.col("id").alias("height"), F.lit(0).cast("long").alias("idx"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("tx_id"))
+    evolve.lay_out(rows, f"{tmp_path}/laid", 2000)
+    files = list(tmp_path.glob("laid/**/*.parquet"))
+    assert files and max(f.stat().st_size for f in files) < 300_000
+    meta = pq.ParquetFile(max(files, key=lambda f: f.stat().st_size)).metadata.row_group(0)
+    assert next(c for c in map(meta.column, range(meta.num_columns)) if c.path_in_schema == "tx_id").total_compressed_size > 30_000
+    assert spark.read.parquet(f"{tmp_path}/laid").count() == 6000
+
+
+def test_a_bucket_is_one_file_where_there_are_many(spark, tmp_path):
+    """And its rows are in order; of few buckets each is dealt by slices of heights."""
+    held = Store(spark, f"file://{tmp_path}/s", bucket=10)
+    held.ingest("many", 1, 0, 99, logs(spark, 1, range(100)), blocks(spark, 1, range(100)))
+    files = sorted(tmp_path.glob("s/raw_records/**/*.parquet"))
+    assert len(files) == 10
+    for f in files:
+        found = pq.ParquetFile(f).read(columns=["height"]).column("height").to_pylist()
+        assert len(found) == 10 and found == sorted(found)
+    assert held._slices([(1, 0, 9)]) == 4 and held._slices([(1, 0, 99)]) == 1
+    assert heights(held.read("raw_records").select("height", "value")) == [(h, 1) for h in range(100)]
+
+
+def test_shuffle_files_of_a_written_table_go(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in n}
+    before = shuffled()
+    kept = Scratch(spark, "tidy").keep(spark.range(5000).groupBy((F.col("id") % 900).alias("k")).count(), "t")
+    assert kept.count() == 900
+    until = time.time() + 10
+    while (left := {n for n in shuffled() - before if os.path.exists(n) and n.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    # The count above has a shuffle of its own, of one row a task.
+    assert sum(os.path.getsize(n) for n in left) < 1000 and spark.conf.get(scratch._TIDY, "false") == "false"
+
+
 def test_wide_filter_pushes_bit_lengths(spark, tmp_path):
     from blockloom.functions import words as w
     from blockloom.operators import reads
