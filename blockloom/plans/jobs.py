@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Entry
 from ..operators import decode, forks, ranges
-from ..operators.store import Range, Store, clip_ranges, decode_backlog, late_headers, uncovered
+from ..operators.store import Range, Store, clip_ranges, covered, decode_backlog, late_headers, uncovered
 from ..scratch import Scratch
 from ..sources import landing
 
@@ -56,12 +56,18 @@ def decode_pending(store: Store, entries: Sequence[Entry]) -> int:
         some = pending[k : k + RANGES_AT_ONCE]
         named = hashlib.sha256(repr([tuple(r) for r in some]).encode()).hexdigest()[:32]
         decode_ranges(store, entries, [(r["chain_id"], r["from_height"], r["to_height"]) for r in some], f"decode-{named}")
-    # Headers that came after their rows were decoded.
-    late = [tuple(r) for r in late_headers(store.commits()).orderBy("chain_id", "from_height").collect()]
-    for k in range(0, len(late), RANGES_AT_ONCE):
-        some = late[k : k + RANGES_AT_ONCE]
-        named = hashlib.sha256(repr(some).encode()).hexdigest()[:32]
-        decode_ranges(store, entries, [r[:3] for r in some], f"stamp-{named}", "replace")
+    # Headers that came after their rows were decoded: of neighbouring buckets what has been landed is decoded again as one range, since a table hides replaced ranges one by one.
+    commits = store.commits()
+    late = [tuple(r) for r in late_headers(commits).select("chain_id", "from_height", "to_height").collect()]  # a row a bucket
+    if late:
+        spans = store.spans_of(late)
+        seq = commits.agg(F.max("commit_seq")).first()[0]
+        frame = store.spark.createDataFrame(spans, "chain_id long, lo long, hi long")
+        runs = [tuple(r) for r in covered(clip_ranges(commits), frame).orderBy("chain_id", "lo").collect()]
+        for k in range(0, len(runs), RANGES_AT_ONCE):
+            some = runs[k : k + RANGES_AT_ONCE]
+            named = hashlib.sha256(repr((seq, some)).encode()).hexdigest()[:32]
+            decode_ranges(store, entries, some, f"stamp-{named}", "replace")
     return len(pending)
 
 

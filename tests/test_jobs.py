@@ -79,3 +79,26 @@ def test_reconcile_fills_gaps_of_an_outage(spark, tmp_path):
     assert [jobs.reconcile(held, spans, 15, lines(spark, logs), nothing, concurrency=1) for _ in range(3)] == [1, 1, 0]
     assert held.cursor().first()["last_height"] == 40 and jobs.decode_pending(held, ENTRIES[:1]) == 2
     assert sorted(r["height"] for r in held.read(event.table).collect()) == list(range(1, 41))
+
+
+def test_late_headers_of_many_heights_are_one_range(spark, tmp_path):
+    """Every other header of 300 heights comes late: the rows get their times by one replace, not by one a height."""
+    event, n = ENTRIES[0], 300
+    held = Store(spark, f"file://{tmp_path}/s", bucket=50)
+    raw = spark.range(n).select(
+        F.lit(1).cast("long").alias("chain_id"), F.col("id").alias("height"), F.lit(0).cast("long").alias("idx"), w.word(F.col("id")).alias("block_hash"), w.address_word(F.lit(51)).alias("address"),
+        F.array(F.lit(event.key), w.word(F.col("id"))).alias("selectors"), w.word(F.col("id")).alias("data"), w.word(F.col("id")).alias("tx_id"), F.lit(0).cast("long").alias("tx_index"), F.lit(None).cast("long").alias("inner_index"),
+    )
+    headers = raw.select("chain_id", "height", F.col("block_hash").alias("hash"), F.col("block_hash").alias("parent_hash"), (F.col("height") + 1000).alias("time"))
+    held.ingest("all", 1, 0, n - 1, raw, headers.where("height % 2 = 0"))
+    jobs.decode_pending(held, [event])
+    late = headers.where("height % 2 = 1 AND height <> 7")
+    none = raw.where("chain_id IS NULL").select("chain_id", "height", "idx", "block_hash", "tx_id")
+    held.put_late("late", {"blocks": late}, none, none)
+    jobs.decode_pending(held, [event])
+    times = {r["height"]: r["t"] for r in held.read(event.table).select("height", F.unix_timestamp("block_time").alias("t")).collect()}
+    assert times == {h: None if h == 7 else h + 1000 for h in range(n)}
+    replaced = held.commits().where(F.col("batch_id").startswith("stamp-") & (F.col("kind") == "replace")).select("from_height", "to_height").collect()
+    assert [tuple(r) for r in replaced] == [(1, n - 1)]
+    jobs.decode_pending(held, [event])
+    assert held.commits().where(F.col("batch_id").startswith("stamp-")).select("batch_id").distinct().count() == 1
