@@ -23,7 +23,7 @@ def canonical_branch(headers: DataFrame) -> DataFrame:
     by pointer jumping: each round doubles the steps to the ancestor that a block
     points to, so a fork of n blocks takes log2 n rounds of joins.
     """
-    scratch = Scratch(headers.sparkSession, "forks")
+    scratch = Scratch(headers.sparkSession, "forks", lean=True)
     each = headers.groupBy(*_BLOCK).agg(F.max("parent_hash").alias("parent_hash"), F.max("arrived").alias("arrived"))
     counted = scratch.keep(each.withColumn("rivals", F.count(F.lit(1)).over(Window.partitionBy("chain_id", "height"))), "headers")
     lone = counted.where("rivals = 1").select(*_BLOCK, "parent_hash")

@@ -27,7 +27,7 @@ def decode_ranges(store: Store, entries: Sequence[Entry], wanted: Sequence[Range
     catalog has functions, and only of the transactions behind the ranges'
     logs. All tables and the marks that the ranges are decoded appear together.
     """
-    scratch = Scratch(store.spark, "decode")
+    scratch = Scratch(store.spark, "decode", lean=True)
     raw, blocks = store.read_ranges("raw_records", wanted), store.blocks_of(store.spans_of(wanted))
     staged = scratch.keep(decode.stamp_block_time(decode.decode_all(raw, entries), blocks), "events", "table")
     found = {(r["table"], r["bad"]): r["n"] for r in staged.groupBy("table", F.col("reason").isNotNull().alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as interfaces
@@ -102,7 +102,7 @@ def reconcile(store: Store, spans: DataFrame, step: int, logs: DataFrame, blocks
     if not todo:
         return 0
     wanted = spans.join(open_.groupBy("chain_id").agg(F.min("next").alias("lo"), F.max("target").alias("hi")), "chain_id").select("chain_id", "lo", "hi")
-    scratch = Scratch(store.spark, "landing")
+    scratch = Scratch(store.spark, "landing", lean=True)
     within = lambda rows: rows.join(F.broadcast(wanted), "chain_id").where("height BETWEEN lo AND hi").select(rows.columns)
     words = scratch.keep(landing.last_word(within(landing.land_logs(landing.parse(landing.in_order(logs), landing.LOG, "arrived"), "arrived"))), "heard")
     heard = words.where("NOT removed").drop("removed")

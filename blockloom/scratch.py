@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +38,10 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables written once and read back: they cut lineage and outlive lost executors."""
+    """Tables written once and read back: they cut lineage and outlive lost executors. ``lean`` ones take less disk: their shuffle files go once they are written, and zstd packs them."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False):
+        self.spark, self.lean = spark, lean
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -49,8 +49,9 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         """``df`` as a written table, in folders by the columns named."""
-        with tidy(self.spark):
-            writer = df.select("*").write.mode("overwrite").option("compression", "zstd")
+        with tidy(self.spark) if self.lean else nullcontext():
+            # Spark reads the setting where a frame is made.
+            writer = (df.select("*").write.option("compression", "zstd") if self.lean else df.write).mode("overwrite")
             (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name)).select(df.columns)
 

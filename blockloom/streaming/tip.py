@@ -303,7 +303,7 @@ def _lacking(logs: DataFrame, headers: DataFrame, transactions: DataFrame, recei
 
 def _settle_wants(store: Store, batch_id: str, spans: Sequence[Range], fresh: DataFrame, open_: DataFrame | None, sources: Sources, patience: int) -> None:
     """Lands what has come of what earlier batches lacked, and writes down what is lacking now."""
-    scratch = Scratch(store.spark, "wants")
+    scratch = Scratch(store.spark, "wants", lean=True)
     landed = store.inside(fresh, spans).select(*_WANT).withColumn("waited", F.lit(0)) if spans else None
     before = open_.withColumn("waited", F.col("waited") + 1) if open_ is not None else None
     logs = scratch.keep(reduce(DataFrame.unionByName, [x.select(*_WANT, "waited") for x in (landed, before) if x is not None]), "logs")

@@ -287,7 +287,7 @@ def test_shuffle_files_of_a_written_table_go(spark, tmp_path):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {n for n in disk.getAllFiles().mkString("|").split("|") if "/shuffle_" in n}
     before = shuffled()
-    kept = Scratch(spark, "tidy").keep(spark.range(5000).groupBy((F.col("id") % 900).alias("k")).count(), "t")
+    kept = Scratch(spark, "tidy", lean=True).keep(spark.range(5000).groupBy((F.col("id") % 900).alias("k")).count(), "t")
     assert kept.count() == 900
     until = time.time() + 10
     while (left := {n for n in shuffled() - before if os.path.exists(n) and n.endswith(".data")}) and time.time() < until:
